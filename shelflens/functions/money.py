@@ -94,4 +94,4 @@ def ai_cost_microusd(model: Column, input_tokens: Column, output_tokens: Column)
                             for x in (F.lit(m), F.struct(F.lit(i).alias("i"), F.lit(o).alias("o")))])
     price = F.try_element_at(prices, model)
     usd = input_tokens / F.lit(1e6) * price["i"] + output_tokens / F.lit(1e6) * price["o"]
-    return F.greatest(F.lit(0).cast("bigint"), round_half_up(usd * 1e6))
+    return F.when(price.isNotNull(), F.greatest(F.lit(0).cast("bigint"), round_half_up(usd * 1e6)))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelflens.functions import fixed_values as fv
 from shelflens.functions import text as tx
+from shelflens.session import materialize
 
 HOT_KEY_SIGNATURES = 20_000
 _OTHER = "~"
@@ -97,55 +98,66 @@ def _with_links(item_sigs: DataFrame, links: DataFrame) -> DataFrame:
     return out.withColumn("i_total", total).withColumn("i_keys", keys)
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
-    """Score and reasons of joined signature rows; only positive scores stay."""
+def _compared(pairs: DataFrame) -> DataFrame:
+    """What two signatures have in common, as a few small numbers and flags per pair."""
     c = F.col
-    common = F.size(F.array_intersect("i_tokens", "p_tokens"))
-    weak = F.when(F.size("i_weak") > 0, F.size(F.array_intersect("i_weak", "p_tokens"))).otherwise(0)
-    strong = F.when(F.size("i_strong") > 0, F.size(F.array_intersect("i_strong", "p_tokens"))).otherwise(0)
+
+    def shared(left: str, right: str) -> Column:
+        return F.when(F.size(left) > 0, F.size(F.array_intersect(left, right))).otherwise(0)
     subs = F.when(F.size("i_sub") > 0, F.size(F.filter(
         "i_sub", lambda p: F.array_contains(c("p_tokens"), p["pt"]) & ~F.array_contains(c("p_tokens"), p["rt"])
     ))).otherwise(0)
     folds = F.when(F.size("i_fold") > 0, F.size(F.filter(
         "i_fold", lambda t: F.array_contains(c("p_tokens"), t)))).otherwise(0)
-    shared_variants = F.size(F.array_intersect("i_variants", "p_variants"))
-    shared_packaging = F.size(F.array_intersect("i_packaging", "p_packaging"))
-
-    rows = (pairs.withColumn("_common", common).withColumn("_weak", weak).withColumn("_strong", strong)
-            .withColumn("_subs", subs).withColumn("_folds", folds)
-            .withColumn("_var", shared_variants).withColumn("_pack", shared_packaging))
-    brand = F.coalesce(c("i_brand") == c("p_brand"), F.lit(False))
-    family = F.coalesce(c("i_base_family") == c("p_base_family"), F.lit(False))
-    both_sizes = c("i_size").isNotNull() & c("p_size").isNotNull()
-    size_equal = both_sizes & (c("i_size") == c("p_size"))
-    size_other = both_sizes & (c("i_size") != c("p_size"))
-    size_missing = c("i_size").isNull() & c("p_size").isNotNull()
-    other_variant = family & (F.size("i_variants") > 0) & (F.size("p_variants") > 0) & (c("_var") == 0)
-    other_pack = (F.size("i_packaging") > 0) & (F.size("p_packaging") > 0) & (c("_pack") == 0)
-    signals = brand.cast("int") + family.cast("int") + size_equal.cast("int")
-    partial = (F.size("i_tokens") <= fv.PARTIAL_TOKENS) & (signals < fv.PARTIAL_SIGNALS)
-
-    matched = ((c("_common") - c("_weak") - c("_strong")) * fv.WEIGHT_PLAIN + c("_weak") * fv.WEIGHT_WEAK
-               + c("_strong") * fv.WEIGHT_STRONG)
-    shared = c("_var") + c("_pack")
+    size_case = (F.when(c("p_size").isNull(), 0).when(c("i_size").isNull(), 1).when(c("i_size") == c("p_size"), 2).otherwise(3))
+    return pairs.select(
+        "i_sig", "i_total", "ids", F.size("i_tokens").alias("n"), shared("i_tokens", "p_tokens").alias("common"),
+        shared("i_weak", "p_tokens").alias("weak"), shared("i_strong", "p_tokens").alias("strong"),
+        subs.alias("subs"), folds.alias("folds"), shared("i_variants", "p_variants").alias("var"),
+        shared("i_packaging", "p_packaging").alias("pack"),
+        F.coalesce(c("i_brand") == c("p_brand"), F.lit(False)).alias("brand"),
+        F.coalesce(c("i_base_family") == c("p_base_family"), F.lit(False)).alias("family"), size_case.alias("size_case"),
+        ((F.size("i_variants") > 0) & (F.size("p_variants") > 0)).alias("both_var"),
+        ((F.size("i_packaging") > 0) & (F.size("p_packaging") > 0)).alias("both_pack"))
+
+
+def _flags() -> dict[str, Column]:
+    c = F.col
+    signals = c("brand").cast("int") + c("family").cast("int") + (c("size_case") == 2).cast("int")
+    return {
+        "other_variant": c("family") & c("both_var") & (c("var") == 0), "other_pack": c("both_pack") & (c("pack") == 0),
+        "partial": (c("n") <= fv.PARTIAL_TOKENS) & (signals < fv.PARTIAL_SIGNALS),
+    }
+
+
+def _score() -> Column:
+    """Score over the columns of ``_compared``; every step is a number, so it stays in generated code."""
+    c, flag = F.col, _flags()
+    matched = ((c("common") - c("weak") - c("strong")) * fv.WEIGHT_PLAIN + c("weak") * fv.WEIGHT_WEAK
+               + c("strong") * fv.WEIGHT_STRONG)
+    sizes = (F.when(c("size_case") == 1, fv.POINTS_SIZE_MISSING).when(c("size_case") == 2, fv.POINTS_SIZE_EQUAL)
+             .when(c("size_case") == 3, fv.POINTS_SIZE_MISMATCH).otherwise(0))
     points = (F.lit(float(fv.POINTS_TOKENS)) * matched / c("i_total")
-              + c("_subs") * fv.POINTS_SUBSTRING + c("_folds") * fv.POINTS_TRANSLIT
-              + brand.cast("int") * fv.POINTS_BRAND + family.cast("int") * fv.POINTS_FAMILY
-              + size_equal.cast("int") * fv.POINTS_SIZE_EQUAL + size_other.cast("int") * fv.POINTS_SIZE_MISMATCH
-              + size_missing.cast("int") * fv.POINTS_SIZE_MISSING
-              + F.least(shared * fv.POINTS_PER_VARIANT, F.lit(fv.POINTS_VARIANT_MAX))
-              + other_variant.cast("int") * fv.POINTS_OTHER_VARIANT)
-    points = F.when(other_pack, F.least(points + fv.POINTS_PACKAGING, F.lit(float(fv.PACKAGING_CAP)))).otherwise(points)
-    points = F.when(partial, F.least(points, F.lit(float(fv.PARTIAL_CAP)))).otherwise(points)
-    score = F.floor(F.greatest(F.lit(0.0), F.least(points, F.lit(float(fv.SCORE_CAP)))) + 0.5) / F.lit(10000.0)
-    reasons = F.array_compact(F.array(
-        F.when(c("_subs") > 0, "substring_match"), F.when(c("_folds") > 0, "transliteration"),
-        F.when(brand, "brand"), F.when(family, "product_family"),
-        F.when(size_equal, "size").when(size_other, "size_mismatch_review").when(size_missing, "missing_size_review"),
-        F.when(shared > 0, "variant"), F.when(other_variant, "different_variant_same_base_review"),
-        F.when(other_pack, "packaging_mismatch_review"), F.when(c("_common") > 0, "name_tokens"),
-        F.when(partial, "partial_ocr_review")))
-    return rows.withColumn("score", score).where(c("score") > 0).withColumn("reasons", reasons)
+              + c("subs") * fv.POINTS_SUBSTRING + c("folds") * fv.POINTS_TRANSLIT
+              + c("brand").cast("int") * fv.POINTS_BRAND + c("family").cast("int") * fv.POINTS_FAMILY + sizes
+              + F.least((c("var") + c("pack")) * fv.POINTS_PER_VARIANT, F.lit(fv.POINTS_VARIANT_MAX))
+              + flag["other_variant"].cast("int") * fv.POINTS_OTHER_VARIANT)
+    points = points + flag["other_pack"].cast("int") * fv.POINTS_PACKAGING
+    cap = F.least(F.when(flag["other_pack"], fv.PACKAGING_CAP).otherwise(fv.SCORE_CAP),
+                  F.when(flag["partial"], fv.PARTIAL_CAP).otherwise(fv.SCORE_CAP))
+    return F.floor(F.greatest(F.lit(0.0), F.least(points, cap.cast("double"))) + 0.5) / F.lit(10000.0)
+
+
+def _reasons() -> Column:
+    c, flag = F.col, _flags()
+    return F.array_compact(F.array(
+        F.when(c("subs") > 0, "substring_match"), F.when(c("folds") > 0, "transliteration"),
+        F.when(c("brand"), "brand"), F.when(c("family"), "product_family"),
+        F.when(c("size_case") == 1, "missing_size_review").when(c("size_case") == 2, "size")
+        .when(c("size_case") == 3, "size_mismatch_review"),
+        F.when(c("var") + c("pack") > 0, "variant"), F.when(flag["other_variant"], "different_variant_same_base_review"),
+        F.when(flag["other_pack"], "packaging_mismatch_review"), F.when(c("common") > 0, "name_tokens"),
+        F.when(flag["partial"], "partial_ocr_review")))
 
 
 def _first_ids(products: DataFrame, group: str, k: int) -> DataFrame:
@@ -156,14 +168,22 @@ def _first_ids(products: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def _branch(items: DataFrame, groups: DataFrame, p_keys: str, k: int, tier: int) -> DataFrame:
-    """Join on link keys, score each pair at its first common key, keep the k best groups per item signature."""
-    left = items.withColumn("_key", F.explode("i_keys"))
+    """Join on link keys, score each pair at its first common key, keep the k best groups per item signature.
+
+    The top-k window cuts each task's pairs before they are shuffled. Zero scores go last and are dropped after it:
+    a filter on the score itself would be pushed into the join and computed twice. Reasons are built for the kept
+    pairs only.
+    """
+    # A few signatures fan out to many pairs, so their number, not their bytes, has to set the parallelism.
+    width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = items.repartition(width, "i_sig").withColumn("_key", F.explode("i_keys"))
     right = groups.withColumn("_key", F.explode(p_keys))
     pairs = left.join(right, "_key").where(F.get(F.array_intersect("i_keys", p_keys), F.lit(0)) == F.col("_key"))
-    scored = _scored(pairs).select("i_sig", "score", "reasons", "ids", F.get("ids", F.lit(0)).alias("_first"))
+    scored = _compared(pairs).withColumn("score", _score()).withColumn("_first", F.get("ids", F.lit(0)))
     best = Window.partitionBy("i_sig").orderBy(F.col("score").desc(), F.col("_first"))
-    top = scored.withColumn("_g", F.row_number().over(best)).where(F.col("_g") <= k)
-    return top.select("i_sig", "score", "reasons", F.explode("ids").alias("product_id"), F.lit(tier).alias("_tier"))
+    top = scored.withColumn("_g", F.row_number().over(best)).where((F.col("_g") <= k) & (F.col("score") > 0))
+    return top.select("i_sig", "score", _reasons().alias("reasons"), F.explode("ids").alias("product_id"),
+                      F.lit(tier).alias("_tier"))
 
 
 def _hot_keys(product_sigs: DataFrame, limit: int) -> list[str]:
@@ -206,13 +226,14 @@ def catalog_candidates(items: DataFrame, products: DataFrame, k: int = fv.DEFAUL
     item_map = items.select("item_id", signature(F.col("text")).alias("i_sig")).where(~F.col("i_sig").startswith("|"))
     product_map = active.select("product_id", signature(F.col("text")).alias("p_sig"))
 
-    item_sigs = _signature_features(item_map.select("i_sig").distinct(), "i_sig", "i")
-    product_sigs = _signature_features(product_map.select("p_sig").distinct(), "p_sig", "p").withColumn(
-        "p_keys", F.concat("p_tokens", _size_key(F.col("p_size"))))
-    links = _vocabulary_links(item_sigs, product_sigs)
-    linked_items = _with_links(item_sigs, links)
+    item_sigs = materialize(_signature_features(item_map.select("i_sig").distinct(), "i_sig", "i"), "item_signatures")
+    product_ids = _first_ids(product_map, "p_sig", wide)
+    groups = materialize(_signature_features(product_ids, "p_sig", "p").withColumn(
+        "p_keys", F.concat("p_tokens", _size_key(F.col("p_size")))), "product_signatures")
+    product_sigs = groups.drop("ids")
+    links = materialize(_vocabulary_links(item_sigs, product_sigs), "token_links")
+    linked_items = materialize(_with_links(item_sigs, links), "linked_items")
     hot = _hot_keys(product_sigs, hot_key_signatures)
-    groups = product_sigs.join(_first_ids(product_map, "p_sig", wide), "p_sig")
 
     if not hot:
         found = _branch(linked_items, groups, "p_keys", wide, 1)

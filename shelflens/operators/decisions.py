@@ -219,13 +219,13 @@ def manual_search(queries: DataFrame, catalog: DataFrame) -> DataFrame:
               .where("n = 1").select("query", "product_id", F.lit("sku").alias("found_by")))
     left = distinct.join(by_sku, "query", "left_anti").withColumn("_q", F.lower("query"))
 
+    def pieces(text: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+        cut = F.transform(starts, lambda at: F.substring(text, at, F.lit(n)))
+        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
+
     def grams(column: str, longest: int, shortest: int) -> Column:
-        text = F.col(column)
-        parts = [F.when(F.length(text) >= n, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))),
-            lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-            for n in range(shortest, longest + 1)]
-        return F.array_distinct(F.concat(*parts))
+        return F.array_distinct(F.concat(*[pieces(F.col(column), n) for n in range(shortest, longest + 1)]))
 
     own = F.when(F.length("_q") >= 3, grams("_q", 3, 3)).otherwise(F.array("_q"))
     asked = left.withColumn("gram", F.explode(own))

@@ -1,3 +1,4 @@
 """Imports every query module so that all of them are registered."""
 
 from shelflens.plans import price_queries  # noqa: F401
+from shelflens.plans import match_queries  # noqa: F401

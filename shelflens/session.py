@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -48,3 +49,13 @@ def broadcast_within(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes a frame that several branches read to the shared folder and reads it back.
+
+    It is computed once, survives lost executors, and its size on disk tells the optimizer how to join it.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/shelflens-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
