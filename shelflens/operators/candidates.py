@@ -24,6 +24,12 @@ from shelflens.session import materialize
 HOT_KEY_SIGNATURES = 20_000
 _OTHER = "~"
 
+# Classes of link keys; a key's number ends in its class, so shared keys can be counted by class.
+_PLAIN, _WEAK, _STRONG, _VARIANT, _PACKAGING, _SIZE = range(6)
+_CLASSES = 8
+# Counts of shared keys per class travel as digits of one number (at most 1023 tokens of a class per text).
+_DIGIT = 1 << 10
+
 
 def _brands() -> list[str]:
     return list(dict.fromkeys(fv.BRANDS.values()))
@@ -77,62 +83,110 @@ def _vocabulary_links(item_sigs: DataFrame, product_sigs: DataFrame) -> DataFram
     return substring.withColumn("kind", F.lit("s")).unionByName(folded.select("rt", "pt").withColumn("kind", F.lit("x")))
 
 
-def _with_links(item_sigs: DataFrame, links: DataFrame) -> DataFrame:
-    """Item signatures with their substring and transliteration links, token weights and link keys."""
-    pair = F.struct("rt", "pt")
-    own = (item_sigs.select("i_sig", "i_brand", F.explode("i_tokens").alias("rt")).join(links, "rt")
-           .groupBy("i_sig").agg(
-               F.collect_list(F.when((F.col("kind") == "s") & (F.col("i_brand").isNull() | (F.col("rt") != F.col("i_brand"))),
-                                     pair)).alias("i_sub"),
-               F.collect_list(F.when(F.col("kind") == "x", F.col("pt"))).alias("i_fold")))
-    weak, strong = _lit_array(fv.WEAK_WORDS), _lit_array(fv.FAMILIES + _brands())
-    out = item_sigs.join(own, "i_sig", "left")
-    out = (out.withColumn("i_sub", F.coalesce("i_sub", F.array().cast("array<struct<rt:string,pt:string>>")))
-           .withColumn("i_fold", F.coalesce("i_fold", _lit_array([])))
-           .withColumn("i_weak", F.array_intersect("i_tokens", weak))
-           .withColumn("i_strong", F.array_intersect("i_tokens", strong)))
-    n, n_weak, n_strong = F.size("i_tokens"), F.size("i_weak"), F.size("i_strong")
-    total = (n - n_weak - n_strong) * fv.WEIGHT_PLAIN + n_weak * fv.WEIGHT_WEAK + n_strong * fv.WEIGHT_STRONG
-    keys = F.array_distinct(F.concat("i_tokens", F.transform("i_sub", lambda p: p["pt"]), "i_fold",
-                                     _size_key(F.col("i_size"))))
-    return out.withColumn("i_total", total).withColumn("i_keys", keys)
-
-
-def _compared(pairs: DataFrame) -> DataFrame:
-    """What two signatures have in common, as a few small numbers and flags per pair."""
+def _key_class(key: Column) -> Column:
+    return (F.when(key.startswith("#"), _SIZE).when(key.isin(*fv.WEAK_WORDS), _WEAK)
+            .when(key.isin(*fv.FAMILIES, *_brands()), _STRONG).when(key.isin(*fv.VARIANT_WORDS), _VARIANT)
+            .when(key.isin(*fv.PACKAGING_WORDS), _PACKAGING).otherwise(_PLAIN))
+
+
+def _numbered_keys(product_sigs: DataFrame) -> DataFrame:
+    """Every product key with a number of its own (written down, so the numbers stay)."""
+    keys = product_sigs.select(F.explode("p_keys").alias("key")).distinct()
+    number = F.monotonically_increasing_id() * _CLASSES + _key_class(F.col("key"))
+    return materialize(keys.select("key", number.alias("key_no")), "keys")
+
+
+def _position(words: list[str], word: Column) -> Column:
+    return F.when(word.isNotNull(), F.array_position(_lit_array(words), word)).otherwise(0).cast("int")
+
+
+def _scalars(side: str) -> list[Column]:
+    """Brand and family as list positions and the rest of a signature as flags."""
+    brand, base = F.col(f"{side}_brand"), F.col(f"{side}_base_family")
+    return [_position(_brands(), brand).alias(f"{side}_brand_no"),
+            F.when(base.isNotNull(), _position(fv.FAMILIES, F.element_at(F.split(base, ":"), -1))).otherwise(0).alias(f"{side}_base_no"),
+            (F.size(f"{side}_variants") > 0).alias(f"{side}_has_var"), (F.size(f"{side}_packaging") > 0).alias(f"{side}_has_pack"),
+            F.col(f"{side}_size").isNotNull().alias(f"{side}_has_size")]
+
+
+def _numbers(df: DataFrame, key: str, array: str, keys: DataFrame, name: str) -> DataFrame:
+    """The numbers of an array of keys; keys no product has are dropped."""
+    rows = df.select(key, F.explode(array).alias("key")).join(keys, "key")
+    return rows.groupBy(key).agg(F.collect_list("key_no").alias(name))
+
+
+def _coded_items(item_sigs: DataFrame, links: DataFrame, keys: DataFrame) -> DataFrame:
+    """Item signatures as numbers: own keys, linked keys, token weight total, flags."""
+    numbered = item_sigs.withColumn("i_own_keys", F.concat("i_tokens", _size_key(F.col("i_size"))))
+    own = _numbers(numbered, "i_sig", "i_own_keys", keys, "i_own")
+    numbered_links = (links.join(keys.select(F.col("key").alias("pt"), F.col("key_no").alias("to_no")), "pt")
+                      .join(keys.select(F.col("key").alias("rt"), F.col("key_no").alias("from_no")), "rt", "left"))
+    pair = F.struct(F.coalesce("from_no", F.lit(-1).cast("bigint")).alias("rt"), F.col("to_no").alias("pt"))
+    counts = F.col("i_brand").isNull() | (F.col("rt") != F.col("i_brand"))
+    linked = (item_sigs.select("i_sig", "i_brand", F.explode("i_tokens").alias("rt")).join(numbered_links, "rt")
+              .groupBy("i_sig").agg(F.collect_list(F.when((F.col("kind") == "s") & counts, pair)).alias("i_sub"),
+                                    F.collect_list(F.when(F.col("kind") == "x", F.col("to_no"))).alias("i_fold")))
+    n = F.size("i_tokens")
+    weak = F.size(F.array_intersect("i_tokens", _lit_array(fv.WEAK_WORDS)))
+    strong = F.size(F.array_intersect("i_tokens", _lit_array(fv.FAMILIES + _brands())))
+    total = (n - weak - strong) * fv.WEIGHT_PLAIN + weak * fv.WEIGHT_WEAK + strong * fv.WEIGHT_STRONG
+    none = F.array().cast("array<bigint>")
+    out = item_sigs.join(own, "i_sig", "left").join(linked, "i_sig", "left").select(
+        "i_sig", F.monotonically_increasing_id().alias("i_no"), n.alias("i_n"), total.alias("i_total"), *_scalars("i"),
+        F.coalesce("i_own", none).alias("i_own"),
+        F.coalesce("i_sub", F.array().cast("array<struct<rt:bigint,pt:bigint>>")).alias("i_sub"),
+        F.coalesce("i_fold", none).alias("i_fold"))
+    return out.withColumn("i_linked", F.array_distinct(F.concat(F.transform("i_sub", lambda p: p["pt"]), "i_fold")))
+
+
+def _coded_products(groups: DataFrame, keys: DataFrame, seen: bool = False) -> DataFrame:
+    """Product groups as numbers; ``p_no`` follows the first product id, so it breaks ties the same way."""
+    ordered = groups.orderBy(F.get("ids", F.lit(0))).withColumn("p_no", F.monotonically_increasing_id())
+    ordered = materialize(ordered, "product_groups")
+    out = ordered.select("p_no", "ids", *_scalars("p")).join(_numbers(ordered, "p_no", "p_keys", keys, "p_keys"), "p_no")
+    return out.join(_numbers(ordered, "p_no", "p_tokens", keys, "p_seen"), "p_no", "left") if seen else out
+
+
+def _compared(pairs: DataFrame, p_seen: str) -> DataFrame:
+    """What two signatures have in common, as a few numbers per pair."""
     c = F.col
-
-    def shared(left: str, right: str) -> Column:
-        return F.when(F.size(left) > 0, F.size(F.array_intersect(left, right))).otherwise(0)
+    ones = F.array(*[F.lit(_DIGIT ** k) for k in range(6)]).cast("array<bigint>")
+    tally = F.aggregate(c("_x"), F.lit(0).cast("bigint"),
+                        lambda acc, no: acc + F.element_at(ones, (no % _CLASSES + 1).cast("int")))
     subs = F.when(F.size("i_sub") > 0, F.size(F.filter(
-        "i_sub", lambda p: F.array_contains(c("p_tokens"), p["pt"]) & ~F.array_contains(c("p_tokens"), p["rt"])
+        "i_sub", lambda p: F.array_contains(c("p_keys"), p["pt"]) & ~F.array_contains(F.coalesce(c(p_seen), c("p_keys")), p["rt"])
     ))).otherwise(0)
     folds = F.when(F.size("i_fold") > 0, F.size(F.filter(
-        "i_fold", lambda t: F.array_contains(c("p_tokens"), t)))).otherwise(0)
-    size_case = (F.when(c("p_size").isNull(), 0).when(c("i_size").isNull(), 1).when(c("i_size") == c("p_size"), 2).otherwise(3))
+        "i_fold", lambda no: F.array_contains(c("p_keys"), no)))).otherwise(0)
+    brand = (c("i_brand_no") > 0) & (c("i_brand_no") == c("p_brand_no"))
     return pairs.select(
-        "i_sig", "i_total", "ids", F.size("i_tokens").alias("n"), shared("i_tokens", "p_tokens").alias("common"),
-        shared("i_weak", "p_tokens").alias("weak"), shared("i_strong", "p_tokens").alias("strong"),
-        subs.alias("subs"), folds.alias("folds"), shared("i_variants", "p_variants").alias("var"),
-        shared("i_packaging", "p_packaging").alias("pack"),
-        F.coalesce(c("i_brand") == c("p_brand"), F.lit(False)).alias("brand"),
-        F.coalesce(c("i_base_family") == c("p_base_family"), F.lit(False)).alias("family"), size_case.alias("size_case"),
-        ((F.size("i_variants") > 0) & (F.size("p_variants") > 0)).alias("both_var"),
-        ((F.size("i_packaging") > 0) & (F.size("p_packaging") > 0)).alias("both_pack"))
+        "i_no", "p_no", "i_total", "i_n", tally.alias("tally"), subs.alias("subs"), folds.alias("folds"), brand.alias("brand"),
+        (brand & (c("i_base_no") > 0) & (c("i_base_no") == c("p_base_no"))).alias("family"),
+        F.when(~c("p_has_size"), 0).when(~c("i_has_size"), 1).otherwise(2).alias("sized"),
+        (c("i_has_var") & c("p_has_var")).alias("both_var"), (c("i_has_pack") & c("p_has_pack")).alias("both_pack"))
 
 
-def _flags() -> dict[str, Column]:
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """Class counts and flags out of the tally."""
     c = F.col
+
+    def digit(k: int) -> Column:
+        return F.shiftright("tally", 10 * k).bitwiseAND(_DIGIT - 1)
+    size_case = F.when(c("sized") < 2, c("sized")).when(digit(_SIZE) > 0, 2).otherwise(3)
+    out = rows.select(
+        "*", digit(_WEAK).alias("weak"), digit(_STRONG).alias("strong"), digit(_VARIANT).alias("var"), digit(_PACKAGING).alias("pack"),
+        (digit(_PLAIN) + digit(_WEAK) + digit(_STRONG) + digit(_VARIANT) + digit(_PACKAGING)).alias("common"),
+        size_case.alias("size_case"))
     signals = c("brand").cast("int") + c("family").cast("int") + (c("size_case") == 2).cast("int")
-    return {
-        "other_variant": c("family") & c("both_var") & (c("var") == 0), "other_pack": c("both_pack") & (c("pack") == 0),
-        "partial": (c("n") <= fv.PARTIAL_TOKENS) & (signals < fv.PARTIAL_SIGNALS),
-    }
+    return out.select(
+        "*", (c("family") & c("both_var") & (c("var") == 0)).alias("other_variant"),
+        (c("both_pack") & (c("pack") == 0)).alias("other_pack"),
+        ((c("i_n") <= fv.PARTIAL_TOKENS) & (signals < fv.PARTIAL_SIGNALS)).alias("partial"))
 
 
 def _score() -> Column:
-    """Score over the columns of ``_compared``; every step is a number, so it stays in generated code."""
-    c, flag = F.col, _flags()
+    """Score over unpacked columns; plain arithmetic, so it stays in generated code."""
+    c = F.col
     matched = ((c("common") - c("weak") - c("strong")) * fv.WEIGHT_PLAIN + c("weak") * fv.WEIGHT_WEAK
                + c("strong") * fv.WEIGHT_STRONG)
     sizes = (F.when(c("size_case") == 1, fv.POINTS_SIZE_MISSING).when(c("size_case") == 2, fv.POINTS_SIZE_EQUAL)
@@ -141,23 +195,22 @@ def _score() -> Column:
               + c("subs") * fv.POINTS_SUBSTRING + c("folds") * fv.POINTS_TRANSLIT
               + c("brand").cast("int") * fv.POINTS_BRAND + c("family").cast("int") * fv.POINTS_FAMILY + sizes
               + F.least((c("var") + c("pack")) * fv.POINTS_PER_VARIANT, F.lit(fv.POINTS_VARIANT_MAX))
-              + flag["other_variant"].cast("int") * fv.POINTS_OTHER_VARIANT)
-    points = points + flag["other_pack"].cast("int") * fv.POINTS_PACKAGING
-    cap = F.least(F.when(flag["other_pack"], fv.PACKAGING_CAP).otherwise(fv.SCORE_CAP),
-                  F.when(flag["partial"], fv.PARTIAL_CAP).otherwise(fv.SCORE_CAP))
+              + c("other_variant").cast("int") * fv.POINTS_OTHER_VARIANT + c("other_pack").cast("int") * fv.POINTS_PACKAGING)
+    cap = F.least(F.when(c("other_pack"), fv.PACKAGING_CAP).otherwise(fv.SCORE_CAP),
+                  F.when(c("partial"), fv.PARTIAL_CAP).otherwise(fv.SCORE_CAP))
     return F.floor(F.greatest(F.lit(0.0), F.least(points, cap.cast("double"))) + 0.5) / F.lit(10000.0)
 
 
 def _reasons() -> Column:
-    c, flag = F.col, _flags()
+    c = F.col
     return F.array_compact(F.array(
         F.when(c("subs") > 0, "substring_match"), F.when(c("folds") > 0, "transliteration"),
         F.when(c("brand"), "brand"), F.when(c("family"), "product_family"),
         F.when(c("size_case") == 1, "missing_size_review").when(c("size_case") == 2, "size")
         .when(c("size_case") == 3, "size_mismatch_review"),
-        F.when(c("var") + c("pack") > 0, "variant"), F.when(flag["other_variant"], "different_variant_same_base_review"),
-        F.when(flag["other_pack"], "packaging_mismatch_review"), F.when(c("common") > 0, "name_tokens"),
-        F.when(flag["partial"], "partial_ocr_review")))
+        F.when(c("var") + c("pack") > 0, "variant"), F.when(c("other_variant"), "different_variant_same_base_review"),
+        F.when(c("other_pack"), "packaging_mismatch_review"), F.when(c("common") > 0, "name_tokens"),
+        F.when(c("partial"), "partial_ocr_review")))
 
 
 def _first_ids(products: DataFrame, group: str, k: int) -> DataFrame:
@@ -167,29 +220,33 @@ def _first_ids(products: DataFrame, group: str, k: int) -> DataFrame:
     return first.groupBy(group).agg(F.array_sort(F.collect_list("product_id")).alias("ids"))
 
 
-def _branch(items: DataFrame, groups: DataFrame, p_keys: str, k: int, tier: int) -> DataFrame:
+def _branch(items: DataFrame, groups: DataFrame, join_keys: str, p_seen: str, k: int, tier: int) -> DataFrame:
     """Join on link keys, score each pair at its first common key, keep the k best groups per item signature.
 
-    The top-k window cuts each task's pairs before they are shuffled. Zero scores go last and are dropped after it:
-    a filter on the score itself would be pushed into the join and computed twice. Reasons are built for the kept
-    pairs only.
+    Rows of the join are narrow: key numbers and flags. The top-k window cuts each task's pairs before they are
+    shuffled. Zero scores go last and are dropped after it: a filter on the score itself would be pushed into the join
+    and computed twice. Reasons and product ids are added to the kept pairs only.
     """
     # A few signatures fan out to many pairs, so their number, not their bytes, has to set the parallelism.
     width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = items.repartition(width, "i_sig").withColumn("_key", F.explode("i_keys"))
-    right = groups.withColumn("_key", F.explode(p_keys))
-    pairs = left.join(right, "_key").where(F.get(F.array_intersect("i_keys", p_keys), F.lit(0)) == F.col("_key"))
-    scored = _compared(pairs).withColumn("score", _score()).withColumn("_first", F.get("ids", F.lit(0)))
-    best = Window.partitionBy("i_sig").orderBy(F.col("score").desc(), F.col("_first"))
+    left = items.drop("i_sig").repartition(width, "i_no").withColumn("_key", F.explode("i_join"))
+    right = groups.drop("ids").withColumn("_key", F.explode(join_keys))
+    own = F.array_intersect("i_own", "p_keys")
+    pairs = left.join(right, "_key").withColumn("_x", own)
+    first = F.get(F.array_intersect("i_join", join_keys), F.lit(0))
+    scored = _unpacked(_compared(pairs.where(first == F.col("_key")), p_seen)).withColumn("score", _score())
+    best = Window.partitionBy("i_no").orderBy(F.col("score").desc(), F.col("p_no"))
     top = scored.withColumn("_g", F.row_number().over(best)).where((F.col("_g") <= k) & (F.col("score") > 0))
-    return top.select("i_sig", "score", _reasons().alias("reasons"), F.explode("ids").alias("product_id"),
-                      F.lit(tier).alias("_tier"))
+    kept = top.select("i_no", "p_no", "score", _reasons().alias("reasons"))
+    named = kept.join(groups.select("p_no", "ids"), "p_no").join(items.select("i_no", "i_sig"), "i_no")
+    return named.select("i_sig", "score", "reasons", F.explode("ids").alias("product_id"), F.lit(tier).alias("_tier"))
 
 
-def _hot_keys(product_sigs: DataFrame, limit: int) -> list[str]:
-    """Keys on more than ``limit`` product signatures: at most (all keys / limit) of them, so they fit the driver."""
-    keys = product_sigs.select(F.explode("p_keys").alias("key")).groupBy("key").count()
-    return sorted(r["key"] for r in keys.where(F.col("count") > limit).collect())
+def _hot_keys(coded: DataFrame, keys: DataFrame, limit: int) -> dict[str, int]:
+    """Keys on more than ``limit`` product groups: at most (all keys / limit) of them, so they fit the driver."""
+    counts = coded.select(F.explode("p_keys").alias("key_no")).groupBy("key_no").count()
+    frequent = counts.where(F.col("count") > limit).join(keys, "key_no").select("key", "key_no")
+    return {r["key"]: r["key_no"] for r in frequent.collect()}
 
 
 def _project(products: DataFrame, hot: list[str], seen: list[str]) -> DataFrame:
@@ -227,31 +284,34 @@ def catalog_candidates(items: DataFrame, products: DataFrame, k: int = fv.DEFAUL
     product_map = active.select("product_id", signature(F.col("text")).alias("p_sig"))
 
     item_sigs = materialize(_signature_features(item_map.select("i_sig").distinct(), "i_sig", "i"), "item_signatures")
-    product_ids = _first_ids(product_map, "p_sig", wide)
-    groups = materialize(_signature_features(product_ids, "p_sig", "p").withColumn(
+    groups = materialize(_signature_features(_first_ids(product_map, "p_sig", wide), "p_sig", "p").withColumn(
         "p_keys", F.concat("p_tokens", _size_key(F.col("p_size")))), "product_signatures")
-    product_sigs = groups.drop("ids")
-    links = materialize(_vocabulary_links(item_sigs, product_sigs), "token_links")
-    linked_items = materialize(_with_links(item_sigs, links), "linked_items")
-    hot = _hot_keys(product_sigs, hot_key_signatures)
+    keys = _numbered_keys(groups)
+    links = materialize(_vocabulary_links(item_sigs, groups), "token_links")
+    coded_items = materialize(_coded_items(item_sigs, links, keys), "coded_items")
+    coded_groups = materialize(_coded_products(groups, keys), "coded_groups")
+    hot = _hot_keys(coded_groups, keys, hot_key_signatures)
+    joinable = coded_items.withColumn("i_join", F.array_distinct(F.concat("i_own", "i_linked")))
 
     if not hot:
-        found = _branch(linked_items, groups, "p_keys", wide, 1)
+        found = _branch(joinable, coded_groups, "p_keys", "p_keys", wide, 1)
     else:
-        rare = groups.withColumn("p_rare", F.array_except("p_keys", _lit_array(hot)))
-        found = _branch(linked_items, rare, "p_rare", wide, 1)
+        numbers = F.array(*[F.lit(no) for no in hot.values()]).cast("array<bigint>")
+        rare_items = joinable.withColumn("i_join", F.array_except("i_join", numbers))
+        rare_groups = coded_groups.withColumn("p_rare", F.array_except("p_keys", numbers))
+        found = _branch(rare_items, rare_groups, "p_rare", "p_keys", wide, 1)
         # Item tokens that also occur in the catalogue switch their substring links off; keep them visible.
-        hot_links = links.where((F.col("kind") == "s") & F.col("pt").isin(*hot))
-        words = product_sigs.select(F.explode("p_tokens").alias("rt")).distinct()
-        seen = [r["rt"] for r in hot_links.select("rt").distinct().join(words, "rt", "left_semi").collect()]
+        names = list(hot)
+        hot_links = links.where((F.col("kind") == "s") & F.col("pt").isin(*names)).select(F.col("rt").alias("key"))
+        seen = [r["key"] for r in hot_links.distinct().join(keys, "key", "left_semi").collect()]
         shape = ["p_tokens", "p_brand", "p_base_family", "p_variants", "p_packaging", "p_size", "p_keys"]
-        projected = _project(product_map.join(product_sigs, "p_sig"), hot, seen).withColumn(
+        projected = _project(product_map.join(groups.drop("ids"), "p_sig"), names, seen).withColumn(
             "p_group", F.to_json(F.struct(*shape)))
         shapes = projected.select("p_group", *shape).dropDuplicates(["p_group"])
         frequent = shapes.join(_first_ids(projected, "p_group", wide), "p_group")
-        hot_items = linked_items.withColumn("i_sub", F.filter("i_sub", lambda p: p["pt"].isin(*hot))).withColumn(
-            "i_keys", F.array_intersect("i_keys", _lit_array(hot)))
-        found = found.unionByName(_branch(hot_items, frequent, "p_keys", wide, 2))
+        coded_shapes = materialize(_coded_products(frequent, keys, seen=True), "coded_shapes")
+        hot_items = joinable.withColumn("i_join", F.array_intersect("i_join", numbers))
+        found = found.unionByName(_branch(hot_items, coded_shapes, "p_keys", "p_seen", wide, 2))
         found = found.groupBy("i_sig", "product_id").agg(
             F.max_by(F.struct("score", "reasons"), F.struct("score", -F.col("_tier"))).alias("_best")).select(
             "i_sig", "product_id", F.col("_best.score").alias("score"), F.col("_best.reasons").alias("reasons"))
