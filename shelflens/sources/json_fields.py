@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shelflens.functions import money
 
 
+def spread(df: DataFrame, doc: str, paths: list[str]) -> DataFrame:
+    """Every path as a column of its own name, so each is looked up once however often it is used."""
+    return df.select("*", *[F.try_variant_get(F.col(doc), p, "variant").alias(p) for p in dict.fromkeys(paths)])
+
+
+def at(path: str) -> Column:
+    """A spread path; a JSON null counts as absent."""
+    value = F.col(f"`{path}`")
+    return F.when(~F.is_variant_null(value), value)
+
+
+def first_at(*paths: str) -> Column:
+    return F.coalesce(*[at(p) for p in paths])
+
+
 def field(doc: Column, path: str) -> Column:
     """The value at a path; a JSON null counts as absent."""
     value = F.try_variant_get(doc, path, "variant")
     return F.when(~F.is_variant_null(value), value)
 
 
-def first_field(doc: Column, *paths: str) -> Column:
-    return F.coalesce(*[field(doc, p) for p in paths])
-
-
 def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 

@@ -104,41 +104,38 @@ def has_more(html: Column) -> Column:
     return html.rlike(MORE_PAGES)
 
 
-def _per_source(item: Column, name: str) -> Column:
+def _chosen(name: str) -> Column:
     """A price field under its source's spellings; store prices where the page shows a store."""
-    default = jf.first_field(item, *FIELDS["default"][name])
-    metro = F.when(F.col("price_context") == "store_visit", jf.first_field(item, *FIELDS["metro_store"][name])).otherwise(
-        jf.first_field(item, *FIELDS["metro_online"][name]))
+    metro = F.when(F.col("price_context") == "store_visit", jf.first_at(*FIELDS["metro_store"][name])).otherwise(
+        jf.first_at(*FIELDS["metro_online"][name]))
     return (F.when(F.col("source_key") == "metro_online", metro)
-            .when(F.col("source_key") == "x5_5ka", jf.first_field(item, *FIELDS["x5_5ka"][name])).otherwise(default))
+            .when(F.col("source_key") == "x5_5ka", jf.first_at(*FIELDS["x5_5ka"][name]))
+            .otherwise(jf.first_at(*FIELDS["default"][name])))
 
 
 def _flatten_items(rows: DataFrame) -> DataFrame:
-    """Rows with a variant ``item`` to observations."""
-    rows = rows.withColumn("item", F.coalesce(jf.field(F.col("item"), "$.product"), F.col("item")))
-    item = F.col("item")
-    rows = rows.withColumn("source_product_id", jf.as_text(jf.first_field(item, *FIELDS["default"]["id"]))).where(
-        F.col("source_product_id").isNotNull())
-    price = F.coalesce(jf.online_price(_per_source(item, "price")), F.lit(0).cast("bigint"))
-    stock = jf.only_number(jf.field(item, "$.stock"))
-    available = jf.field(item, "$.available").cast("string")
-    metro_in = (available == "true") & (stock > 0)
-    gone = F.when(F.col("source_key") == "metro_online", ~F.coalesce(metro_in, F.lit(False))).otherwise(
-        F.coalesce(available == "false", F.lit(False)) | F.coalesce(stock == 0, F.lit(False)))
-
-    def other(name: str) -> Column:
-        value = _positive(jf.online_price(_per_source(item, name)))
-        return F.when(value != F.col("price_minor"), value)
-
-    return _finish(
-        rows.withColumn("price_minor", price)
-        .withColumn("old_price_minor", other("old")).withColumn("promo_price_minor", other("promo"))
-        .withColumn("url", _absolute(F.col("source_key"), jf.as_text(jf.first_field(item, *SHARED["url"])), F.col("source_product_id")))
-        .withColumn("title", F.coalesce(jf.as_text(jf.first_field(item, *SHARED["title"])), F.lit("")))
-        .withColumn("brand", jf.as_text(jf.first_field(item, *SHARED["brand"])))
-        .withColumn("size_text", jf.as_text(jf.first_field(item, *SHARED["size"])))
-        .withColumn("barcode", jf.as_text(jf.first_field(item, *SHARED["barcode"])))
-        .withColumn("availability", F.when(gone, "out_of_stock").otherwise("in_stock")))
+    """Rows with a variant ``item`` to observations, in steps: fields, price values, prices, observation."""
+    paths = [p for fields in FIELDS.values() for spellings in fields.values() for p in spellings]
+    paths += [p for spellings in SHARED.values() for p in spellings] + ["$.stock", "$.available"]
+    rows = rows.withColumn("_product", F.coalesce(jf.field(F.col("item"), "$.product"), F.col("item")))
+    rows = jf.spread(rows, "_product", paths)
+    rows = rows.select(
+        "page_id", "source_key", "observed_at", jf.as_text(jf.first_at(*FIELDS["default"]["id"])).alias("source_product_id"),
+        *[_chosen(n).alias(f"_{n}") for n in ("price", "old", "promo")],
+        *[jf.as_text(jf.first_at(*SHARED[n])).alias(f"_{n}") for n in SHARED],
+        jf.only_number(jf.at("$.stock")).alias("_stock"), jf.at("$.available").cast("string").alias("_available"))
+    rows = rows.where(F.col("source_product_id").isNotNull()).select(
+        "*", F.coalesce(jf.online_price(F.col("_price")), F.lit(0).cast("bigint")).alias("price_minor"),
+        _positive(jf.online_price(F.col("_old"))).alias("_old_minor"), _positive(jf.online_price(F.col("_promo"))).alias("_promo_minor"))
+    metro_in = F.coalesce((F.col("_available") == "true") & (F.col("_stock") > 0), F.lit(False))
+    gone = F.when(F.col("source_key") == "metro_online", ~metro_in).otherwise(
+        F.coalesce(F.col("_available") == "false", F.lit(False)) | F.coalesce(F.col("_stock") == 0, F.lit(False)))
+    return _finish(rows.select(
+        "*", _absolute(F.col("source_key"), F.col("_url"), F.col("source_product_id")).alias("url"),
+        F.coalesce("_title", F.lit("")).alias("title"), F.col("_brand").alias("brand"), F.col("_size").alias("size_text"),
+        F.col("_barcode").alias("barcode"), F.nullif("_old_minor", "price_minor").alias("old_price_minor"),
+        F.nullif("_promo_minor", "price_minor").alias("promo_price_minor"),
+        F.when(gone, "out_of_stock").otherwise("in_stock").alias("availability")))
 
 
 def _embedded_items(html: Column) -> Column:

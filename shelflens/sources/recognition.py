@@ -28,62 +28,70 @@ def strip_fence(text: Column) -> Column:
 
 def parse_payloads(payloads: DataFrame) -> DataFrame:
     """One row per payload: items, warnings and what went wrong; a bad payload is a row, not a failure."""
-    doc = F.col("_doc")
     rows = payloads.withColumn("_doc", F.try_parse_json(strip_fence(F.col("payload"))))
-    shape = jf.kind(doc)
+    rows = jf.spread(rows, "_doc", WARNING_PATHS).withColumn("_shape", jf.kind(F.col("_doc"))).withColumn(
+        "_raw", jf.first_at(*WARNING_PATHS)).withColumn(
+        "_items", F.coalesce(*[jf.array_field(F.col("_doc"), p) for p in ITEM_PATHS]))
+    shape, raw = F.col("_shape"), F.col("_raw")
     structured = shape.startswith("ARRAY") | shape.startswith("OBJECT")
-    error = F.when(doc.isNull(), ERROR_MALFORMED).when(~structured, ERROR_EMPTY)
-    items = F.coalesce(*[jf.array_field(doc, p) for p in ITEM_PATHS])
-    raw = jf.first_field(doc, *WARNING_PATHS)
+    error = F.when(F.col("_doc").isNull(), ERROR_MALFORMED).when(~structured, ERROR_EMPTY)
     listed = F.filter(F.transform(F.try_variant_get(raw, "$", "array<variant>"), jf.only_text), lambda w: w.isNotNull())
     single = F.when(jf.only_text(raw).isNotNull(), F.array(jf.only_text(raw)))
     warnings = F.when(shape.startswith("OBJECT"), F.coalesce(listed, single))
     none = F.array().cast("array<string>")
-    no_list = F.when(error.isNull() & items.isNull(), F.array(F.lit("JSON without an item array"))).otherwise(none)
-    return rows.select(*payloads.columns, F.when(error.isNull(), items).alias("items"),
+    no_list = F.when(error.isNull() & F.col("_items").isNull(), F.array(F.lit("JSON without an item array"))).otherwise(none)
+    return rows.select(*payloads.columns, F.when(error.isNull(), F.col("_items")).alias("items"),
                        F.concat(F.coalesce(warnings, none), no_list).alias("warnings"), error.alias("error"))
 
 
-def _box(item: Column) -> Column:
-    box = jf.field(item, "$.bbox")
-    corners = F.try_variant_get(box, "$", "array<double>")
-
+def _with_box(rows: DataFrame) -> DataFrame:
+    """Box numbers first, then side lengths, then the checked box: each step reads columns of the one before."""
     def number(*paths: str) -> Column:
-        return jf.only_number(jf.first_field(box, *paths))
-    x, y = number("$.x", "$.left", "$.xmin", "$.x_min"), number("$.y", "$.top", "$.ymin", "$.y_min")
-    right, bottom = number("$.xmax", "$.x_max", "$.right"), number("$.ymax", "$.y_max", "$.bottom")
-    width = F.coalesce(number("$.width", "$.w"), right - x)
-    height = F.coalesce(number("$.height", "$.h"), bottom - y)
-    four = F.size(corners) == 4
-    top, left, low, far = (F.get(corners, F.lit(i)) for i in range(4))
-    return F.when(four, bbox_norm(left, top, far - left, low - top)).otherwise(bbox_norm(x, y, width, height))
-
-
-def _share(item: Column, path: str) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(jf.only_number(jf.field(item, path)), F.lit(0.0))))
+        return jf.only_number(jf.first_at(*paths))
+    spellings = {"_x": ["$.bbox.x", "$.bbox.left", "$.bbox.xmin", "$.bbox.x_min"],
+                 "_y": ["$.bbox.y", "$.bbox.top", "$.bbox.ymin", "$.bbox.y_min"],
+                 "_right": ["$.bbox.xmax", "$.bbox.x_max", "$.bbox.right"],
+                 "_bottom": ["$.bbox.ymax", "$.bbox.y_max", "$.bbox.bottom"],
+                 "_w": ["$.bbox.width", "$.bbox.w"], "_h": ["$.bbox.height", "$.bbox.h"]}
+    rows = jf.spread(rows, "item", [p for ps in spellings.values() for p in ps])
+    corners = F.try_variant_get("item", "$.bbox", "array<double>")
+    rows = rows.select("*", corners.alias("_corners"), *[number(*ps).alias(n) for n, ps in spellings.items()])
+    four = F.coalesce(F.size("_corners") == 4, F.lit(False))
+    top, left, low, far = (F.get("_corners", F.lit(i)) for i in range(4))
+    rows = rows.select(
+        "*", F.when(four, left).otherwise(F.col("_x")).alias("_bx"), F.when(four, top).otherwise(F.col("_y")).alias("_by"),
+        F.when(four, far - left).otherwise(F.coalesce("_w", F.col("_right") - F.col("_x"))).alias("_bw"),
+        F.when(four, low - top).otherwise(F.coalesce("_h", F.col("_bottom") - F.col("_y"))).alias("_bh"))
+    return rows.withColumn("bbox", bbox_norm(F.col("_bx"), F.col("_by"), F.col("_bw"), F.col("_bh")))
+
+
+def _share(path: str) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(jf.only_number(jf.at(path)), F.lit(0.0))))
 
 
 def normalize_recognition(payloads: DataFrame) -> DataFrame:
     """Item rows; an item without name, texts and price is dropped."""
     parsed = parse_payloads(payloads)
-    rows = parsed.select(*[c for c in payloads.columns if c != "payload"], F.posexplode("items").alias("item_no", "item"))
-    item = F.col("item")
-
-    def text(*paths: str) -> Column:
-        return F.coalesce(*[jf.only_text(jf.field(item, p)) for p in paths])
-
-    def minor(own: str, *paths: str) -> Column:
-        whole = round_half_up(jf.only_number(jf.field(item, own)))
-        return F.coalesce(whole, *[jf.recognition_price(jf.field(item, p)) for p in paths])
-    review = jf.field(item, "$.needs_review").cast("string")
+    kept = [c for c in payloads.columns if c != "payload"]
+    rows = parsed.select(*kept, F.posexplode("items").alias("item_no", "item"))
+    own = ["$.price_minor", "$.old_price_minor", "$.promo_price_minor", "$.brand", "$.size_text", "$.review_reason",
+           "$.position_hint", "$.location", "$.confidence", "$.link_confidence", "$.needs_review"]
+    paths = own + NAME_FIELDS + PRICE_FIELDS + OLD_FIELDS + PROMO_FIELDS + VISIBLE_FIELDS
+    rows = _with_box(jf.spread(rows, "item", paths))
+
+    def text(*names: str) -> Column:
+        return F.coalesce(*[jf.only_text(jf.at(p)) for p in names])
+
+    def minor(whole: str, *prices: str) -> Column:
+        return F.coalesce(round_half_up(jf.only_number(jf.at(whole))), *[jf.recognition_price(jf.at(p)) for p in prices])
+    review = jf.at("$.needs_review").cast("string")
     out = rows.select(
-        *[c for c in rows.columns if c != "item"], text(*NAME_FIELDS).alias("raw_name"), text("$.brand").alias("brand"),
+        *kept, "item_no", text(*NAME_FIELDS).alias("raw_name"), text("$.brand").alias("brand"),
         text("$.size_text").alias("size_text"), minor("$.price_minor", *PRICE_FIELDS).alias("price_minor"),
         minor("$.old_price_minor", *OLD_FIELDS).alias("old_price_minor"),
         minor("$.promo_price_minor", *PROMO_FIELDS).alias("promo_price_minor"), F.lit("RUB").alias("currency"),
         text("$.price_tag_text").alias("price_tag_text"), text(*VISIBLE_FIELDS).alias("product_visible_text"),
-        _share(item, "$.confidence").alias("confidence"), _share(item, "$.link_confidence").alias("link_confidence"),
+        _share("$.confidence").alias("confidence"), _share("$.link_confidence").alias("link_confidence"),
         F.coalesce(~review.isin("false", "0", ""), F.lit(False)).alias("needs_review"),
-        text("$.review_reason").alias("review_reason"), text("$.position_hint", "$.location").alias("position_hint"),
-        _box(item).alias("bbox"))
+        text("$.review_reason").alias("review_reason"), text("$.position_hint", "$.location").alias("position_hint"), "bbox")
     return out.where(F.col("raw_name").isNotNull() | F.col("product_visible_text").isNotNull() | F.col("price_minor").isNotNull())
