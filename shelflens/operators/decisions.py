@@ -99,7 +99,7 @@ def split_known(observations: DataFrame, history: DataFrame) -> tuple[DataFrame,
 def learned_aliases(keys: DataFrame, aliases: DataFrame) -> DataFrame:
     """Items whose match key was confirmed before; most confirmations win, then the lower product id."""
     best = aliases.groupBy("normalized_key").agg(
-        F.max_by("product_id", F.struct("confirmations", -F.col("product_id"))).alias("product_id"))
+        F.min_by("product_id", F.struct(-F.col("confirmations"), F.col("product_id"))).alias("product_id"))
     hits = keys.where(F.col("match_key") != "").join(
         best.withColumnRenamed("normalized_key", "match_key"), "match_key")
     return hits.select("item_id", "product_id", F.lit(1).alias("rank"), F.lit(fv.ALIAS_SCORE).alias("score"),

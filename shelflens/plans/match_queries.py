@@ -145,7 +145,10 @@ def n7_title_norm(t):
     return t.documents.select("doc_id", tx.title_norm(F.col("text")).alias("title"))
 
 
-@query("n8_tokens", f"SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS tokens FROM (SELECT doc_id, text FROM documents)")
+@query("n8_tokens", f"""WITH words AS (SELECT doc_id, unnest(string_split({norm_sql('text')}, ' ')) AS w, generate_subscripts(string_split({norm_sql('text')}, ' '), 1) AS i FROM documents),
+base AS (SELECT doc_id, i, coalesce({_map_sql({**fv.TOKEN_ALIASES, **fv.BRANDS})}[w], CASE WHEN regexp_full_match(w, '[а-я]{{5,}}') THEN regexp_replace(w, '({fv.STEM_ENDINGS})$', '') ELSE w END) AS w FROM words),
+firsts AS (SELECT doc_id, w, min(i) AS i FROM base WHERE length(w) > 1 AND NOT regexp_full_match(w, '\\d+') AND NOT list_contains({_list_sql(fv.STOP_WORDS)}, w) GROUP BY doc_id, w)
+SELECT d.doc_id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS tokens FROM documents d LEFT JOIN firsts f ON d.doc_id = f.doc_id GROUP BY d.doc_id""")
 def n8_tokens(t):
     return t.documents.select("doc_id", F.array_join(tx.tokenize(F.col("text")), " ").alias("tokens"))
 
@@ -297,6 +300,17 @@ def j3_candidates(t):
     return _flat(_candidates(t, 5)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query("t1_top_candidates", f"{CAND} SELECT item_id, count(*) AS candidates, min(score) AS lowest, CAST(sum(product_id) AS BIGINT) AS ids FROM cand GROUP BY item_id")
+def t1_top_candidates(t):
+    return _candidates(t).groupBy("item_id").agg(F.count("*").alias("candidates"), F.min("score").alias("lowest"),
+                                                 F.sum("product_id").alias("ids"))
+
+
+@query("w4_ambiguous_sizes", f"{CAND} SELECT item_id, product_id FROM cand WHERE contains(reasons, 'multiple_catalog_sizes_review')")
+def w4_ambiguous_sizes(t):
+    return _candidates(t).where(F.array_contains("reasons", "multiple_catalog_sizes_review")).select("item_id", "product_id")
+
+
 BEST = """best AS (SELECT item_id, max(CASE WHEN rank = 1 THEN product_id END) AS product_id, max(CASE WHEN rank = 1 THEN score END) AS score,
   max(CASE WHEN rank = 2 THEN score END) AS second_score, max(CASE WHEN rank = 1 THEN reasons END) AS reasons FROM cand WHERE rank <= 2 GROUP BY item_id)"""
 TENK = "CAST(floor(score * 10000 + 0.5) AS BIGINT) - CAST(floor(second_score * 10000 + 0.5) AS BIGINT)"
