@@ -176,7 +176,7 @@ def s7_api_payload(t):
 @query("s5_stored_pages", r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, 'href="([^"]+)"')) AS BIGINT) AS links,
   CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs, regexp_matches(lower(html), 'pagination|load-more|has-more|next-page|следующая') AS has_more FROM pages""")
 def s5_stored_pages(t):
-    rows = pg.page_titles(t.pages)
+    rows = pg.page_titles(t.wide("pages"))
     return rows.withColumn("links", F.col("links").cast("bigint")).withColumn("paragraphs", F.col("paragraphs").cast("bigint"))
 
 
@@ -192,7 +192,7 @@ def s8_recognition(t):
     body = (F.when(c("o_orderkey") % 4 == 0, F.concat(F.lit("```json\n["), item, F.lit("]\n```")))
             .when(c("o_orderkey") % 4 == 1, F.concat(F.lit('{"items": ['), item, F.lit(', {"brand": "x"}]}')))
             .when(c("o_orderkey") % 4 == 2, F.concat(F.lit('{"data": {"products": ['), item, F.lit("]}}"))).otherwise(F.concat(F.lit("{broken "), item)))
-    rows = rc.normalize_recognition(t.orders.select("o_orderkey", body.alias("payload")))
+    rows = rc.normalize_recognition(t.wide("orders").select("o_orderkey", body.alias("payload")))
 
     def six(column):
         return F.floor(column * 1e6 + 0.5) / 1e6
@@ -221,7 +221,7 @@ def _shelf_texts(t):
             .when(k == 1, F.concat(name, F.lit("\nСтарая цена "), old, F.lit(",50\nНовая цена акция "), whole, F.lit(","), cents))
             .when(k == 2, F.concat(name, F.lit("\nАкция "), whole, F.lit(":"), cents, F.lit("\n"), name))
             .otherwise(F.concat(name, F.lit("\nСкидка 15%"))))
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", body.alias("text"))
+    return t.wide("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", body.alias("text"))
 
 
 LINE = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -240,7 +240,7 @@ def n13_shelf_prices(t):
 
 @query("n13_document_prices")
 def n13_document_prices(t):
-    return st.prices_from_text(t.documents.select("doc_id", "text")).drop("text")
+    return st.prices_from_text(t.wide("documents").select("doc_id", "text")).drop("text")
 
 
 @query("n14_shelf_names", f"""SELECT {LINE}, 'Кофе Жокей ' || l_suppkey || ' 250 г' AS raw_name, 'кофе жокей ' || l_suppkey || ' 250 г' AS normalized FROM lineitem WHERE l_orderkey % 4 <> 3""")
@@ -251,7 +251,7 @@ def n14_shelf_names(t):
 
 @query("n14_document_names")
 def n14_document_names(t):
-    return st.product_names_from_text(st.prices_from_text(t.documents.select("doc_id", "text"))).drop("text", "price_tag_text")
+    return st.product_names_from_text(st.prices_from_text(t.wide("documents").select("doc_id", "text"))).drop("text", "price_tag_text")
 
 
 # Templates: four templates with two sheets each; rows from parts, columns from nations and suppliers.

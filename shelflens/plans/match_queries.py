@@ -142,7 +142,7 @@ def n6_translit_fold(t):
 
 @query("n7_title_norm", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^а-яёa-z0-9\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM documents""")
 def n7_title_norm(t):
-    return t.documents.select("doc_id", tx.title_norm(F.col("text")).alias("title"))
+    return t.wide("documents").select("doc_id", tx.title_norm(F.col("text")).alias("title"))
 
 
 @query("n8_tokens", f"""WITH words AS (SELECT doc_id, unnest(string_split({norm_sql('text')}, ' ')) AS w, generate_subscripts(string_split({norm_sql('text')}, ' '), 1) AS i FROM documents),
@@ -150,7 +150,7 @@ base AS (SELECT doc_id, i, coalesce({_map_sql({**fv.TOKEN_ALIASES, **fv.BRANDS})
 firsts AS (SELECT doc_id, w, min(i) AS i FROM base WHERE length(w) > 1 AND NOT regexp_full_match(w, '\\d+') AND NOT list_contains({_list_sql(fv.STOP_WORDS)}, w) GROUP BY doc_id, w)
 SELECT d.doc_id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS tokens FROM documents d LEFT JOIN firsts f ON d.doc_id = f.doc_id GROUP BY d.doc_id""")
 def n8_tokens(t):
-    return t.documents.select("doc_id", F.array_join(tx.tokenize(F.col("text")), " ").alias("tokens"))
+    return t.wide("documents").select("doc_id", F.array_join(tx.tokenize(F.col("text")), " ").alias("tokens"))
 
 
 @query("n9_stem", f"""SELECT product_id, CASE WHEN regexp_full_match(w, '[а-я]{{5,}}') THEN regexp_replace(w, '({fv.STEM_ENDINGS})$', '') ELSE w END AS stem
@@ -193,7 +193,7 @@ def n12_match_key(t):
 
 @query("n15_product_text_norm", r"""SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(text), '["''`´«»“”]', '', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')), '') AS norm FROM documents""")
 def n15_product_text_norm(t):
-    return t.documents.select("doc_id", tx.product_text_norm(F.col("text")).alias("norm"))
+    return t.wide("documents").select("doc_id", tx.product_text_norm(F.col("text")).alias("norm"))
 
 
 @query("n16_store_label", f"""{with_tables('stores')} SELECT store_id, trim(name) AS name, nullif(trim(address), '') AS address,

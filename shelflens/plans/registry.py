@@ -22,6 +22,15 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def wide(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row: spread out when its files come in fewer pieces than there are cores.
+
+        Large tables have pieces enough and are left as they are, without a shuffle.
+        """
+        rows = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
     @cached_property
     def domain(self):
         from shelflens.plans.domain import Domain
