@@ -8,14 +8,33 @@ from shelflens.functions import money
 
 
 def spread(df: DataFrame, doc: str, paths: list[str]) -> DataFrame:
-    """Every path as a column of its own name, so each is looked up once however often it is used."""
-    return df.select("*", *[F.try_variant_get(F.col(doc), p, "variant").alias(p) for p in dict.fromkeys(paths)])
+    """Every path as a column of its own name, so each is looked up once; a JSON null counts as absent."""
+    names = list(dict.fromkeys(paths))
+    found = df.select("*", *[F.try_variant_get(F.col(doc), p, "variant").alias(p) for p in names])
+    return found.select(*df.columns, *[F.when(~F.is_variant_null(at(p)), at(p)).alias(p) for p in names])
 
 
 def at(path: str) -> Column:
-    """A spread path; a JSON null counts as absent."""
-    value = F.col(f"`{path}`")
-    return F.when(~F.is_variant_null(value), value)
+    return F.col(f"`{path}`")
+
+
+def typed(df: DataFrame, paths: list[str]) -> DataFrame:
+    """Spread paths split by kind: ``number of <path>`` and ``text of <path>``; the variants themselves go."""
+    names = list(dict.fromkeys(paths))
+    kinds = df.select("*", *[kind(at(p)).alias(f"kind of {p}") for p in names])
+    number = r"^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)"
+    return kinds.select(
+        *[c for c in df.columns if c not in names],
+        *[F.when(at(f"kind of {p}").rlike(number), at(p).cast("string").try_cast("double")).alias(f"number of {p}") for p in names],
+        *[F.when(at(f"kind of {p}") == "STRING", as_text(at(p))).alias(f"text of {p}") for p in names])
+
+
+def number_at(*paths: str) -> Column:
+    return F.coalesce(*[at(f"number of {p}") for p in paths])
+
+
+def text_at(*paths: str) -> Column:
+    return F.coalesce(*[at(f"text of {p}") for p in paths])
 
 
 def first_at(*paths: str) -> Column:
@@ -57,10 +76,10 @@ def online_price(value: Column) -> Column:
         value.isNotNull(), money.price_text_to_minor(value.cast("string")))
 
 
-def recognition_price(value: Column) -> Column:
-    """N1b on a loose value."""
-    return F.when(is_number(value), money.recognition_number_to_minor(only_number(value))).otherwise(
-        money.recognition_text_to_minor(only_text(value)))
+def recognition_price_at(path: str) -> Column:
+    """N1b on a typed path."""
+    return F.coalesce(money.recognition_number_to_minor(at(f"number of {path}")),
+                      money.recognition_text_to_minor(at(f"text of {path}")))
 
 
 def array_field(doc: Column, path: str) -> Column:

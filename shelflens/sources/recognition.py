@@ -44,54 +44,53 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
                        F.concat(F.coalesce(warnings, none), no_list).alias("warnings"), error.alias("error"))
 
 
+# Spellings of box numbers.
+BOX_FIELDS = {"x": ["$.bbox.x", "$.bbox.left", "$.bbox.xmin", "$.bbox.x_min"],
+              "y": ["$.bbox.y", "$.bbox.top", "$.bbox.ymin", "$.bbox.y_min"],
+              "right": ["$.bbox.xmax", "$.bbox.x_max", "$.bbox.right"],
+              "bottom": ["$.bbox.ymax", "$.bbox.y_max", "$.bbox.bottom"],
+              "width": ["$.bbox.width", "$.bbox.w"], "height": ["$.bbox.height", "$.bbox.h"]}
+OWN_FIELDS = ["$.price_minor", "$.old_price_minor", "$.promo_price_minor", "$.brand", "$.size_text", "$.review_reason",
+              "$.position_hint", "$.location", "$.confidence", "$.link_confidence", "$.price_tag_text"]
+
+
 def _with_box(rows: DataFrame) -> DataFrame:
-    """Box numbers first, then side lengths, then the checked box: each step reads columns of the one before."""
-    def number(*paths: str) -> Column:
-        return jf.only_number(jf.first_at(*paths))
-    spellings = {"_x": ["$.bbox.x", "$.bbox.left", "$.bbox.xmin", "$.bbox.x_min"],
-                 "_y": ["$.bbox.y", "$.bbox.top", "$.bbox.ymin", "$.bbox.y_min"],
-                 "_right": ["$.bbox.xmax", "$.bbox.x_max", "$.bbox.right"],
-                 "_bottom": ["$.bbox.ymax", "$.bbox.y_max", "$.bbox.bottom"],
-                 "_w": ["$.bbox.width", "$.bbox.w"], "_h": ["$.bbox.height", "$.bbox.h"]}
-    rows = jf.spread(rows, "item", [p for ps in spellings.values() for p in ps])
-    corners = F.try_variant_get("item", "$.bbox", "array<double>")
-    rows = rows.select("*", corners.alias("_corners"), *[number(*ps).alias(n) for n, ps in spellings.items()])
+    """Corner list or named numbers, then side lengths, then the checked box; each step reads the one before."""
     four = F.coalesce(F.size("_corners") == 4, F.lit(False))
     top, left, low, far = (F.get("_corners", F.lit(i)) for i in range(4))
+    n = {name: jf.number_at(*paths) for name, paths in BOX_FIELDS.items()}
+    rows = rows.select("*", four.alias("_four"), *[c.alias(f"_{name}") for name, c in n.items()])
     rows = rows.select(
-        "*", F.when(four, left).otherwise(F.col("_x")).alias("_bx"), F.when(four, top).otherwise(F.col("_y")).alias("_by"),
-        F.when(four, far - left).otherwise(F.coalesce("_w", F.col("_right") - F.col("_x"))).alias("_bw"),
-        F.when(four, low - top).otherwise(F.coalesce("_h", F.col("_bottom") - F.col("_y"))).alias("_bh"))
+        "*", F.when(F.col("_four"), left).otherwise(F.col("_x")).alias("_bx"),
+        F.when(F.col("_four"), top).otherwise(F.col("_y")).alias("_by"),
+        F.when(F.col("_four"), far - left).otherwise(F.coalesce("_width", F.col("_right") - F.col("_x"))).alias("_bw"),
+        F.when(F.col("_four"), low - top).otherwise(F.coalesce("_height", F.col("_bottom") - F.col("_y"))).alias("_bh"))
     return rows.withColumn("bbox", bbox_norm(F.col("_bx"), F.col("_by"), F.col("_bw"), F.col("_bh")))
 
 
 def _share(path: str) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(jf.only_number(jf.at(path)), F.lit(0.0))))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(jf.number_at(path), F.lit(0.0))))
 
 
 def normalize_recognition(payloads: DataFrame) -> DataFrame:
     """Item rows; an item without name, texts and price is dropped."""
-    parsed = parse_payloads(payloads)
     kept = [c for c in payloads.columns if c != "payload"]
-    rows = parsed.select(*kept, F.posexplode("items").alias("item_no", "item"))
-    own = ["$.price_minor", "$.old_price_minor", "$.promo_price_minor", "$.brand", "$.size_text", "$.review_reason",
-           "$.position_hint", "$.location", "$.confidence", "$.link_confidence", "$.needs_review"]
-    paths = own + NAME_FIELDS + PRICE_FIELDS + OLD_FIELDS + PROMO_FIELDS + VISIBLE_FIELDS
-    rows = _with_box(jf.spread(rows, "item", paths))
-
-    def text(*names: str) -> Column:
-        return F.coalesce(*[jf.only_text(jf.at(p)) for p in names])
+    rows = parse_payloads(payloads).select(*kept, F.posexplode("items").alias("item_no", "item"))
+    paths = OWN_FIELDS + NAME_FIELDS + PRICE_FIELDS + OLD_FIELDS + PROMO_FIELDS + VISIBLE_FIELDS
+    paths += [p for spellings in BOX_FIELDS.values() for p in spellings]
+    rows = rows.select("*", F.try_variant_get("item", "$.bbox", "array<double>").alias("_corners"),
+                       F.try_variant_get("item", "$.needs_review", "string").alias("_review"))
+    rows = _with_box(jf.typed(jf.spread(rows, "item", paths), paths))
 
     def minor(whole: str, *prices: str) -> Column:
-        return F.coalesce(round_half_up(jf.only_number(jf.at(whole))), *[jf.recognition_price(jf.at(p)) for p in prices])
-    review = jf.at("$.needs_review").cast("string")
+        return F.coalesce(round_half_up(jf.number_at(whole)), *[jf.recognition_price_at(p) for p in prices])
     out = rows.select(
-        *kept, "item_no", text(*NAME_FIELDS).alias("raw_name"), text("$.brand").alias("brand"),
-        text("$.size_text").alias("size_text"), minor("$.price_minor", *PRICE_FIELDS).alias("price_minor"),
+        *kept, "item_no", jf.text_at(*NAME_FIELDS).alias("raw_name"), jf.text_at("$.brand").alias("brand"),
+        jf.text_at("$.size_text").alias("size_text"), minor("$.price_minor", *PRICE_FIELDS).alias("price_minor"),
         minor("$.old_price_minor", *OLD_FIELDS).alias("old_price_minor"),
         minor("$.promo_price_minor", *PROMO_FIELDS).alias("promo_price_minor"), F.lit("RUB").alias("currency"),
-        text("$.price_tag_text").alias("price_tag_text"), text(*VISIBLE_FIELDS).alias("product_visible_text"),
+        jf.text_at("$.price_tag_text").alias("price_tag_text"), jf.text_at(*VISIBLE_FIELDS).alias("product_visible_text"),
         _share("$.confidence").alias("confidence"), _share("$.link_confidence").alias("link_confidence"),
-        F.coalesce(~review.isin("false", "0", ""), F.lit(False)).alias("needs_review"),
-        text("$.review_reason").alias("review_reason"), text("$.position_hint", "$.location").alias("position_hint"), "bbox")
+        F.coalesce(~F.col("_review").isin("false", "0", ""), F.lit(False)).alias("needs_review"),
+        jf.text_at("$.review_reason").alias("review_reason"), jf.text_at("$.position_hint", "$.location").alias("position_hint"), "bbox")
     return out.where(F.col("raw_name").isNotNull() | F.col("product_visible_text").isNotNull() | F.col("price_minor").isNotNull())
