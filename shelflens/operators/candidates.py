@@ -22,6 +22,7 @@ from shelflens.functions import text as tx
 from shelflens.session import materialize
 
 HOT_KEY_SIGNATURES = 20_000
+TALLY_GROUPS = 100_000
 _OTHER = "~"
 
 # Classes of link keys; a key's number ends in its class, so shared keys can be counted by class.
@@ -220,7 +221,7 @@ def _first_ids(products: DataFrame, group: str, k: int) -> DataFrame:
     return first.groupBy(group).agg(F.array_sort(F.collect_list("product_id")).alias("ids"))
 
 
-def _branch(items: DataFrame, groups: DataFrame, join_keys: str, p_seen: str, k: int, tier: int) -> DataFrame:
+def _best_groups(items: DataFrame, groups: DataFrame, join_keys: str, p_seen: str, k: int) -> DataFrame:
     """Join on link keys, score each pair at its first common key, keep the k best groups per item signature.
 
     Rows of the join are narrow: key numbers and flags. The top-k window cuts each task's pairs before they are
@@ -231,17 +232,72 @@ def _branch(items: DataFrame, groups: DataFrame, join_keys: str, p_seen: str, k:
     width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = items.drop("i_sig").repartition(width, "i_no").withColumn("_key", F.explode("i_join"))
     right = groups.drop("ids").withColumn("_key", F.explode(join_keys))
-    own = F.array_intersect("i_own", "p_keys")
-    pairs = left.join(right, "_key").withColumn("_x", own)
     first = F.get(F.array_intersect("i_join", join_keys), F.lit(0))
-    scored = _unpacked(_compared(pairs.where(first == F.col("_key")), p_seen)).withColumn("score", _score())
+    pairs = left.join(right, "_key").where(first == F.col("_key")).withColumn("_x", F.array_intersect("i_own", "p_keys"))
+    scored = _unpacked(_compared(pairs, p_seen)).withColumn("score", _score())
     best = Window.partitionBy("i_no").orderBy(F.col("score").desc(), F.col("p_no"))
     top = scored.withColumn("_g", F.row_number().over(best)).where((F.col("_g") <= k) & (F.col("score") > 0))
-    kept = top.select("i_no", "p_no", "score", _reasons().alias("reasons"))
+    return top.select("i_no", "p_no", "score", _reasons().alias("reasons"))
+
+
+def _branch(items: DataFrame, groups: DataFrame, join_keys: str, p_seen: str, k: int, tier: int) -> DataFrame:
+    """The k best groups per item signature, with their product ids.
+
+    When every product key takes part in the join and the groups are counted to be few, items without token links are
+    tallied next to a broadcast; all others, and any larger catalogue, are scored in the shuffled join.
+    """
+    if join_keys == "p_keys" and groups.limit(TALLY_GROUPS + 1).count() <= TALLY_GROUPS:
+        plain = F.size("i_linked") == 0
+        kept = _best_by_tally(items.where(plain).withColumn("i_own", F.array_intersect("i_own", "i_join")), groups, k).unionByName(
+            _best_groups(items.where(~plain), groups, join_keys, p_seen, k))
+    else:
+        kept = _best_groups(items, groups, join_keys, p_seen, k)
     named = kept.join(groups.select("p_no", "ids"), "p_no").join(items.select("i_no", "i_sig"), "i_no")
     return named.select("i_sig", "score", "reasons", F.explode("ids").alias("product_id"), F.lit(tier).alias("_tier"))
 
 
+def _bits(side: str) -> Column:
+    """The scalars of a signature in one number: flags, family, brand and, for items, token count and weight total."""
+    c = F.col
+    flags = c(f"{side}_has_var").cast("bigint") + c(f"{side}_has_pack").cast("bigint") * 2 + c(f"{side}_has_size").cast("bigint") * 4
+    out = flags + c(f"{side}_base_no") * (1 << 3) + c(f"{side}_brand_no") * (1 << 9)
+    if side == "i":
+        out = out + c("i_n").cast("bigint") * (1 << 15) + c("i_total").cast("bigint") * (1 << 31)
+    return out.cast("bigint")
+
+
+def _bit_field(bits: str, at: int, width: int) -> Column:
+    return F.shiftright(bits, at).bitwiseAND((1 << width) - 1)
+
+
+def _best_by_tally(items: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """``_best_groups`` for a product side that fits a broadcast and items without token links.
+
+    Shared keys are then summed up per pair where the item is, as numbers only and without moving pairs; many
+    partitions keep each task's pairs few.
+    """
+    width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = items.select("i_no", _bits("i").alias("i_bits"), "i_own").repartition(width * 8, "i_no").select(
+        "i_no", "i_bits", F.explode("i_own").alias("_key"))
+    right = groups.select("p_no", _bits("p").alias("p_bits"), F.explode("p_keys").alias("_key"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_key") % _CLASSES * 10).cast("int"))
+    tallied = left.join(F.broadcast(right), "_key").groupBy("i_no", "p_no").agg(
+        F.sum(one).alias("tally"), F.max("i_bits").alias("i_bits"), F.max("p_bits").alias("p_bits"))
+    same = {n: _bit_field("i_bits", at, 6) == _bit_field("p_bits", at, 6) for n, at in (("base", 3), ("brand", 9))}
+    brand = (_bit_field("i_bits", 9, 6) > 0) & same["brand"]
+    flag = {n: (_bit_field("i_bits", at, 1) == 1, _bit_field("p_bits", at, 1) == 1) for n, at in (("var", 0), ("pack", 1), ("size", 2))}
+    rows = tallied.select(
+        "i_no", "p_no", F.shiftright("i_bits", 31).alias("i_total"), _bit_field("i_bits", 15, 16).alias("i_n"), "tally",
+        F.lit(0).alias("subs"), F.lit(0).alias("folds"), brand.alias("brand"),
+        (brand & (_bit_field("i_bits", 3, 6) > 0) & same["base"]).alias("family"),
+        F.when(~flag["size"][1], 0).when(~flag["size"][0], 1).otherwise(2).alias("sized"),
+        (flag["var"][0] & flag["var"][1]).alias("both_var"), (flag["pack"][0] & flag["pack"][1]).alias("both_pack"))
+    scored = _unpacked(rows).withColumn("score", _score())
+    best = Window.partitionBy("i_no").orderBy(F.col("score").desc(), F.col("p_no"))
+    top = scored.withColumn("_g", F.row_number().over(best)).where((F.col("_g") <= k) & (F.col("score") > 0))
+    return top.select("i_no", "p_no", "score", _reasons().alias("reasons"))
+
+
 def _hot_keys(coded: DataFrame, keys: DataFrame, limit: int) -> dict[str, int]:
     """Keys on more than ``limit`` product groups: at most (all keys / limit) of them, so they fit the driver."""
     counts = coded.select(F.explode("p_keys").alias("key_no")).groupBy("key_no").count()
