@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflens.llm import langid
+from shelflens.llm import langid, minhash
 from shelflens.llm.common import split_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,26 @@ def language_id(spark, folder):
     known = langid.profiles(docs.where(split_remainder(F.col("doc_id"), 4) != 2))
     rows = docs.select("doc_id", (split_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
     return langid.predict(rows, known).drop("text")
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3])) END AS sh
+      FROM w),
+p AS MATERIALIZED (SELECT doc_id, unnest(sh) AS g FROM s),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM met JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 80 * (len(x.sh) + len(y.sh) - c)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, x.b FROM reach r JOIN edges x ON r.b = x.a),
+low AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+FROM s LEFT JOIN low ON low.a = s.doc_id
+"""
+
+
+@query("op8_minhash_near_dedup", NEAR_SQL)
+def minhash_near_dedup(spark, folder):
+    return minhash.near_duplicates(table(spark, folder, "documents"))
