@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflens.llm import langid, minhash
+from shelflens.llm import decontaminate, langid, minhash
 from shelflens.llm.common import split_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,26 @@ FROM s LEFT JOIN low ON low.a = s.doc_id
 @query("op8_minhash_near_dedup", NEAR_SQL)
 def minhash_near_dedup(spark, folder):
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+LEAKS_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+w AS MATERIALIZED (SELECT DISTINCT item_id, array_to_string(ws[i : least(i + 9, len(ws))], ' ') AS g, least(10, len(ws)) AS n
+     FROM (SELECT item_id, ws, unnest(range(1, greatest(2, len(ws) - 8))) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM w),
+occ AS MATERIALIZED (SELECT doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') AS g
+     FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)),
+met AS MATERIALIZED (SELECT doc_id, i, occ.n, item_id FROM occ JOIN w ON w.g = occ.g AND w.n = occ.n),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM met) GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+@query("op10_benchmark_decontamination", LEAKS_SQL)
+def benchmark_decontamination(spark, folder):
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
