@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflens.llm import decontaminate, langid, minhash
+from shelflens.llm import decontaminate, langid, minhash, pii
 from shelflens.llm.common import split_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,18 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 def benchmark_decontamination(spark, folder):
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def _joined(spans, *kinds):
+    """kind:start:end of the spans of some kinds, comma-joined in their order."""
+    from_kinds = F.filter(spans, lambda s: s["kind"].isin(*kinds)) if kinds else F.col(spans)
+    return F.array_join(F.transform(from_kinds, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op7_pii")
+def personal_data(spark, folder):
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    found = found.select("doc_id", "pii")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(_joined("pii", *pii.KINDS), 256).alias("base_sha256"),
+                        _joined("pii").alias("spans"), F.aggregate("pii", F.lit(0.0), lambda s, x: F.greatest(s, x["score"])).alias("top_score"))
