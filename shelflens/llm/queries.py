@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflens.llm import decontaminate, langid, minhash, pii
+from shelflens.llm import decontaminate, langid, minhash, pieces, pii
 from shelflens.llm.common import split_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,16 @@ def personal_data(spark, folder):
     found = found.select("doc_id", "pii")
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(_joined("pii", *pii.KINDS), 256).alias("base_sha256"),
                         _joined("pii").alias("spans"), F.aggregate("pii", F.lit(0.0), lambda s, x: F.greatest(s, x["score"])).alias("top_score"))
+
+
+def _encoded(docs):
+    """Samples of every text; a text without segmentation stays as a row without pieces."""
+    made = pieces.sample(docs).withColumn("n_pieces", F.size("pieces").cast("long")).withColumn("pieces_hash", F.xxhash64("pieces")).drop("pieces")
+    none = docs.where("coalesce(text, '') = ''").select(
+        "doc_id", *[F.lit(None).cast(t).alias(c) for c, t in made.dtypes if c != "doc_id"])
+    return made.unionByName(none)
+
+
+@query("op2_sentencepiece")
+def sentencepiece_samples(spark, folder):
+    return _encoded(table(spark, folder, "documents").select("doc_id", "text"))
