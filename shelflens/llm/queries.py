@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflens.llm import decontaminate, langid, minhash, pieces, pii
+from shelflens.llm import decontaminate, embeddings, langid, minhash, pieces, pii
 from shelflens.llm.common import split_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,19 @@ def _encoded(docs):
 @query("op2_sentencepiece")
 def sentencepiece_samples(spark, folder):
     return _encoded(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+VECTORS_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, x.b FROM reach r JOIN links x ON r.b = x.a),
+low AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id
+"""
+
+
+@query("op5_embedding_near_dedup", VECTORS_SQL)
+def embedding_near_dedup(spark, folder):
+    return embeddings.near_vectors(table(spark, folder, "embeddings"))
