@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflens.llm import decontaminate, embeddings, langid, minhash, pieces, pii
+from shelflens.llm import decontaminate, embeddings, langid, minhash, pieces, pii, secrets, toxicity
 from shelflens.llm.common import split_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,20 @@ FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN low ON low.a = vec_id
 @query("op5_embedding_near_dedup", VECTORS_SQL)
 def embedding_near_dedup(spark, folder):
     return embeddings.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op1_secret_scan")
+def secret_scan(spark, folder):
+    found = secrets.find(table(spark, folder, "documents").select("doc_id", "text"), out="spans_found")
+    count = lambda k: F.size(F.filter("spans_found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(_joined("spans_found", *secrets.KINDS[:3]), 256).alias("base_sha256"), _joined("spans_found").alias("spans"))
+
+
+@query("op3_toxicity")
+def toxicity_scores(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").where(split_remainder(F.col("doc_id"), 5) != 0)
+    model = toxicity.learn(toxicity.training_rows(docs, labels))
+    rows = docs.select("doc_id", (split_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    return toxicity.score(rows, model)
