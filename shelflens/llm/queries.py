@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflens.llm import decontaminate, embeddings, langid, minhash, pieces, pii, secrets, toxicity
+from shelflens.llm import decontaminate, embeddings, langid, minhash, pieces, pii, secrets, suffix, toxicity
 from shelflens.llm.common import split_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,8 @@ def toxicity_scores(spark, folder):
     model = toxicity.learn(toxicity.training_rows(docs, labels))
     rows = docs.select("doc_id", (split_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return toxicity.score(rows, model)
+
+
+@query("op4_suffix_dedup")
+def suffix_dedup(spark, folder):
+    return suffix.without_repeats(table(spark, folder, "documents")).drop("kept")

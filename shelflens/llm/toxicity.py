@@ -31,7 +31,7 @@ from shelflens.session import materialize
 
 #: At most so many labelled documents are read for training, taken by hash of their id.
 TRAINING_ROWS = 40_000
-LEAST_DOCS, LEAST_SHARE = 4, 0.02  # toxic training documents that must hold a term
+LEAST_DOCS, LEAST_SHARE = 4, 0.01  # toxic training documents that must hold a term
 LEAST_WEIGHT = 2.5
 MOST_TERMS = 20_000
 PREFIXES = (4, 5)
