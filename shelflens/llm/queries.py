@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflens.llm import decontaminate, embeddings, langid, minhash, pieces, pii, secrets, suffix, toxicity
+from shelflens.llm import decontaminate, embeddings, langid, minhash, pieces, pii, secrets, suffix, toxicity, warc
 from shelflens.llm.common import split_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,57 @@ def toxicity_scores(spark, folder):
 @query("op4_suffix_dedup")
 def suffix_dedup(spark, folder):
     return suffix.without_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+def archive_records(pages):
+    """WARC texts made of ``pages``: each page as a response and, from a day before to eleven days after, a revisit of its URL.
+
+    Revisits switch the scheme; every seventh has another ETag, every fifth has only Last-Modified, every eleventh no validator;
+    every ninth response is no full one.
+    """
+    i = F.col("page_id")
+    stamp = lambda s: F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    seen, again = F.lit(1_700_000_000) + i * 60, F.lit(1_700_000_000) + i * 60 + (i % 13 - 1) * 86_400
+    etag, modified = F.substring(F.md5("html"), 1, 16), F.lit(1_690_000_000) + i * 7
+    html = F.coalesce("html", F.lit(""))
+    status = F.when(i % 9 == 0, "206 Partial Content").otherwise("200 OK")
+    response = text("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: ", F.col("url"), "\r\nWARC-Date: ", stamp(seen), "\r\n\r\nHTTP/1.1 ", status,
+                    "\r\nContent-Type: text/html\r\nETag: \"", etag, "\"\r\nLast-Modified: ", stamp(modified), "\r\nCache-Control: max-age=60\r\nContent-Length: ",
+                    F.octet_length(html).cast("string"), "\r\n\r\n", html)
+    own = F.when(i % 11 == 0, "").when(i % 5 == 0, text("Last-Modified: ", stamp(modified), "\r\n")).when(
+        i % 7 == 0, text("ETag: \"", etag, "x\"\r\n")).otherwise(text("ETag: W/\"", etag, "\"\r\n"))
+    other = F.when(F.col("url").startswith("https:"), F.concat(F.lit("http:"), F.substring("url", 7, 10_000))).otherwise(
+        F.concat(F.lit("https:"), F.substring("url", 6, 10_000)))
+    revisit = text("WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Target-URI: ", other, "\r\nWARC-Date: ", stamp(again), "\r\n\r\nHTTP/1.1 304 Not Modified\r\n", own,
+                   "cache-control: max-age=", (i % 4 * 100).cast("string"), "\r\nContent-Length: 0\r\n\r\n")
+    made = F.array(F.struct((i * 2).alias("record_id"), response.alias("record")), F.struct((i * 2 + 1).alias("record_id"), revisit.alias("record")))
+    return pages.select(F.explode(made).alias("x")).select("x.*")
+
+
+REVISITS_SQL = r"""
+WITH p AS (SELECT page_id AS i, url, coalesce(html, '') AS html, 1700000000 + page_id * 60 AS seen, 1700000000 + page_id * 60 + (page_id % 13 - 1) * 86400 AS again,
+       '"' || substr(md5(html), 1, 16) || '"' AS etag, 1690000000 + page_id * 7 AS modified FROM pages),
+b AS (SELECT *, regexp_replace(regexp_replace(url, '^https?://', ''), '#.*$', '') AS bare FROM p),
+u AS (SELECT *, regexp_replace(regexp_extract(bare, '^[^/?]*'), '^www\.', '') || regexp_replace(regexp_extract(bare, '^[^/?]*(/[^?]*)?', 1), '/+$', '') AS base,
+       list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref)='))) AS q FROM b),
+k AS MATERIALIZED (SELECT *, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS c FROM u),
+j AS (SELECT r.i, r.c, r.again, x.i AS ri, x.etag AS re, x.modified AS rm, x.html AS rh, r.etag, r.modified,
+       row_number() OVER (PARTITION BY r.i ORDER BY x.seen DESC, x.i DESC) AS n
+       FROM k r LEFT JOIN k x ON x.c = r.c AND x.seen < r.again AND x.i % 9 <> 0),
+o AS (SELECT *, CASE WHEN ri IS NULL THEN 'missing' WHEN i % 11 = 0 THEN 'unverified'
+       WHEN i % 5 = 0 THEN CASE WHEN rm = modified THEN 'resolved' ELSE 'mismatch' END
+       WHEN i % 7 = 0 THEN 'mismatch' WHEN re = etag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM j WHERE n = 1)
+SELECT i * 2 + 1 AS record_id, c AS url, again AS date, ri * 2 AS response_id, outcome,
+       CASE WHEN outcome = 'resolved' THEN 'cache-control=max-age=' || (i % 4 * 100)::VARCHAR || ';content-length=' || strlen(rh)::VARCHAR || ';content-type=text/html;etag='
+            || CASE WHEN i % 5 = 0 THEN re ELSE 'W/' || re END || ';last-modified=' || strftime(make_timestamp(rm * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS headers,
+       CASE WHEN outcome = 'resolved' AND rh <> '' THEN 'sha256:' || sha256(rh) END AS digest
+FROM o
+"""
+
+
+@query("op6_warc_revisits", REVISITS_SQL)
+def warc_revisits(spark, folder):
+    found = warc.resolve(warc.parse(archive_records(table(spark, folder, "pages"))))
+    lines = F.array_join(F.transform("headers", lambda h: F.concat_ws("=", h["name"], h["value"])), ";")
+    return found.withColumn("headers", lines)
