@@ -6,10 +6,11 @@
    into their sketches), so they also meet on one of the ``k - shared + 1`` rarest values of each: only these are listed.
 3. Per listed value every class meets the most central class of the list (whose values are the most frequent ones), and goes
    on with the one it meets most often. What the union sketch leaves is verified on the full sets.
-4. Lists whose classes are not yet in one component are compared in blocks: first one partner per class and component, then
-   all pairs that are still between components.
-So a group of n copies costs about n verified pairs, and a pair is left out only if its sketches rule it out or if it is
-already connected.
+4. Lists that overlap form clusters, so every pair that can be linked lies in one cluster. Clusters that are not yet one
+   component are compared in blocks: a task counts all intersections of two blocks of full sets as matrix products and gives
+   only edges enough to connect what is linked. Blocks that lie in one component are not compared.
+So a group of n copies costs about n verified pairs, no step emits all pairs of a group, and a pair is left out only if its
+sketches rule it out or if it is already connected.
 
 Defined results: words are runs of anything but space and \\t-\\r, A-Z lower-cased; a text of fewer words than a shingle is one
 shingle, an empty or null text has none and links with nothing; rows of one id are one document, which links if any of its
@@ -33,8 +34,9 @@ WIDTH = 4
 PERCENT = 80
 SKETCH = 32
 SHARED = 12
-SALT_ROWS = 512
-BLOCK = 256
+SALT_ROWS = 128
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1 << 20
 _U = np.uint64
 
 
@@ -125,16 +127,9 @@ def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(few) + len(many) - both)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id: str, text: str, width: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity.
-
-    Texts are taken only of documents named in a pair (a bitmap of fixed size drops the rest before the shuffle). Pairs meet
-    by (b, salt), SALT_ROWS of a hub at a time; a task holds one set of b and streams the sets of a.
-    """
-    spark = docs.sparkSession
-    key = F.xxhash64
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bitmap = spark.sparkContext.broadcast(bit_filter(ids.select(key("id").alias("h")), "h"))
+def _full_sets(ids: DataFrame, docs: DataFrame, id: str, text: str, width: int) -> DataFrame:
+    """(id, hashes) of the documents in ``ids`` (and a few more): a bitmap of fixed size drops the rest before any shuffle."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(bit_filter(ids.select(F.xxhash64("id").alias("h")), "h"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,9 +139,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, id: str, text: str, width: int,
                 sets = [found.tobytes() for _, found in _shingle_sets(part.column(2), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
-    sets = (docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("id is not null")
-            .select("id", key("id").alias("h"), "t").mapInArrow(named, "id long, hashes binary"))
-    sets = materialize(sets, f"{name}-sets")
+    return (docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("id is not null")
+            .select("id", F.xxhash64("id").alias("h"), "t").mapInArrow(named, "id long, hashes binary"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, id: str, text: str, width: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity.
+
+    Pairs meet by (b, salt), SALT_ROWS of a hub at a time; a task holds one set of b and streams the sets of a.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    sets = materialize(_full_sets(ids, docs, id, text, width), f"{name}-sets")
     salts = pairs.groupBy("b").agg(F.count("*").alias("c")).select("b", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts"))
     salted = pairs.join(salts, "b").select("a", "b", (F.pmod(F.xxhash64("a"), F.col("salts"))).cast("int").alias("salt"))
     members = salted.join(sets.withColumnRenamed("id", "a"), "a").select("b", "salt", F.col("a").alias("member"), "hashes")
@@ -173,53 +176,68 @@ def _verified(pairs: DataFrame, docs: DataFrame, id: str, text: str, width: int,
     return materialize(met.select("b", "member", "hashes").mapInArrow(check, "a long, b long"), f"{name}-links").distinct()
 
 
-def _between(lists: DataFrame, classes: DataFrame, groups: DataFrame, k: int, shared: int, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b) of one list, in different components, whose sketches share enough values.
+def _joined_blocks(clusters: DataFrame, docs: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the linked documents of each cluster; rows: (cluster, id, n, g), g the component so far.
 
-    A list is cut into blocks of BLOCK classes and each pair of blocks is a unit of work, so no task holds a whole list. With
-    ``best`` only the strongest partner per class and component comes out of a unit.
+    Members of one large component get blocks of their own, the others share blocks.
     """
-    placed = lists.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("g", F.coalesce("component", "id"))
-    split = placed.groupBy("value").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count("*").alias("m")).where("g0 <> g1")
-    open_lists = placed.join(split.select("value", "m"), "value").select(
-        "value", "id", "n", "g", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    units = (open_lists.withColumn("block", block)
-             .select("value", "id", "n", "g", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-             .select("value", "id", "n", "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"))
-    full = units.join(classes.select("id", "sketch"), "id")
-
-    def compare(keys: tuple, rows: "pa.Table") -> "pa.Table":
-        ids, n, g = (rows[c].to_numpy() for c in ("id", "n", "g"))
-        block = rows["block"].to_numpy()
-        lengths = rows["sketch"].combine_chunks().value_lengths().to_numpy()
-        values = rows["sketch"].combine_chunks().flatten().to_numpy()
-        row = np.repeat(np.arange(len(ids)), lengths)
-        _, code, seen = np.unique(values, return_inverse=True, return_counts=True)
+    mixed = clusters.groupBy("cluster").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("cluster")
+    rows = materialize(clusters.join(mixed, "cluster"), "mixed")
+    sizes = rows.groupBy("cluster", "g").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    sizes = sizes.withColumn("own", (F.col("m") * 2 > BLOCK_ROWS) | (F.col("s") * 2 > BLOCK_SHINGLES))
+    sizes = sizes.withColumn("pool", F.when(F.col("own"), F.col("g")))
+    pools = sizes.groupBy("cluster", "pool").agg(F.greatest(F.ceil(F.sum("m") / BLOCK_ROWS), F.ceil(F.sum("s") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    placed = (rows.join(sizes.select("cluster", "g", "pool"), ["cluster", "g"])
+              .join(pools.withColumnRenamed("pool", "p").withColumnRenamed("cluster", "c"), (F.col("cluster") == F.col("c")) & F.col("pool").eqNullSafe(F.col("p")))
+              .select("cluster", "id", "g", "pool", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")))
+    placed = materialize(placed, "placed")
+    blocks = placed.select("cluster", "pool", "part").distinct()
+    other = blocks.select("cluster", F.col("pool").alias("pool2"), F.col("part").alias("part2"))
+    number = lambda pool, part: F.struct(F.coalesce(pool, F.lit(-1)).alias("pool"), part.alias("part"))
+    # a block meets every other block of its cluster, but no block of the same single component
+    meets = blocks.join(other, "cluster").where("pool is null or pool2 is null or pool <> pool2")
+    units = (placed.join(meets.withColumnRenamed("pool", "p").withColumnRenamed("part", "q").withColumnRenamed("cluster", "c"),
+                         (F.col("cluster") == F.col("c")) & F.col("pool").eqNullSafe(F.col("p")) & (F.col("part") == F.col("q")))
+             .withColumn("x", number(F.col("pool"), F.col("part"))).withColumn("y", number(F.col("pool2"), F.col("part2")))
+             .select("cluster", "id", "g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") <= F.col("y")).alias("left"),
+                     (F.col("x") == F.col("y")).alias("both")))
+    sets = materialize(_full_sets(placed.select("id"), docs, id, text, width), "block-sets")
+
+    def compare(part: pa.Table) -> pa.Table:
+        ids, g, left, both = (part[c].to_numpy() for c in ("id", "g", "left", "both"))
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part["hashes"]]
+        n = np.array([len(x) for x in sets])
+        one, two = np.flatnonzero(left | both), np.flatnonzero(~left | both)
+        row = np.repeat(np.arange(len(ids)), n)
+        _, code, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         keep = seen[code] > 1
-        used, code = np.unique(code[keep], return_inverse=True)
-        hits = np.zeros((len(ids), len(used)), np.float32)
-        hits[row[keep], code] = 1
-        one, two = np.flatnonzero(block == keys[1].as_py()), np.flatnonzero(block == keys[2].as_py())
-        out_a, out_b = [], []
-        for at in range(0, len(one), BLOCK):
-            left = one[at:at + BLOCK]
-            met = hits[left] @ hits[two].T
-            small, large = np.minimum.outer(n[left], n[two]), np.maximum.outer(n[left], n[two])
-            enough = np.where(large <= k, 100 * met >= percent * (small + large - met), met >= shared)
-            good = enough & (100 * small >= percent * large) & (g[left][:, None] != g[two][None, :])
-            x, y = np.nonzero(good)
-            if best and len(x):
-                order = np.lexsort((-met[x, y], g[two][y], x))
-                x, y = x[order], y[order]
-                first = np.concatenate(([True], (x[1:] != x[:-1]) | (g[two][y][1:] != g[two][y][:-1])))
-                x, y = x[first], y[first]
-            out_a.append(np.maximum(ids[left][x], ids[two][y]))
-            out_b.append(np.minimum(ids[left][x], ids[two][y]))
-        return pa.table({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64),
-                         "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
-
-    return full.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
+        _, code = np.unique(code[keep], return_inverse=True)
+        row = row[keep]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        place = np.zeros(len(ids), np.int64)
+        place[two] = np.arange(len(two))
+        met = np.zeros((len(one), len(two)), np.float32)
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, 2048):
+            a, b = np.searchsorted(code, (at, at + 2048))
+            hits = np.zeros((len(ids), 2048), np.float32)
+            hits[row[a:b], code[a:b] - at] = 1
+            met += hits[one] @ hits[two].T
+        linked = (100 * met >= percent * (n[one][:, None] + n[two][None, :] - met)) & (g[one][:, None] != g[two][None, :]) & (met > 0)
+        x, y = np.nonzero(linked)
+        x, y = one[x], two[y]
+        low = np.arange(len(ids))
+        while len(x):
+            before, m = low.copy(), np.minimum(low[x], low[y])
+            np.minimum.at(low, x, m)
+            np.minimum.at(low, y, m)
+            low = low[low]
+            if (low == before).all():
+                break
+        moved = np.flatnonzero(low != np.arange(len(ids)))
+        return pa.table({"a": ids[moved], "b": ids[low[moved]]})
+
+    return units.join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
@@ -227,32 +245,32 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wid
     """(id, n_shingles, component_id, kept) for every row of ``docs``."""
     all_rows = materialize(sketches(docs, id, text, width, k), "sketches")
     known = all_rows.where("id is not null and n > 0")
-    keyed = materialize(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "keyed")
-    members = materialize(known.select("id", "n", "s1", "s2").join(keyed, ["n", "s1", "s2"]).select("id", "rep").distinct(), "members")
-    classes = materialize(known.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "n", "sketch")
-                          .dropDuplicates(["id", "n", "sketch"]), "classes")
+    classes = materialize(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.any_value("sketch").alias("sketch")), "classes")
+    members = materialize(known.select("id", "n", "s1", "s2").join(
+        classes.select(F.col("id").alias("rep"), "n", "s1", "s2"), ["n", "s1", "s2"]).select("id", "rep"), "members")
     lists = materialize(_listed(classes, k, shared, percent), "lists")
 
     hub = lists.groupBy("value").agg(F.max(F.struct("weight", F.negative("id").alias("o"), "n")).alias("hub"))
     star = (lists.join(hub, "value").select(F.col("id").alias("a"), F.negative("hub.o").alias("b"), "n", F.col("hub.n").alias("m"))
-            .where((F.col("a") != F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))))
-    first = (star.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a")
-             .agg(F.max(F.struct("c", F.negative("b").alias("o"))).alias("x")).select("a", F.negative("x.o").alias("b")))
+            .groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).where("a <> b"))
+    star = materialize(star, "stars")
+    close = star.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    first = close.groupBy("a").agg(F.max(F.struct("c", F.negative("b").alias("o"))).alias("x")).select("a", F.negative("x.o").alias("b"))
     pairs = materialize(_passing(first, classes, k, shared, percent), "pairs")
     links = _verified(pairs, docs, id, text, width, percent, "first")
-    same = members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    groups = materialize(components(links, "stars"), "groups")
-    for best in (True, False):
-        more = materialize(_between(lists, classes, groups, k, shared, percent, best), "between")
-        if more.isEmpty():
-            break
-        found = _verified(materialize(_passing(more, classes, k, shared, percent), "pairs"), docs, id, text, width, percent, "more")
-        links = links.unionByName(found)
-        groups = materialize(components(links, "linked"), "groups")
-    if members.groupBy("id").count().where("count > 1").isEmpty():
+    # so far every class hangs on one hub at most; that is enough to tell which clusters are done
+    hung = links.groupBy("a").agg(F.min("b").alias("hub")).withColumnRenamed("a", "id")
+    clusters = components(star.select("a", "b"), "clusters").withColumnRenamed("node", "id").withColumnRenamed("component", "cluster")
+    clusters = (lists.select("id", "n").distinct().join(clusters, "id").join(hung, "id", "left")
+                .select("cluster", "id", "n", F.coalesce("hub", "id").alias("g")))
+    more = materialize(_joined_blocks(materialize(clusters, "clustered"), docs, id, text, width, percent), "more")
+    groups = materialize(components(links.unionByName(more), "linked"), "groups")
+    if members.distinct().groupBy("id").count().where("count > 1").isEmpty():
         placed = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     else:
-        placed = components(links.unionByName(same), "classes").withColumnRenamed("node", "id")
+        same = members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        placed = components(links.unionByName(more).unionByName(same), "classes").withColumnRenamed("node", "id")
+    placed = placed.groupBy("id").agg(F.min("component").alias("component"))
     placed = all_rows.select(F.col("id"), F.col("n").alias("n_shingles")).join(placed, "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return placed.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"),

@@ -4,7 +4,7 @@ Everything is DataFrame functions; a row's spans are found in its whole text wit
 
 Kinds of the base: email, ip (parts up to 255), card (16 to 19 digits, Luhn), phone (8 to 15 digits). Added by the method:
 iban (mod 97) and ssn-like national numbers, each only where its check or a context word confirms it. Base spans are always
-kept; a context word within ``REACH`` characters before a span raises its score.
+kept; a context word within ``REACH`` characters before a span, and after the span before it, raises its score.
 
 Patterns give the same leftmost, non-overlapping matches as their plain forms and stay linear on long runs: a run is entered
 at its first character or where the last match ended, and is never given back.
