@@ -25,11 +25,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     before = _state(now)
     while before[0]:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written first, so that adaptive execution can split the join where a hub has very many edges
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = (both.join(low, "a").where(F.col("b") > F.col("a"))
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b"))
         large = materialize(large, name)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = materialize(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
         after = _state(now)
