@@ -66,7 +66,7 @@ RU_TO_LAT_ONE_WAY = {
 
 # Letters of the two halves of the transliteration fold used for matching.
 LAT_TO_RU_FOLD = {
-    "zh": "ж", "a": "а", "b": "б", "v": "в", "g": "г", "d": "д", "e": "е", "z": "з", "i": "и", "y": "й",
+    "a": "а", "b": "б", "v": "в", "g": "г", "d": "д", "e": "е", "zh": "ж", "z": "з", "i": "и", "y": "й",
     "k": "к", "l": "л", "m": "м", "n": "н", "o": "о", "p": "п", "r": "р", "s": "с", "t": "т", "u": "у",
     "f": "ф", "ch": "ч",
 }
@@ -162,8 +162,6 @@ SHEET_DEPARTMENTS = {"Химия": "chemistry", "Продукты": "products"}
 OLD_PRICE_LABELS = ["старая", "стар.", "стар", "было", "обычная", "обычн.", "обычн", "зачерк", "перечерк"]
 PROMO_PRICE_LABELS = ["новая", "нов.", "нов", "акция", "акц", "скидка", "скид", "спец", "sale", "promo", "промо"]
 MIN_RUB, MAX_RUB = 1, 999_999
-MAX_PRICE_CANDIDATES = 12
-MAX_PRODUCT_NAME = 180
 
 # Domains of the enumerated columns.
 DOMAINS = {

@@ -145,12 +145,15 @@ def match_features(tokens: Column, size: Column) -> Column:
     )
 
 
-def match_key(raw_name: Column, brand: Column, size_text: Column, price_tag: Column, visible: Column) -> Column:
-    """Key under which confirmed matches are remembered; '' when there is too little to go by."""
+def match_key(raw_name: Column, brand: Column, size_text: Column, price_tag: Column, visible: Column, most_words: int | None = None) -> Column:
+    """Key under which confirmed matches are remembered; '' when there is too little to go by.
+
+    ``most_words`` keeps the first words only (10 gives keys as short as older tables have them).
+    """
     tokens = tokenize(match_text(raw_name, brand, size_text, price_tag, visible))
     strong = F.array_sort(F.filter(tokens, lambda t: ~t.isin(*fv.WEAK_WORDS)))
     size = size_canon(F.coalesce(size_text, raw_name, price_tag, F.lit("")))
-    words = F.array_join(F.slice(strong, 1, 10), " ")
+    words = F.array_join(strong if most_words is None else F.slice(strong, 1, most_words), " ")
     return F.when(F.size(strong) >= 2, F.concat_ws(" |", words, size)).otherwise(F.lit(""))
 
 

@@ -1,42 +1,36 @@
 """Alert rules over price changes, availability, own-price gaps and run failures.
 
-Rules are small, hand-kept tables. They are grouped into one array per scope, joined by the scope key and exploded,
-so every rule join is an equality join; a rule without ``source_id`` applies to all sources of its company.
+A rule applies to one source or, without ``source_id``, to all of them. Rows meet rules by equality on their scope (the
+source, or the scope of everything), and a threshold is part of the join, so only alerts come out of it. The rules' side is
+small; Catalyst broadcasts it by its bytes or shuffles the join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelflens.session import broadcast_within
-
 ALERT_COLUMNS = ["alert_type", "rule_id", "source_id", "run_id", "product_id", "store_id", "severity", "value",
                  "threshold"]
+EVERYWHERE = "*"
 
 
 def active_rules(rules: DataFrame, alert_type: str) -> DataFrame:
     return rules.where((F.col("alert_type") == alert_type) & F.col("enabled"))
 
 
-def _rules_by_scope(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    entry = F.struct("rule_id", F.col("threshold").cast("double").alias("threshold"))
-    scoped = (rules.where(F.col("source_id").isNotNull()).groupBy("source_id")
-              .agg(F.collect_list(entry).alias("_scoped")))
-    everywhere = (rules.where(F.col("source_id").isNull())
-                  .groupBy(F.lit(1).alias("_all")).agg(F.collect_list(entry).alias("_global")))
-    return scoped, everywhere
+def _scope(source_id: Column) -> Column:
+    return F.coalesce(source_id.cast("string"), F.lit(EVERYWHERE))
 
 
-def with_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row per (row, rule in scope) with ``rule_id`` and ``threshold``."""
-    scoped, everywhere = _rules_by_scope(rules)
-    joined = (rows.withColumn("_all", F.lit(1)).join(broadcast_within(scoped), "source_id", "left")
-              .join(broadcast_within(everywhere), "_all", "left"))
-    none = F.array().cast("array<struct<rule_id:string,threshold:double>>")
-    in_scope = F.concat(F.coalesce("_scoped", none), F.coalesce("_global", none))
-    return (joined.withColumn("_rule", F.explode(in_scope))
-            .select(*rows.columns, F.col("_rule.rule_id").alias("rule_id"),
-                    F.col("_rule.threshold").alias("threshold")))
+def with_rules(rows: DataFrame, rules: DataFrame, value: str | None = None) -> DataFrame:
+    """One row per (row, rule in scope) with ``rule_id`` and ``threshold``; with ``value`` only rules whose threshold it reaches."""
+    scoped = rules.select(_scope(F.col("source_id")).alias("_scope"), "rule_id", F.col("threshold").cast("double").alias("threshold"))
+    reach = F.array_distinct(F.array(_scope(F.col("source_id")), F.lit(EVERYWHERE)))
+    seen = rows.withColumn("_row_scope", F.explode(reach))
+    on = F.col("_row_scope") == F.col("_scope")
+    if value:
+        on = on & (F.col(value) >= F.col("threshold"))
+    return seen.join(scoped, on).drop("_row_scope", "_scope")
 
 
 def _severity(value: Column, threshold: Column) -> Column:
@@ -55,19 +49,17 @@ def _alerts(rows: DataFrame, alert_type: str, severity: Column, value: Column) -
 def price_change_alerts(changes: DataFrame, rules: DataFrame) -> DataFrame:
     """One alert per observation and rule whose threshold the change reaches."""
     moved = changes.where(F.col("change_pct").isNotNull())
-    hits = with_rules(moved, active_rules(rules, "price_change")).where(F.col("change_pct") >= F.col("threshold"))
+    hits = with_rules(moved, active_rules(rules, "price_change"), "change_pct")
     return _alerts(hits, "price_change", _severity(F.col("change_pct"), F.col("threshold")), F.col("change_pct"))
 
 
 def out_of_stock_alerts(transitions: DataFrame, rules: DataFrame) -> DataFrame:
     """One alert per transition, under the first rule in scope by id."""
-    scoped, everywhere = _rules_by_scope(active_rules(rules, "out_of_stock"))
-    joined = (transitions.withColumn("_all", F.lit(1)).join(broadcast_within(scoped), "source_id", "left")
-              .join(broadcast_within(everywhere), "_all", "left"))
-    none = F.array().cast("array<struct<rule_id:string,threshold:double>>")
-    first = F.array_min(F.concat(F.coalesce("_scoped", none), F.coalesce("_global", none)))
-    hits = joined.withColumn("_rule", first).where(F.col("_rule").isNotNull()).select(
-        *transitions.columns, F.col("_rule.rule_id").alias("rule_id"), F.col("_rule.threshold").alias("threshold"))
+    active = active_rules(rules, "out_of_stock")
+    first = active.withColumn("_scope", _scope(F.col("source_id"))).groupBy("_scope", "source_id").agg(
+        F.min(F.struct("rule_id", "threshold")).alias("_r")).select("source_id", "_r.rule_id", "_r.threshold")
+    hits = with_rules(transitions, first).groupBy(*transitions.columns).agg(F.min(F.struct("rule_id", "threshold")).alias("_r"))
+    hits = hits.select(*transitions.columns, "_r.rule_id", "_r.threshold")
     return _alerts(hits, "out_of_stock", F.lit("info"), F.lit(None).cast("double"))
 
 
@@ -77,7 +69,7 @@ def run_failure_alerts(streaks: DataFrame, rules: DataFrame, open_alerts: DataFr
     if open_alerts is not None:
         still_open = open_alerts.where((F.col("alert_type") == "run_failure") & (F.col("status") == "new"))
         failing = failing.join(still_open.select("source_id"), "source_id", "left_anti")
-    hits = with_rules(failing, active_rules(rules, "run_failure")).where(F.col("streak") >= F.col("threshold"))
+    hits = with_rules(failing, active_rules(rules, "run_failure"), "streak")
     return _alerts(hits, "run_failure", _severity(F.col("streak"), F.col("threshold")), F.col("streak"))
 
 
@@ -85,7 +77,7 @@ def competitor_cheaper_alerts(compared: DataFrame, rules: DataFrame) -> DataFram
     """Competitor below the own price by at least the threshold percent."""
     gap = (F.col("own_price_minor") - F.col("price_minor")).cast("double") / F.col("own_price_minor") * 100
     rows = compared.where(F.col("own_price_minor") > 0).withColumn("gap_pct", gap)
-    hits = with_rules(rows, active_rules(rules, "competitor_cheaper")).where(F.col("gap_pct") >= F.col("threshold"))
+    hits = with_rules(rows, active_rules(rules, "competitor_cheaper"), "gap_pct")
     return _alerts(hits, "competitor_cheaper", _severity(F.col("gap_pct"), F.col("threshold")), F.col("gap_pct"))
 
 

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-RECENT_RUNS = 10
+def failure_streaks(runs: DataFrame, recent: int | None = None) -> DataFrame:
+    """Per source, how many of its newest runs failed without a break; ``recent`` (alert screens use 10) bounds the count.
 
-
-def failure_streaks(runs: DataFrame, recent: int = RECENT_RUNS) -> DataFrame:
-    """Per source, how many of its newest ``recent`` runs failed without a break, newest first.
-
-    The top-n window is cut to ``recent`` rows per source before the shuffle, so a source with most of the runs
-    costs no more than any other.
+    The last run that did not fail is an aggregate, reduced in each task; the runs after it are then counted, so a source
+    with most of the runs is never ordered in one task.
     """
-    newest = Window.partitionBy("source_id").orderBy(F.col("started_at").desc(), F.col("run_id").desc())
-    top = runs.select("source_id", "run_id", "status", "started_at").withColumn(
-        "_n", F.row_number().over(newest)).where(F.col("_n") <= recent)
-    first_ok = F.min(F.when(F.col("status") != "failed", F.col("_n")))
-    return top.groupBy("source_id").agg(
-        F.coalesce(first_ok - 1, F.max("_n")).cast("bigint").alias("streak"),
-        F.max_by("run_id", F.struct(-F.col("_n"))).alias("last_run_id"),
-        F.max_by("status", F.struct(-F.col("_n"))).alias("last_status"))
+    place = F.struct("started_at", "run_id")
+    rows = runs.select("source_id", "run_id", "status", "started_at")
+    last = rows.groupBy("source_id").agg(
+        F.max(F.when(F.col("status") != "failed", place)).alias("_ok"), F.max_by("run_id", place).alias("last_run_id"),
+        F.max_by("status", place).alias("last_status"))
+    after = rows.join(last.select(F.col("source_id").alias("_source"), "_ok"), F.col("source_id").eqNullSafe(F.col("_source")))
+    broken = F.count_if(F.col("_ok").isNull() | (place > F.col("_ok")))
+    counted = after.groupBy(F.col("_source")).agg(broken.alias("streak"))
+    streak = F.col("streak") if recent is None else F.least("streak", F.lit(recent))
+    return last.join(counted, F.col("source_id").eqNullSafe(F.col("_source"))).select(
+        "source_id", streak.cast("bigint").alias("streak"), "last_run_id", "last_status")
 
 
 def run_stats(results: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def w10_out_of_stock(t):
 STREAKS = """recent AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at DESC, run_id DESC) AS n FROM runs),
 streaks AS (SELECT source_id, coalesce(min(CASE WHEN status <> 'failed' THEN n END) - 1, max(n)) AS streak,
   max(CASE WHEN n = 1 THEN run_id END) AS last_run_id, max(CASE WHEN n = 1 THEN status END) AS last_status
-  FROM recent WHERE n <= 10 GROUP BY source_id)"""
+  FROM recent GROUP BY source_id)"""
 
 
 @query("w3_failure_streaks", f"{with_tables('runs')}, {STREAKS} SELECT source_id, CAST(streak AS BIGINT) AS streak, last_run_id, last_status FROM streaks")
@@ -267,14 +267,14 @@ def t2_recent_runs(t):
   SELECT *, CASE model WHEN 'gpt-5.4-nano' THEN greatest(0, CAST(floor((i / 1e6 * 0.2::DOUBLE + o / 1e6 * 1.25::DOUBLE) * 1e6 + 0.5) AS BIGINT))
     WHEN 'gpt-5.4-mini' THEN greatest(0, CAST(floor((i / 1e6 * 0.75::DOUBLE + o / 1e6 * 4.5::DOUBLE) * 1e6 + 0.5) AS BIGINT)) ELSE 0 END AS cost FROM (
   SELECT CASE event_type WHEN 'purchase' THEN 'gpt-5.4-nano' WHEN 'view' THEN 'gpt-5.4-mini' ELSE 'other' END AS model,
-    CASE WHEN user_id % 2 = 0 THEN 'vision' ELSE 'text' END AS operation, CAST(floor(value * 100) AS BIGINT) AS i, user_id AS o,
+    CASE WHEN user_id % 2 = 0 THEN 'image' ELSE 'text' END AS operation, CAST(floor(value * 100) AS BIGINT) AS i, user_id AS o,
     CAST(floor(value * 10) AS BIGINT) AS duration_ms, event_type = 'error' AS is_error, event_id % 7 = 0 AS fb FROM events)) GROUP BY model, operation""")
 def a15_ai_usage(t):
     from shelflens.operators.quality import ai_usage
     c = F.col
     jobs = t.events.select(
         F.when(c("event_type") == "purchase", "gpt-5.4-nano").when(c("event_type") == "view", "gpt-5.4-mini").otherwise("other").alias("model"),
-        F.when(c("user_id") % 2 == 0, "vision").otherwise("text").alias("operation"),
+        F.when(c("user_id") % 2 == 0, "image").otherwise("text").alias("operation"),
         F.floor(c("value") * 100).alias("input_tokens"), c("user_id").alias("output_tokens"),
         F.floor(c("value") * 10).alias("duration_ms"), (c("event_type") == "error").alias("is_error"),
         (c("event_id") % 7 == 0).alias("used_fallback"))

@@ -62,10 +62,11 @@ def test_carry_forward_across_blocks(spark):
     assert got == ["c"] * 7 + ["d"] * 13
 
 
-def test_streak_is_the_failed_prefix_of_ten(spark):
+def test_streak_counts_all_failed_runs_unless_bounded(spark):
     rows = [(1, n, "failed", n) for n in range(15)] + [(2, 1, "failed", 1), (2, 2, "succeeded", 2), (2, 3, "failed", 3)]
     df = spark.createDataFrame(rows, "source_id bigint, run_id bigint, status string, started_at bigint")
-    assert {r["source_id"]: r["streak"] for r in rn.failure_streaks(df).collect()} == {1: 10, 2: 1}
+    assert {r["source_id"]: r["streak"] for r in rn.failure_streaks(df).collect()} == {1: 15, 2: 1}
+    assert {r["source_id"]: r["streak"] for r in rn.failure_streaks(df, recent=10).collect()} == {1: 10, 2: 1}
 
 
 def test_stale_actions(spark):
