@@ -45,7 +45,7 @@ def search_catalog(catalog: DataFrame, query: str | None = None, price: str | No
                    page_size: int = 50) -> tuple[DataFrame, DataFrame]:
     """(one page of the catalogue, newest first; the total number of hits).
 
-    The text is taken literally, so % and _ need no escaping. Pages are kept to 100 rows.
+    The text is taken literally, so % and _ need no escaping. The page size is the caller's.
     """
     rows = catalog
     text = (query or "").strip().lower()
@@ -58,7 +58,7 @@ def search_catalog(catalog: DataFrame, query: str | None = None, price: str | No
         rows = rows.where(hit)
     if price in ("missing", "present"):
         rows = rows.where(F.col("own_price_minor").isNull() if price == "missing" else F.col("own_price_minor").isNotNull())
-    size = min(max(page_size, 1), 100)
+    size = max(page_size, 1)
     total = rows.agg(F.count("*").alias("total_count"))
     shown = rows.orderBy(F.col("created_at").desc(), "product_id").offset((max(page, 1) - 1) * size).limit(size)
     return shown, total

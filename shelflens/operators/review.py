@@ -61,6 +61,7 @@ def review_counters(flags: DataFrame) -> DataFrame:
         *[F.count_if(F.col(f"is_{t}")).alias(t) for t in TASKS if t != "all"])
 
 
-def review_queue(flags: DataFrame, n: int) -> DataFrame:
-    """Newest first."""
-    return flags.orderBy(F.col("created_at").desc(), "item_id").limit(n)
+def review_queue(flags: DataFrame, n: int | None = None) -> DataFrame:
+    """Newest first; a screen shows the first ``n``."""
+    ordered = flags.orderBy(F.col("created_at").desc(), "item_id")
+    return ordered if n is None else ordered.limit(n)

@@ -144,7 +144,9 @@ def report_sets(rows: DataFrame) -> DataFrame:
 
 
 def write_report_sets(rows: DataFrame, path: str) -> None:
-    report_sets(rows).write.mode("overwrite").partitionBy("report_set").parquet(path)
+    """Replaces the whole export: a set that is empty now has no folder afterwards."""
+    (report_sets(rows).repartition("report_set", F.pmod(F.xxhash64("item_id"), F.lit(16))).write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").partitionBy("report_set").parquet(path))
 
 
 def session_report_json(rows: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def fill_template(products: DataFrame, columns: DataFrame, prices: DataFrame, co
 
 
 def low_confidence(shelf_items: DataFrame, samples: int = 3) -> DataFrame:
-    """A10: per store, matched rows without or with low confidence, and the first few as samples."""
+    """A10: per store, matched rows without or with low confidence, and the first ``samples`` of them to look at."""
     low = shelf_items.where(F.col("product_id").isNotNull() & (
         F.col("match_confidence").isNull() | (F.col("match_confidence") < fv.LOW_CONFIDENCE)))
     counts = low.groupBy("store_id").agg(F.count("*").alias("low_confidence_rows"))
@@ -190,20 +190,17 @@ def coverage_report(coverage: DataFrame, products: DataFrame) -> DataFrame:
     out = totals.join(unmapped, "template_id", "left").withColumn("unmapped_rows", F.coalesce("unmapped_rows", F.lit(0)))
     out = out.withColumn("coverage_pct", _pct(c("filled_cells"), c("total_cells")))
     n = F.size("unresolved_labels")
-    labels = F.concat(F.array_join(F.slice("unresolved_labels", 1, 5), ", "), F.when(n > 5, "…").otherwise(""))
+    labels = F.array_join("unresolved_labels", ", ")
     warnings = F.array_compact(F.array(
         F.when(c("resolved_stores") == 0,
-               "Ни одна колонка конкурента не сопоставлена с магазином — файл будет без цен конкурентов."),
+               "no_store_resolved: все ячейки конкурентов останутся пустыми"),
         F.when((c("resolved_stores") > 0) & (c("coverage_pct") < fv.LOW_COVERAGE_PCT), F.concat(
-            F.lit("Низкое покрытие цен: заполнено только "), c("coverage_pct").cast("string"),
-            F.lit("% заполняемых ячеек."))),
-        F.when(n > 0, F.concat(F.lit("Колонки без магазина ("), n.cast("string"), F.lit("): "), labels, F.lit("."))),
+            F.lit("low_coverage: цены есть в "), c("coverage_pct").cast("string"), F.lit(" % ячеек"))),
+        F.when(n > 0, F.concat(F.lit("unresolved_columns: "), n.cast("string"), F.lit(" — "), labels)),
         F.when(c("unmapped_rows") > 0, F.concat(
-            F.lit("В шаблоне "), c("unmapped_rows").cast("string"),
-            F.lit(" товаров, чей штрихкод не найден в каталоге — цены не подставятся."))),
+            F.lit("unknown_barcodes: "), c("unmapped_rows").cast("string"))),
         F.when(c("low_confidence_rows") > 0, F.concat(
-            F.lit("Найдено "), c("low_confidence_rows").cast("string"),
-            F.lit(f" товаров с низкой уверенностью сопоставления (ниже {fv.LOW_CONFIDENCE}).")))))
+            F.lit("low_confidence: "), c("low_confidence_rows").cast("string"), F.lit(f" (< {fv.LOW_CONFIDENCE})")))))
     return out.withColumn("unresolved_columns", n).withColumn("warnings", warnings)
 
 

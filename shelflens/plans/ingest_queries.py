@@ -234,8 +234,7 @@ def n13_shelf_prices(t):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     rows = st.prices_from_text(_shelf_texts(t))
     # A supplier number in the product line may itself look like a price; the labelled price outranks it.
-    return rows.select(*keys, F.when(F.col("l_orderkey") % 4 != 3, F.col("price_minor")).alias("price_minor"), "old_price_minor",
-                       "promo_price_minor", F.when(F.col("l_orderkey") % 4 != 3, F.col("kind")).alias("kind"))
+    return rows.select(*keys, "price_minor", "old_price_minor", "promo_price_minor", "kind")
 
 
 @query("n13_document_prices")
@@ -243,9 +242,9 @@ def n13_document_prices(t):
     return st.prices_from_text(t.wide("documents").select("doc_id", "text")).drop("text")
 
 
-@query("n14_shelf_names", f"""SELECT {LINE}, 'Кофе Жокей ' || l_suppkey || ' 250 г' AS raw_name, 'кофе жокей ' || l_suppkey || ' 250 г' AS normalized FROM lineitem WHERE l_orderkey % 4 <> 3""")
+@query("n14_shelf_names", f"""SELECT {LINE}, 'Кофе Жокей ' || l_suppkey || ' 250 г' AS raw_name, 'кофе жокей ' || l_suppkey || ' 250 г' AS normalized FROM lineitem""")
 def n14_shelf_names(t):
-    rows = st.product_names_from_text(st.prices_from_text(_shelf_texts(t).where("l_orderkey % 4 <> 3")))
+    rows = st.product_names_from_text(st.prices_from_text(_shelf_texts(t)))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "raw_name", "normalized")
 
 
@@ -419,9 +418,9 @@ def a9_coverage_report(t):
                        F.size("warnings").alias("warning_count"))
 
 
-@query("t3_worst_coverage", f"{COVERAGE} SELECT template_id, department, col, coverage_pct FROM cov ORDER BY coverage_pct, template_id, department, col LIMIT 20")
+@query("t3_worst_coverage", f"{COVERAGE} SELECT template_id, department, col, coverage_pct FROM cov ORDER BY coverage_pct, template_id, department, col")
 def t3_worst_coverage(t):
-    return tp.coverage_by_problem(_coverage(t)[0]).limit(20).select("template_id", "department", "col", "coverage_pct")
+    return tp.coverage_by_problem(_coverage(t)[0]).select("template_id", "department", "col", "coverage_pct")
 
 
 AT = "2024-03-05 06:07:08"

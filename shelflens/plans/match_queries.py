@@ -182,7 +182,7 @@ def n11_features(t):
 
 def key_sql(name: str) -> str:
     strong = f"list_sort(list_filter({tokens_sql(name)}, lambda w: NOT list_contains({_list_sql(fv.WEAK_WORDS)}, w)))"
-    return (f"CASE WHEN len({strong}) >= 2 THEN array_to_string(({strong})[1:10], ' ') || coalesce(' |' || {size_sql(name)}, '') ELSE '' END")
+    return (f"CASE WHEN len({strong}) >= 2 THEN array_to_string(({strong}), ' ') || coalesce(' |' || {size_sql(name)}, '') ELSE '' END")
 
 
 @query("n12_match_key", f"{with_tables('cat', 'src')} SELECT item_id, {key_sql('text')} AS match_key FROM src")
@@ -282,7 +282,7 @@ ranked AS (SELECT s.item_id, p.product_id, p.name, i.sz AS isz, c.score, c.reaso
   FROM scored c JOIN src s ON s.text = c.itext JOIN itok i ON i.text = c.itext JOIN ptext p ON p.text = c.ptext WHERE c.score > 0 QUALIFY rank <= 30),
 named AS (SELECT *, {tokens_sql('name')} AS nt, {size_sql('name')} AS nsz FROM ranked),
 fam AS (SELECT *, list_filter(nt, lambda w: list_contains({_list_sql(BRAND_SET)}, w))[1] || ':' || list_filter({_list_sql(fv.FAMILIES)}, lambda w: list_contains(nt, w))[1] AS bf FROM named),
-cand AS (SELECT item_id, product_id, rank, score, reasons || CASE WHEN isz IS NULL AND bf IS NOT NULL AND count(DISTINCT CASE WHEN score >= 0.45::DOUBLE THEN nsz END)
+cand AS MATERIALIZED (SELECT item_id, product_id, rank, score, reasons || CASE WHEN isz IS NULL AND bf IS NOT NULL AND count(DISTINCT CASE WHEN score >= 0.45::DOUBLE THEN nsz END)
   OVER (PARTITION BY item_id, bf) > 1 THEN '|multiple_catalog_sizes_review' ELSE '' END AS reasons FROM fam)"""
 CAND = f"{with_tables('cat', 'src')}, {SCORES}"
 
@@ -346,8 +346,8 @@ def a13_decision_metrics(t):
 
 # Online decisions over source products: history from shipped lines, barcodes from the catalogue, choices from orders.
 HISTORY = """hist AS (SELECT l_partkey AS source_product_id, l_suppkey AS product_id, l_discount AS confidence, 'fuzzy' AS method,
-  CASE l_returnflag WHEN 'R' THEN 'confirmed' WHEN 'A' THEN 'needs_review' ELSE 'auto' END AS status, l_shipdate AS matched_at,
-  l_orderkey * 8 + l_linenumber AS match_id FROM lineitem WHERE l_partkey % 4 = 0),
+  CASE WHEN l_partkey % 4 <> 0 THEN 'rejected' WHEN l_returnflag = 'R' THEN 'confirmed' WHEN l_returnflag = 'A' THEN 'needs_review' ELSE 'auto' END AS status, l_shipdate AS matched_at,
+  l_orderkey * 8 + l_linenumber AS match_id FROM lineitem),
 accepted AS (SELECT source_product_id, product_id, confidence, method, status FROM (SELECT *, row_number() OVER (PARTITION BY source_product_id
   ORDER BY matched_at DESC, match_id DESC, product_id DESC, confidence DESC) AS n FROM hist WHERE status IN ('auto', 'confirmed')) WHERE n = 1)"""
 SEEN = """seen AS (SELECT product_id AS source_product_id, CASE WHEN product_id % 3 = 0 THEN external_sku ELSE barcode END AS barcode FROM cat)"""
@@ -356,8 +356,9 @@ SKUS = """skus AS (SELECT external_sku, min(product_id) AS product_id FROM cat W
 
 def _history(t):
     c = F.col
-    status = F.when(c("l_returnflag") == "R", "confirmed").when(c("l_returnflag") == "A", "needs_review").otherwise("auto")
-    return t.lineitem.where("l_partkey % 4 = 0").select(
+    status = F.when(c("l_partkey") % 4 != 0, "rejected").when(c("l_returnflag") == "R", "confirmed").when(
+        c("l_returnflag") == "A", "needs_review").otherwise("auto")
+    return t.lineitem.select(
         c("l_partkey").alias("source_product_id"), c("l_suppkey").alias("product_id"), c("l_discount").alias("confidence"),
         F.lit("fuzzy").alias("method"), status.alias("status"), c("l_shipdate").alias("matched_at"),
         (c("l_orderkey") * 8 + c("l_linenumber")).alias("match_id"))
@@ -386,7 +387,7 @@ def j2_reuse_or_open(t):
 
 
 @query("r3_online_cascade", f"""{with_tables('cat')}, {SEEN}, {HISTORY}, {SKUS}, chosen AS (SELECT p_partkey AS source_product_id, CASE WHEN p_size % 2 = 0 THEN p_partkey END AS product_id,
-  p_size / 100.0::DOUBLE AS confidence, 'choice' AS reason FROM part WHERE p_size > 25)
+  p_size / 100.0::DOUBLE AS confidence, 'choice' AS reason FROM part)
 SELECT s.source_product_id, CASE WHEN a.source_product_id IS NOT NULL THEN a.product_id WHEN k.product_id IS NOT NULL THEN k.product_id ELSE c.product_id END AS product_id,
   CASE WHEN a.source_product_id IS NOT NULL THEN a.confidence WHEN k.product_id IS NOT NULL THEN 1.0::DOUBLE ELSE coalesce(c.confidence, 0) END AS confidence,
   CASE WHEN a.source_product_id IS NOT NULL THEN a.method WHEN k.product_id IS NOT NULL THEN 'barcode' WHEN c.reason IS NULL THEN 'fuzzy' ELSE 'llm' END AS method,
@@ -394,7 +395,7 @@ SELECT s.source_product_id, CASE WHEN a.source_product_id IS NOT NULL THEN a.pro
 FROM seen s LEFT JOIN accepted a USING (source_product_id) LEFT JOIN skus k ON s.barcode = k.external_sku LEFT JOIN chosen c ON s.source_product_id = c.source_product_id""")
 def r3_online_cascade(t):
     c = F.col
-    chosen = t.part.where("p_size > 25").select(
+    chosen = t.part.select(
         c("p_partkey").alias("source_product_id"), F.when(c("p_size") % 2 == 0, c("p_partkey")).alias("product_id"),
         (c("p_size") / 100.0).alias("confidence"), F.lit("choice").alias("reason"))
     history = _history(t).withColumn("match_id", F.struct("match_id", "product_id", "confidence"))
@@ -437,8 +438,9 @@ def _choices(t):
 
 
 @query("j11_apply_decisions", f"""{CAND}, {CHOICES} SELECT s.item_id, c2.product_id, CASE WHEN c.item_id IS NULL THEN 0 ELSE greatest(0, least(1, c.confidence)) END::DOUBLE AS confidence,
-  CASE WHEN c.item_id IS NOT NULL THEN c.reason WHEN s.item_id NOT IN (SELECT item_id FROM cand) THEN 'no_candidates' ELSE 'no_result' END AS reason,
+  CASE WHEN c.item_id IS NOT NULL THEN c.reason WHEN h.item_id IS NULL THEN 'no_candidates' ELSE 'no_result' END AS reason,
   CASE WHEN c2.product_id IS NULL THEN 'needs_review' ELSE 'auto' END AS status FROM src s LEFT JOIN choices c USING (item_id)
+  LEFT JOIN (SELECT DISTINCT item_id FROM cand) h ON s.item_id = h.item_id
   LEFT JOIN (SELECT c.item_id, c.product_id FROM choices c JOIN cand USING (item_id, product_id)) c2 ON s.item_id = c2.item_id""")
 def j11_apply_decisions(t):
     return dc.apply_decisions(t.domain.source_products, _candidates(t), _choices(t))
@@ -532,6 +534,6 @@ def f5_review_tasks(t):
     return out
 
 
-@query("t3_review_queue", f"{with_tables('items')} SELECT item_id, status FROM items ORDER BY created_at DESC, item_id LIMIT 50")
+@query("t3_review_queue", f"{with_tables('items')} SELECT item_id, status FROM items ORDER BY created_at DESC, item_id")
 def t3_review_queue(t):
-    return rv.review_queue(t.domain.session_items(), 50).select("item_id", "status")
+    return rv.review_queue(t.domain.session_items()).select("item_id", "status")

@@ -94,7 +94,7 @@ def test_price_far_into_a_long_text(spark):
     """Whole texts are read: a labelled price after many plain numbers is still the best one."""
     text = " ".join(f"код {n}" for n in range(100, 3000)) + " Цена 59,90 руб"
     row = st.prices_from_text(spark.createDataFrame([(text,)], "text string")).first()
-    assert row["price_minor"] == 5990 and row["candidate_count"] == 12
+    assert row["price_minor"] == 5990 and row["candidate_count"] > 2000
 
 
 def test_product_names_from_text(spark):
