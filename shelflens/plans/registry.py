@@ -23,13 +23,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def wide(self, name: str) -> DataFrame:
-        """A table for work that is heavy per row: spread out when its files come in fewer pieces than there are cores.
+        """A table for work that is heavy per row. It is read as its files are cut.
 
-        Large tables have pieces enough and are left as they are, without a shuffle.
+        A caller whose files hold a single row group each can ask for ``spark.shelflens.textPartitions`` pieces.
         """
         rows = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+        pieces = int(self.spark.conf.get("spark.shelflens.textPartitions", "0"))
+        return rows.repartition(pieces) if pieces else rows
 
     @cached_property
     def domain(self):

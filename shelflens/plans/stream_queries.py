@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelflens.functions.money import round_half_up
 from shelflens.plans.domain import Domain, with_tables
-from shelflens.plans.registry import query
-from shelflens.session import ensure_checkpoint_dir
+from shelflens.plans.registry import Tables, query
+from shelflens.session import STATE, job_folder
 from shelflens.streaming import jobs, state
 
 
@@ -28,8 +28,19 @@ def _stream(t) -> Domain:
     return Domain(StreamedTables(t))
 
 
+def _with_state(t) -> Tables:
+    """The tables in a session of their own that keeps state in RocksDB, so that other queries' settings stay as they are."""
+    session = t.spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.shelflens.job"):
+        if t.spark.conf.get(key, None):
+            session.conf.set(key, t.spark.conf.get(key))
+    for key, value in STATE.items():
+        session.conf.set(key, value)
+    return Tables(session, t.folder)
+
+
 def _run_folder(t, name: str) -> str:
-    return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/shelflens-{uuid.uuid4().hex}/{name}"
+    return f"{job_folder(t.spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def _finished(t, stream: DataFrame, name: str) -> DataFrame:
@@ -50,19 +61,21 @@ def x1_ingest(t):
         "product_id", "store_id", "obs_id", "payload_hash", "title", "barcode")
 
 
-@query("x2_dedup", f"{with_tables('obs')} SELECT count(*) AS rows FROM (SELECT DISTINCT product_id, store_id, observed_at FROM obs)")
+@query("x2_dedup", f"{with_tables('obs')} SELECT product_id, store_id, strftime(observed_at, '%Y-%m-%d %H:%M:%S') AS at, count(*) AS rows FROM (SELECT DISTINCT product_id, store_id, observed_at FROM obs) GROUP BY ALL")
 def x2_dedup(t):
     rows = _stream(t).observations.select("product_id", "store_id", "observed_at")
     deduped = jobs.dedup_observations(rows, ["product_id", "store_id", "observed_at"])
-    return _finished(t, deduped, "dedup").agg(F.count("*").alias("rows"))
+    kept = _finished(t, deduped, "dedup")
+    return kept.groupBy("product_id", "store_id", F.date_format("observed_at", "yyyy-MM-dd HH:mm:ss").alias("at")).agg(F.count("*").alias("rows"))
 
 
-@query("x3_price_state", f"""{with_tables('obs')}, daily AS (SELECT product_id, source_id AS store_id, observed_at, obs_id * 2000 + store_id AS o, price_minor, availability FROM obs WHERE week = 1)
+@query("x3_price_state", f"""{with_tables('obs')}, daily AS (SELECT product_id, source_id AS store_id, observed_at, obs_id * 2000 + store_id AS o, price_minor, availability FROM obs)
 SELECT product_id, store_id, o AS obs_no, lag(price_minor) OVER w AS previous_price_minor, floor(abs(CAST(price_minor - lag(price_minor) OVER w AS DOUBLE) / lag(price_minor) OVER w) * 100 * 100 + 0.5) / 100 AS change_pct,
   row_number() OVER w > 1 AND availability = 'out_of_stock' AND lag(availability) OVER w <> 'out_of_stock' AS went_out_of_stock FROM daily
-  WINDOW w AS (PARTITION BY product_id, store_id ORDER BY observed_at, lpad(CAST(o AS VARCHAR), 20, '0'))""".replace("WHERE week = 1", ""))
+  WINDOW w AS (PARTITION BY product_id, store_id ORDER BY observed_at, lpad(CAST(o AS VARCHAR), 20, '0'))""")
 def x3_price_state(t):
-    jobs.use_rocksdb(t.spark)
+    job_folder(t.spark)
+    t = _with_state(t)
     c = F.col
     rows = _stream(t).observations.select(
         "product_id", c("source_id").alias("store_id"), "observed_at", "price_minor", "availability",
@@ -77,18 +90,20 @@ def x3_price_state(t):
 len AS (SELECT *, count(*) FILTER (WHERE status = 'failed') OVER (PARTITION BY source_id, island ORDER BY started_at, run_id) AS streak FROM isl)
 SELECT source_id, run_id, streak, streak = 2 AND status = 'failed' AS alert FROM len""")
 def x4_failure_state(t):
-    jobs.use_rocksdb(t.spark)
+    job_folder(t.spark)
+    t = _with_state(t)
     return _finished(t, state.failure_streak_stream(_stream(t).runs, threshold=2), "streaks").select(
         "source_id", "run_id", "streak", "alert")
 
 
 @query("x5_stale_state", f"""{with_tables('runs')}, ends AS (SELECT max(started_at) - INTERVAL 1 MINUTE AS mark FROM runs),
 r AS (SELECT run_id, started_at, age FROM (SELECT run_id, started_at, date_diff('microsecond', started_at, mark) / 60e6 AS age FROM runs, ends WHERE status = 'running'))
-SELECT run_id, 'requeue' AS action FROM r WHERE age >= 2880""")
+SELECT run_id, 'requeue' AS action FROM r WHERE age >= 2880 UNION ALL SELECT run_id, 'fail' FROM r WHERE age >= 5760""")
 def x5_stale_state(t):
-    jobs.use_rocksdb(t.spark)
+    job_folder(t.spark)
+    t = _with_state(t)
     rows = _stream(t).runs.select("run_id", "status", F.col("started_at").alias("event_at"))
-    return _finished(t, state.stale_run_stream(rows, timeout_minutes=2880), "stale").where("action = 'requeue'").select("run_id", "action")
+    return _finished(t, state.stale_run_stream(rows, timeout_minutes=2880), "stale").select("run_id", "action")
 
 
 @query("x6_price_rollup", f"""{with_tables('obs')} SELECT product_id, store_id, strftime(date_trunc('day', observed_at), '%Y-%m-%d') AS day, count(*) AS observations, min(price_minor) AS min_price_minor, max(price_minor) AS max_price_minor

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -13,9 +13,14 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
 }
+# State beyond executor memory, with changelog checkpoints: given to the session that runs keyed state, when it is built.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+_JOB = "spark.shelflens.job"
 
 
 def build_session(app_name: str = "shelflens", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,19 +41,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before cutting lineage on a cluster")
         folder = tempfile.mkdtemp(prefix="run-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def broadcast_within(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only when the side is counted to hold at most ``max_rows`` rows.
+def job_folder(spark: SparkSession) -> str:
+    """The folder of the current job inside the shared one; it lasts until :func:`end_job`."""
+    job = spark.conf.get(_JOB, None)
+    if not job:
+        job = uuid.uuid4().hex
+        spark.conf.set(_JOB, job)
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelflens-{job}"
 
-    The count stops at ``max_rows + 1``. Beyond the bound the frame is returned untouched, so the join is a
-    shuffled one and adaptive execution deals with its skew.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+
+def end_job(spark: SparkSession) -> None:
+    """Deletes what the job has written to the shared folder. Frames that read it must have been stored or collected before."""
+    if spark.conf.get(_JOB, None):
+        path = spark._jvm.org.apache.hadoop.fs.Path(job_folder(spark))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark.conf.unset(_JOB)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +66,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     It is computed once, survives lost executors, and its size on disk tells the optimizer how to join it.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/shelflens-{uuid.uuid4().hex}/{name}"
+    path = f"{job_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

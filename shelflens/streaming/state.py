@@ -116,12 +116,16 @@ class StaleRunState(StatefulProcessor):
         if not self.started.exists():
             return
         at, fails_next = self.started.get()
-        if fails_next:
+        actions = ["fail"] if fails_next else ["requeue"]
+        fails_at = expiredTimerInfo.getExpiryTimeInMs() + self.timeout_ms
+        if not fails_next and timerValues.getCurrentWatermarkInMs() >= fails_at:
+            actions.append("fail")  # both limits were passed between two batches
+        if actions[-1] == "fail":
             self.started.clear()
         else:
             self.started.update((at, True))
-            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.timeout_ms)
-        yield pd.DataFrame({"run_id": [key[0]], "started_at": [at], "action": ["fail" if fails_next else "requeue"]})
+            self.handle.registerTimer(fails_at)
+        yield pd.DataFrame({"run_id": [key[0]] * len(actions), "started_at": [at] * len(actions), "action": actions})
 
     def close(self) -> None:
         pass

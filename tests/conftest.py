@@ -5,12 +5,12 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from shelflens.session import build_session  # noqa: E402
+from shelflens.session import STATE, build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", "local[4]", **{
+    session = build_session("tests", "local[4]", **STATE, **{
         "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
         "spark.driver.memory": "6g"})
     session.sparkContext.setLogLevel("ERROR")

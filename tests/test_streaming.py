@@ -27,7 +27,6 @@ def feed(rows, path, parts):
 
 
 def test_price_state_equals_batch_over_steps(spark, tmp_path):
-    jobs.use_rocksdb(spark)
     rows, source, out = observations(spark), str(tmp_path / "in"), str(tmp_path)
     for _ in feed(rows, source, [(0, 150), (150, 160), (160, 400)]):
         run(state.price_state_stream(jobs.read_observations(spark, source, rows.schema)), out, "changes")
@@ -38,7 +37,6 @@ def test_price_state_equals_batch_over_steps(spark, tmp_path):
 
 
 def test_rows_older_than_the_state_are_dropped(spark, tmp_path):
-    jobs.use_rocksdb(spark)
     rows, source, out = observations(spark, 40), str(tmp_path / "in"), str(tmp_path)
     for _ in feed(rows, source, [(20, 40), (0, 20)]):
         run(state.price_state_stream(jobs.read_observations(spark, source, rows.schema)), out, "late")
@@ -53,7 +51,6 @@ def test_redelivered_rows_are_dropped(spark, tmp_path):
 
 
 def test_streaks_alert_once_per_series(spark, tmp_path):
-    jobs.use_rocksdb(spark)
     marks = "ffsfff" + "ff" + "sf"
     runs = spark.createDataFrame([(1, n, "failed" if m == "f" else "succeeded", 1704067200 + n) for n, m in enumerate(marks)],
                                  "source_id bigint, run_id bigint, status string, at bigint").withColumn("started_at", F.timestamp_seconds("at")).drop("at")
@@ -77,7 +74,6 @@ def test_latest_table_over_steps(spark, tmp_path):
 
 
 def test_stale_runs_fire_on_event_time(spark, tmp_path):
-    jobs.use_rocksdb(spark)
     events = [(1, "running", "2024-01-01 00:00:00"), (2, "running", "2024-01-01 00:00:00"), (2, "succeeded", "2024-01-01 00:10:00"), (9, "queued", "2024-01-01 03:00:00")]
     df = spark.createDataFrame(events, "run_id bigint, status string, at string").select("run_id", "status", F.col("at").cast("timestamp").alias("event_at"))
     source, out = str(tmp_path / "in"), str(tmp_path)
