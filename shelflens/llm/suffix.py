@@ -8,8 +8,8 @@ repeated window is removed.
 2. Grams that occur once cannot repeat and drop out (a bitmap of fixed size keeps most of them from the shuffle).
 3. A context that occurs twice is repeated as a whole. What is left are contexts that differ from all others under their gram.
 4. Those are put together per gram with one copy of the other contexts, and their common prefixes are derived: breadth-first
-   backward extension on the BWT of a batch finds all boundaries with LCP 0, then 1, 2, ...; it stops at ``length``. Boundaries
-   without a value by then are common prefixes of ``length`` or more.
+   backward extension on the BWT of a batch finds the boundaries by increasing LCP (those below 16 are known from the sort) and
+   stops at ``length``. Boundaries without a value by then are common prefixes of ``length`` or more.
 5. Grams with more than ``HOT`` different contexts are split: their windows are counted one by one by hash.
 6. The marked spans of a text are joined to it and cut out.
 
@@ -30,9 +30,9 @@ from shelflens.llm.common import bit_filter, byte_values, passes, prefix_hash, s
 from shelflens.session import materialize
 
 LENGTH = 200
-GRAM = 64
+GRAM = 48
 HOT = 4096
-CHUNK = 1 << 17
+CHUNK = 60_000  # bytes of contexts put together; with 16-bit ranks a batch sorts and ranks fastest
 BITS = 26
 _U = np.uint64
 _PLACE = _U((1 << 31) - 1)
@@ -106,51 +106,70 @@ def _candidate_runs(source: DataFrame, bitmap, length: int, gram: int) -> DataFr
     return source.select("doc", "t").mapInArrow(run, "gram long, context long, doc long, first int, last int")
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """Stable order by the last key, then the one before, ...: radix sort over 16 bits at a time."""
+    order = None
+    for key in keys:
+        for shift in (0, 16) if len(key) > 65_536 else (0,):
+            part = (key >> shift).astype(np.uint16)
+            order = np.argsort(part, kind="stable") if order is None else order[np.argsort(part[order], kind="stable")]
+    return order
+
+
 def repeated_starts(contexts: list[bytes], length: int) -> np.ndarray:
     """For the contexts one after another (each followed by a separator): which positions start a string of ``length`` bytes that
     occurs at another position too."""
     raw = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 1
     raw[np.cumsum([len(c) + 1 for c in contexts]) - 1] = 0
     n = len(raw)
-    _, symbol = np.unique(raw, return_inverse=True)
-    size = int(symbol.max()) + 1
-    # order of the rotations: seven symbols at once, then twice as many each round, as far as ``length`` needs
-    packed = np.zeros(n, np.int64)
-    for k in range(7):
-        packed = packed << 9 | np.roll(symbol, -k)
-    order = np.argsort(packed, kind="stable")
-    depth = 7
+    mark = np.zeros(n + 1, np.int64)
+    present = np.zeros(257, np.int64)
+    present[raw] = 1
+    size = int(present.sum())
+    symbol = (np.cumsum(present) - 1)[raw]
+    # order of the rotations by their first 1, 2, 4, ... symbols, until ``length`` are covered
+    rank, depth, known = symbol, 1, {}
     while True:
-        ranked = packed[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
+        behind = np.concatenate((rank[depth % n:], rank[:depth % n]))
+        order = _order(behind, rank)
+        one, two = rank[order], behind[order]
+        fresh = np.empty(n, np.int64)
+        fresh[order] = np.concatenate(([0], np.cumsum((one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+        rank, depth = fresh, depth * 2
+        if depth in (8, 16):
+            known[depth] = rank
         if depth > length or rank[order[-1]] == n - 1:
             break
-        packed = rank * n + np.roll(rank, -depth)
-        order = np.argsort(packed, kind="stable")
-        depth *= 2
     bwt = symbol[order - 1]
     counts = np.bincount(symbol, minlength=size)
     before = np.concatenate(([0], np.cumsum(counts)[:-1]))  # where each symbol's rotations begin
-    occurs = np.zeros((n + 1, size), np.int32)
-    occurs[np.arange(1, n + 1), bwt] = 1
-    np.cumsum(occurs, axis=0, out=occurs)
-    occurs += before.astype(np.int32)
-    # lcp[i]: common prefix of rotations i - 1 and i of the order, or -1 if it is not below the level reached
-    lcp = np.full(n + 1, -1, np.int16)
-    lcp[[0, n]] = 0
-    lcp[before] = 0
-    now = np.flatnonzero(lcp == 0)
-    for level in range(1, length):
-        reached = occurs[now].ravel()
-        reached = reached[lcp[reached] < 0]
+    # row c: where a rotation that begins with c and goes on with the first i of the order would stand
+    occurs = np.empty((size, n + 1), np.uint16 if n < 65_535 else np.uint32)
+    occurs[:, 0] = before
+    for c in range(size):
+        np.cumsum(bwt == c, dtype=occurs.dtype, out=occurs[c, 1:])
+        occurs[c, 1:] += occurs.dtype.type(before[c])
+    # unset[i]: no common prefix of rotations i - 1 and i was found below the level reached
+    unset = np.ones(n + 1, bool)
+    unset[[0, n]] = False
+    unset[before] = False
+    level, now = 1, np.flatnonzero(~unset)
+    if length > 16 and 16 in known:
+        # the sort tells which prefixes are shorter than 8 and than 16; those from 8 on lead to all that have 16
+        shorter = {d: np.flatnonzero(np.diff(known[d][order])) + 1 for d in (8, 16)}
+        unset[shorter[16]] = False
+        level, now = 16, np.setdiff1d(shorter[16], shorter[8], assume_unique=True)
+    for _ in range(level, length):
+        reached = occurs.take(now, axis=1).ravel()
+        reached = reached[np.flatnonzero(unset.take(reached))]
         if not len(reached):
             break
-        lcp[reached] = level
-        now = np.unique(reached)
-    long = lcp < 0
+        unset[reached] = False
+        place = np.arange(len(reached))  # each once: a place is kept by whoever wrote it last
+        mark[reached] = place
+        now = reached[mark[reached] == place]
     found = np.zeros(n, bool)
-    found[order] = long[:-1] | long[1:]
+    found[order] = unset[:-1] | unset[1:]
     return found
 
 
@@ -158,7 +177,8 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
     """Repeated spans (doc, start, end) of the contexts that occur once; rows: (gram, once, doc, first, bytes), by gram."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, at = 0, None
+        group: list[tuple] = []  # the gram being read
+        size, grown, at = 0, 0, None
 
         def solved() -> pa.RecordBatch:
             found = repeated_starts([r[3] for r in held], length)
@@ -179,13 +199,21 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             grams, once, docs, firsts = (batch.column(i).to_pylist() for i in range(4))
             for g, o, d, f, raw in zip(grams, once, docs, firsts, batch.column(4)):
-                if g != at and size > CHUNK:
-                    yield solved()
-                    held, size = [], 0
+                if g != at and group:
+                    if held and size + grown > CHUNK:
+                        yield solved()
+                        held, size = [], 0
+                    held += group
+                    size += grown
+                    group, grown = [], 0
                 at = g
                 raw = raw.as_py()
-                held.append((o, d, f, raw))
-                size += len(raw)
+                group.append((o, d, f, raw))
+                grown += len(raw) + 1
+        if held and size + grown > CHUNK:
+            yield solved()
+            held = []
+        held += group
         if held:
             yield solved()
 
