@@ -177,7 +177,7 @@ def test_vectors_equal_all_pairs(spark, block, cells):
     component = connected({i for i, _ in rows}, links)
     n = {i: sum(i in e for e in links) for i, _ in rows}
     docs = spark.createDataFrame([(i, v, 1, "x") for i, v in rows] + [(None, rows[0][1], 1, "x")], "vec_id long, embedding array<double>, n long, v string")
-    got = embeddings.near_vectors(docs, block=block, cells=cells).collect()
+    got = embeddings.near_vectors(docs, block=block, cells=cells, margin=None).collect()
     assert len(got) == len(rows) + 1
     for r in got:
         if r.vec_id is not None:
@@ -185,6 +185,19 @@ def test_vectors_equal_all_pairs(spark, block, cells):
     assert embeddings.near_vectors(docs.where("false")).count() == 0
 
 
+def test_cells_find_nearly_all_links(spark):
+    """Recall against brute force of the default margin: links per vector on clustered vectors with pairs near the limit."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(120, 64))
+    noise = rng.normal(size=(1200, 64)) * rng.choice([0.1, 0.2, 0.28], size=(1200, 1))
+    x = np.repeat(base, 10, axis=0) + noise
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    real = (unit @ unit.T >= 0.95).sum() - len(x)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = sum(r.n_links for r in embeddings.near_vectors(rows).collect())
+    assert real > 1000 and 0.9 * real <= found <= real
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
