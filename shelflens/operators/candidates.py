@@ -22,14 +22,11 @@ from shelflens.functions import text as tx
 from shelflens.session import materialize
 
 HOT_KEY_SIGNATURES = 20_000
-TALLY_GROUPS = 100_000
 _OTHER = "~"
 
 # Classes of link keys; a key's number ends in its class, so shared keys can be counted by class.
 _PLAIN, _WEAK, _STRONG, _VARIANT, _PACKAGING, _SIZE = range(6)
 _CLASSES = 8
-# Counts of shared keys per class travel as digits of one number (at most 1023 tokens of a class per text).
-_DIGIT = 1 << 10
 
 
 def _brands() -> list[str]:
@@ -151,9 +148,10 @@ def _coded_products(groups: DataFrame, keys: DataFrame, seen: bool = False) -> D
 def _compared(pairs: DataFrame, p_seen: str) -> DataFrame:
     """What two signatures have in common, as a few numbers per pair."""
     c = F.col
-    ones = F.array(*[F.lit(_DIGIT ** k) for k in range(6)]).cast("array<bigint>")
-    tally = F.aggregate(c("_x"), F.lit(0).cast("bigint"),
-                        lambda acc, no: acc + F.element_at(ones, (no % _CLASSES + 1).cast("int")))
+
+    def shared_of(k: int) -> Column:
+        return F.size(F.filter("_x", lambda no: no % _CLASSES == k)).alias(f"n{k}")
+    shared = [shared_of(k) for k in range(1, 6)]
     subs = F.when(F.size("i_sub") > 0, F.size(F.filter(
         "i_sub", lambda p: F.array_contains(c("p_keys"), p["pt"]) & ~F.array_contains(F.coalesce(c(p_seen), c("p_keys")), p["rt"])
     ))).otherwise(0)
@@ -161,23 +159,20 @@ def _compared(pairs: DataFrame, p_seen: str) -> DataFrame:
         "i_fold", lambda no: F.array_contains(c("p_keys"), no)))).otherwise(0)
     brand = (c("i_brand_no") > 0) & (c("i_brand_no") == c("p_brand_no"))
     return pairs.select(
-        "i_no", "p_no", "i_total", "i_n", tally.alias("tally"), subs.alias("subs"), folds.alias("folds"), brand.alias("brand"),
+        "i_no", "p_no", "i_total", "i_n", F.size("_x").alias("n_all"), *shared, subs.alias("subs"), folds.alias("folds"), brand.alias("brand"),
         (brand & (c("i_base_no") > 0) & (c("i_base_no") == c("p_base_no"))).alias("family"),
         F.when(~c("p_has_size"), 0).when(~c("i_has_size"), 1).otherwise(2).alias("sized"),
         (c("i_has_var") & c("p_has_var")).alias("both_var"), (c("i_has_pack") & c("p_has_pack")).alias("both_pack"))
 
 
 def _unpacked(rows: DataFrame) -> DataFrame:
-    """Class counts and flags out of the tally."""
+    """Class counts and flags of a pair."""
     c = F.col
 
-    def digit(k: int) -> Column:
-        return F.shiftright("tally", 10 * k).bitwiseAND(_DIGIT - 1)
-    size_case = F.when(c("sized") < 2, c("sized")).when(digit(_SIZE) > 0, 2).otherwise(3)
+    size_case = F.when(c("sized") < 2, c("sized")).when(c(f"n{_SIZE}") > 0, 2).otherwise(3)
     out = rows.select(
-        "*", digit(_WEAK).alias("weak"), digit(_STRONG).alias("strong"), digit(_VARIANT).alias("var"), digit(_PACKAGING).alias("pack"),
-        (digit(_PLAIN) + digit(_WEAK) + digit(_STRONG) + digit(_VARIANT) + digit(_PACKAGING)).alias("common"),
-        size_case.alias("size_case"))
+        "*", c(f"n{_WEAK}").alias("weak"), c(f"n{_STRONG}").alias("strong"), c(f"n{_VARIANT}").alias("var"), c(f"n{_PACKAGING}").alias("pack"),
+        (c("n_all") - c(f"n{_SIZE}")).alias("common"), size_case.alias("size_case"))
     signals = c("brand").cast("int") + c("family").cast("int") + (c("size_case") == 2).cast("int")
     return out.select(
         "*", (c("family") & c("both_var") & (c("var") == 0)).alias("other_variant"),
@@ -241,63 +236,12 @@ def _best_groups(items: DataFrame, groups: DataFrame, join_keys: str, p_seen: st
 
 
 def _branch(items: DataFrame, groups: DataFrame, join_keys: str, p_seen: str, k: int, tier: int) -> DataFrame:
-    """The k best groups per item signature, with their product ids.
-
-    When every product key takes part in the join and the groups are counted to be few, items without token links are
-    tallied next to a broadcast; all others, and any larger catalogue, are scored in the shuffled join.
-    """
-    if join_keys == "p_keys" and groups.limit(TALLY_GROUPS + 1).count() <= TALLY_GROUPS:
-        plain = F.size("i_linked") == 0
-        kept = _best_by_tally(items.where(plain).withColumn("i_own", F.array_intersect("i_own", "i_join")), groups, k).unionByName(
-            _best_groups(items.where(~plain), groups, join_keys, p_seen, k))
-    else:
-        kept = _best_groups(items, groups, join_keys, p_seen, k)
+    """The k best groups per item signature, with their product ids."""
+    kept = _best_groups(items, groups, join_keys, p_seen, k)
     named = kept.join(groups.select("p_no", "ids"), "p_no").join(items.select("i_no", "i_sig"), "i_no")
     return named.select("i_sig", "score", "reasons", F.explode("ids").alias("product_id"), F.lit(tier).alias("_tier"))
 
 
-def _bits(side: str) -> Column:
-    """The scalars of a signature in one number: flags, family, brand and, for items, token count and weight total."""
-    c = F.col
-    flags = c(f"{side}_has_var").cast("bigint") + c(f"{side}_has_pack").cast("bigint") * 2 + c(f"{side}_has_size").cast("bigint") * 4
-    out = flags + c(f"{side}_base_no") * (1 << 3) + c(f"{side}_brand_no") * (1 << 9)
-    if side == "i":
-        out = out + c("i_n").cast("bigint") * (1 << 15) + c("i_total").cast("bigint") * (1 << 31)
-    return out.cast("bigint")
-
-
-def _bit_field(bits: str, at: int, width: int) -> Column:
-    return F.shiftright(bits, at).bitwiseAND((1 << width) - 1)
-
-
-def _best_by_tally(items: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """``_best_groups`` for a product side that fits a broadcast and items without token links.
-
-    Shared keys are then summed up per pair where the item is, as numbers only and without moving pairs; many
-    partitions keep each task's pairs few.
-    """
-    width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = items.select("i_no", _bits("i").alias("i_bits"), "i_own").repartition(width * 8, "i_no").select(
-        "i_no", "i_bits", F.explode("i_own").alias("_key"))
-    right = groups.select("p_no", _bits("p").alias("p_bits"), F.explode("p_keys").alias("_key"))
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_key") % _CLASSES * 10).cast("int"))
-    tallied = left.join(F.broadcast(right), "_key").groupBy("i_no", "p_no").agg(
-        F.sum(one).alias("tally"), F.max("i_bits").alias("i_bits"), F.max("p_bits").alias("p_bits"))
-    same = {n: _bit_field("i_bits", at, 6) == _bit_field("p_bits", at, 6) for n, at in (("base", 3), ("brand", 9))}
-    brand = (_bit_field("i_bits", 9, 6) > 0) & same["brand"]
-    flag = {n: (_bit_field("i_bits", at, 1) == 1, _bit_field("p_bits", at, 1) == 1) for n, at in (("var", 0), ("pack", 1), ("size", 2))}
-    rows = tallied.select(
-        "i_no", "p_no", F.shiftright("i_bits", 31).alias("i_total"), _bit_field("i_bits", 15, 16).alias("i_n"), "tally",
-        F.lit(0).alias("subs"), F.lit(0).alias("folds"), brand.alias("brand"),
-        (brand & (_bit_field("i_bits", 3, 6) > 0) & same["base"]).alias("family"),
-        F.when(~flag["size"][1], 0).when(~flag["size"][0], 1).otherwise(2).alias("sized"),
-        (flag["var"][0] & flag["var"][1]).alias("both_var"), (flag["pack"][0] & flag["pack"][1]).alias("both_pack"))
-    scored = _unpacked(rows).withColumn("score", _score())
-    best = Window.partitionBy("i_no").orderBy(F.col("score").desc(), F.col("p_no"))
-    top = scored.withColumn("_g", F.row_number().over(best)).where((F.col("_g") <= k) & (F.col("score") > 0))
-    return top.select("i_no", "p_no", "score", _reasons().alias("reasons"))
-
-
 def _hot_keys(coded: DataFrame, keys: DataFrame, limit: int) -> dict[str, int]:
     """Keys on more than ``limit`` product groups: at most (all keys / limit) of them, so they fit the driver."""
     counts = coded.select(F.explode("p_keys").alias("key_no")).groupBy("key_no").count()

@@ -193,9 +193,9 @@ def coverage_report(coverage: DataFrame, products: DataFrame) -> DataFrame:
     labels = F.array_join("unresolved_labels", ", ")
     warnings = F.array_compact(F.array(
         F.when(c("resolved_stores") == 0,
-               "no_store_resolved: все ячейки конкурентов останутся пустыми"),
+               "no_store_resolved"),
         F.when((c("resolved_stores") > 0) & (c("coverage_pct") < fv.LOW_COVERAGE_PCT), F.concat(
-            F.lit("low_coverage: цены есть в "), c("coverage_pct").cast("string"), F.lit(" % ячеек"))),
+            F.lit("low_coverage: "), c("coverage_pct").cast("string"), F.lit(" %"))),
         F.when(n > 0, F.concat(F.lit("unresolved_columns: "), n.cast("string"), F.lit(" — "), labels)),
         F.when(c("unmapped_rows") > 0, F.concat(
             F.lit("unknown_barcodes: "), c("unmapped_rows").cast("string"))),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelflens.functions import fixed_values as fv
 from shelflens.functions import text as tx
-from shelflens.operators import candidates, decisions as dc
+from shelflens.operators import decisions as dc
 from shelflens.operators.candidates import catalog_candidates
 
 CATALOG = [
@@ -138,10 +138,16 @@ def plain_score(item, product):
     return int(max(0, min(points, 9900)) + 0.5) / 10000
 
 
-@pytest.mark.parametrize("hot, tallied", [(1, 0), (1, 10), (3, 100_000), (10, 100_000), (10_000, 100_000), (10_000, 0)])
-def test_join_equals_pair_by_pair_scoring(spark, monkeypatch, hot, tallied):
-    """Whatever counts as a frequent key or a small catalogue, the top candidates are those of scoring every pair."""
-    monkeypatch.setattr(candidates, "TALLY_GROUPS", tallied)
+def test_long_texts_keep_their_score(spark):
+    """Shared tokens are counted apart by class, however many there are."""
+    long = " ".join(f"слово{n}" for n in range(2000))
+    got = ranked(catalog_candidates(items(spark, [long, "слово1 слово2"]), products(spark, [("p", long, None, None)]), k=1))
+    assert [(p, s) for p, s, _ in got[0]] == [("p", plain_score(long, long))]
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10, 10_000])
+def test_join_equals_pair_by_pair_scoring(spark, hot):
+    """Whatever counts as a frequent key, the top candidates are those of scoring every pair."""
     rng = random.Random(7)
     words = ["nivea", "сплат", "splat", "колгейт", "крем", "гель", "паста", "кокос", "алоэ", "пакет", "туба", "соленый",
              "молоко", "молок", "шоколадка", "шоколад", "color", "душ", "zhuk", "жук", "олива"]

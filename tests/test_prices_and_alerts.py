@@ -43,6 +43,34 @@ def test_previous_crosses_days_and_zero_prices(spark):
     assert [r["obs_id"] for r in ph.out_of_stock_transitions(rows).collect()] == [3]
 
 
+def test_a_busy_day_of_one_key_stays_linear(spark):
+    rows = spark.range(300_000).select(
+        F.lit("p").alias("product_id"), F.lit("s").alias("store_id"), F.col("id").alias("price_minor"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 3600).alias("observed_at"), F.col("id").alias("obs_id"))
+    got = ph.with_previous(rows, ["product_id", "store_id"], ["observed_at", "obs_id"], ["price_minor"])
+    assert got.agg(F.count_if("has_previous"), F.count("*")).first()[:] == (299_999, 300_000)
+
+
+def test_rules_meet_rows_by_equality_and_threshold(spark):
+    changes = spark.createDataFrame([(n, n % 3, float(n), "p", "s") for n in range(30)], "obs_id int, source_id int, change_pct double, product_id string, store_id string")
+    rules = spark.createDataFrame([("a", None, "price_change", 20.0, True), ("b", 1, "price_change", 5.0, True), ("c", 1, "price_change", 5.0, False)],
+                                  "rule_id string, source_id int, alert_type string, threshold double, enabled boolean")
+    alerts = al.price_change_alerts(changes, rules)
+    got = sorted((r["rule_id"], int(r["value"])) for r in alerts.collect())
+    assert got == sorted([("a", n) for n in range(20, 30)] + [("b", n) for n in range(30) if n % 3 == 1 and n >= 5])
+    plan = alerts._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_an_emptied_report_set_is_gone_after_the_next_export(spark, tmp_path, monkeypatch):
+    from shelflens.operators import sessions as se
+    monkeypatch.setattr(se, "report_sets", lambda rows: rows)
+    path = str(tmp_path / "sets")
+    se.write_report_sets(spark.createDataFrame([("1", "a"), ("2", "b")], "item_id string, report_set string"), path)
+    se.write_report_sets(spark.createDataFrame([("1", "a")], "item_id string, report_set string"), path)
+    assert [r["report_set"] for r in spark.read.parquet(path).collect()] == ["a"]
+
+
 def test_one_hot_key_agrees_with_a_plain_window(spark):
     from pyspark.sql import Window
     rows = spark.range(20000).select(
@@ -121,8 +149,7 @@ def test_template_end_to_end(spark):
     report = tp.coverage_report(coverage, rows).first()
     assert (report["filled_cells"], report["total_cells"], report["coverage_pct"], report["unresolved_columns"], report["unmapped_rows"]) == (1, 2, 50, 1, 1)
     assert report["low_confidence_rows"] == 2 and report["warnings"] == [
-        "Колонки без магазина (1): Магнит.", "В шаблоне 1 товаров, чей штрихкод не найден в каталоге — цены не подставятся.",
-        "Найдено 2 товаров с низкой уверенностью сопоставления (ниже 0.7)."]
+        "unresolved_columns: 1 — Магнит", "unknown_barcodes: 1", "low_confidence: 2 (< 0.7)"]
 
 
 def test_golden_accuracy_of_no_samples(spark):

@@ -73,6 +73,20 @@ def test_latest_table_over_steps(spark, tmp_path):
     assert got == expected
 
 
+def test_latest_table_drops_versions_nobody_needs(spark, tmp_path):
+    rows, source, base = observations(spark), str(tmp_path / "in"), str(tmp_path / "latest")
+    steps = [(n * 40, n * 40 + 40) for n in range(6)]
+    for _ in feed(rows, source, steps):
+        stream = jobs.read_observations(spark, source, rows.schema)
+        jobs.maintain_latest(stream, base, str(tmp_path / "latest-checkpoint"), ["product_id", "store_id"], ["observed_at", "obs_id"], buckets=2,
+                             files_per_bucket=2, keep_versions=2).awaitTermination()
+    assert len(jobs._numbers(spark, base, "manifest")) == 2
+    named = set(jobs._manifest(spark, base).values()) | set(jobs._manifest(spark, base, jobs._numbers(spark, base, "manifest")[0]).values())
+    left = [v for v in jobs._numbers(spark, base, "version") if jobs._numbers(spark, f"{base}/version={v}", "bucket")]
+    assert set(left) == named
+    assert jobs.read_latest(spark, str(tmp_path / "nothing")) is None
+
+
 def test_stale_runs_fire_on_event_time(spark, tmp_path):
     events = [(1, "running", "2024-01-01 00:00:00"), (2, "running", "2024-01-01 00:00:00"), (2, "succeeded", "2024-01-01 00:10:00"), (9, "queued", "2024-01-01 03:00:00")]
     df = spark.createDataFrame(events, "run_id bigint, status string, at string").select("run_id", "status", F.col("at").cast("timestamp").alias("event_at"))
