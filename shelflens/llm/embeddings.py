@@ -63,10 +63,10 @@ def _scaled(vectors: DataFrame, id: str, column: str) -> DataFrame:
 
 def _centres(distinct: DataFrame, cells: int, rounds: int, sample_rows: int) -> dict[int, np.ndarray]:
     """Centres per vector length, from a sample of at most ``sample_rows`` rows taken by hash: the only rows the driver sees."""
-    sample = distinct.select("dim", "v").orderBy(F.xxhash64("v")).limit(sample_rows).toPandas()
-    out = {}
-    for dim, part in sample.groupby("dim"):
-        x = np.frombuffer(b"".join(part.v), float).reshape(-1, dim)
+    sample = distinct.select("dim", "v").orderBy(F.xxhash64("v")).limit(sample_rows).toArrow()
+    dims, out = sample["dim"].to_numpy(), {}
+    for dim in np.unique(dims).tolist():
+        x = np.frombuffer(b"".join(sample["v"].take(np.flatnonzero(dims == dim)).to_pylist()), float).reshape(-1, dim)
         centres = x[:max(1, min(cells, len(x) // 16))].copy()
         for _ in range(rounds):
             near = np.argmax(x @ centres.T, axis=1)
