@@ -2,12 +2,13 @@
 
 1. Vectors are scaled to length 1 in double precision; equal vectors become one with a number of copies.
 2. Spherical k-means on a bounded sample (``SAMPLE_ROWS`` rows by hash) gives the cells' centres; every vector has a home cell.
-3. A vector also visits every cell whose centre is almost as near as its own (``MARGIN`` in cosine), so that partners on two
-   sides of a border meet. For directions that fill 64 dimensions, a partner at cosine 0.95 changes the difference of two
-   centres by 0.055 in standard deviation, partners nearer than that by less; measured recall on the test tables is 1.0.
-   ``margin=None`` takes the exact bound of the triangle inequality instead (2 t in angle), which visits many more cells.
-4. A cell is cut into blocks of ``BLOCK`` vectors; each pair of blocks is one matrix product. It gives the number of links per
-   vector, and edges enough to connect what is linked, not all pairs.
+3. A cell is cut into blocks of ``BLOCK`` vectors, each packed as one row. Every two blocks are compared but those that the centres
+   rule out: a block lies at least ``gap`` from the plane between its own centre and another one, and vectors at cosine
+   ``least`` are at most sqrt(2 - 2 least) apart, so two blocks whose gaps add up to more hold no link. No link is missed.
+4. Blocks meet in a nested loop over partitions, which streams them: no vector is shuffled a second time, and a task holds one
+   partition of blocks and one Arrow batch. Each pair of blocks is one matrix product. It gives the number of links per vector,
+   and edges enough to connect what is linked, not all pairs. Directions that fill all dimensions have small gaps: their work
+   grows with the square of their number.
 5. Components are contracted from these edges; one vector of each is kept.
 
 Defined results: null, empty or zero vectors and vectors with null or non-finite components link with nothing (also not with
@@ -31,7 +32,6 @@ SAMPLE_ROWS = 20_000
 CELLS = 64
 ROUNDS = 8
 BLOCK = 1024
-MARGIN = 0.1
 
 
 def _unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,35 +78,63 @@ def _centres(distinct: DataFrame, cells: int, rounds: int, sample_rows: int) ->
     return out
 
 
-def _placed(distinct: DataFrame, centres, least: float, margin: float | None) -> DataFrame:
-    """(dim, cell, home, n, copies, v): every vector in its home cell and as a visitor where a partner may be at home."""
-    spread = 2 * np.arccos(least)
-
+def _placed(distinct: DataFrame, centres) -> DataFrame:
+    """(node, dim, cell, copies, v): every vector in its home cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(1).to_numpy()
+            cell = np.zeros(len(dims), np.int32)  # a length the sample lacks: one cell
             for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                x = np.frombuffer(b"".join(batch.column(3).take(pa.array(rows)).to_pylist()), float).reshape(-1, dim)
                 c = centres.value.get(int(dim))
-                if c is None:  # a length the sample lacks: one cell
-                    row, cell, home = np.arange(len(x)), np.zeros(len(x), int), np.ones(len(x), bool)
-                else:
-                    near = x @ c.T
-                    own = near.argmax(axis=1)
-                    best = near.max(axis=1)[:, None]
-                    if margin is None:
-                        angle = np.arccos(np.clip(near, -1, 1))
-                        row, cell = np.nonzero(angle <= np.arccos(np.clip(best, -1, 1)) + spread + 1e-9)
-                    else:
-                        row, cell = np.nonzero(near >= best - margin)
-                    home = cell == own[row]
-                taken = batch.take(pa.array(rows[row]))
-                yield pa.RecordBatch.from_arrays(
-                    [taken.column(0), taken.column(1), pa.array(cell.astype(np.int32)), pa.array(home), taken.column(2), taken.column(3)],
-                    names=["node", "dim", "cell", "home", "copies", "v"])
-
-    return distinct.select("node", "dim", "copies", "v").mapInArrow(run, "node long, dim int, cell int, home boolean, copies long, v binary")
+                if c is not None:
+                    rows = np.flatnonzero(dims == dim)
+                    x = np.frombuffer(b"".join(batch.column(3).take(pa.array(rows)).to_pylist()), float).reshape(-1, dim)
+                    cell[rows] = (x @ c.T).argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), batch.column(2), batch.column(3)],
+                                             names=["node", "dim", "cell", "copies", "v"])
+
+    return distinct.select("node", "dim", "copies", "v").mapInArrow(run, "node long, dim int, cell int, copies long, v binary")
+
+
+def _gaps(x: np.ndarray, cell: int, c: np.ndarray | None) -> np.ndarray:
+    """Per centre, how far all of ``x`` stay on the own side of the plane between it and the own centre; 0 for the own one."""
+    if c is None:
+        return np.zeros(1)
+    apart = np.linalg.norm(c[cell] - c, axis=1)
+    near = x @ c.T
+    return np.where(apart > 0, (near[:, [cell]] - near).min(axis=0) / np.maximum(apart, 1e-300), 0.0)
+
+
+def _packed(placed: DataFrame, centres, block: int) -> DataFrame:
+    """(dim, cell, block, gap, node, copies, v): one row per block, the last three as the bytes of its vectors' values."""
+    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    units = placed.join(sizes, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int"))
+
+    def pack(keys: tuple, part: pa.Table) -> pa.Table:
+        dim, cell, number = (k.as_py() for k in keys)
+        v = b"".join(part["v"].to_pylist())
+        gap = _gaps(np.frombuffer(v, float).reshape(-1, dim), cell, centres.value.get(dim))
+        return pa.table({"dim": pa.array([dim], pa.int32()), "cell": pa.array([cell], pa.int32()), "block": pa.array([number], pa.int32()),
+                         "gap": pa.array([gap.tolist()], pa.list_(pa.float64())),
+                         **{c: pa.array([part[c].to_numpy().tobytes()], pa.binary()) for c in ("node", "copies")}, "v": pa.array([v], pa.binary())})
+
+    return units.select("dim", "cell", "block", "node", "copies", "v").groupBy("dim", "cell", "block").applyInArrow(
+        pack, "dim int, cell int, block int, gap array<double>, node binary, copies binary, v binary")
+
+
+def _meetings(blocks: DataFrame, least: float, margin: float | None) -> DataFrame:
+    """Every two blocks of one vector length that may hold a link, each pair once, a block also with itself."""
+    one, two = (blocks.select([F.col(c).alias(f"{c}_{side}") for c in blocks.columns]) for side in "ab")
+    c = F.col
+    gap_a, gap_b = F.get("gap_a", c("cell_b")), F.get("gap_b", c("cell_a"))
+    # lengths are compared by two bounds: as an equality they would be a join key, and one length one task
+    may = ((c("dim_a") <= c("dim_b")) & (c("dim_a") >= c("dim_b"))
+           & ((c("cell_a") < c("cell_b")) | ((c("cell_a") == c("cell_b")) & (c("block_a") <= c("block_b"))))
+           & (gap_a + gap_b <= max(0.0, 2 - 2 * least) ** 0.5 + 1e-9))
+    if margin is not None:
+        may = may & (F.least(gap_a, gap_b) <= margin)
+    return one.join(two, may).select(c("dim_a").alias("dim"), ((c("cell_a") == c("cell_b")) & (c("block_a") == c("block_b"))).alias("same"),
+                                     *[f"{x}_{side}" for x in ("node", "copies", "v") for side in "ab"])
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,51 +154,47 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
 
 def near_vectors(vectors: DataFrame, id: str = "vec_id", column: str = "embedding", least: float = LEAST, cells: int = CELLS,
                  sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, block: int = BLOCK,
-                 margin: float | None = MARGIN) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row of ``vectors``."""
+                 margin: float | None = None) -> DataFrame:
+    """(id, n_links, component_id, kept) for every row of ``vectors``.
+
+    With a ``margin``, blocks that both lie farther than it from the plane between their cells are left out, and links may be missed.
+    """
     spark = vectors.sparkSession
     rows = materialize(_scaled(vectors, id, column), "scaled")
     usable = rows.where("v is not null and id is not null").select("id", "dim", "v").distinct()
     distinct = materialize(usable.groupBy("dim", "v").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "distinct")
     centres = spark.sparkContext.broadcast(_centres(distinct, cells, rounds, sample_rows))
-    placed = materialize(_placed(distinct, centres, least, margin), "placed")
-    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    units = (placed.join(sizes, ["dim", "cell"])
-             .withColumn("block", F.pmod(F.xxhash64("node", "v"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
-
-    def compare(keys: tuple, part: pa.Table) -> pa.Table:
-        dim = keys[0].as_py()
-        x = np.frombuffer(b"".join(part["v"].to_pylist()), float).reshape(-1, dim)
-        node, home, copies, own = (part[c].to_numpy() for c in ("node", "home", "copies", "block"))
-        one, two = np.flatnonzero(own == keys[2].as_py()), np.flatnonzero(own == keys[3].as_py())
-        links, same = np.zeros(len(x), np.int64), keys[2].as_py() == keys[3].as_py()
-        a, b = [], []
-        for at in range(0, len(one), 512):
-            left = one[at:at + 512]
-            near = x[left] @ x[two].T >= least
-            # a pair counts in the home cell of its smaller node: once
-            u, v = np.nonzero(near)
-            u, v = left[u], two[v]
-            keep = (node[u] < node[v]) if same else (node[u] != node[v])
-            u, v = u[keep], v[keep]
-            first = np.where(node[u] < node[v], u, v)
-            counted = home[first]
-            u, v = u[counted], v[counted]
-            np.add.at(links, u, copies[v])
-            np.add.at(links, v, copies[u])
-            a.append(u)
-            b.append(v)
-        a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (a, b))
-        p, q = _forest(a, b, len(x))
-        some = np.flatnonzero(links)
-        return pa.table({"a": np.concatenate((node[p], node[some])), "b": np.concatenate((node[q], node[some])),
-                         "n": np.concatenate((np.zeros(len(p), np.int64), links[some]))})
-
-    met = units.select("dim", "cell", "i", "j", "node", "home", "copies", "block", "v").groupBy("dim", "cell", "i", "j").applyInArrow(
-        compare, "a long, b long, n long")
-    met = materialize(met, "met")
+    placed = materialize(_placed(distinct, centres), "placed")
+    blocks = materialize(_packed(placed, centres, block), "blocks")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, same, *raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:]):
+                node_a, node_b, copies_a, copies_b = (np.frombuffer(r.as_buffer(), np.int64) for r in raw[:4])
+                x, y = (np.frombuffer(r.as_buffer(), float).reshape(-1, dim) for r in raw[4:])
+                links_a, links_b = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+                a, b = [], []
+                for at in range(0, len(x), 512):
+                    u, v = np.nonzero(x[at:at + 512] @ y.T >= least)
+                    u = u + at
+                    keep = (node_a[u] < node_b[v]) if same else (node_a[u] != node_b[v])
+                    u, v = u[keep], v[keep]
+                    np.add.at(links_a, u, copies_b[v])
+                    np.add.at(links_b, v, copies_a[u])
+                    a.append(u)
+                    b.append(v)
+                if same:
+                    node, links, shift = node_a, links_a + links_b, 0
+                else:
+                    node, links, shift = np.concatenate((node_a, node_b)), np.concatenate((links_a, links_b)), len(x)
+                some = np.flatnonzero(links)
+                if len(some):
+                    p, q = _forest(np.concatenate(a), np.concatenate(b) + shift, len(node))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate((node[p], node[some]))), pa.array(np.concatenate((node[q], node[some]))),
+                         pa.array(np.concatenate((np.zeros(len(p), np.int64), links[some])))], names=["a", "b", "n"])
+
+    met = materialize(_meetings(blocks, least, margin).mapInArrow(compare, "a long, b long, n long"), "met")
     counts = met.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     groups = components(met.where("n = 0").select("a", "b"))
     classes = (distinct.join(counts, "node", "left").join(groups, "node", "left")

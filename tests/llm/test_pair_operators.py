@@ -198,6 +198,25 @@ def test_cells_find_nearly_all_links(spark):
     assert real > 1000 and 0.9 * real <= found <= real
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_default_finds_all_links_in_few_dimensions(spark, block):
+    """Vectors of eight effective dimensions: many pairs lie across a border of cells and far from it on one side."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(600, 8))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    x = np.concatenate((base, 0.952 * base + (1 - 0.952 ** 2) ** 0.5 * other)) @ np.linalg.qr(rng.normal(size=(64, 8)))[0].T
+    real = x @ x.T >= 0.95
+    np.fill_diagonal(real, False)
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(real)) if a < b]
+    component = connected(range(len(x)), links)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(rows, block=block).collect()}
+    assert got == {i: (int(real[i].sum()), component[i]) for i in range(len(x))}
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
