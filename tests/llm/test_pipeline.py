@@ -53,6 +53,19 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert 204 in texts and "<EMAIL>" in texts[204] and "<PHONE>" in texts[204] and 200 not in texts
 
 
+def test_rows_of_one_id_are_judged_each_on_its_text(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("alpha beta gamma delta river stone cloud house".split()) + str(rng.randrange(90)) for _ in range(n))
+    first, item, clean, other = text(60), text(30), text(60), text(60)
+    rows = [(1, first), (7, first + " end"), (7, clean), (7, clean), (8, text(5) + " " + item), (8, other), (None, first + " stop"), (None, text(40))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    single = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert pairs(single) == sorted([rows[n] for n in (0, 2, 4, 5, 7)], key=repr)
+    assert pairs(corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))) == sorted([r for n, r in enumerate(rows) if n != 4], key=repr)
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     docs = spark.createDataFrame([(None, "only text here", None, "s", 14, "x"), (1, None, "en", "s", 0, "y"), (2, "other words entirely", "en", "s", 20, "z")], DOCS + ", id string")
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
