@@ -126,7 +126,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 
 
 def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """Replaces every span of score ``least`` or more by <KIND>; overlapping spans are replaced by the first of them.
+    """Replaces every span of score ``least`` or more by <KIND>; spans that overlap become one tag, that of the first of them.
 
     The text is cut at the spans in order of their start, so each character is copied once.
     """
@@ -134,7 +134,7 @@ def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame
                                        lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     first = F.aggregate(
         ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
+        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))).otherwise(F.struct(
             s["end"].alias("at"), F.concat(acc["parts"], F.array(
                 F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))).alias("parts"))),
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))

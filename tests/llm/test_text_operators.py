@@ -63,6 +63,12 @@ def test_pii_redaction_keeps_the_rest(spark):
     assert got == {1: "ab 😀 <EMAIL> gh <PHONE>.", 2: None, 3: "plain"}
 
 
+def test_pii_redaction_leaves_no_tail_of_overlapping_spans(spark):
+    texts = ["to bob@site.com-4111 1111 1111 1111 now", "+4917012345678@sms.example.de!", "bob@site.com-4111 1111 1111 1111 or a@b.cd"]
+    got = {r.doc_id: r.text for r in pii.redact(frame(spark, [(n, t, "en") for n, t in enumerate(texts)])).collect()}
+    assert got == {0: "to <EMAIL> now", 1: "<PHONE>!", 2: "<EMAIL> or <EMAIL>"}
+
+
 def test_pii_stays_in_expressions(spark):
     plan = pii.find(frame(spark, EDGE))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
