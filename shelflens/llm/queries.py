@@ -164,8 +164,8 @@ def archive_records(pages):
                     F.octet_length(html).cast("string"), "\r\n\r\n", html)
     own = F.when(i % 11 == 0, "").when(i % 5 == 0, text("Last-Modified: ", stamp(modified), "\r\n")).when(
         i % 7 == 0, text("ETag: \"", etag, "x\"\r\n")).otherwise(text("ETag: W/\"", etag, "\"\r\n"))
-    other = F.when(F.col("url").startswith("https:"), F.concat(F.lit("http:"), F.substring("url", 7, 10_000))).otherwise(
-        F.concat(F.lit("https:"), F.substring("url", 6, 10_000)))
+    other = F.when(F.col("url").startswith("https:"), F.concat(F.lit("http:"), F.substr("url", F.lit(7)))).otherwise(
+        F.concat(F.lit("https:"), F.substr("url", F.lit(6))))
     revisit = text("WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Target-URI: ", other, "\r\nWARC-Date: ", stamp(again), "\r\n\r\nHTTP/1.1 304 Not Modified\r\n", own,
                    "cache-control: max-age=", (i % 4 * 100).cast("string"), "\r\nContent-Length: 0\r\n\r\n")
     made = F.array(F.struct((i * 2).alias("record_id"), response.alias("record")), F.struct((i * 2 + 1).alias("record_id"), revisit.alias("record")))

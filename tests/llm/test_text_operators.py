@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from shelflens.llm import langid, pieces, pii, queries, secrets, toxicity
+from shelflens.llm import langid, pieces, pii, queries, secrets, toxicity, warc
 from shelflens.llm.common import split_remainder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, h string"
@@ -240,3 +240,12 @@ def test_query_digests(spark, small):
     for r in queries.personal_data(spark, small).collect():
         spans = [f"{k}:{m.start()}:{m.end()}" for k, p, ok in PII for m in re.finditer(p, docs[r.doc_id]) if ok(m.group())]
         assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest() and r.n_email + r.n_ip + r.n_card + r.n_phone == len(spans)
+
+
+def test_revisits_of_long_urls_are_resolved(spark):
+    urls = ["https://www.shop.example/" + "a/" * 6000 + "item?b=1", "http://shop.example/" + "b" * 12_000]
+    pages = spark.createDataFrame([(n, u, f"<p>{n}</p>") for n, u in zip((2, 3), urls)], "page_id long, url string, html string")
+    records = queries.archive_records(pages).collect()
+    targets = {r.record_id: r.record.split("WARC-Target-URI: ")[1].split("\r\n")[0] for r in records}
+    assert targets == {4: urls[0], 5: "http" + urls[0][5:], 6: urls[1], 7: "https" + urls[1][4:]}
+    assert {r.record_id: r.outcome for r in warc.resolve(warc.parse(queries.archive_records(pages))).collect()} == {5: "resolved", 7: "resolved"}
