@@ -1,8 +1,8 @@
 """Secrets in source and configuration text.
 
 Base kinds are plain patterns (assign, access, hex). The method reads the text as a series of bindings, name op literal, in
-one pass: names may be dotted, quoted or dashed; operators are = : := =>; literals are quoted strings (joined by +), bare words
-or names bound earlier, whose constant they take over. A literal is scored by how sensitive its target name is and by how much
+one pass: names may be dotted, quoted or dashed; operators are = : := =>; literals are quoted strings, bare words
+or names bound earlier, whose constant they take over, and sums (+) of strings and names; a name not bound adds nothing. A literal is scored by how sensitive its target name is and by how much
 it looks like a credential; ``literal`` spans are the literals of score ``LEAST`` or more that no base span covers.
 
 Defined results: a null text is an empty text; offsets are code points, the end exclusive; spans come by start, then by kind in
@@ -34,27 +34,33 @@ NAME_WEIGHT = {
     "credentials": 0.8, "auth": 0.5, "bearer": 0.7, "private": 0.4, "key": 0.4, "access": 0.3, "api": 0.3, "client": 0.1, "signature": 0.4,
     "salt": 0.4, "cookie": 0.4, "session": 0.3, "connection": 0.2, "dsn": 0.4,
 }
+#: Parts of a name whose value may be a phrase of several words.
+PHRASE = {"password", "passwd", "pwd", "passphrase"}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|change_?me|example|placeholder|your[_-].*|test|none|null|true|false|todo|redacted|<.*>|\$\{.*\}|\{\{.*\}\})$")
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
 _STRING = r'"(?:[^"\\\n]|\\.)*+"' + r"|'(?:[^'\\\n]|\\.)*+'"
 BINDING = re.compile(
-    rf"""(?<![A-Za-z0-9_.\-])(?P<name>{_NAME})["']?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*(?P<value>(?:{_STRING})(?:[ \t]*\+[ \t]*(?:{_STRING}|{_NAME}))*+|[^\s"',;(){{}}\[\]<>]++)""",
+    rf"""(?<![A-Za-z0-9_.\-])(?P<name>{_NAME})["']?[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*(?P<value>(?:{_STRING})(?:[ \t]*\+[ \t]*(?:{_STRING}|{_NAME}))*+|{_NAME}(?:[ \t]*\+[ \t]*(?:{_STRING})|[ \t]++\+[ \t]++{_NAME})++|[^\s"',;(){{}}\[\]<>]++)""",
     re.A)
+_SUM = re.compile(r"[ \t]*\+[ \t]*[\"']|[ \t]+\+[ \t]+[A-Za-z_]")
 _PART = re.compile(rf"{_STRING}|{_NAME}", re.A)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
+def _parts(name: str) -> set[str]:
+    parts = [p.lower() for p in _WORDS.findall(name)]
+    return {a + b for a, b in zip(parts, parts[1:])} | set(parts)
+
+
 def name_score(name: str) -> float:
     """How sensitive a target name is, from the weights of its parts (camel case, dots, dashes and underscores part them)."""
-    parts = [p.lower() for p in _WORDS.findall(name)]
-    whole = {a + b for a, b in zip(parts, parts[1:])} | set(parts)
-    return 1 - math.prod(1 - NAME_WEIGHT.get(p, 0.0) for p in whole)
+    return 1 - math.prod(1 - NAME_WEIGHT.get(p, 0.0) for p in _parts(name))
 
 
-def value_score(value: str) -> float:
-    """How much a literal looks like a credential: length, characters spread evenly, letters mixed with digits."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or " " in value:
+def value_score(value: str, phrase: bool = False) -> float:
+    """How much a literal looks like a credential: length, characters spread evenly, letters mixed with digits; spaces only in a phrase."""
+    if len(value) < 8 or PLACEHOLDER.match(value) or (" " in value and not phrase):
         return 0.0
     counts = Counter(value)
     bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
@@ -68,9 +74,20 @@ def literals(text: str) -> list[tuple[int, int, str, str, float]]:
         return []
     known: dict[str, str] = {}
     out = []
-    for m in BINDING.finditer(text):
-        name, raw = m["name"], m["value"]
+    at = 0
+    while m := BINDING.search(text, at):
+        name, raw, at = m["name"], m["value"], m.end()
         start, end = m.span("value")
+        first = _PART.match(raw)
+        if raw[0] not in "\"'" and first and _SUM.match(raw, first.end()):
+            at = start + first.end()  # the strings of a sum that begins with a name are read for bindings of their own, too
+            value = "".join(p[1:-1] if p[0] in "\"'" else known.get(p, "") for p in _PART.findall(raw))
+            phrase = " " in value and not PHRASE.isdisjoint(_parts(name))
+            if first[0] in known or value_score(value, phrase) >= value_score(first[0]):
+                known[name] = value
+                out.append((start, end, name, value, name_score(name) * value_score(value, phrase)))
+                continue
+            raw = first[0]  # an unquoted literal and something added
         if raw[0] in "\"'":
             parts = [p.group() for p in _PART.finditer(raw)]
             value = "".join(p[1:-1] if p[0] in "\"'" else known.get(p, "") for p in parts)
@@ -81,7 +98,7 @@ def literals(text: str) -> list[tuple[int, int, str, str, float]]:
             end = start + len(raw)
             value = known.get(raw, raw)
         known[name] = value
-        score = name_score(name) * value_score(value)
+        score = name_score(name) * value_score(value, " " in value and not PHRASE.isdisjoint(_parts(name)))
         out.append((start, end, name, value, score))
     return out
 

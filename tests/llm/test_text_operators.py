@@ -249,3 +249,21 @@ def test_revisits_of_long_urls_are_resolved(spark):
     targets = {r.record_id: r.record.split("WARC-Target-URI: ")[1].split("\r\n")[0] for r in records}
     assert targets == {4: urls[0], 5: "http" + urls[0][5:], 6: urls[1], 7: "https" + urls[1][4:]}
     assert {r.record_id: r.outcome for r in warc.resolve(warc.parse(queries.archive_records(pages))).collect()} == {5: "resolved", 7: "resolved"}
+
+
+def test_secrets_of_sums_that_begin_with_a_name():
+    found = lambda t: [t[a:b] for k, a, b, *_ in secrets.spans(t) if k == "literal"]
+    assert found('part = "s3cr"\nauthToken = part + "9xyzQ7"\n') == ['part + "9xyzQ7"']
+    assert found('a = "s3cr3tv4"\nb = "9xyzQ7"\nauthToken = a + b\nauthKey = authToken\n') == ["a + b", "authToken"]
+    assert found('authToken = prefix + "ab"') == [] and found('authToken = prefix + "s3cr3tv49xyzQ7"') == ['prefix + "s3cr3tv49xyzQ7"']
+    assert found("private_secret => Ab3dEf6hIj9kLmNo + salt") == found("private_secret => Ab3dEf6hIj9kLmNo") == ["Ab3dEf6hIj9kLmNo"]
+    assert found("authToken => abcd+efgh1234/Zx81kQ") == ["abcd+efgh1234/Zx81kQ"]
+    assert found("msg = prefix + 'passphrase: Zx81kQ92pLmN'") == ["Zx81kQ92pLmN"]
+
+
+def test_secrets_of_several_words():
+    found = lambda t: [t[a:b] for k, a, b, *_ in secrets.spans(t) if k == "literal"]
+    assert found('wallet_passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert found("dbPassword: 'plum over 9 quiet rivers'") == ["plum over 9 quiet rivers"]
+    assert found('phrase = "correct horse battery staple"\npass_phrase = phrase\n') == ["phrase"]
+    assert found('token_title = "correct horse battery staple"') == found('password = "        "') == []
