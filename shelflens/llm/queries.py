@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflens.llm import decontaminate, embeddings, langid, minhash, pieces, pii, secrets, suffix, toxicity, warc
+from shelflens.llm import align, decontaminate, embeddings, langid, minhash, pieces, pii, secrets, suffix, toxicity, warc
 from shelflens.llm.common import split_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,13 @@ def warc_revisits(spark, folder):
     found = warc.resolve(warc.parse(archive_records(table(spark, folder, "pages"))))
     lines = F.array_join(F.transform("headers", lambda h: F.concat_ws("=", h["name"], h["value"])), ";")
     return found.withColumn("headers", lines)
+
+
+def tokenizer(spark: SparkSession, name: str) -> str:
+    """The path of a public tokenizer's file; ``spark.shelflens.tokenizers`` names the folder."""
+    return f"{spark.conf.get('spark.shelflens.tokenizers', '/opt/tokenizers')}/{name}"
+
+
+@query("op13_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark, folder):
+    return align.alignments(table(spark, folder, "documents"), tokenizer(spark, "byte_bpe_50k.json"), tokenizer(spark, "piece_bpe_32k.model"))
