@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelflens.llm import align, decontaminate, embeddings, langid, minhash, pieces, pii, secrets, suffix, toxicity, warc
+from shelflens.llm import align, decontaminate, embeddings, langid, minhash, pieces, pii, secrets, suffix, toxicity, urls, warc, whiten
 from shelflens.llm.common import split_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +208,14 @@ def tokenizer(spark: SparkSession, name: str) -> str:
 @query("op13_cross_tokenizer_alignment")
 def cross_tokenizer_alignment(spark, folder):
     return align.alignments(table(spark, folder, "documents"), tokenizer(spark, "byte_bpe_50k.json"), tokenizer(spark, "piece_bpe_32k.model"))
+
+
+@query("op11_url_filter")
+def url_filter(spark, folder):
+    return urls.judge(table(spark, folder, "pages"))
+
+
+@query("op12_embedding_whitening")
+def embedding_whitening(spark, folder):
+    found = whiten.whiten(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
