@@ -1,16 +1,21 @@
-"""Fuzzy catalogue candidates for item texts (J3, W4, T1), exact and without a cross join.
+"""Fuzzy catalogue candidates for item texts (J3, W4, T1), exact and without a cross join: a threshold algorithm in two rounds.
 
 Scores depend on a text only through its tokens and size, so both sides are first reduced to distinct *signatures*
 (tokens + size). A pair of signatures can score only if something links them: a shared token, a product token that
 contains or is contained in an item token, a transliteration-equal token, or the same size. Links between tokens are
-found once, between the two vocabularies, by equality joins. Signatures then meet on link keys, and a pair is scored
-in the task where its first common key brings it together, so pairs are never materialised or deduplicated.
-
-Keys held by very many product signatures (units, a dominant brand) would make that join quadratic. For those the
-product side is *projected*: product signatures that look the same through the frequent keys alone form one group,
-and only the first K product ids of a group are kept. A product that has no rarer link to an item scores exactly what
-its group scores, so K ids per group are enough; a product with a rarer link is scored in full by the other branch,
-and never below its group. The union of both branches therefore holds the exact top K of every item.
+found once, between the two vocabularies, by equality joins. Signatures meet on these *link keys*.
+
+What a key can add to a score is bounded per item, so a product that an item does not meet on some of its keys scores at
+most what the others add. An item's keys are ordered by how many product signatures hold them, the rarest first, and the
+sum of the bounds from each key on is its *reach*: no product whose first common key is that one scores more.
+
+1. Seeds: every item meets products on its rarest keys, until ``SEED_POSTINGS`` of them are listed. The scores found give each
+   item a *floor* that its k-th best product cannot be below.
+2. Every item meets products on the keys whose reach is not below its floor. A pair is scored where its first common key
+   brings it together, so pairs are never materialised or deduplicated, and only pairs at the floor or above go on.
+
+A key on very many products is joined only for items whose floor is within reach of it. Such a key is split by adaptive
+execution; what is kept of it is at most k rows per item and task. Bounds, floors and keys stay in tables: nothing is collected.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ from shelflens.functions import fixed_values as fv
 from shelflens.functions import text as tx
 from shelflens.session import materialize
 
-HOT_KEY_SIGNATURES = 20_000
-_OTHER = "~"
+SEED_POSTINGS = 300
+SEED_BUCKETS = 4  # of buckets per wanted product, for the floor
 
 # Classes of link keys; a key's number ends in its class, so shared keys can be counted by class.
 _PLAIN, _WEAK, _STRONG, _VARIANT, _PACKAGING, _SIZE = range(6)
@@ -55,25 +60,30 @@ def _size_key(size: Column) -> Column:
     return F.when(size.isNotNull(), F.array(F.concat(F.lit("#"), size))).otherwise(_lit_array([]))
 
 
+def _contained(parts: DataFrame, part: str, words: DataFrame, word: str, n: int) -> DataFrame:
+    """(part, word) for every word that contains a different part of ``n`` letters or more.
+
+    A part is looked up under its rarest group of ``n`` letters, so it meets only words that hold this group.
+    """
+    def grams(column: str) -> Column:
+        starts = F.sequence(F.lit(1), F.length(column) - (n - 1))
+        return F.array_distinct(F.transform(starts, lambda at: F.substring(F.col(column), at, F.lit(n))))
+
+    held = words.where(F.length(word) >= n).select(word, F.explode(grams(word)).alias("gram"))
+    asked = parts.where(F.length(part) >= n).select(part, F.explode(grams(part)).alias("gram"))
+    sizes = held.groupBy("gram").agg(F.count("*").alias("_n"))
+    rarest = asked.join(sizes, "gram", "left").groupBy(part).agg(F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
+    return rarest.join(held, "gram").where(F.col(word).contains(F.col(part)) & (F.col(word) != F.col(part))).select(part, word)
+
+
 def _vocabulary_links(item_sigs: DataFrame, product_sigs: DataFrame) -> DataFrame:
     """(item token, product token, kind): containment (product token of 3+ letters) and equal folds."""
     item_words = item_sigs.select(F.explode("i_tokens").alias("rt")).distinct()
     product_words = product_sigs.select(F.explode("p_tokens").alias("pt")).distinct()
 
-    def pieces(word: str, shortest: int) -> Column:
-        w = F.col(word)
-        starts = F.sequence(F.lit(1), F.length(w) - (shortest - 1))
-        return F.array_distinct(F.flatten(F.transform(
-            starts, lambda s: F.transform(F.sequence(F.lit(shortest), F.length(w) - s + 1),
-                                          lambda n: F.substring(w, s, n)))))
-
     countable = item_words.where(~F.col("rt").isin(*fv.WEAK_WORDS, *fv.VARIANT_WORDS, *fv.PACKAGING_WORDS))
-    inside_item = (countable.where(F.length("rt") > 3)
-                   .select("rt", F.explode(pieces("rt", 3)).alias("pt")).where(F.col("rt") != F.col("pt"))
-                   .join(product_words, "pt", "left_semi"))
-    inside_product = (product_words.where(F.length("pt") >= 3)
-                      .select("pt", F.explode(pieces("pt", 2)).alias("rt")).where(F.col("rt") != F.col("pt"))
-                      .join(countable, "rt", "left_semi"))
+    inside_item = _contained(product_words.where(F.length("pt") >= 3), "pt", countable, "rt", 3)
+    inside_product = _contained(countable, "rt", product_words.where(F.length("pt") >= 3), "pt", 2)
     folded = (item_words.withColumn("fold", tx.translit_fold(F.col("rt")))
               .join(product_words.withColumn("fold", tx.translit_fold(F.col("pt"))), "fold")
               .where(F.col("rt") != F.col("pt")))
@@ -88,10 +98,10 @@ def _key_class(key: Column) -> Column:
 
 
 def _numbered_keys(product_sigs: DataFrame) -> DataFrame:
-    """Every product key with a number of its own (written down, so the numbers stay)."""
-    keys = product_sigs.select(F.explode("p_keys").alias("key")).distinct()
+    """Every product key with a number of its own (written down, so the numbers stay) and the number of signatures that hold it."""
+    keys = product_sigs.select(F.explode("p_keys").alias("key")).groupBy("key").agg(F.count("*").alias("postings"))
     number = F.monotonically_increasing_id() * _CLASSES + _key_class(F.col("key"))
-    return materialize(keys.select("key", number.alias("key_no")), "keys")
+    return materialize(keys.select("key", number.alias("key_no"), "postings"), "keys")
 
 
 def _position(words: list[str], word: Column) -> Column:
@@ -114,38 +124,63 @@ def _numbers(df: DataFrame, key: str, array: str, keys: DataFrame, name: str) ->
 
 
 def _coded_items(item_sigs: DataFrame, links: DataFrame, keys: DataFrame) -> DataFrame:
-    """Item signatures as numbers: own keys, linked keys, token weight total, flags."""
-    numbered = item_sigs.withColumn("i_own_keys", F.concat("i_tokens", _size_key(F.col("i_size"))))
-    own = _numbers(numbered, "i_sig", "i_own_keys", keys, "i_own")
-    numbered_links = (links.join(keys.select(F.col("key").alias("pt"), F.col("key_no").alias("to_no")), "pt")
-                      .join(keys.select(F.col("key").alias("rt"), F.col("key_no").alias("from_no")), "rt", "left"))
-    pair = F.struct(F.coalesce("from_no", F.lit(-1).cast("bigint")).alias("rt"), F.col("to_no").alias("pt"))
-    counts = F.col("i_brand").isNull() | (F.col("rt") != F.col("i_brand"))
-    linked = (item_sigs.select("i_sig", "i_brand", F.explode("i_tokens").alias("rt")).join(numbered_links, "rt")
-              .groupBy("i_sig").agg(F.collect_list(F.when((F.col("kind") == "s") & counts, pair)).alias("i_sub"),
-                                    F.collect_list(F.when(F.col("kind") == "x", F.col("to_no"))).alias("i_fold")))
+    """Item signatures as numbers: own keys, linked keys, token weight total, flags, and their keys with reach (:func:`_reach`)."""
     n = F.size("i_tokens")
     weak = F.size(F.array_intersect("i_tokens", _lit_array(fv.WEAK_WORDS)))
     strong = F.size(F.array_intersect("i_tokens", _lit_array(fv.FAMILIES + _brands())))
     total = (n - weak - strong) * fv.WEIGHT_PLAIN + weak * fv.WEIGHT_WEAK + strong * fv.WEIGHT_STRONG
+    sigs = item_sigs.withColumn("i_total", total)
+    own = sigs.select("i_sig", "i_brand", "i_total", F.explode(F.concat("i_tokens", _size_key(F.col("i_size")))).alias("key")).join(keys, "key")
+    numbered_links = (links.join(keys.select(F.col("key").alias("pt"), F.col("key_no").alias("to_no"), "postings"), "pt")
+                      .join(keys.select(F.col("key").alias("rt"), F.col("key_no").alias("from_no")), "rt", "left"))
+    pair = F.struct(F.coalesce("from_no", F.lit(-1).cast("bigint")).alias("rt"), F.col("to_no").alias("pt"))
+    counts = F.col("i_brand").isNull() | (F.col("rt") != F.col("i_brand"))
+    linked = (sigs.select("i_sig", "i_brand", F.explode("i_tokens").alias("rt")).join(numbered_links, "rt")
+              .where((F.col("kind") == "x") | counts))
+    by_link = linked.groupBy("i_sig").agg(F.collect_list(F.when(F.col("kind") == "s", pair)).alias("i_sub"),
+                                          F.collect_list(F.when(F.col("kind") == "x", F.col("to_no"))).alias("i_fold"))
+    bounds = own.select("i_sig", "key_no", "postings", _own_bound().alias("most")).unionByName(linked.select(
+        "i_sig", F.col("to_no").alias("key_no"), "postings",
+        F.when(F.col("kind") == "s", F.lit(float(fv.POINTS_SUBSTRING))).otherwise(F.lit(float(fv.POINTS_TRANSLIT))).alias("most")))
     none = F.array().cast("array<bigint>")
-    out = item_sigs.join(own, "i_sig", "left").join(linked, "i_sig", "left").select(
-        "i_sig", F.monotonically_increasing_id().alias("i_no"), n.alias("i_n"), total.alias("i_total"), *_scalars("i"),
-        F.coalesce("i_own", none).alias("i_own"),
-        F.coalesce("i_sub", F.array().cast("array<struct<rt:bigint,pt:bigint>>")).alias("i_sub"),
-        F.coalesce("i_fold", none).alias("i_fold"))
-    return out.withColumn("i_linked", F.array_distinct(F.concat(F.transform("i_sub", lambda p: p["pt"]), "i_fold")))
+    own_keys = own.groupBy("i_sig").agg(F.collect_list("key_no").alias("i_own"))
+    return sigs.join(own_keys, "i_sig", "left").join(by_link, "i_sig", "left").join(_reach(bounds), "i_sig").select(
+        "i_sig", F.monotonically_increasing_id().alias("i_no"), n.alias("i_n"), "i_total", *_scalars("i"),
+        F.coalesce("i_own", none).alias("i_own"), F.coalesce("i_sub", F.array().cast("array<struct<rt:bigint,pt:bigint>>")).alias("i_sub"),
+        F.coalesce("i_fold", none).alias("i_fold"), "i_reach")
+
+
+def _own_bound() -> Column:
+    """The most that a key of the item's own adds to a score: the family's points go to the brand, without which they are not given."""
+    kind = F.col("key_no") % _CLASSES
+    weight = F.when(kind == _WEAK, fv.WEIGHT_WEAK).when(kind == _STRONG, fv.WEIGHT_STRONG).otherwise(fv.WEIGHT_PLAIN)
+    extra = F.when(kind.isin(_VARIANT, _PACKAGING), fv.POINTS_PER_VARIANT).when(
+        F.col("key") == F.col("i_brand"), fv.POINTS_BRAND + fv.POINTS_FAMILY).otherwise(0)
+    return F.when(kind == _SIZE, F.lit(float(fv.POINTS_SIZE_EQUAL))).otherwise(F.lit(float(fv.POINTS_TOKENS)) * weight / F.col("i_total") + extra)
 
 
-def _coded_products(groups: DataFrame, keys: DataFrame, seen: bool = False) -> DataFrame:
+def _reach(bounds: DataFrame) -> DataFrame:
+    """i_sig and its keys, the rarest first, as (postings, key_no, before, reach).
+
+    ``before`` counts the postings of rarer keys; ``reach`` bounds the score of a product whose first common key is this one.
+    """
+    per_key = bounds.groupBy("i_sig", "key_no").agg(F.first("postings").alias("postings"), F.sum("most").alias("most"))
+    upwards = Window.partitionBy("i_sig").orderBy("postings", "key_no")
+    before = F.sum("postings").over(upwards.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.sum("most").over(upwards.rowsBetween(0, Window.unboundedFollowing))
+    rows = per_key.select("i_sig", F.struct("postings", "key_no", F.coalesce(before, F.lit(0)).alias("before"), reach.alias("reach")).alias("x"))
+    return rows.groupBy("i_sig").agg(F.sort_array(F.collect_list("x")).alias("i_reach"))  # the keys of one text
+
+
+def _coded_products(groups: DataFrame, keys: DataFrame) -> DataFrame:
     """Product groups as numbers; ``p_no`` follows the first product id, so it breaks ties the same way."""
     ordered = groups.orderBy(F.get("ids", F.lit(0))).withColumn("p_no", F.monotonically_increasing_id())
     ordered = materialize(ordered, "product_groups")
-    out = ordered.select("p_no", "ids", *_scalars("p")).join(_numbers(ordered, "p_no", "p_keys", keys, "p_keys"), "p_no")
-    return out.join(_numbers(ordered, "p_no", "p_tokens", keys, "p_seen"), "p_no", "left") if seen else out
+    numbers = ordered.select("p_no", F.explode("p_keys").alias("key")).join(keys, "key").groupBy("p_no").agg(F.collect_list("key_no").alias("p_keys"))
+    return ordered.select("p_no", "ids", *_scalars("p")).join(numbers, "p_no")
 
 
-def _compared(pairs: DataFrame, p_seen: str) -> DataFrame:
+def _compared(pairs: DataFrame) -> DataFrame:
     """What two signatures have in common, as a few numbers per pair."""
     c = F.col
 
@@ -153,13 +188,13 @@ def _compared(pairs: DataFrame, p_seen: str) -> DataFrame:
         return F.size(F.filter("_x", lambda no: no % _CLASSES == k)).alias(f"n{k}")
     shared = [shared_of(k) for k in range(1, 6)]
     subs = F.when(F.size("i_sub") > 0, F.size(F.filter(
-        "i_sub", lambda p: F.array_contains(c("p_keys"), p["pt"]) & ~F.array_contains(F.coalesce(c(p_seen), c("p_keys")), p["rt"])
+        "i_sub", lambda p: F.array_contains(c("p_keys"), p["pt"]) & ~F.array_contains(c("p_keys"), p["rt"])
     ))).otherwise(0)
     folds = F.when(F.size("i_fold") > 0, F.size(F.filter(
         "i_fold", lambda no: F.array_contains(c("p_keys"), no)))).otherwise(0)
     brand = (c("i_brand_no") > 0) & (c("i_brand_no") == c("p_brand_no"))
     return pairs.select(
-        "i_no", "p_no", "i_total", "i_n", F.size("_x").alias("n_all"), *shared, subs.alias("subs"), folds.alias("folds"), brand.alias("brand"),
+        "i_no", "p_no", "i_total", "i_n", "i_floor", F.size("_x").alias("n_all"), *shared, subs.alias("subs"), folds.alias("folds"), brand.alias("brand"),
         (brand & (c("i_base_no") > 0) & (c("i_base_no") == c("p_base_no"))).alias("family"),
         F.when(~c("p_has_size"), 0).when(~c("i_has_size"), 1).otherwise(2).alias("sized"),
         (c("i_has_var") & c("p_has_var")).alias("both_var"), (c("i_has_pack") & c("p_has_pack")).alias("both_pack"))
@@ -181,7 +216,7 @@ def _unpacked(rows: DataFrame) -> DataFrame:
 
 
 def _score() -> Column:
-    """Score over unpacked columns; plain arithmetic, so it stays in generated code."""
+    """Ten-thousandths of the score over unpacked columns; plain arithmetic, so it stays in generated code."""
     c = F.col
     matched = ((c("common") - c("weak") - c("strong")) * fv.WEIGHT_PLAIN + c("weak") * fv.WEIGHT_WEAK
                + c("strong") * fv.WEIGHT_STRONG)
@@ -194,7 +229,7 @@ def _score() -> Column:
               + c("other_variant").cast("int") * fv.POINTS_OTHER_VARIANT + c("other_pack").cast("int") * fv.POINTS_PACKAGING)
     cap = F.least(F.when(c("other_pack"), fv.PACKAGING_CAP).otherwise(fv.SCORE_CAP),
                   F.when(c("partial"), fv.PARTIAL_CAP).otherwise(fv.SCORE_CAP))
-    return F.floor(F.greatest(F.lit(0.0), F.least(points, cap.cast("double"))) + 0.5) / F.lit(10000.0)
+    return F.floor(F.greatest(F.lit(0.0), F.least(points, cap.cast("double"))) + 0.5)
 
 
 def _reasons() -> Column:
@@ -216,63 +251,47 @@ def _first_ids(products: DataFrame, group: str, k: int) -> DataFrame:
     return first.groupBy(group).agg(F.array_sort(F.collect_list("product_id")).alias("ids"))
 
 
-def _best_groups(items: DataFrame, groups: DataFrame, join_keys: str, p_seen: str, k: int) -> DataFrame:
-    """Join on link keys, score each pair at its first common key, keep the k best groups per item signature.
+def _scored(items: DataFrame, groups: DataFrame, wanted: Column) -> DataFrame:
+    """Pairs (i_no, p_no) that meet on the keys of ``i_reach`` that are ``wanted``, with their points and what these follow from.
 
-    Rows of the join are narrow: key numbers and flags. The top-k window cuts each task's pairs before they are
-    shuffled. Zero scores go last and are dropped after it: a filter on the score itself would be pushed into the join
-    and computed twice. Reasons and product ids are added to the kept pairs only.
+    Rows of the join are narrow: key numbers and flags. Every pair is scored once, where its first common key brings it together.
     """
     # A few signatures fan out to many pairs, so their number, not their bytes, has to set the parallelism.
     width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = items.drop("i_sig").repartition(width, "i_no").withColumn("_key", F.explode("i_join"))
-    right = groups.drop("ids").withColumn("_key", F.explode(join_keys))
-    first = F.get(F.array_intersect("i_join", join_keys), F.lit(0))
+    keyed = items.withColumn("i_keys", F.transform("i_reach", lambda x: x["key_no"]))
+    left = keyed.withColumn("_key", F.explode(F.transform(wanted, lambda x: x["key_no"]))).drop("i_sig", "i_reach").repartition(width, "i_no", "_key")
+    right = groups.drop("ids").withColumn("_key", F.explode("p_keys"))
+    first = F.get(F.array_intersect("i_keys", "p_keys"), F.lit(0))
     pairs = left.join(right, "_key").where(first == F.col("_key")).withColumn("_x", F.array_intersect("i_own", "p_keys"))
-    scored = _unpacked(_compared(pairs, p_seen)).withColumn("score", _score())
-    best = Window.partitionBy("i_no").orderBy(F.col("score").desc(), F.col("p_no"))
-    top = scored.withColumn("_g", F.row_number().over(best)).where((F.col("_g") <= k) & (F.col("score") > 0))
-    return top.select("i_no", "p_no", "score", _reasons().alias("reasons"))
-
+    return _unpacked(_compared(pairs)).withColumn("points", _score())
 
-def _branch(items: DataFrame, groups: DataFrame, join_keys: str, p_seen: str, k: int, tier: int) -> DataFrame:
-    """The k best groups per item signature, with their product ids."""
-    kept = _best_groups(items, groups, join_keys, p_seen, k)
-    named = kept.join(groups.select("p_no", "ids"), "p_no").join(items.select("i_no", "i_sig"), "i_no")
-    return named.select("i_sig", "score", "reasons", F.explode("ids").alias("product_id"), F.lit(tier).alias("_tier"))
 
+def _floors(items: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """(i_no, i_floor): points that the k-th best product group of an item cannot be below, from the groups on its rarest keys.
 
-def _hot_keys(coded: DataFrame, keys: DataFrame, limit: int) -> dict[str, int]:
-    """Keys on more than ``limit`` product groups: at most (all keys / limit) of them, so they fit the driver."""
-    counts = coded.select(F.explode("p_keys").alias("key_no")).groupBy("key_no").count()
-    frequent = counts.where(F.col("count") > limit).join(keys, "key_no").select("key", "key_no")
-    return {r["key"]: r["key_no"] for r in frequent.collect()}
+    Groups are dealt into buckets; the best of each bucket are different groups, so the k-th of these bounds the k-th of all.
+    """
+    seeds = _scored(items.withColumn("i_floor", F.lit(0)), groups, F.filter("i_reach", lambda x: x["before"] < SEED_POSTINGS))
+    best = seeds.groupBy("i_no", F.pmod(F.xxhash64("p_no"), F.lit(SEED_BUCKETS * k)).alias("bucket")).agg(F.max("points").alias("points"))
+    ordered = F.sort_array(F.collect_list("points"), asc=False)  # at most SEED_BUCKETS * k of them
+    return best.groupBy("i_no").agg(F.coalesce(F.get(ordered, F.lit(k - 1)), F.lit(0)).alias("i_floor"))
+
+
+def _best_groups(items: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """The k best product groups per item signature, with their product ids."""
+    floors = materialize(_floors(items, groups, k), "floors")
+    known = materialize(items.join(floors, "i_no", "left").withColumn("i_floor", F.greatest(F.coalesce("i_floor", F.lit(0)), F.lit(1))), "floored")
+    # bounds are sums of doubles: half a point rounds up, and a little more lets no rounding decide
+    within = F.filter("i_reach", lambda x: x["reach"] + 0.501 >= F.col("i_floor"))
+    pairs = _scored(known, groups, within).where(F.col("points") >= F.col("i_floor"))
+    best = Window.partitionBy("i_no").orderBy(F.col("points").desc(), F.col("p_no"))
+    top = pairs.withColumn("_g", F.row_number().over(best)).where(F.col("_g") <= k)
+    kept = top.select("i_no", "p_no", (F.col("points") / F.lit(10000.0)).alias("score"), _reasons().alias("reasons"))
+    named = kept.join(groups.select("p_no", "ids"), "p_no").join(items.select("i_no", "i_sig"), "i_no")
+    return named.select("i_sig", "score", "reasons", F.explode("ids").alias("product_id"))
 
 
-def _project(products: DataFrame, hot: list[str], seen: list[str]) -> DataFrame:
-    """Product signatures as they look through the frequent keys alone."""
-    c = F.col
-    hot_tokens = [k for k in hot if not k.startswith("#")]
-    hot_sizes = [k[1:] for k in hot if k.startswith("#")]
-
-    def visible(column: str) -> Column:
-        kept = F.array_intersect(column, _lit_array(hot_tokens))
-        return F.when((F.size(column) > 0) & (F.size(kept) == 0), _lit_array([_OTHER])).otherwise(kept)
-
-    brand = F.when(c("p_brand").isin(*hot_tokens), c("p_brand"))
-    family = F.when(c("p_family").isin(*hot_tokens), c("p_base_family"))
-    size = F.when(c("p_size").isin(*hot_sizes), c("p_size")).when(c("p_size").isNotNull(), _OTHER)
-    out = products.select(
-        "product_id",
-        F.array_intersect("p_tokens", _lit_array(hot_tokens + seen)).alias("p_tokens"),
-        brand.alias("p_brand"), F.when(brand.isNotNull(), family).alias("p_base_family"),
-        visible("p_variants").alias("p_variants"), visible("p_packaging").alias("p_packaging"),
-        size.alias("p_size"), F.array_intersect("p_keys", _lit_array(hot)).alias("p_keys"))
-    return out.where(F.size("p_keys") > 0)
-
-
-def catalog_candidates(items: DataFrame, products: DataFrame, k: int = fv.DEFAULT_CANDIDATES,
-                       hot_key_signatures: int = HOT_KEY_SIGNATURES) -> DataFrame:
+def catalog_candidates(items: DataFrame, products: DataFrame, k: int = fv.DEFAULT_CANDIDATES) -> DataFrame:
     """J3 + W4 + T1: the best ``k`` catalogue products per item.
 
     ``items``: item_id, text. ``products``: product_id, name, text (name, brand and size joined), is_active.
@@ -290,31 +309,7 @@ def catalog_candidates(items: DataFrame, products: DataFrame, k: int = fv.DEFAUL
     links = materialize(_vocabulary_links(item_sigs, groups), "token_links")
     coded_items = materialize(_coded_items(item_sigs, links, keys), "coded_items")
     coded_groups = materialize(_coded_products(groups, keys), "coded_groups")
-    hot = _hot_keys(coded_groups, keys, hot_key_signatures)
-    joinable = coded_items.withColumn("i_join", F.array_distinct(F.concat("i_own", "i_linked")))
-
-    if not hot:
-        found = _branch(joinable, coded_groups, "p_keys", "p_keys", wide, 1)
-    else:
-        numbers = F.array(*[F.lit(no) for no in hot.values()]).cast("array<bigint>")
-        rare_items = joinable.withColumn("i_join", F.array_except("i_join", numbers))
-        rare_groups = coded_groups.withColumn("p_rare", F.array_except("p_keys", numbers))
-        found = _branch(rare_items, rare_groups, "p_rare", "p_keys", wide, 1)
-        # Item tokens that also occur in the catalogue switch their substring links off; keep them visible.
-        names = list(hot)
-        hot_links = links.where((F.col("kind") == "s") & F.col("pt").isin(*names)).select(F.col("rt").alias("key"))
-        seen = [r["key"] for r in hot_links.distinct().join(keys, "key", "left_semi").collect()]
-        shape = ["p_tokens", "p_brand", "p_base_family", "p_variants", "p_packaging", "p_size", "p_keys"]
-        projected = _project(product_map.join(groups.drop("ids"), "p_sig"), names, seen).withColumn(
-            "p_group", F.to_json(F.struct(*shape)))
-        shapes = projected.select("p_group", *shape).dropDuplicates(["p_group"])
-        frequent = shapes.join(_first_ids(projected, "p_group", wide), "p_group")
-        coded_shapes = materialize(_coded_products(frequent, keys, seen=True), "coded_shapes")
-        hot_items = joinable.withColumn("i_join", F.array_intersect("i_join", numbers))
-        found = found.unionByName(_branch(hot_items, coded_shapes, "p_keys", "p_seen", wide, 2))
-        found = found.groupBy("i_sig", "product_id").agg(
-            F.max_by(F.struct("score", "reasons"), F.struct("score", -F.col("_tier"))).alias("_best")).select(
-            "i_sig", "product_id", F.col("_best.score").alias("score"), F.col("_best.reasons").alias("reasons"))
+    found = _best_groups(coded_items, coded_groups, wide)
 
     order = Window.partitionBy("i_sig").orderBy(F.col("score").desc(), F.col("product_id"))
     top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wide)

@@ -4,14 +4,18 @@ Two shapes are used throughout:
 
 * "newest row per key" is an aggregate (``max_by``): each task reduces its own rows first, so a key that holds a
   third of the data leaves every task as one row;
-* "previous row per key" splits a key's history by day before the window runs. Only one row per key and day crosses
-  over to the next day, so no task ever sees a whole hot history.
+* "previous row per key" orders all rows by key and time over range partitions of even size, so a busy key or a busy day is split as
+  well. Only one row per key and partition crosses over to the next partition.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shelflens.session import materialize
+
 PAIR = ["product_id", "store_id"]
 MODES = ("photo_only", "online_only", "online_preferred", "latest", "freshest")
 
@@ -56,48 +60,66 @@ def merge_sources(observations: DataFrame, mode: str, keys: list[str] = PAIR) ->
     return newest_per_key(rows, keys, order, ["price_minor", "source", "observed_at"])
 
 
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], slot: str) -> DataFrame:
+    """``df`` with the number of its range partition by (``keys``, ``order``) as ``slot``: along a key's order it never decreases.
+
+    Partitions hold about the same number of rows, however many of them share a key or a day. The rows are written down, so
+    that a lost task does not draw other bounds.
+    """
+    return materialize(df.repartitionByRange(*keys, *order).withColumn(slot, F.spark_partition_id()), "ranges")
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on equal keys, where null equals null; the keys of the left side stay."""
+    other = right.select(*[F.col(k).alias(f"_same_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list[str],
                   split_by: Column | None = None) -> DataFrame:
     """Adds ``previous_<value>`` from the row before in ``order`` within ``keys``.
 
-    ``split_by`` (default: the day of the first order column) must never decrease along ``order``. Rows after the
-    first of a day get their value inside that day's window; the first row of each day gets the last row of the
-    key's preceding day. Every window frame is read once per row, so a busy day stays linear; a finer ``split_by`` (an
-    hour) spreads it over more tasks.
+    A key's rows are cut into slots: range partitions of even size, or ``split_by``, which must never decrease along ``order``.
+    Rows after the first of a slot get their value in a window over the slot; the first row of each slot gets the last row of
+    the key's slot before, which is an aggregate: one row per key and slot is ordered across slots.
     """
-    slot = split_by if split_by is not None else F.to_date(F.col(order[0]))
-    rows = df.withColumn("_slot", slot)
+    rows = in_ranges(df, keys, order, "_slot") if split_by is None else df.withColumn("_slot", split_by)
     in_slot = Window.partitionBy(*keys, "_slot").orderBy(*order)
-    whole_slot = Window.partitionBy(*keys, "_slot")
     payload = F.struct(*values)
-    rows = (rows.withColumn("_prev", F.lag(payload).over(in_slot))
-            .withColumn("_nth", F.row_number().over(in_slot))
-            .withColumn("_slot_last", F.max_by(payload, F.struct(*order)).over(whole_slot)))
-    heads = rows.where(F.col("_nth") == 1)
+    placed = rows.withColumn("_prev", F.lag(payload).over(in_slot)).withColumn("_nth", F.row_number().over(in_slot))
+    ends = rows.groupBy(*keys, "_slot").agg(F.max_by(payload, F.struct(*order)).alias("_end"))
     across = Window.partitionBy(*keys).orderBy("_slot")
-    heads = heads.withColumn("_prev", F.lag("_slot_last").over(across))
-    out = rows.where(F.col("_nth") > 1).unionByName(heads)
+    ends = ends.select(*keys, "_slot", F.lag("_end").over(across).alias("_before")).where(F.col("_before").isNotNull())
+    heads = placed.where(F.col("_nth") == 1).drop("_prev")
+    heads = join_same(heads, ends, [*keys, "_slot"]).select(*df.columns, "_nth", F.col("_before").alias("_prev"))
+    out = placed.where(F.col("_nth") > 1).select(*df.columns, "_nth", "_prev").unionByName(heads)
     return out.select(*df.columns, *[F.col("_prev")[v].alias(f"previous_{v}") for v in values],
                       F.col("_prev").isNotNull().alias("has_previous"))
 
 
-def price_changes(observations: DataFrame, keys: list[str] = PAIR, order: list[str] | None = None) -> DataFrame:
+def price_changes(observations: DataFrame, keys: list[str] = PAIR, order: list[str] | None = None, split_by: Column | None = None) -> DataFrame:
     """Absolute change in percent against the previous observation; null without a usable previous price."""
     order = order or ["observed_at", "obs_id"]
-    rows = with_previous(observations.where(F.col("price_minor").isNotNull()), keys, order, ["price_minor"])
+    rows = with_previous(observations.where(F.col("price_minor").isNotNull()), keys, order, ["price_minor"], split_by)
     previous = F.col("previous_price_minor")
     change = F.abs((F.col("price_minor") - previous).cast("double") / previous) * 100
     return rows.withColumn("change_pct", F.when(previous != 0, change))
 
 
+def stock_transitions(observations: DataFrame, keys: list[str] = PAIR, order: list[str] | None = None, split_by: Column | None = None) -> DataFrame:
+    """All rows, with whether a product seen before as not out of stock is out of stock now, as ``went_out_of_stock``."""
+    order = order or ["observed_at", "obs_id"]
+    rows = with_previous(observations, keys, order, ["availability"], split_by)
+    before = F.col("previous_availability")
+    gone = (F.col("availability") == "out_of_stock") & F.col("has_previous") & (before.isNull() | (before != "out_of_stock"))
+    return rows.withColumn("went_out_of_stock", F.coalesce(gone, F.lit(False)))
+
+
 def out_of_stock_transitions(observations: DataFrame, keys: list[str] = PAIR,
                              order: list[str] | None = None) -> DataFrame:
     """Rows where a product seen before as not out of stock is out of stock now."""
-    order = order or ["observed_at", "obs_id"]
-    rows = with_previous(observations, keys, order, ["availability"])
-    before = F.col("previous_availability")
-    return rows.where((F.col("availability") == "out_of_stock") & F.col("has_previous")
-                      & (before.isNull() | (before != "out_of_stock")))
+    return stock_transitions(observations, keys, order).where("went_out_of_stock").drop("went_out_of_stock")
 
 
 def carry_forward(df: DataFrame, keys: list[str], position: str, value: str, name: str,

@@ -2,25 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from shelflens.operators.price_history import in_ranges, join_same
 
 def failure_streaks(runs: DataFrame, recent: int | None = None) -> DataFrame:
     """Per source, how many of its newest runs failed without a break; ``recent`` (alert screens use 10) bounds the count.
 
-    The last run that did not fail is an aggregate, reduced in each task; the runs after it are then counted, so a source
-    with most of the runs is never ordered in one task.
+    This is the summary of one stretch that holds everything: two aggregates, reduced in each task, so a source with most of the
+    runs is never ordered in one task.
+    """
+    whole = streak_summary(runs, ["source_id"])
+    streak = F.col("tail") if recent is None else F.least("tail", F.lit(recent))
+    return whole.select("source_id", streak.cast("bigint").alias("streak"), F.col("_end.run_id").alias("last_run_id"), "last_status")
+
+
+def streak_summary(runs: DataFrame, by: list[str]) -> DataFrame:
+    """What a stretch of runs says about failures in a row, per ``by``: how many runs, how many failures after the last good one.
+
+    Summaries of neighbouring stretches add up (:func:`joined_summaries`), so stretches may be tasks, days or batches.
     """
     place = F.struct("started_at", "run_id")
-    rows = runs.select("source_id", "run_id", "status", "started_at")
-    last = rows.groupBy("source_id").agg(
-        F.max(F.when(F.col("status") != "failed", place)).alias("_ok"), F.max_by("run_id", place).alias("last_run_id"),
-        F.max_by("status", place).alias("last_status"))
-    after = rows.join(last.select(F.col("source_id").alias("_source"), "_ok"), F.col("source_id").eqNullSafe(F.col("_source")))
-    broken = F.count_if(F.col("_ok").isNull() | (place > F.col("_ok")))
-    counted = after.groupBy(F.col("_source")).agg(broken.alias("streak"))
-    streak = F.col("streak") if recent is None else F.least("streak", F.lit(recent))
-    return last.join(counted, F.col("source_id").eqNullSafe(F.col("_source"))).select(
-        "source_id", streak.cast("bigint").alias("streak"), "last_run_id", "last_status")
+    rows = runs.select(*by, "status", place.alias("_place"))
+    last = rows.groupBy(*by).agg(F.max(F.when(F.col("status") != "failed", F.col("_place"))).alias("_ok"), F.count("*").alias("runs"),
+                                 F.max("_place").alias("_end"), F.max_by("status", "_place").alias("last_status"))
+    joined = join_same(rows.select(*by, "_place"), last, by)
+    return joined.groupBy(*by).agg(
+        F.count_if(F.col("_ok").isNull() | (F.col("_place") > F.col("_ok"))).alias("tail"), F.first("runs").alias("runs"),
+        F.first("_end").alias("_end"), F.first("last_status").alias("last_status")).withColumn("all_failed", F.col("tail") == F.col("runs"))
+
+
+def joined_summaries(summaries: DataFrame, by: list[str], slot: str) -> DataFrame:
+    """Summaries of a key's stretches in the order of ``slot``, with ``carried``: the failures in a row before each stretch.
+
+    Tails add up from the last stretch that holds a good run; one row per key and stretch is ordered, no runs.
+    """
+    before = Window.partitionBy(*by).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.coalesce(F.sum("tail").over(before), F.lit(0))
+    rows = summaries.withColumn("_total", total)
+    base = F.last(F.when(~F.col("all_failed"), F.col("_total")), ignorenulls=True).over(before)
+    return rows.withColumn("carried", F.col("_total") - F.coalesce(base, F.lit(0))).drop("_total")
+
+
+def streaks_per_run(runs: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """Every run with ``streak``, the failures in a row up to it; ``earlier`` (source_id, streak) is where the sources stand before.
+
+    Runs are cut into range partitions of even size. A run counts inside its partition; if no good run comes first there, what the
+    partitions before carry is added.
+    """
+    rows = in_ranges(runs, ["source_id"], ["started_at", "run_id"], "_slot")
+    key = ["source_id", "_slot"]
+    summaries = streak_summary(rows, key).select(*key, "tail", "all_failed")
+    if earlier is not None:
+        summaries = summaries.unionByName(earlier.select(
+            "source_id", F.lit(-1).alias("_slot"), F.col("streak").alias("tail"), F.lit(False).alias("all_failed")))
+    carried = joined_summaries(summaries, ["source_id"], "_slot").where("carried > 0").select(*key, "carried")
+    inside = Window.partitionBy(*key).orderBy("started_at", "run_id")
+    failed = (F.col("status") == "failed").cast("int")
+    placed = rows.withColumn("_island", F.sum(1 - failed).over(inside))
+    counted = placed.withColumn("_count", F.sum(failed).over(Window.partitionBy(*key, "_island").orderBy("started_at", "run_id")))
+    first = F.when((F.col("_island") == 0) & (F.col("status") == "failed"), F.coalesce("carried", F.lit(0))).otherwise(0)
+    return join_same(counted, carried, key).select(
+        *runs.columns, (F.col("_count") + first).cast("bigint").alias("streak"))
 
 
 def run_stats(results: DataFrame) -> DataFrame:

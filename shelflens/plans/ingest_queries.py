@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelflens.functions.money import round_half_up
 from shelflens.operators import price_history as ph, shelf_text as st, template as tp
 from shelflens.plans.domain import with_tables
 from shelflens.plans.registry import query
+from shelflens.session import job_folder
 from shelflens.sources import catalog as cs, pages as pg, recognition as rc
 
 RAW = """raw AS (SELECT p_partkey + 2 AS row_number, CASE WHEN p_partkey % 13 = 0 THEN '  ' ELSE 'S' || (p_partkey % 500) END AS sku, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END AS name,
@@ -34,6 +37,40 @@ def s1_catalog_import(t):
     return _import(t)
 
 
+# Catalogue files of four shops, each with headers, a delimiter and line ends of its own; every fifth name has two lines and quotes.
+SHOP_FILES = [(";", ["Артикул", "Название", "Бренд", "Размер", "Цена_руб"], "\n"), (",", ["SKU", "Name", "Brand", "Size", "Price"], "\r\n"),
+              ("\t", ["external_sku", "наименование", "brand", "size_text", "price_rub"], "\n"), ("|", ["sku", "NAME", "бренд", "size", "Цена"], "\r\n")]
+FILE_ROWS = 50_000
+
+FILES_SQL = """f AS (SELECT p_partkey % 4 AS shop, p_partkey // 50000 AS chunk, row_number() OVER (PARTITION BY p_partkey % 4, p_partkey // 50000 ORDER BY p_partkey) + 1 AS row_number,
+  CASE WHEN p_partkey % 13 <> 0 THEN 'S' || p_partkey END AS external_sku, CASE WHEN p_partkey % 5 = 0 THEN p_name || chr(10) || 'вид "' || p_brand || '"; 1|2,' || chr(9) || 'x' ELSE p_name END AS name,
+  p_brand AS brand, p_size || ' г' AS size_text, CAST(floor(p_retailprice) * 100 + 50 AS BIGINT) AS own_price_minor FROM part)"""
+
+
+def _write_shop_files(t, folder):
+    c = F.col
+    second = F.concat(F.lit('\nвид "'), c("p_brand"), F.lit('"; 1|2,\tx'))
+    rows = t.part.select(
+        c("p_partkey"), (c("p_partkey") % 4).alias("shop"), F.floor(c("p_partkey") / FILE_ROWS).alias("chunk"),
+        F.when(c("p_partkey") % 13 != 0, F.concat(F.lit("S"), c("p_partkey").cast("string"))),
+        F.when(c("p_partkey") % 5 == 0, F.concat(c("p_name"), second)).otherwise(c("p_name")), c("p_brand"),
+        F.concat(c("p_size").cast("string"), F.lit(" г")), F.concat(F.floor("p_retailprice").cast("string"), F.lit(",5")))
+    for shop, (delimiter, header, line_end) in enumerate(SHOP_FILES):
+        own = rows.toDF("p_partkey", "shop", "chunk", *header).where(c("shop") == shop)
+        # a file is one task's, so that its rows have an order; files are bounded
+        own = own.repartition("chunk").sortWithinPartitions("chunk", "p_partkey").drop("p_partkey")
+        own.write.mode("append").partitionBy("shop", "chunk").options(header=True, sep=delimiter, lineSep=line_end, escape='"').csv(folder)
+
+
+@query("s1_catalog_files", f"WITH {FILES_SQL} SELECT shop, chunk, row_number, external_sku, name, brand, size_text, own_price_minor, CASE WHEN external_sku IS NULL THEN 'external_sku обязателен' END AS error FROM f")
+def s1_catalog_files(t):
+    folder = f"{job_folder(t.spark)}/{uuid.uuid4().hex}/shops"
+    _write_shop_files(t, folder)
+    part = lambda name: F.regexp_extract("file", rf"{name}=(\d+)", 1).cast("bigint").alias(name)
+    return cs.check_rows(cs.read_catalog(t.spark, folder)).select(
+        part("shop"), part("chunk"), F.col("row_number").cast("bigint").alias("row_number"), "external_sku", "name", "brand", "size_text", "own_price_minor", "error")
+
+
 @query("s2_row_errors", f"WITH {RAW} SELECT row_number, error FROM imp")
 def s2_row_errors(t):
     return cs.check_rows(_import(t)).select("row_number", "error")

@@ -74,13 +74,13 @@ SELECT product_id, store_id, o AS obs_no, lag(price_minor) OVER w AS previous_pr
   row_number() OVER w > 1 AND availability = 'out_of_stock' AND lag(availability) OVER w <> 'out_of_stock' AS went_out_of_stock FROM daily
   WINDOW w AS (PARTITION BY product_id, store_id ORDER BY observed_at, lpad(CAST(o AS VARCHAR), 20, '0'))""")
 def x3_price_state(t):
-    job_folder(t.spark)
-    t = _with_state(t)
     c = F.col
     rows = _stream(t).observations.select(
         "product_id", c("source_id").alias("store_id"), "observed_at", "price_minor", "availability",
         F.lpad((c("obs_id") * 2000 + c("store_id")).cast("string"), 20, "0").alias("obs_id"))
-    out = _finished(t, state.price_state_stream(rows), "price_state")
+    folder = _run_folder(t, "price_state")
+    state.price_state(rows, folder, f"{folder}/checkpoint", buckets=8).awaitTermination()
+    out = state.read_changes(t.spark, folder)
     return out.select("product_id", "store_id", c("obs_id").cast("bigint").alias("obs_no"), "previous_price_minor",
                       (round_half_up(c("change_pct") * 100) / 100).alias("change_pct"),
                       F.coalesce("went_out_of_stock", F.lit(False)).alias("went_out_of_stock"))
@@ -90,10 +90,9 @@ def x3_price_state(t):
 len AS (SELECT *, count(*) FILTER (WHERE status = 'failed') OVER (PARTITION BY source_id, island ORDER BY started_at, run_id) AS streak FROM isl)
 SELECT source_id, run_id, streak, streak = 2 AND status = 'failed' AS alert FROM len""")
 def x4_failure_state(t):
-    job_folder(t.spark)
-    t = _with_state(t)
-    return _finished(t, state.failure_streak_stream(_stream(t).runs, threshold=2), "streaks").select(
-        "source_id", "run_id", "streak", "alert")
+    folder = _run_folder(t, "streaks")
+    state.failure_state(_stream(t).runs, folder, f"{folder}/checkpoint", buckets=8, threshold=2).awaitTermination()
+    return state.read_changes(t.spark, folder).select("source_id", "run_id", "streak", "alert")
 
 
 @query("x5_stale_state", f"""{with_tables('runs')}, ends AS (SELECT max(started_at) - INTERVAL 1 MINUTE AS mark FROM runs),

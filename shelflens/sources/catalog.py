@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from shelflens.functions import fixed_values as fv
 from shelflens.functions.money import import_price_to_minor
 from shelflens.functions.text import first_text
-
-DELIMITERS = (",", ";", "\t", "|")
+from shelflens.sources.records import read_fields
 
 
 def _aliased(columns: list[str], field: str) -> Column:
@@ -29,13 +28,20 @@ def normalize_catalog(raw: DataFrame, row_number: str = "row_number") -> DataFra
                        import_price_to_minor(_aliased(data, "price")).alias("own_price_minor"))
 
 
-def read_catalog(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Catalogue files of one delimiter. Row numbers grow within a file in file order."""
-    if sep not in DELIMITERS:
-        raise ValueError(f"unknown delimiter: {sep!r}")
-    raw = (spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-           .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path))
-    return normalize_catalog(raw.withColumn("row_number", F.monotonically_increasing_id() + 2))
+def read_catalog(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """All catalogue files under ``path``, each with its own header and (unless ``sep`` is given) delimiter, with file and row number.
+
+    Row numbers are those of the file: 1 is the header, every record after it counts, also one that spans several lines; rows with
+    no field filled are left out.
+    """
+    rows = read_fields(spark, path, sep).withColumn("filled", F.exists("fields", lambda f: f != "")).where("filled")
+
+    def named(field: str) -> Column:
+        at = [F.array_position("header", alias) for alias in fv.CATALOG_HEADERS[field]]
+        return first_text(*[F.when(p > 0, F.get("fields", (p - 1).cast("int"))) for p in at])
+
+    return rows.select("file", (F.col("record") + 1).alias("row_number"), *[named(f).alias(f) for f in ("external_sku", "name", "brand", "size_text")],
+                       import_price_to_minor(named("price")).alias("own_price_minor"))
 
 
 def check_rows(rows: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql.types import StructType
 from shelflens.functions import text as tx
 from shelflens.operators.price_history import newest_per_key
 from shelflens.session import materialize
+from shelflens.streaming.tables import BucketTable
+
 
 def read_observations(spark: SparkSession, path: str, schema: StructType, max_files: int = 1000,
                       pattern: str = "*") -> DataFrame:
@@ -66,75 +68,20 @@ def append_parquet(stream: DataFrame, path: str, checkpoint: str, partition_by:
 
 def maintain_latest(stream: DataFrame, base: str, checkpoint: str, keys: list[str], order: list[str],
                     buckets: int, files_per_bucket: int = 1, keep_versions: int = 3) -> StreamingQuery:
-    """Latest price per key, kept as one folder of buckets per batch.
-
-    ``buckets`` comes from the expected size of the table (a bucket should fit a few tasks); ``files_per_bucket`` splits the
-    writing of each. A batch rewrites only the buckets it touches, into its own version folder, and then writes a manifest:
-    the version each bucket is at. Readers open the newest manifest and just the folders it names. A batch that is run again
-    writes the same folder and manifest once more. Bucket folders that none of the last ``keep_versions`` manifests names are
-    deleted.
-    """
+    """Latest price per key, kept as a :class:`BucketTable` with one version per batch."""
+    table = BucketTable(base, keys, buckets, files_per_bucket, keep_versions)
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = materialize(newest_per_key(batch, keys, order).withColumn(
-            "bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "fresh")
-        before = _manifest(spark, base, batch_id - 1)
-        touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())  # at most ``buckets``
-        if not touched:
-            return
-        old = _bucket_rows(spark, base, {b: before[b] for b in touched if b in before}, fresh.schema)
-        merged = newest_per_key(fresh.unionByName(old), ["bucket", *keys], order) if old is not None else fresh
-        spread = F.pmod(F.xxhash64(*keys, F.lit("file")), F.lit(files_per_bucket))
-        (merged.repartition(max(1, len(touched) * files_per_bucket), "bucket", spread).write.mode("overwrite")
-         .partitionBy("bucket").parquet(f"{base}/version={batch_id}"))
-        now = {**before, **{b: batch_id for b in touched}}
-        spark.createDataFrame(sorted(now.items()), "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(
-            f"{base}/manifest={batch_id}")
-        _drop_versions(spark, base, batch_id, keep_versions)
+        fresh = materialize(table.bucketed(newest_per_key(batch, keys, order)), "fresh")
+        touched = table.touched(fresh)
+        if touched:
+            old = table.before(batch.sparkSession, batch_id, touched, fresh.schema)
+            table.write(batch_id, newest_per_key(fresh.unionByName(old), ["bucket", *keys], order), touched)
 
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def _numbers(spark: SparkSession, base: str, kind: str) -> list[int]:
-    """The versions for which ``base`` has a folder of this kind."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    names = [f.getPath().getName() for f in files.listStatus(path)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
-
-
-def _manifest(spark: SparkSession, base: str, up_to: int | None = None) -> dict[int, int]:
-    """Bucket -> version of the newest manifest (of batch ``up_to`` at most): one small row per bucket."""
-    known = [v for v in _numbers(spark, base, "manifest") if up_to is None or v <= up_to]
-    return {r.bucket: r.version for r in spark.read.parquet(f"{base}/manifest={known[-1]}").collect()} if known else {}
-
-
-def _bucket_rows(spark: SparkSession, base: str, versions: dict[int, int], schema: StructType | None = None) -> DataFrame | None:
-    paths = [f"{base}/version={v}/bucket={b}" for b, v in sorted(versions.items())]
-    if not paths:
-        return None
-    reader = spark.read.option("basePath", base)
-    return (reader.schema(schema) if schema is not None else reader).parquet(*paths).drop("version")
-
-
-def _drop_versions(spark: SparkSession, base: str, batch_id: int, keep: int) -> None:
-    manifests = [v for v in _numbers(spark, base, "manifest") if v <= batch_id]
-    kept = manifests[-keep:]
-    named = {(b, v) for m in kept for b, v in _manifest(spark, base, m).items()}
-    folder = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
-    files = folder("").getFileSystem(spark._jsc.hadoopConfiguration())
-    for old in manifests[:-keep]:
-        files.delete(folder(f"manifest={old}"), True)
-    for version in _numbers(spark, base, "version"):
-        if version < batch_id:
-            for bucket in _numbers(spark, f"{base}/version={version}", "bucket"):
-                if (bucket, version) not in named:
-                    files.delete(folder(f"version={version}/bucket={bucket}"), True)
-
-
 def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
     """The rows of the newest manifest, or None while there is none."""
-    return _bucket_rows(spark, base, _manifest(spark, base))
+    return BucketTable(base, [], 0).read(spark)

@@ -1,7 +1,9 @@
-"""Keyed state over streams: price and stock changes (X3), failure streaks (X4), stale runs.
+"""State over streams: price and stock changes (X3), failure streaks (X4), stale runs.
 
-State per key is one small row. Rows of a key are put in event order inside a batch; rows not newer than the state are
-dropped, which is where the stream can differ from the batch operators when data comes late.
+X3 and X4 keep the newest row of every key in a versioned table. A batch is united with the rows of the keys it may touch and goes
+through the batch operators, which cut a busy key into even ranges; so a key may hold most of a batch. Rows not newer than
+the state are dropped, which is the only difference from the batch operators when data comes late. A batch that is run again reads
+the versions before it and writes its own once more.
 """
 
 from __future__ import annotations
@@ -9,84 +11,87 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from shelflens.operators.price_history import PAIR, in_ranges, join_same, newest_per_key, price_changes, stock_transitions
+from shelflens.operators.runs import streaks_per_run
+from shelflens.session import materialize
+from shelflens.streaming.tables import BucketTable
 
-CHANGES = ("product_id long, store_id long, observed_at timestamp, obs_id string, price_minor long, "
-           "previous_price_minor long, change_pct double, went_out_of_stock boolean")
-STREAKS = "source_id long, run_id long, started_at timestamp, streak long, alert boolean"
 STALE = "run_id long, started_at timestamp, action string"
 
 
-class PriceState(StatefulProcessor):
-    """The last price and availability per (product, store)."""
+def _newer(rows: DataFrame, state: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows that come after the state of their key."""
+    last = state.select(*keys, F.struct(*[F.col(c).alias(c) for c in order]).alias("_last"))
+    return join_same(rows, last, keys).where(F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))).drop("_last")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp, obs_id string, price_minor long, availability string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["observed_at", "obs_id"])
-        price, stock, seen = None, None, False
-        if self.last.exists():
-            at, obs_id, price, stock = self.last.get()
-            seen = True
-            newer = (batch["observed_at"] > at) | ((batch["observed_at"] == at) & (batch["obs_id"] > obs_id))
-            batch = batch[newer]
-        if batch.empty:
-            return
-        previous = batch["price_minor"].shift(1)
-        before = batch["availability"].shift(1)
-        if seen:
-            previous.iloc[0], before.iloc[0] = price, stock
-        known = pd.Series([seen] + [True] * (len(batch) - 1), index=batch.index)
-        usable = previous.where(previous != 0)
-        out = pd.DataFrame({
-            "product_id": key[0], "store_id": key[1], "observed_at": batch["observed_at"], "obs_id": batch["obs_id"],
-            "price_minor": batch["price_minor"], "previous_price_minor": previous.astype("Int64"),
-            "change_pct": ((batch["price_minor"] - usable) / usable).abs() * 100,
-            "went_out_of_stock": known & (batch["availability"] == "out_of_stock") & (before != "out_of_stock"),
-        })
-        end = batch.iloc[-1]
-        self.last.update((end["observed_at"], end["obs_id"], int(end["price_minor"]), end["availability"]))
-        yield out
+def _started(stream: DataFrame, merge, checkpoint: str) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def close(self) -> None:
-        pass
 
+def price_state(stream: DataFrame, base: str, checkpoint: str, buckets: int) -> StreamingQuery:
+    """Changes of price and stock per batch under ``base``; batch twins are ``price_changes`` and ``out_of_stock_transitions``.
 
-class StreakState(StatefulProcessor):
-    """Failures in a row per source, with one open alert at a time."""
+    The state of a (product, store) is its newest row, with the last price known.
+    """
+    order = ["observed_at", "obs_id"]
+    table = BucketTable(f"{base}/state", PAIR, buckets)
 
-    def __init__(self, threshold: int) -> None:
-        self.threshold = threshold
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        rows = materialize(table.bucketed(batch.select(*PAIR, *order, "price_minor", "availability")), "batch")
+        touched = table.touched(rows)
+        state = table.before(batch.sparkSession, batch_id, touched, rows.schema)
+        fresh = _newer(rows, state, ["bucket", *PAIR], order)
+        united = fresh.withColumn("fresh", F.lit(True)).unionByName(state.withColumn("fresh", F.lit(False)))
+        united = in_ranges(united, PAIR, order, "slot")
+        seen = stock_transitions(united, PAIR, order, F.col("slot")).drop("previous_availability", "has_previous")
+        priced = price_changes(seen, PAIR, order, F.col("slot")).drop("has_previous")
+        bare = seen.where("price_minor is null").withColumn("previous_price_minor", F.lit(None).cast("long")).withColumn(
+            "change_pct", F.lit(None).cast("double"))
+        columns = [*PAIR, *order, "price_minor", "previous_price_minor", "change_pct", "went_out_of_stock"]
+        changes = priced.unionByName(bare).where("fresh").select(*columns)
+        changes.write.mode("overwrite").parquet(f"{base}/changes/batch={batch_id}")
+        place = F.struct(*order)
+        last = united.groupBy("bucket", *PAIR).agg(
+            F.max_by(F.struct(*order, "availability"), place).alias("last"),
+            F.max_by("price_minor", F.when(F.col("price_minor").isNotNull(), place)).alias("price_minor"))
+        if touched:
+            table.write(batch_id, last.select("bucket", *PAIR, "last.*", "price_minor"), touched)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("streak", "at timestamp, run_id long, streak long, is_open boolean")
+    return _started(stream, merge, checkpoint)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["started_at", "run_id"])
-        streak, is_open = 0, False
-        if self.state.exists():
-            at, run_id, streak, is_open = self.state.get()
-            batch = batch[(batch["started_at"] > at) | ((batch["started_at"] == at) & (batch["run_id"] > run_id))]
-        if batch.empty:
-            return
-        failed = batch["status"] == "failed"
-        island = (~failed).cumsum()
-        length = failed.groupby(island).cumsum() + (island == 0) * failed * streak
-        out = pd.DataFrame({"source_id": key[0], "run_id": batch["run_id"], "started_at": batch["started_at"],
-                            "streak": length.astype("int64")})
-        reached = out["streak"] >= self.threshold
-        new = reached & ~reached.groupby(island).shift(1, fill_value=False)
-        if is_open:
-            new &= island > 0
-        out["alert"] = new
-        end = batch.iloc[-1]
-        self.state.update((end["started_at"], int(end["run_id"]), int(out["streak"].iloc[-1]), bool(reached.iloc[-1])))
-        yield out
 
-    def close(self) -> None:
-        pass
+def failure_state(stream: DataFrame, base: str, checkpoint: str, buckets: int, threshold: int = 3) -> StreamingQuery:
+    """Failures in a row per run under ``base``; a run that brings a series to the ``threshold`` raises its one alert.
+
+    The state of a source is its newest run and the streak there, the summary that ``failure_streaks`` gives for all runs.
+    """
+    order = ["started_at", "run_id"]
+    table = BucketTable(f"{base}/state", ["source_id"], buckets)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        rows = materialize(table.bucketed(batch.select("source_id", *order, "status")), "batch")
+        touched = table.touched(rows)
+        schema = rows.withColumn("streak", F.lit(0).cast("long")).drop("status").schema
+        state = table.before(batch.sparkSession, batch_id, touched, schema)
+        fresh = _newer(rows, state, ["bucket", "source_id"], order)
+        counted = materialize(streaks_per_run(fresh, state), "counted")
+        alert = (F.col("status") == "failed") & (F.col("streak") == threshold)
+        counted.select("source_id", "run_id", "started_at", "streak", alert.alias("alert")).write.mode("overwrite").parquet(
+            f"{base}/changes/batch={batch_id}")
+        newest = newest_per_key(counted.select(*schema.names).unionByName(state), ["bucket", "source_id"], order)
+        if touched:
+            table.write(batch_id, newest, touched)
+
+    return _started(stream, merge, checkpoint)
+
+
+def read_changes(spark: SparkSession, base: str) -> DataFrame:
+    """What the batches of a state under ``base`` have put out."""
+    return spark.read.option("basePath", f"{base}/changes").parquet(f"{base}/changes/batch=*").drop("batch")
 
 
 class StaleRunState(StatefulProcessor):
@@ -100,14 +105,16 @@ class StaleRunState(StatefulProcessor):
         self.started = handle.getValueState("started", "at timestamp, fails_next boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("event_at")
-        if (batch["status"] != "running").any():
+        ended, at = False, None
+        for part in rows:  # a part at a time: only the earliest time is kept
+            ended = ended or bool((part["status"] != "running").any())
+            at = part["event_at"].min() if at is None else min(at, part["event_at"].min())
+        if ended:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if self.started.exists():
                 self.started.clear()
         elif not self.started.exists():
-            at = batch["event_at"].iloc[0]
             self.started.update((at, False))
             self.handle.registerTimer(int(at.timestamp() * 1000) + self.timeout_ms)
         return iter([])
@@ -131,20 +138,6 @@ class StaleRunState(StatefulProcessor):
         pass
 
 
-def price_state_stream(observations: DataFrame) -> DataFrame:
-    """Batch twins are ``price_changes`` and ``out_of_stock_transitions``."""
-    rows = observations.select("product_id", "store_id", "observed_at", "obs_id", "price_minor", "availability")
-    return rows.groupBy("product_id", "store_id").transformWithStateInPandas(
-        PriceState(), outputStructType=CHANGES, outputMode="append", timeMode="none")
-
-
-def failure_streak_stream(runs: DataFrame, threshold: int = 3) -> DataFrame:
-    """Batch twin is ``failure_streaks``."""
-    rows = runs.select("source_id", "run_id", "started_at", "status")
-    return rows.groupBy("source_id").transformWithStateInPandas(
-        StreakState(threshold), outputStructType=STREAKS, outputMode="append", timeMode="none")
-
-
 def stale_run_stream(events: DataFrame, timeout_minutes: int = 30, delay: str = "1 minute") -> DataFrame:
     """``events`` are run status changes (run_id, status, event_at); batch twin is ``stale_runs``."""
     rows = events.select("run_id", "status", "event_at").withWatermark("event_at", delay)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shelflens.functions import fixed_values as fv
 from shelflens.functions import text as tx
 from shelflens.operators import decisions as dc
+from shelflens.operators import candidates
 from shelflens.operators.candidates import catalog_candidates
 
 CATALOG = [
@@ -145,16 +146,17 @@ def test_long_texts_keep_their_score(spark):
     assert [(p, s) for p, s, _ in got[0]] == [("p", plain_score(long, long))]
 
 
-@pytest.mark.parametrize("hot", [1, 3, 10, 10_000])
-def test_join_equals_pair_by_pair_scoring(spark, hot):
-    """Whatever counts as a frequent key, the top candidates are those of scoring every pair."""
+@pytest.mark.parametrize("seeds", [1, 40, 10_000])
+def test_join_equals_pair_by_pair_scoring(spark, monkeypatch, seeds):
+    """However few seeds set the floors, the top candidates are those of scoring every pair."""
+    monkeypatch.setattr(candidates, "SEED_POSTINGS", seeds)
     rng = random.Random(7)
     words = ["nivea", "сплат", "splat", "колгейт", "крем", "гель", "паста", "кокос", "алоэ", "пакет", "туба", "соленый",
              "молоко", "молок", "шоколадка", "шоколад", "color", "душ", "zhuk", "жук", "олива"]
     text = lambda: " ".join(rng.sample(words, rng.randint(1, 5)) + rng.choice([[], ["250 мл"], ["100 г"], ["1 л"]]))
     catalog = [(f"p{n:03d}", text(), None, None) for n in range(120)]
     names = [text() for _ in range(25)]
-    got = ranked(catalog_candidates(items(spark, names), products(spark, catalog), k=30, hot_key_signatures=hot))
+    got = ranked(catalog_candidates(items(spark, names), products(spark, catalog), k=30))
     for n, name in enumerate(names):
         scored = [(pid, plain_score(name, t)) for pid, t, _, _ in catalog] if tokens(name) else []
         expected = sorted([x for x in scored if x[1] > 0], key=lambda x: (-x[1], x[0]))[:30]

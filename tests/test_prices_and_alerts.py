@@ -49,6 +49,8 @@ def test_a_busy_day_of_one_key_stays_linear(spark):
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 3600).alias("observed_at"), F.col("id").alias("obs_id"))
     got = ph.with_previous(rows, ["product_id", "store_id"], ["observed_at", "obs_id"], ["price_minor"])
     assert got.agg(F.count_if("has_previous"), F.count("*")).first()[:] == (299_999, 300_000)
+    parts = ph.in_ranges(rows, ["product_id", "store_id"], ["observed_at", "obs_id"], "slot").groupBy("slot").count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 120_000  # spread over all tasks
 
 
 def test_rules_meet_rows_by_equality_and_threshold(spark):

@@ -1,5 +1,9 @@
 """Pages, payloads, recognition and catalogue files."""
 
+import csv
+import io
+import random
+
 from pyspark.sql import functions as F
 
 from shelflens.sources import catalog as cs, pages as pg, recognition as rc, sinks
@@ -101,3 +105,49 @@ def test_photo_files(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     photos = sinks.read_photos(spark, str(tmp_path), "*.jpg").withColumn("session_id", F.lit("s"))
     assert sinks.dedup_photos(photos).count() == 2
+
+
+def plain_records(raw, delimiter):
+    """File rows by Python's reader, numbered as the library numbers them."""
+    rows = [r for r in csv.reader(io.StringIO(raw.removeprefix("\ufeff"), newline=""), delimiter=delimiter) if r]
+    head = [h.strip().lower() for h in rows[0]]
+    return {n: dict(zip(head, [v.strip() for v in r])) for n, r in enumerate(rows[1:], 2) if any(v.strip() for v in r)}
+
+
+def test_files_with_their_own_delimiters_and_row_numbers(spark, tmp_path):
+    rng = random.Random(8)
+    names = ["plain", "two\nlines", "say \"so\"; or, not | ever\t!", "win\r\ndows\n\nfour", "", "длинное имя " * 30]
+    files = {}
+    for n, (delimiter, end) in enumerate([(",", "\n"), (";", "\r\n"), ("\t", "\n"), ("|", "\r\n"), (";", "\n")]):
+        out = io.StringIO()
+        writer = csv.writer(out, delimiter=delimiter, lineterminator=end, quoting=csv.QUOTE_ALL if n % 2 else csv.QUOTE_MINIMAL)
+        writer.writerow([" SKU", "Название", "Brand", "Размер", "Цена"])
+        for k in range(120):
+            writer.writerow([f"s{k}" if k % 9 else "", rng.choice(names), rng.choice("ab"), "1 г", f"{k},5"] if k % 11 else [""] * 5)
+            if k % 17 == 0:
+                out.write(end)  # an empty line is no record
+        files[f"f{n}.csv"] = (("\ufeff" if n == 1 else "") + out.getvalue(), delimiter)
+    (tmp_path / "in").mkdir()
+    for name, (raw, _) in files.items():
+        (tmp_path / "in" / name).write_bytes(raw.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300b", before):  # ranges far smaller than many records, and whole files
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0" if size == "300b" else "4194304")
+            got = {}
+            for r in cs.read_catalog(spark, str(tmp_path / "in")).collect():
+                got.setdefault(r.file.rsplit("/", 1)[1], {})[r.row_number] = (r.external_sku, r.name, r.brand, r.size_text, r.own_price_minor)
+            for name, (raw, delimiter) in files.items():
+                expected = {n: (r["sku"] or None, r["название"] or None, r["brand"] or None, r["размер"] or None, int(float(r["цена"].replace(",", ".")) * 100) if r["цена"] else None)
+                            for n, r in plain_records(raw, delimiter).items()}
+                assert got[name] == expected, (name, size)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", "4194304")
+
+
+def test_files_without_rows(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "head.csv").write_text("sku;name\n")
+    assert cs.read_catalog(spark, str(tmp_path)).count() == 0

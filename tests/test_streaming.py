@@ -1,9 +1,12 @@
 """Streams fed in several steps against their batch twins."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from shelflens.operators import price_history as ph
-from shelflens.streaming import jobs, state
+from shelflens.operators import runs as rn
+from shelflens.streaming import jobs, state, tables
 
 OBS = "product_id bigint, store_id bigint, observed_at timestamp, obs_id string, price_minor bigint, availability string"
 
@@ -29,8 +32,8 @@ def feed(rows, path, parts):
 def test_price_state_equals_batch_over_steps(spark, tmp_path):
     rows, source, out = observations(spark), str(tmp_path / "in"), str(tmp_path)
     for _ in feed(rows, source, [(0, 150), (150, 160), (160, 400)]):
-        run(state.price_state_stream(jobs.read_observations(spark, source, rows.schema)), out, "changes")
-    got = {r["obs_id"]: (r["previous_price_minor"], r["went_out_of_stock"]) for r in spark.read.parquet(f"{out}/changes").collect()}
+        state.price_state(jobs.read_observations(spark, source, rows.schema), f"{out}/changes", f"{out}/checkpoint", 4).awaitTermination()
+    got = {r["obs_id"]: (r["previous_price_minor"], r["went_out_of_stock"]) for r in state.read_changes(spark, f"{out}/changes").collect()}
     gone = {r["obs_id"] for r in ph.out_of_stock_transitions(rows).collect()}
     expected = {r["obs_id"]: (r["previous_price_minor"], r["obs_id"] in gone) for r in ph.price_changes(rows).collect()}
     assert got == expected
@@ -39,8 +42,8 @@ def test_price_state_equals_batch_over_steps(spark, tmp_path):
 def test_rows_older_than_the_state_are_dropped(spark, tmp_path):
     rows, source, out = observations(spark, 40), str(tmp_path / "in"), str(tmp_path)
     for _ in feed(rows, source, [(20, 40), (0, 20)]):
-        run(state.price_state_stream(jobs.read_observations(spark, source, rows.schema)), out, "late")
-    assert spark.read.parquet(f"{out}/late").count() == 20
+        state.price_state(jobs.read_observations(spark, source, rows.schema), f"{out}/late", f"{out}/checkpoint", 4).awaitTermination()
+    assert state.read_changes(spark, f"{out}/late").count() == 20
 
 
 def test_redelivered_rows_are_dropped(spark, tmp_path):
@@ -57,8 +60,8 @@ def test_streaks_alert_once_per_series(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path)
     for low, high in ((0, 5), (5, 8), (8, 10)):
         runs.where(F.col("run_id").between(low, high - 1)).coalesce(1).write.mode("append").parquet(source)
-        run(state.failure_streak_stream(jobs.read_observations(spark, source, runs.schema), threshold=3), out, "streaks")
-    rows = spark.read.parquet(f"{out}/streaks").orderBy("run_id").collect()
+        state.failure_state(jobs.read_observations(spark, source, runs.schema), f"{out}/streaks", f"{out}/checkpoint", 2, threshold=3).awaitTermination()
+    rows = state.read_changes(spark, f"{out}/streaks").orderBy("run_id").collect()
     assert [r["streak"] for r in rows] == [1, 2, 0, 1, 2, 3, 4, 5, 0, 1]
     assert [r["run_id"] for r in rows if r["alert"]] == [5]
 
@@ -80,9 +83,9 @@ def test_latest_table_drops_versions_nobody_needs(spark, tmp_path):
         stream = jobs.read_observations(spark, source, rows.schema)
         jobs.maintain_latest(stream, base, str(tmp_path / "latest-checkpoint"), ["product_id", "store_id"], ["observed_at", "obs_id"], buckets=2,
                              files_per_bucket=2, keep_versions=2).awaitTermination()
-    assert len(jobs._numbers(spark, base, "manifest")) == 2
-    named = set(jobs._manifest(spark, base).values()) | set(jobs._manifest(spark, base, jobs._numbers(spark, base, "manifest")[0]).values())
-    left = [v for v in jobs._numbers(spark, base, "version") if jobs._numbers(spark, f"{base}/version={v}", "bucket")]
+    assert len(tables._numbers(spark, base, "manifest")) == 2
+    named = set(tables._manifest(spark, base).values()) | set(tables._manifest(spark, base, tables._numbers(spark, base, "manifest")[0]).values())
+    left = [v for v in tables._numbers(spark, base, "version") if tables._numbers(spark, f"{base}/version={v}", "bucket")]
     assert set(left) == named
     assert jobs.read_latest(spark, str(tmp_path / "nothing")) is None
 
@@ -96,3 +99,51 @@ def test_stale_runs_fire_on_event_time(spark, tmp_path):
     df.withColumn("event_at", F.expr("event_at + interval 5 hours")).where("run_id = 9").coalesce(1).write.mode("append").parquet(source)
     run(state.stale_run_stream(jobs.read_observations(spark, source, df.schema), 30), out, "stale")
     assert sorted((r["run_id"], r["action"]) for r in spark.read.parquet(f"{out}/stale").collect()) == [(1, "fail"), (1, "requeue")]
+
+
+def test_a_key_with_most_of_a_batch_and_prices_that_miss(spark, tmp_path):
+    rows = observations(spark, 600).withColumn("product_id", F.when(F.col("obs_id") % 3 > 0, 1).otherwise(F.col("product_id"))).withColumn(
+        "price_minor", F.when(F.col("obs_id") % 7 > 0, F.col("price_minor")))
+    source, out = str(tmp_path / "in"), str(tmp_path)
+    for _ in feed(rows, source, [(0, 50), (50, 420), (420, 425), (425, 600)]):
+        state.price_state(jobs.read_observations(spark, source, rows.schema), f"{out}/changes", f"{out}/checkpoint", 3).awaitTermination()
+    got = {r["obs_id"]: (r["previous_price_minor"], r["went_out_of_stock"]) for r in state.read_changes(spark, f"{out}/changes").collect()}
+    gone = {r["obs_id"] for r in ph.out_of_stock_transitions(rows).collect()}
+    previous = {r["obs_id"]: r["previous_price_minor"] for r in ph.price_changes(rows).collect()}
+    assert got == {r["obs_id"]: (previous.get(r["obs_id"]), r["obs_id"] in gone) for r in rows.collect()}
+
+
+def plain_streaks(marks):
+    out, streak = [], 0
+    for m in marks:
+        streak = streak + 1 if m == "f" else 0
+        out.append(streak)
+    return out
+
+
+def test_streaks_of_random_cuts_agree(spark, tmp_path):
+    rng = random.Random(3)
+    marks = {s: "".join(rng.choice("ffffs" if s else "f") for _ in range(60)) for s in (0, 1, 2)}
+    marks[2] = marks[2][:7]
+    order = [(s, n) for s in marks for n in range(len(marks[s]))]
+    rows = spark.createDataFrame([(s or None, n * 3 + s, "failed" if marks[s][n] == "f" else "succeeded", 1_704_067_200 + n) for s, n in order],
+                                 "source_id bigint, run_id bigint, status string, at bigint").withColumn("started_at", F.timestamp_seconds("at")).drop("at")
+    expected = {n * 3 + s: v for s in marks for n, v in enumerate(plain_streaks(marks[s]))}
+    assert {r.run_id: r.streak for r in rn.streaks_per_run(rows).collect()} == expected
+    last = {r.source_id: r.streak for r in rn.failure_streaks(rows).collect()}
+    assert last == {s or None: plain_streaks(marks[s])[-1] for s in marks}
+    cuts = sorted(rng.sample(range(1, 60), 3))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for low, high in zip([0, *cuts], [*cuts, 60]):
+        seconds = F.unix_timestamp("started_at") - 1_704_067_200
+        rows.where((seconds >= low) & (seconds < high)).write.mode("append").parquet(source)
+        state.failure_state(jobs.read_observations(spark, source, rows.schema), out, f"{out}-checkpoint", 2, threshold=3).awaitTermination()
+    got = state.read_changes(spark, out).collect()
+    assert {r.run_id: r.streak for r in got} == expected
+    assert {r.run_id for r in got if r.alert} == {i for i, v in expected.items() if v == 3}
+    # summaries of any stretches add up to that of the whole
+    cut = rows.withColumn("part", F.when(F.unix_timestamp("started_at") < 1_704_067_200 + cuts[0], 0).when(F.unix_timestamp("started_at") < 1_704_067_200 + cuts[2], 1).otherwise(2))
+    joined = rn.joined_summaries(rn.streak_summary(cut, ["source_id", "part"]), ["source_id"], "part")
+    newest = joined.withColumn("streak", F.col("tail") + F.when(F.col("all_failed"), F.col("carried")).otherwise(0)).groupBy("source_id").agg(
+        F.max_by("streak", "part").alias("streak"))
+    assert {r.source_id: r.streak for r in newest.collect()} == last
