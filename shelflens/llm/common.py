@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BLOCK_BYTES = 1 << 18
 _U = np.uint64
@@ -15,6 +19,26 @@ _INVERSE = pow(_STEP, -1, 1 << 64)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(0, _U), np.ones(0, _U))
 
 
+def released(run: Callable) -> Callable:
+    """``run`` over batches, giving its memory back to the system when the task ends.
+
+    Python workers are kept for later tasks, also of other stages; what an idle one holds on to is missing there.
+    """
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        global _powers
+        try:
+            yield from run(batches)
+        finally:
+            _powers = (np.ones(0, _U), np.ones(0, _U))
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+    return wrapped
+
+
 def split_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -99,6 +123,39 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash per word, A-Z taken as a-z. Words of up to 16 bytes are mixed as two numbers, longer ones hashed one by one.
+
+    No sum over bytes: words that differ in many places at once do not cancel out.
+    """
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    size = ends - starts
+    lower = np.zeros(len(data) + 16, np.uint8)
+    lower[:len(data)] = table[data]
+    eights = np.ndarray(len(data) + 9, _U, lower, strides=(1,))  # the 8 bytes from every place on
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
+    low = eights[starts] & masks[np.minimum(size, 8)]
+    high = eights[np.minimum(starts + 8, len(data))] & masks[np.clip(size - 8, 0, 8)]
+    hashes = mix(mix(low + _U(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) ^ high) + size.astype(_U) * _U(0xD1342543DE82EF95)
+    for i in np.flatnonzero(size > 16).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(lower[starts[i]:ends[i]], seed)
+    return mix(hashes)
+
+
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def has_long_id(docs: DataFrame, id: str) -> bool:
+    return isinstance(docs.schema[id].dataType, _WHOLE)
+
+
+def id_key(docs: DataFrame, id: str) -> Column:
+    """The id as a long: itself if it is a whole number, a 64-bit hash of it otherwise, null for null."""
+    own = F.col(f"`{id}`")
+    return own.cast("long") if has_long_id(docs, id) else F.when(own.isNotNull(), F.xxhash64(own))
+
+
 def bit_filter(keys: DataFrame, column: str, log2_bits: int = 24) -> "np.ndarray":
     """A bitmap of 2**log2_bits bits with a bit set for the top bits of every 64-bit key of ``column``.
 

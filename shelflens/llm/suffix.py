@@ -10,11 +10,15 @@ repeated window is removed.
 4. Those are put together per gram with one copy of the other contexts, and their common prefixes are derived: breadth-first
    backward extension on the BWT of a batch finds the boundaries by increasing LCP (those below 16 are known from the sort) and
    stops at ``length``. Boundaries without a value by then are common prefixes of ``length`` or more.
-5. Grams with more than ``HOT`` different contexts are split: their windows are counted one by one by hash.
+5. A gram whose contexts hold more than ``GROUP_BYTES`` is divided exactly: its windows fall into classes by where the gram stands in
+   them (``SPREADS`` places to a class), and the bytes that all windows of a class share around the gram are its new key. Equal windows
+   have equal keys. Keys that are still too large are divided again, down to one place, where the key is the whole window.
 6. The marked spans of a text are joined to it and cut out.
 
 Defined results: a null text is an empty text; texts shorter than a window are kept whole; matches never cross texts; rows that
-repeat an id and text repeat each other; extra columns are ignored. Rows are told apart by a 64-bit hash of id and text.
+repeat an id and text repeat each other, and all copies of a window go, none is kept; texts of any length are read whole; an empty table
+gives an empty one; extra columns are ignored, whatever their names; ids keep their type. Rows are told apart by a 64-bit hash of id
+and text.
 """
 
 from __future__ import annotations
@@ -24,15 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from shelflens.llm.common import bit_filter, byte_values, passes, prefix_hash, span_hash, text_blocks
+from shelflens.llm.common import bit_filter, byte_values, mix, passes, prefix_hash, released, span_hash, text_blocks
 from shelflens.session import materialize
 
 LENGTH = 200
 GRAM = 48
-HOT = 4096
 CHUNK = 60_000  # bytes of contexts put together; with 16-bit ranks a batch sorts and ranks fastest
+GROUP_BYTES = 1 << 17  # bytes of contexts under one key; a batch takes about 100 to 300 times its bytes of memory
+SPREADS = (39, 10, 3, 1)
 BITS = 26
 _U = np.uint64
 _PLACE = _U((1 << 31) - 1)
@@ -89,7 +94,7 @@ def _gram_counts(source: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield folded()
 
-    return source.select("t").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return source.select("t").mapInArrow(released(run), "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def _candidate_runs(source: DataFrame, bitmap, length: int, gram: int) -> DataFrame:
@@ -103,7 +108,7 @@ def _candidate_runs(source: DataFrame, bitmap, length: int, gram: int) -> DataFr
                     [pa.array(grams[keep]), pa.array(contexts[keep]), pa.array(keys[lo + text[keep]]), pa.array(first[keep].astype(np.int32)),
                      pa.array(last[keep].astype(np.int32))], names=["gram", "context", "doc", "first", "last"])
 
-    return source.select("doc", "t").mapInArrow(run, "gram long, context long, doc long, first int, last int")
+    return source.select("doc", "t").mapInArrow(released(run), "gram long, context long, doc long, first int, last int")
 
 
 def _order(*keys: np.ndarray) -> np.ndarray:
@@ -217,21 +222,49 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield solved()
 
-    return rows.select("gram", "once", "doc", "first", "bytes").mapInArrow(run, "doc long, start long, end long")
+    return rows.select("gram", "once", "doc", "first", "bytes").mapInArrow(released(run), "doc long, start long, end long")
 
 
-def _window_hashes(rows: DataFrame, length: int) -> DataFrame:
-    """(window, doc, start) of every window of the contexts."""
+def _divided(rows: DataFrame, length: int, spread: int) -> DataFrame:
+    """Parts of contexts, (gram, once, doc, first, place, bytes), whose windows hold the gram within the same ``spread`` places.
+
+    ``place`` is where the gram stands in the bytes. The part's ``gram`` is the hash of its class and of the bytes all its windows share.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = byte_values(41, False)
+        values, seeds = byte_values(41, False), mix(np.arange(1, length + 2, dtype=_U))
         for batch in batches:
-            for doc, first, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = np.frombuffer(raw.as_buffer(), np.uint8)
-                at = np.arange(len(data) - length + 1)
-                keys = span_hash(prefix_hash(data, values), at, at + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(at), doc)), pa.array(at + first)], names=["window", "doc", "start"])
+            out: list[tuple] = []
+            for once, doc, first, place, raw in zip(*[c.to_pylist() for c in batch.columns]):
+                sums = prefix_hash(np.frombuffer(raw, np.uint8), values)
+                last = len(raw) - length  # the last window; window k holds the gram at place - k
+                for low in range((place - last) // spread * spread, place + 1, spread):
+                    high = low + spread - 1
+                    key = span_hash(sums, np.array([place - low]), np.array([place - high + length])) + seeds[low]
+                    a, b = max(0, place - high), min(last, place - low)
+                    out.append((int(mix(key).view(np.int64)[0]), once, doc, first + a, place - a, raw[a:b + length]))
+            columns = list(zip(*out)) if out else [[]] * 6
+            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["gram", "once", "doc", "first", "place", "bytes"])
 
-    return rows.select("doc", "first", "bytes").mapInArrow(run, "window long, doc long, start long")
+    return rows.select("once", "doc", "first", "place", "bytes").mapInArrow(released(run), "gram long, once boolean, doc long, first long, place long, bytes binary")
+
+
+def _within_large(large: DataFrame, length: int) -> list[DataFrame]:
+    """Repeated spans (doc, start, end) of contexts whose gram holds too many bytes for one task."""
+    found = []
+    for spread in SPREADS:
+        parts = materialize(_divided(large, length, spread), "parts")
+        sizes = parts.groupBy("gram").agg(F.count("*").alias("c"), F.sum(F.length("bytes") + 1).alias("size"), F.max("once").alias("open"))
+        live = materialize(sizes.where("c > 1 and open").select("gram", (F.col("size") > GROUP_BYTES).alias("large")), "live")
+        if spread == 1:  # the key is the window
+            found.append(parts.where("once").join(live, "gram", "left_semi").select("doc", F.col("first").alias("start"), (F.col("first") + length).alias("end")))
+            break
+        known = materialize(parts.join(live, "gram"), "known")
+        found.append(_compared(known.where("not large").repartition("gram").sortWithinPartitions("gram"), length))
+        large = known.where("large")
+        if large.isEmpty():
+            break
+    return found
 
 
 def _named(source: DataFrame, docs: DataFrame, keep: bool = True) -> DataFrame:
@@ -243,7 +276,7 @@ def _named(source: DataFrame, docs: DataFrame, keep: bool = True) -> DataFrame:
             hit = passes(bitmap.value, batch.column(batch.schema.get_field_index("doc")).to_numpy().view(_U))
             yield batch.filter(pa.array(hit == keep))
 
-    return source.mapInArrow(run, source.schema)
+    return source.mapInArrow(released(run), source.schema)
 
 
 def _cut(rows: DataFrame) -> DataFrame:
@@ -273,7 +306,9 @@ def _cut(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]],
                                              names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return rows.select("id", "t", "spans").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    made = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]
+    made += [T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
+    return rows.select("id", "t", "spans").mapInArrow(released(run), T.StructType([rows.schema["id"], *made]))
 
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -283,43 +318,57 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     repeated = materialize(_gram_counts(source, length, gram).where("c > 1").select("gram"), "grams")
     bitmap = spark.sparkContext.broadcast(bit_filter(repeated, "gram", BITS))
     runs = materialize(_candidate_runs(source, bitmap, length, gram).join(repeated, "gram", "left_semi"), "runs")
-    contexts = materialize(runs.groupBy("gram", "context").agg(F.count("*").alias("c"), F.max("doc").alias("rep")), "contexts")
-    groups = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.sum((F.col("c") == 1).cast("int")).alias("once"))
-    open_groups = materialize(groups.where("m > 1 and once > 0").select("gram", "m"), "open")
+    contexts = materialize(runs.groupBy("gram", "context").agg(F.count("*").alias("c"), F.max("doc").alias("rep"),
+                                                                   F.max(F.col("last") - F.col("first")).alias("reach")), "contexts")
+    groups = contexts.groupBy("gram").agg(F.count("*").alias("m"), F.sum((F.col("c") == 1).cast("int")).alias("once"),
+                                          F.sum(F.col("reach") + length + 1).alias("size"))
+    open_groups = materialize(groups.where("m > 1 and once > 0").select("gram", "m", (F.col("size") > GROUP_BYTES).alias("large")), "open")
     judged = contexts.join(open_groups, "gram", "left").where("c > 1 or m is not null")
     placed = materialize(
         runs.join(judged, ["gram", "context"]).select(
             "gram", "doc", "first", "last", (F.col("c") > 1).alias("whole"), (F.col("m").isNotNull() & (F.col("doc") == F.col("rep"))).alias("fetch"),
-            F.coalesce(F.col("m") > HOT, F.lit(False)).alias("hot")), "placed")
+            F.coalesce("large", F.lit(False)).alias("large")), "placed")
     whole = placed.where("whole").select("doc", F.col("first").cast("long").alias("start"), (F.col("last") + length).cast("long").alias("end"))
 
     wanted = (placed.where("fetch").groupBy("doc")
-              .agg(F.collect_list(F.struct("first", "last", "gram", "whole", "hot")).alias("places")))  # places of one text
+              .agg(F.collect_list(F.struct("first", "last", "gram", "whole", "large")).alias("places")))  # places of one text
     wanted = materialize(wanted, "wanted")
 
+    def gram_place(context: bytes, reach: int, key: int) -> int:
+        """Where the gram of all windows of a context stands: the leftmost place of its hash that all of them cover."""
+        sums, at = prefix_hash(np.frombuffer(context, np.uint8), byte_values(37, False)), np.arange(reach, length - gram + 1)
+        return reach + int(np.argmax(span_hash(sums, at, at + gram).view(np.int64) == key))
+
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        names = ["gram", "once", "large", "doc", "first", "place", "bytes"]
         for batch in batches:
             out: list[tuple] = []
-            for doc, t, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw = t.as_buffer().to_pybytes()
-                out += [(p["gram"], not p["whole"], p["hot"], doc, p["first"], raw[p["first"]:p["last"] + length]) for p in places]
-            columns = list(zip(*out)) if out else [[]] * 6
-            types = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["gram", "once", "hot", "doc", "first", "bytes"])
+            for doc, t, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                raw = t.as_buffer()
+                for p in places.as_py():
+                    context = raw[p["first"]:p["last"] + length].to_pybytes()
+                    place = gram_place(context, p["last"] - p["first"], p["gram"]) if p["large"] else None
+                    out.append((p["gram"], not p["whole"], p["large"], doc, p["first"], place, context))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     texts = _named(source.select("doc", "t"), wanted).dropDuplicates(["doc"])
     pieces = materialize(texts.join(wanted, "doc").select("doc", "t", "places").mapInArrow(
-        sliced, "gram long, once boolean, hot boolean, doc long, first long, bytes binary"), "pieces")
-    compared = _compared(pieces.where("not hot").repartition("gram").sortWithinPartitions("gram"), length)
-    windows = _window_hashes(pieces.where("hot"), length)
-    twice = windows.groupBy("window").agg(F.count("*").alias("c")).where("c > 1").select("window")
-    split = windows.join(twice, "window", "left_semi").select("doc", "start", (F.col("start") + length).alias("end"))
-    return whole.unionByName(compared).unionByName(split)
+        released(sliced), "gram long, once boolean, large boolean, doc long, first long, place long, bytes binary"), "pieces")
+    found = whole.unionByName(_compared(pieces.where("not large").repartition("gram").sortWithinPartitions("gram"), length))
+    large = pieces.where("large")
+    for part in [] if large.isEmpty() else _within_large(large, length):
+        found = found.unionByName(part)
+    return found
 
 
 def _source(docs: DataFrame, id: str, text: str) -> DataFrame:
-    t = F.col(text).cast("string")
-    return docs.select(F.xxhash64(F.col(id), t).alias("doc"), F.col(id).cast("long").alias("id"), t.alias("t"))
+    t = F.col(f"`{text}`").cast("string")
+    return docs.select(F.xxhash64(F.col(f"`{id}`"), t).alias("doc"), F.col(f"`{id}`").alias("id"), t.alias("t"))
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
