@@ -6,7 +6,9 @@ or names bound earlier, whose constant they take over, and sums (+) of strings a
 it looks like a credential; ``literal`` spans are the literals of score ``LEAST`` or more that no base span covers.
 
 Defined results: a null text is an empty text; offsets are code points, the end exclusive; spans come by start, then by kind in
-the order of KINDS; a name bound twice has its later constant from there on; extra columns stay, repeated rows are scanned each.
+the order of KINDS, so ties have one order; a name bound twice has its later constant from there on; texts of any length are read whole, constants
+may grow without bound; extra columns stay, but for one named like the output, which is replaced; repeated rows are scanned each; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -58,21 +60,72 @@ def name_score(name: str) -> float:
     return 1 - math.prod(1 - NAME_WEIGHT.get(p, 0.0) for p in _parts(name))
 
 
-def value_score(value: str, phrase: bool = False) -> float:
+class Constant:
+    """A constant by its length, how often each character stands in it, and its ends: all that a score needs.
+
+    Sums add up, so constants that double or grow with every binding cost no more than their alphabet. Numbers are
+    ``value * 2**shift``; they are exact up to 2^53 and keep their proportions beyond.
+    """
+
+    __slots__ = ("counts", "size", "shift", "head", "tail")
+    KEPT = 24
+
+    def __init__(self, counts: dict[str, float], size: float, shift: int, head: str, tail: str) -> None:
+        self.counts, self.size, self.shift, self.head, self.tail = counts, size, shift, head, tail
+
+    @classmethod
+    def of(cls, text: str) -> Constant:
+        return cls(Counter(text), len(text), 0, text[:cls.KEPT], text[-2:])
+
+    def __add__(self, other: Constant) -> Constant:
+        shift = max(self.shift, other.shift)
+        mine, its = math.ldexp(1.0, self.shift - shift), math.ldexp(1.0, other.shift - shift)
+        counts = {c: n * mine for c, n in self.counts.items()}
+        for c, n in other.counts.items():
+            counts[c] = counts.get(c, 0.0) + n * its
+        size = self.size * mine + other.size * its
+        if size > 2.0 ** 900:
+            counts, size, shift = {c: n * 2.0 ** -800 for c, n in counts.items()}, size * 2.0 ** -800, shift + 800
+        head = self.head if self.shift or self.size >= self.KEPT else (self.head + other.head)[:self.KEPT]
+        return Constant(counts, size, shift, head, (self.tail + other.tail)[-2:])
+
+    def has(self, character: str) -> bool:
+        return character in self.counts
+
+    def placeholder(self) -> bool:
+        if not self.shift and self.size <= self.KEPT:
+            return PLACEHOLDER.match(self.head) is not None
+        # of the longer ones, those of one character or between two ends
+        return (any(self.counts.keys() <= set(one) for one in ("xX", "*", ".")) or re.match(r"(?i)your[_-]", self.head) is not None
+                or any(self.head.startswith(left) and self.tail.endswith(right) for left, right in (("<", ">"), ("${", "}"), ("{{", "}}"))))
+
+
+def value_score(value: str | Constant, phrase: bool = False) -> float:
     """How much a literal looks like a credential: length, characters spread evenly, letters mixed with digits; spaces only in a phrase."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or (" " in value and not phrase):
+    value = Constant.of(value) if isinstance(value, str) else value
+    if (value.size < 8 and not value.shift) or value.placeholder() or (value.has(" ") and not phrase):
         return 0.0
-    counts = Counter(value)
-    bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
-    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    bits = -sum(c / value.size * math.log2(c / value.size) for c in value.counts.values() if c)
+    mixed = any(c.isdigit() for c in value.counts) and any(c.isalpha() for c in value.counts)
     return min(1.0, bits / 4 + (0.2 if mixed else -0.2))
 
 
-def literals(text: str) -> list[tuple[int, int, str, str, float]]:
+_NOTHING = Constant({}, 0, 0, "", "")
+
+
+def _sum(raw: str, known: dict[str, Constant]) -> Constant:
+    """The strings and bound names of a sum, added up pairwise."""
+    parts = [Constant.of(p[1:-1]) if p[0] in "\"'" else known.get(p, _NOTHING) for p in _PART.findall(raw)]
+    while len(parts) > 1:
+        parts = [x + y for x, y in zip(parts[::2], parts[1::2])] + parts[len(parts) & ~1:]
+    return parts[0]
+
+
+def literals(text: str) -> list[tuple[int, int, str, Constant, float]]:
     """(start, end, name, constant, score) of every binding's literal; a name bound to a known constant scores at its own use."""
     if "=" not in text and ":" not in text:
         return []
-    known: dict[str, str] = {}
+    known: dict[str, Constant] = {}
     out = []
     at = 0
     while m := BINDING.search(text, at):
@@ -81,24 +134,23 @@ def literals(text: str) -> list[tuple[int, int, str, str, float]]:
         first = _PART.match(raw)
         if raw[0] not in "\"'" and first and _SUM.match(raw, first.end()):
             at = start + first.end()  # the strings of a sum that begins with a name are read for bindings of their own, too
-            value = "".join(p[1:-1] if p[0] in "\"'" else known.get(p, "") for p in _PART.findall(raw))
-            phrase = " " in value and not PHRASE.isdisjoint(_parts(name))
+            value = _sum(raw, known)
+            phrase = value.has(" ") and not PHRASE.isdisjoint(_parts(name))
             if first[0] in known or value_score(value, phrase) >= value_score(first[0]):
                 known[name] = value
                 out.append((start, end, name, value, name_score(name) * value_score(value, phrase)))
                 continue
             raw = first[0]  # an unquoted literal and something added
         if raw[0] in "\"'":
-            parts = [p.group() for p in _PART.finditer(raw)]
-            value = "".join(p[1:-1] if p[0] in "\"'" else known.get(p, "") for p in parts)
-            if len(parts) == 1:
+            value = _sum(raw, known)
+            if _PART.match(raw).end() == len(raw):
                 start, end = start + 1, end - 1
         else:
             raw = raw.rstrip(".")
             end = start + len(raw)
-            value = known.get(raw, raw)
+            value = known.get(raw) or Constant.of(raw)
         known[name] = value
-        score = name_score(name) * value_score(value, " " in value and not PHRASE.isdisjoint(_parts(name)))
+        score = name_score(name) * value_score(value, value.has(" ") and not PHRASE.isdisjoint(_parts(name)))
         out.append((start, end, name, value, score))
     return out
 
