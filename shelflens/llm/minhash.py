@@ -14,8 +14,9 @@ sketches rule it out or if it is already connected.
 
 Defined results: words are runs of anything but space and \\t-\\r, A-Z lower-cased; a text of fewer words than a shingle is one
 shingle, an empty or null text has none and links with nothing; rows of one id are one document, which links if any of its
-texts does; a null id is
-returned unlinked and kept; extra columns are ignored.
+texts does; a null id is returned unlinked and kept; texts of any length are read whole; ties between ids go to the smallest; an
+empty table gives an empty one; extra columns are ignored, whatever their names; ids may be of any type that can be ordered. ``shared`` is
+right for ``percent`` 80 and ``k`` 32; other values of these need their own.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from shelflens.llm.common import (bit_filter, byte_values, mix, passes, prefix_hash, span_hash, text_blocks, word_spans)
+from shelflens.llm.common import bit_filter, has_long_id, id_key, mix, passes, released, text_blocks, word_hashes, word_spans
 from shelflens.llm.graph import components
 from shelflens.session import materialize
 
@@ -48,11 +49,11 @@ def _word_bytes() -> np.ndarray:
 
 def _shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes as non-negative int64) of every text."""
-    values, word = byte_values(11, True), _word_bytes()
+    word = _word_bytes()
     weights = mix(np.arange(1, width + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
     for lo, hi, data, offsets in text_blocks(column):
         starts, ends, first = word_spans(data, offsets, word)
-        words = span_hash(prefix_hash(data, values), starts, ends)
+        words = word_hashes(data, starts, ends, 11)
         n = max(0, len(words) - width + 1)
         rolled = np.zeros(n, _U)
         for j in range(width):
@@ -85,8 +86,8 @@ def sketches(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists],
                 names=["id", "n", "s1", "s2", "sketch"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(
-        run, "id long, n long, s1 long, s2 long, sketch array<long>")
+    return docs.select(id_key(docs, id).alias("id"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(
+        released(run), "id long, n long, s1 long, s2 long, sketch array<long>")
 
 
 def _listed(classes: DataFrame, k: int, shared: int, percent: int) -> DataFrame:
@@ -139,8 +140,8 @@ def _full_sets(ids: DataFrame, docs: DataFrame, id: str, text: str, width: int)
                 sets = [found.tobytes() for _, found in _shingle_sets(part.column(2), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "hashes"])
 
-    return (docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("id is not null")
-            .select("id", F.xxhash64("id").alias("h"), "t").mapInArrow(named, "id long, hashes binary"))
+    return (docs.select(id_key(docs, id).alias("id"), F.col(f"`{text}`").cast("string").alias("t")).where("id is not null")
+            .select("id", F.xxhash64("id").alias("h"), "t").mapInArrow(released(named), "id long, hashes binary"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id: str, text: str, width: int, percent: int, name: str) -> DataFrame:
@@ -173,7 +174,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id: str, text: str, width: int,
                     b.append(hub)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return materialize(met.select("b", "member", "hashes").mapInArrow(check, "a long, b long"), f"{name}-links").distinct()
+    return materialize(met.select("b", "member", "hashes").mapInArrow(released(check), "a long, b long"), f"{name}-links").distinct()
 
 
 def _joined_blocks(clusters: DataFrame, docs: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
@@ -240,9 +241,25 @@ def _joined_blocks(clusters: DataFrame, docs: DataFrame, id: str, text: str, wid
     return units.join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def _named(docs: DataFrame, id: str, text: str, judge) -> DataFrame:
+    """What ``judge`` gives for documents known by a hash of their id, with the ids themselves."""
+    keyed = docs.select(id_key(docs, id).alias("id"), F.col(f"`{id}`").alias("own"), F.col(f"`{text}`").alias("text"))
+    found = materialize(judge(keyed.select("id", "text")), "judged")
+    names = materialize(keyed.select("id", "own").where("id is not null").distinct(), "names")
+    least = found.join(names, "id").groupBy("component_id").agg(F.min("own").alias("least"))
+    joined = found.join(names, "id", "left").join(least, "component_id", "left")
+    return joined.select(F.col("own").alias(id), "n_shingles", F.col("least").alias("component_id"),
+                         F.coalesce(F.col("own") == F.col("least"), F.lit(True)).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
                     k: int = SKETCH, shared: int = SHARED) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row of ``docs``."""
+    """(id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Ids that are no whole numbers are compared as they are: the component is the smallest in their own order.
+    """
+    if not has_long_id(docs, id):
+        return _named(docs, id, text, lambda keyed: near_duplicates(keyed, "id", "text", width, percent, k, shared))
     all_rows = materialize(sketches(docs, id, text, width, k), "sketches")
     known = all_rows.where("id is not null and n > 0")
     classes = materialize(known.groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.any_value("sketch").alias("sketch")), "classes")
