@@ -10,7 +10,9 @@ Bitmaps of fixed size keep other terms and documents away from the shuffles; the
 
 Defined results: words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters; null or wordless texts have
 no words and no hits, null or wordless items no windows; an item without an id marks words but is not listed; repeated rows
-and rows with a null id are judged each on its own text; an empty benchmark leaves every row clean.
+and rows with a null id are judged each on its own text; texts of any length are read whole; an empty benchmark leaves every row
+clean, an empty table gives an empty one; terms equally rare are taken by hash; other columns are ignored, whatever their names; ids keep
+their type.
 """
 
 from __future__ import annotations
@@ -19,13 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from shelflens.llm.common import bit_filter, byte_values, mix, passes, prefix_hash, span_hash, text_blocks, word_spans
+from shelflens.llm.common import bit_filter, mix, passes, released, text_blocks, word_hashes, word_spans
 from shelflens.session import materialize
 
 WIDTH = 10
-NO_ID = -(1 << 63)
 FOLDED = 1 << 20
 _U = np.uint64
 
@@ -38,10 +39,10 @@ def _word_bytes() -> np.ndarray:
 
 def _words(column: pa.Array) -> Iterator[tuple]:
     """Per block: first row, end row, bytes, word starts, word ends, first word of each row, word hashes (int64)."""
-    values, word = byte_values(23, True), _word_bytes()
+    word = _word_bytes()
     for lo, hi, data, offsets in text_blocks(column):
         starts, ends, first = word_spans(data, offsets, word)
-        yield lo, hi, data, starts, ends, first, span_hash(prefix_hash(data, values), starts, ends)
+        yield lo, hi, data, starts, ends, first, word_hashes(data, starts, ends, 23)
 
 
 def windows(items: DataFrame, id: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -66,7 +67,7 @@ def windows(items: DataFrame, id: str = "item_id", text: str = "text", width: in
                 names=["item", "window", "words", "terms"])
 
     return items.select(F.col(id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).mapInArrow(
-        run, "item string, window long, words string, terms array<long>")
+        released(run), "item string, window long, words string, terms array<long>")
 
 
 def _term_counts(docs: DataFrame, bitmap) -> DataFrame:
@@ -89,39 +90,41 @@ def _term_counts(docs: DataFrame, bitmap) -> DataFrame:
         if held:
             yield folded()
 
-    return docs.select("t").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return docs.select("t").mapInArrow(released(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _postings(docs: DataFrame, bitmap) -> DataFrame:
-    """(doc, term, pos): a posting per occurrence of an anchor term, and per row one with a null term and its number of words."""
+    """(own, doc, term, pos): a posting per occurrence of an anchor term, and per row one with its id, a null term and its number of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for lo, hi, _, _, _, first, terms in _words(batch.column(1)):
+            ids = batch.column(1).to_numpy()
+            for lo, hi, _, _, _, first, terms in _words(batch.column(2)):
                 at = np.flatnonzero(passes(bitmap.value, terms))
                 row = np.searchsorted(first, at, "right") - 1
                 lengths = np.diff(first)
                 none = np.ones(len(at) + hi - lo, bool)
                 none[:len(at)] = False
+                own = pa.concat_arrays([pa.nulls(len(at), batch.column(0).type), batch.column(0).slice(lo, hi - lo)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate((ids[lo + row], ids[lo:hi]))),
+                    [own, pa.array(np.concatenate((ids[lo + row], ids[lo:hi]))),
                      pa.array(np.concatenate((terms[at].view(np.int64), np.zeros(hi - lo, np.int64))), mask=none),
-                     pa.array(np.concatenate((at - first[row], lengths)).astype(np.int64))], names=["doc", "term", "pos"])
+                     pa.array(np.concatenate((at - first[row], lengths)).astype(np.int64))], names=["own", "doc", "term", "pos"])
 
-    return docs.select("doc", "t").mapInArrow(run, "doc long, term long, pos long")
+    fields = [T.StructField("own", docs.schema["own"].dataType), *[T.StructField(c, T.LongType()) for c in ("doc", "term", "pos")]]
+    return docs.select("own", "doc", "t").mapInArrow(released(run), T.StructType(fields))
 
 
 def _marked(rows: DataFrame) -> DataFrame:
-    """Rows (doc, t, found: array of (start, window, words)) to (doc, n_words, n_hit, windows) by comparing whole words."""
+    """Rows (own, doc, t, found: array of (start, window, words)) to (own, doc, n_words, n_hit, windows) by comparing whole words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, seen = [], [], []
-            for lo, hi, data, starts, ends, first, _ in _words(batch.column(1)):
+            for lo, hi, data, starts, ends, first, _ in _words(batch.column(2)):
                 raw = data.tobytes().lower()
                 for row in range(lo, hi):
                     a, b = int(first[row - lo]), int(first[row - lo + 1])
                     hit, keys = np.zeros(b - a, bool), set()
-                    for x in batch.column(2)[row].as_py():
+                    for x in batch.column(3)[row].as_py():
                         wanted = x["words"].encode()
                         at, to = a + x["start"], a + x["start"] + x["width"]
                         if to <= b and b" ".join(raw[s:e] for s, e in zip(starts[at:to].tolist(), ends[at:to].tolist())) == wanted:
@@ -131,10 +134,11 @@ def _marked(rows: DataFrame) -> DataFrame:
                     n_hit.append(int(hit.sum()))
                     seen.append(sorted(keys))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(seen, pa.list_(pa.int64()))],
-                names=["doc", "n_words", "n_hit", "windows"])
+                [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(seen, pa.list_(pa.int64()))],
+                names=["own", "doc", "n_words", "n_hit", "windows"])
 
-    return rows.select("doc", "t", "found").mapInArrow(run, "doc long, n_words long, n_hit long, windows array<long>")
+    fields = [T.StructField(c, T.LongType()) for c in ("doc", "n_words", "n_hit")] + [T.StructField("windows", T.ArrayType(T.LongType()))]
+    return rows.select("own", "doc", "t", "found").mapInArrow(released(run), T.StructType([rows.schema["own"], *fields]))
 
 
 def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -145,7 +149,8 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     the window's length of each other although the window itself starts at none of these places.
     """
     spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).cast("string").alias("t"))
+    own, t = F.col(f"`{id}`"), F.col(f"`{text}`").cast("string")
+    source = docs.select(own.alias("own"), F.xxhash64(own.isNull(), own, t).alias("doc"), t.alias("t"))  # rows equal in both share a key
     made = materialize(windows(items, item_id, item_text, width), "windows")
     distinct = made.groupBy("window").agg(F.first("words").alias("words"), F.first("terms").alias("terms"))
     at = distinct.select("window", F.size("terms").alias("width"), F.posexplode("terms").alias("off", "term"))
@@ -159,7 +164,8 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
                           "anchors")
     rare = anchors.select(F.explode(F.array("one.term", "two.term")).alias("term"))
     listed = materialize(_postings(source, spark.sparkContext.broadcast(bit_filter(rare, "term"))), "postings")
-    rows, postings = listed.where("term is null").select("doc", F.col("pos").alias("n_words")), listed.where("term is not null")
+    rows = listed.where("term is null").select("own", "doc", F.col("pos").alias("n_words"))
+    postings = materialize(listed.where("term is not null").select("doc", "term", "pos").distinct(), "distinct-postings")
 
     starts = (postings.join(anchors, postings.term == F.col("one.term"))
               .select("doc", "window", "width", "pos", (F.col("pos") - F.col("one.off")).alias("start"), F.col("two.term").alias("term"),
@@ -179,17 +185,18 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = batch.filter(pa.array(passes(wanted.value, batch.column(1).to_numpy().view(_U))))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], names=["doc", "t"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3)], names=["doc", "own", "t"])
 
-    texts = source.select("doc", F.xxhash64("doc").alias("h"), "t").mapInArrow(named, "doc long, t string")
+    keyed = source.select("doc", F.xxhash64("doc").alias("h"), "own", "t")
+    texts = keyed.mapInArrow(released(named), keyed.select("doc", "own", "t").schema)
     marked = materialize(_marked(texts.join(found, "doc")).withColumn("row", F.monotonically_increasing_id()), "marked")
     hits = marked.select("row", F.explode("windows").alias("window")).join(made.where("item is not null").select("item", "window").distinct(), "window")
     listed_items = hits.groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))  # the items of one text
     judged = (marked.join(listed_items, "row", "left")
-              .select("doc", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+              .select("own", "doc", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")))
     clean = rows.join(found.select("doc"), "doc", "left_anti").select(
-        "doc", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        "own", "doc", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     close = near.where("not phrase").groupBy("doc").agg(F.countDistinct("window").alias("n_near"))
     every = judged.unionByName(clean).join(close, "doc", "left")
-    return every.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias(id), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+    return every.select(F.col("own").alias(id), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         "items", F.coalesce("n_near", F.lit(0)).alias("n_near"), (F.col("n_hit") > 0).alias("contaminated"))
