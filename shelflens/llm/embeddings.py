@@ -13,7 +13,8 @@
 
 Defined results: null, empty or zero vectors and vectors with null or non-finite components link with nothing (also not with
 their copies); vectors of different lengths never link; repeated rows of one id are one vector each way: they count as links
-of one another only under different ids; a null id is returned unlinked; extra columns are ignored.
+of one another only under different ids; a null id is returned unlinked; ties between ids go to the smallest; an empty table gives
+an empty one; extra columns are ignored, whatever their names; ids may be of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from shelflens.llm.common import has_long_id, id_key
 from shelflens.llm.graph import components
 from shelflens.session import materialize
 
@@ -58,7 +60,7 @@ def _scaled(vectors: DataFrame, id: str, column: str) -> DataFrame:
             raw = [(np.ascontiguousarray(flat[e - n:e]) + 0.0).tobytes() if good else None for n, e, good in zip(lengths.tolist(), ends.tolist(), ok.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths.astype(np.int32)), pa.array(raw, pa.binary())], names=["id", "dim", "v"])
 
-    return vectors.select(F.col(id).cast("long").alias("id"), F.col(column).cast("array<double>").alias("x")).mapInArrow(run, "id long, dim int, v binary")
+    return vectors.select(id_key(vectors, id).alias("id"), F.col(f"`{column}`").cast("array<double>").alias("x")).mapInArrow(run, "id long, dim int, v binary")
 
 
 def _centres(distinct: DataFrame, cells: int, rounds: int, sample_rows: int) -> dict[int, np.ndarray]:
@@ -152,6 +154,17 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return x, low[x]
 
 
+def _named(vectors: DataFrame, id: str, column: str, judge) -> DataFrame:
+    """What ``judge`` gives for vectors known by a hash of their id, with the ids themselves; the component is the smallest id."""
+    keyed = vectors.select(id_key(vectors, id).alias("id"), F.col(f"`{id}`").alias("own"), F.col(f"`{column}`").alias("vector"))
+    found = materialize(judge(keyed.select("id", "vector")), "judged")
+    names = materialize(keyed.select("id", "own").where("id is not null").distinct(), "names")
+    smallest = found.join(names, "id").groupBy("component_id").agg(F.min("own").alias("smallest"))
+    joined = found.join(names, "id", "left").join(smallest, "component_id", "left")
+    return joined.select(F.col("own").alias(id), "n_links", F.col("smallest").alias("component_id"),
+                         F.coalesce(F.col("own") == F.col("smallest"), F.lit(True)).alias("kept"))
+
+
 def near_vectors(vectors: DataFrame, id: str = "vec_id", column: str = "embedding", least: float = LEAST, cells: int = CELLS,
                  sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, block: int = BLOCK,
                  margin: float | None = None) -> DataFrame:
@@ -159,6 +172,8 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", column: str = "embeddin
 
     With a ``margin``, blocks that both lie farther than it from the plane between their cells are left out, and links may be missed.
     """
+    if not has_long_id(vectors, id):
+        return _named(vectors, id, column, lambda keyed: near_vectors(keyed, "id", "vector", least, cells, sample_rows, rounds, block, margin))
     spark = vectors.sparkSession
     rows = materialize(_scaled(vectors, id, column), "scaled")
     usable = rows.where("v is not null and id is not null").select("id", "dim", "v").distinct()

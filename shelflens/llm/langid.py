@@ -6,7 +6,8 @@ of how far each of its ``top`` n-grams is out of place, ``top`` for one the prof
 go to the language that sorts first.
 
 Defined results: a null or letterless text is ``und`` with score 0; rows whose language is null teach nothing; without
-any training text every row is ``und``; extra columns are ignored; repeated rows are predicted each.
+any training text every row is ``und``; texts of any length are read whole; repeated rows are predicted each; an empty table gives an
+empty one; other columns stay, but for those named like the prediction and its score, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shelflens.llm.common import released
+
 UNDETERMINED = "und"
 TOP = 300
 FOLDED_ROWS = 1 << 21
@@ -87,7 +90,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", top: int =
                     names=["lang", "gram", "n"])
 
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    counted = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     kept = counted.withColumn("rank", rank).where(F.col("rank") <= top).orderBy("lang", "rank").select("lang", "gram").toArrow()
     out: dict[str, list[int]] = {}
@@ -105,7 +108,6 @@ def predict(docs: DataFrame, known: list[tuple[str, list[int]]], text: str = "te
     for i, (_, grams) in enumerate(known):
         ranks[i, np.searchsorted(table, np.array(grams, np.int64))] = np.arange(len(grams))
     shared = docs.sparkSession.sparkContext.broadcast((table, ranks))
-    fields = docs.schema.fields
 
     def nearest(value: str | None, letters: np.ndarray, table: np.ndarray, ranks: np.ndarray) -> tuple[str, float]:
         grams = _grams(value, letters) if value and names else ()
@@ -126,19 +128,18 @@ def predict(docs: DataFrame, known: list[tuple[str, list[int]]], text: str = "te
         second = int(np.partition(away, 1)[1])
         return names[best], float((second - away[best]) / second) if second else 0.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         letters = _letters()
         table, ranks = shared.value
-        for batch in batches:
-            found = [nearest(v.as_py(), letters, table, ranks) for v in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=[*batch.schema.names[1:], prediction, score])
-
-    from pyspark.sql import types as T
-    kept = [f for f in fields if f.name not in (prediction, score)]
-    schema = T.StructType([*kept, T.StructField(prediction, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.select(F.col(text).alias("__text"), *[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+        for part in texts:
+            found = [nearest(v.as_py(), letters, table, ranks) for v in part]
+            yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
+
+    # only the texts go to Python; the other columns wait in the JVM
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (prediction, score)]
+    found = docs.select(*kept, judged.asNondeterministic()(F.col(f"`{text}`").cast("string")).alias("__found"))  # evaluated once
+    return found.select(*kept, F.col("__found.lang").alias(prediction), F.col("__found.score").alias(score))
 
 
 def identify(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang", top: int = TOP) -> DataFrame:
