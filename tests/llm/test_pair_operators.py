@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from shelflens.llm import decontaminate, embeddings, graph, minhash, queries, suffix, warc
+from shelflens.llm.common import word_hashes, word_spans
 from tools.check import TABLES, rows_of
 
 DOCS = "doc_id long, text string, n long, id string, component_id long, rep long"
@@ -128,9 +129,9 @@ def repeats_fixture():
     return rows
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_repeats_equal_all_windows(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix, "HOT", hot)
+@pytest.mark.parametrize("group_bytes", [1 << 17, 2500, 0])
+def test_repeats_equal_all_windows(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(suffix, "GROUP_BYTES", group_bytes)
     monkeypatch.setattr(suffix, "CHUNK", 2000)
     monkeypatch.setattr(suffix, "BITS", 16)
     rows = repeats_fixture()
@@ -294,3 +295,46 @@ def test_revisits(spark, slot):
     assert {h.name: h.value for h in got[4]["headers"]} == {"etag": 'W/"one"', "date": "now", "content-length": "3", "x-own": "1"}
     assert got[4].digest == "sha256:" + hashlib.sha256(b"abc").hexdigest() and got[6]["headers"] is None
     assert warc.resolve(warc.parse(docs.where("false"))).count() == 0
+
+
+def thue_morse(n):
+    marks = "a"
+    while len(marks) < n:
+        marks += marks.translate(str.maketrans("ab", "ba"))
+    return marks, marks.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [8, 16, 32, 1024, 4096])
+def test_words_that_cancel_out_in_sums_are_told_apart(spark, size):
+    one, two = thue_morse(size)
+    got = minhash.near_duplicates(frame(spark, [(1, f"one {one} two three four five"), (2, f"one {two} two three four five")])).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2}
+    items = spark.createDataFrame([(0, f"alpha {one} beta gamma")], "item_id long, text string")
+    hits = decontaminate.contamination(frame(spark, [(1, f"x alpha {one} beta gamma y"), (2, f"x alpha {two} beta gamma y")]), items).collect()
+    assert {r.doc_id: r.n_hit for r in hits} == {1: 4, 2: 0}
+
+
+def test_word_hashes_fold_case_and_keep_lengths_apart():
+    data = np.frombuffer("ab AB abc ab\0 Ünï ÜNÏ x123456789012345 X123456789012345 x1234567890123456 X1234567890123456".encode(), np.uint8)
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]), minhash._word_bytes())
+    h = word_hashes(data, starts, ends, 5).tolist()
+    assert h[0] == h[1] and len({h[0], h[2], h[3]}) == 3 and h[4] != h[5] and h[6] == h[7] and h[8] == h[9] and h[6] != h[8]
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("z", "something else here at all"), (None, "one two three four five six"), ("e", None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id string, text string, component_id string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "z": ("z", True), None: (None, True), "e": ("e", True)}
+    items = spark.createDataFrame([("i", "one two three four five six")], "item_id string, text string")
+    assert {(r.doc_id, r.contaminated) for r in decontaminate.contamination(docs, items).collect()} == {("a", True), ("b", True), ("z", False), (None, True), ("e", False)}
+    assert {r.doc_id for r in suffix.without_repeats(docs).collect()} == {"a", "b", "z", None, "e"}
+    vectors = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.01]), ("c", [0.0, 1.0]), (None, [1.0, 0.0])], "vec_id string, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(vectors).collect()} == {"a": (1, "a"), "b": (1, "a"), "c": (0, "c"), None: (0, None)}
+
+
+def test_copies_without_an_id_are_judged_once_each(spark):
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over a lazy dog today")], "item_id long, text string")
+    docs = frame(spark, [(None, "say the quick brown fox jumps over a lazy dog today twice")] * 300 + [(None, "nothing of it"), (5, None)])
+    got = decontaminate.contamination(docs, items).groupBy("doc_id", "n_hit").count().collect()
+    assert {(r.doc_id, r.n_hit, r["count"]) for r in got} == {(None, 10, 300), (None, 0, 1), (5, 0, 1)}

@@ -74,3 +74,21 @@ def test_stages_keep_the_columns(spark, tmp_path):
         assert out.columns == docs.columns, name
         assert {r.text for r in out.collect()} >= {"only text here", "other words entirely"}, name
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "personal_data", "pieces"]
+
+
+def test_stages_leave_columns_of_their_own_names_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the cat and the dog on the mat", None, "s", 30, 0.123, "mine", "k", 9)],
+                                 DOCS + ", score double, lang_pred string, kept string, component_id long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        row = stage(spark, docs, str(tmp_path)).collect()
+        assert [(r.score, r.lang_pred, r.kept, r.component_id) for r in row] == [(0.123, "mine", "k", 9)] or name == "language" and row == [], name
+    taught = docs.unionByName(docs.selectExpr("doc_id + 1 as doc_id", "text", "'en' as lang", "source", "n_chars", "score", "lang_pred", "kept", "component_id"))
+    kept = corpus_pipeline.identify_language(spark, taught.unionByName(taught.withColumn("doc_id", taught.doc_id + 10)), str(tmp_path)).collect()
+    assert kept and all((r.score, r.lang_pred, r.lang) == (0.123, "mine", "en") for r in kept)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -96,7 +98,7 @@ def test_secrets_equal_plain_patterns(spark):
 
 def test_secret_literals_follow_constants():
     found = lambda t: [t[a:b] for k, a, b, *_ in secrets.spans(t) if k == "literal"]
-    assert found('part = "s3cr3tv4"\nauthToken = part + "9xyzQ7"\n') == []  # a sum that starts with a name is a bare word
+    assert found('part = "s3cr3tv4"\nauthToken = part + "9xyzQ7"\n') == ['part + "9xyzQ7"']  # both parts are known
     assert found('base = "Zx81kQ92pLmN"\nclientSecretValue = base\n') == ["base"]
     assert found('pwd := "s3cr3t" + "v4lu3X9"\n') == ['"s3cr3t" + "v4lu3X9"']
     assert found("private_key => Ab3dEf6hIj9kLmNo\n") == [] or secrets.name_score("private_key") >= 0.5
@@ -125,7 +127,8 @@ def test_language_distance_is_out_of_place():
 
 
 def test_language_without_training(spark):
-    got = langid.identify(frame(spark, [(1, "text", None)]), split_remainder(frame(spark, []).doc_id, 4) != 9).collect()
+    docs = frame(spark, [(1, "text", None)])
+    got = langid.identify(docs, split_remainder(docs.doc_id, 4) != 9).collect()
     assert got[0].lang_pred == "und"
     assert langid.predict(frame(spark, []), []).count() == 0
 
@@ -267,3 +270,55 @@ def test_secrets_of_several_words():
     assert found("dbPassword: 'plum over 9 quiet rivers'") == ["plum over 9 quiet rivers"]
     assert found('phrase = "correct horse battery staple"\npass_phrase = phrase\n') == ["phrase"]
     assert found('token_title = "correct horse battery staple"') == found('password = "        "') == []
+
+
+def test_constants_that_grow_without_bound():
+    doubled = 'v0 = "aB3xY9"\n' + "".join(f"v{i} = v{i - 1} + v{i - 1}\n" for i in range(1, 3000)) + "dbPassword = v2999\nother = v2999"
+    found = [(doubled[a:b], n) for k, a, b, n, _ in secrets.spans(doubled) if k == "literal"]
+    assert found == [("v2999", "dbPassword")]
+    start = time.perf_counter()
+    secrets.spans('k="a" + ' * 40_000)
+    assert time.perf_counter() - start < 20  # in proportion to the text
+
+
+def test_sums_of_constants_equal_their_text():
+    rng = random.Random(4)
+    pieces_of = ["x", "X", "*", ".", "your_", "<", ">", "${", "}", "{{", "}}", "abc", "9Zk", "changeme", "test", " ", "null"]
+    for _ in range(3000):
+        parts = [rng.choice(pieces_of) for _ in range(rng.randint(1, 14))]
+        text, at = "".join(parts), rng.randint(0, len(parts))
+        added = secrets.Constant.of("".join(parts[:at])) + secrets.Constant.of("".join(parts[at:]))
+        assert added.placeholder() == bool(secrets.PLACEHOLDER.match(text))
+        assert secrets.value_score(added, True) == secrets.value_score(text, True)
+
+
+def plain_language(text, known, top=langid.TOP):
+    """The nearest profile by out-of-place distance over 1- to 3-grams, counted letter by letter."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    line = " " + " ".join(words) + " "
+    if not words:
+        return "und"
+    code = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(g))
+    grams = Counter(line[i:i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1) if line[i:i + n] != " ")
+    ranked = sorted(grams, key=lambda g: (-grams[g], code(g)))[:top]
+    distance = {}
+    for lang, profile in known:
+        place = {g: r for r, g in enumerate(profile)}
+        distance[lang] = sum(min(abs(place[code(g)] - r), top) if code(g) in place else top for r, g in enumerate(ranked))
+    return min(sorted(distance), key=distance.get)
+
+
+def test_language_equals_plain_distance(spark, small):
+    docs = queries.table(spark, small, "documents")
+    known = langid.profiles(docs.where(split_remainder(docs.doc_id, 4) != 2))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r.lang_pred for r in queries.language_id(spark, small).collect()}
+    some = sorted(texts, key=lambda i: (len(texts[i]), i))[:150]
+    assert {i: got[i] for i in some} == {i: plain_language(texts[i], known) for i in some}
+
+
+def test_empty_tables(spark):
+    empty = frame(spark, [])
+    assert secrets.find(empty).collect() == [] and pii.find(empty).collect() == [] and langid.identify(empty, empty.doc_id > 0).collect() == []
+    none = toxicity.learn(toxicity.training_rows(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    assert toxicity.score(empty, none).collect() == []
