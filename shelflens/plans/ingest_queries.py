@@ -43,7 +43,7 @@ SHOP_FILES = [(";", ["Артикул", "Название", "Бренд", "Раз
 FILE_ROWS = 50_000
 
 FILES_SQL = """f AS (SELECT p_partkey % 4 AS shop, p_partkey // 50000 AS chunk, row_number() OVER (PARTITION BY p_partkey % 4, p_partkey // 50000 ORDER BY p_partkey) + 1 AS row_number,
-  CASE WHEN p_partkey % 13 <> 0 THEN 'S' || p_partkey END AS external_sku, CASE WHEN p_partkey % 5 = 0 THEN p_name || chr(10) || 'вид "' || p_brand || '"; 1|2,' || chr(9) || 'x' ELSE p_name END AS name,
+  CASE WHEN p_partkey % 13 <> 0 THEN 'S' || p_partkey END AS external_sku, CASE WHEN p_partkey % 5 = 0 THEN p_name || CASE WHEN p_partkey % 2 = 1 THEN chr(13) ELSE '' END || chr(10) || 'вид "' || p_brand || '"; 1|2,' || chr(9) || 'x' ELSE p_name END AS name,
   p_brand AS brand, p_size || ' г' AS size_text, CAST(floor(p_retailprice) * 100 + 50 AS BIGINT) AS own_price_minor FROM part)"""
 
 
@@ -76,7 +76,7 @@ def s2_row_errors(t):
     return cs.check_rows(_import(t)).select("row_number", "error")
 
 
-STATE = """cur AS (SELECT 'S' || p_partkey AS external_sku, CAST(p_partkey AS VARCHAR) AS product_id, p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS size_text, CAST(p_size * 100 AS BIGINT) AS own_price_minor FROM part WHERE p_partkey % 3 = 0),
+STATE = """cur AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'S' ELSE 'other-' END || p_partkey AS external_sku, CAST(p_partkey AS VARCHAR) AS product_id, p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS size_text, CAST(p_size * 100 AS BIGINT) AS own_price_minor FROM part),
 last AS (SELECT * FROM imp WHERE error IS NULL QUALIFY row_number() OVER (PARTITION BY external_sku ORDER BY row_number DESC) = 1),
 state AS (SELECT coalesce(c.product_id, 'sku-' || external_sku) AS product_id, external_sku, CASE WHEN l.row_number IS NULL THEN c.name ELSE l.name END AS name,
   CASE WHEN l.row_number IS NULL THEN c.own_price_minor ELSE l.own_price_minor END AS own_price_minor, CASE WHEN l.row_number IS NULL THEN 'kept' WHEN c.product_id IS NULL THEN 'created' ELSE 'updated' END AS change
@@ -85,8 +85,8 @@ state AS (SELECT coalesce(c.product_id, 'sku-' || external_sku) AS product_id, e
 
 def _state(t):
     c = F.col
-    current = t.part.where("p_partkey % 3 = 0").select(
-        F.concat(F.lit("S"), c("p_partkey").cast("string")).alias("external_sku"), c("p_partkey").cast("string").alias("product_id"),
+    current = t.part.select(
+        F.concat(F.when(c("p_partkey") % 3 == 0, "S").otherwise("other-"), c("p_partkey").cast("string")).alias("external_sku"), c("p_partkey").cast("string").alias("product_id"),
         c("p_name").alias("name"), c("p_brand").alias("brand"), c("p_size").cast("string").alias("size_text"),
         (c("p_size") * 100).cast("bigint").alias("own_price_minor"))
     return cs.upsert_catalog(current, cs.split_valid(_import(t))[0])
@@ -376,13 +376,14 @@ def s10_template_columns(t):
 
 @query("s11_store_upsert", f"""{with_tables('stores')}, {COLUMNS}, labels AS (SELECT store_label AS label, bool_or(price_kind = 'own') AS own FROM tcol GROUP BY 1),
 fresh AS (SELECT trim(split_part(label, ',', 1)) AS name, nullif(trim(split_part(label, ',', 2)), '') AS address, own FROM labels),
-cur AS (SELECT * FROM stores WHERE store_id % 2 = 0)
+cur AS (SELECT * REPLACE (CASE WHEN store_id % 2 = 0 THEN name ELSE name || ' (прежний)' END AS name) FROM stores)
 SELECT coalesce(c.name, f.name) AS name, coalesce(c.address, f.address) AS address, coalesce(c.is_own, false) OR coalesce(f.own, false) AS is_own, c.store_id IS NULL AS created
 FROM cur c FULL JOIN fresh f ON lower(c.name) || '|' || lower(c.address) = lower(f.name) || '|' || coalesce(lower(f.address), '')""")
 def s11_store_upsert(t):
     cells, merges = _cells(t)
     labels = tp.column_stores(tp.template_columns(cells, merges))
-    return tp.upsert_stores(t.domain.stores.where("store_id % 2 = 0"), labels).select("name", "address", "is_own", "created")
+    renamed = F.when(F.col("store_id") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit(" (прежний)")))
+    return tp.upsert_stores(t.domain.stores.withColumn("name", renamed), labels).select("name", "address", "is_own", "created")
 
 
 @query("j5_column_stores", f"{with_tables('stores')}, {COLUMNS}, {RESOLVED} SELECT template_id, department, col, store_label, store_id FROM rcol")

@@ -404,14 +404,14 @@ def r3_online_cascade(t):
 
 
 @query("j4_aliases", f"""{with_tables('cat', 'src')}, keyed AS (SELECT item_id, {key_sql('text')} AS match_key FROM src),
-al AS (SELECT match_key, item_id AS product_id, item_id % 5 AS confirmations FROM keyed WHERE item_id % 2 = 0 AND match_key <> '')
+al AS (SELECT CASE WHEN item_id % 2 = 0 THEN match_key ELSE 'other ' || match_key END AS match_key, item_id AS product_id, item_id % 5 AS confirmations FROM keyed WHERE match_key <> '')
 SELECT item_id, product_id, 0.99::DOUBLE AS score FROM keyed JOIN (SELECT match_key, product_id FROM al QUALIFY row_number() OVER (PARTITION BY match_key
   ORDER BY confirmations DESC, product_id) = 1) USING (match_key)""")
 def j4_aliases(t):
     none = F.lit(None).cast("string")
     keyed = t.domain.source_products.select("item_id", tx.match_key(F.col("text"), none, none, none, none).alias("match_key"))
-    aliases = keyed.where("item_id % 2 = 0 AND match_key <> ''").select(
-        F.col("match_key").alias("normalized_key"), F.col("item_id").alias("product_id"), (F.col("item_id") % 5).alias("confirmations"))
+    aliases = keyed.where("match_key <> ''").select(
+        F.when(F.col("item_id") % 2 == 0, F.col("match_key")).otherwise(F.concat(F.lit("other "), "match_key")).alias("normalized_key"), F.col("item_id").alias("product_id"), (F.col("item_id") % 5).alias("confirmations"))
     return dc.learned_aliases(keyed, aliases).select("item_id", "product_id", "score")
 
 
@@ -425,14 +425,14 @@ def a16_learn_aliases(t):
     return learned.select("normalized_key", "product_id", "confirmations", F.date_format("last_confirmed_at", "yyyy-MM-dd").alias("last_confirmed_on"))
 
 
-CHOICES = """choices AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 <> 2 THEN CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE p_partkey + 1 END END AS product_id,
-  p_size / 40.0::DOUBLE AS confidence, 'because ' || p_size AS reason, CASE WHEN p_size % 4 = 0 THEN 'none' ELSE 'match' END AS answer FROM part WHERE p_partkey % 7 <> 0)"""
+CHOICES = """choices AS (SELECT CASE WHEN p_partkey % 7 <> 0 THEN p_partkey ELSE -1 - p_partkey END AS item_id, CASE WHEN p_partkey % 3 <> 2 THEN CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE p_partkey + 1 END END AS product_id,
+  p_size / 40.0::DOUBLE AS confidence, 'because ' || p_size AS reason, CASE WHEN p_size % 4 = 0 THEN 'none' ELSE 'match' END AS answer FROM part)"""
 
 
 def _choices(t):
     c = F.col
-    return t.part.where("p_partkey % 7 <> 0").select(
-        c("p_partkey").alias("item_id"), F.when(c("p_partkey") % 3 == 0, c("p_partkey")).when(c("p_partkey") % 3 == 1, c("p_partkey") + 1).alias("product_id"),
+    return t.part.select(
+        F.when(c("p_partkey") % 7 != 0, c("p_partkey")).otherwise(-1 - c("p_partkey")).alias("item_id"), F.when(c("p_partkey") % 3 == 0, c("p_partkey")).when(c("p_partkey") % 3 == 1, c("p_partkey") + 1).alias("product_id"),
         (c("p_size") / 40.0).alias("confidence"), F.concat(F.lit("because "), c("p_size").cast("string")).alias("reason"),
         F.when(c("p_size") % 4 == 0, "none").otherwise("match").alias("answer"), F.lit(1).alias("choice_no"))
 
@@ -497,7 +497,7 @@ def r4_bulk_accept(t):
 
 
 REVIEW = """hints AS (SELECT item_id, bool_or(own_price_minor IS NULL) AS np, bool_or(size_text IS NOT NULL) AS hs FROM (
-  SELECT item_id, (part * 3 + 1) % (SELECT count(*) FROM part) AS product_id FROM items WHERE line % 5 < 3) JOIN cat USING (product_id) GROUP BY item_id),
+  SELECT item_id, CASE WHEN line % 5 < 3 THEN (part * 3 + 1) % (SELECT count(*) FROM part) ELSE -1 END AS product_id FROM items) JOIN cat USING (product_id) GROUP BY item_id),
 act AS (SELECT item_id, decision, c.own_price_minor IS NULL AS np FROM matches m LEFT JOIN cat c USING (product_id) WHERE m.is_active),
 flags AS (SELECT i.*, a.decision, status IN ('recognized', 'needs_review') AS todo, status IN ('matched', 'confirmed', 'unmatched') AS ready,
   status IN ('recognized', 'needs_review') AND a.item_id IS NULL AND h.item_id IS NULL AS wc, i.size_text IS NULL AND coalesce(h.hs, false) AS sr,
@@ -506,7 +506,8 @@ flags AS (SELECT i.*, a.decision, status IN ('recognized', 'needs_review') AS to
 
 def _review_flags(t):
     products = t.part.count()
-    hints = t.domain.items.where("_line % 5 < 3").select("item_id", ((F.col("_part") * 3 + 1) % products).alias("product_id"))
+    hinted = F.when(F.col("_line") % 5 < 3, (F.col("_part") * 3 + 1) % products).otherwise(-1)  # -1: a product nobody has
+    hints = t.domain.items.select("item_id", hinted.alias("product_id"))
     return rv.review_flags(t.domain.session_items(), t.domain.matches, hints, t.domain.catalog)
 
 

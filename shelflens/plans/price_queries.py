@@ -160,21 +160,21 @@ def _shown(df):
 R6 = f"""SELECT 'price_change' AS alert_type, rule_id, CAST(x.source_id AS VARCHAR) AS source_id, CAST(run_id AS VARCHAR) AS run_id,
   CAST(product_id AS VARCHAR) AS product_id, CAST(store_id AS VARCHAR) AS store_id,
   CASE WHEN change_pct >= threshold * 2 THEN 'critical' ELSE 'warning' END AS severity,
-  floor(change_pct * 10000 + 0.5) / 10000 AS value, threshold FROM changes x JOIN rules r ON {SCOPED}
+  floor(change_pct * 10000 + 0.5) / 10000 AS value, threshold, prev AS previous_price_minor, price_minor AS current_price_minor FROM changes x JOIN rules r ON {SCOPED}
   AND r.alert_type = 'price_change' AND change_pct >= threshold"""
 R7 = f"""SELECT 'out_of_stock' AS alert_type, rule_id, CAST(source_id AS VARCHAR) AS source_id, CAST(run_id AS VARCHAR) AS run_id,
-  CAST(product_id AS VARCHAR) AS product_id, CAST(store_id AS VARCHAR) AS store_id, 'info' AS severity, CAST(NULL AS DOUBLE) AS value, threshold
+  CAST(product_id AS VARCHAR) AS product_id, CAST(store_id AS VARCHAR) AS store_id, 'info' AS severity, CAST(NULL AS DOUBLE) AS value, threshold, CAST(NULL AS BIGINT) AS previous_price_minor, price_minor AS current_price_minor
   FROM (SELECT x.*, r.rule_id, r.threshold, row_number() OVER (PARTITION BY x.product_id, x.store_id, x.obs_id ORDER BY r.rule_id) AS k
   FROM changes x JOIN rules r ON {SCOPED} AND r.alert_type = 'out_of_stock' WHERE availability = 'out_of_stock' AND nth > 1
   AND coalesce(prev_stock, '') <> 'out_of_stock') WHERE k = 1"""
 R8 = f"""SELECT 'run_failure' AS alert_type, rule_id, CAST(x.source_id AS VARCHAR) AS source_id, CAST(last_run_id AS VARCHAR) AS run_id,
   CAST(NULL AS VARCHAR) AS product_id, CAST(NULL AS VARCHAR) AS store_id,
-  CASE WHEN streak >= threshold * 2 THEN 'critical' ELSE 'warning' END AS severity, CAST(streak AS DOUBLE) AS value, threshold
+  CASE WHEN streak >= threshold * 2 THEN 'critical' ELSE 'warning' END AS severity, CAST(streak AS DOUBLE) AS value, threshold, CAST(NULL AS BIGINT) AS previous_price_minor, CAST(NULL AS BIGINT) AS current_price_minor
   FROM streaks x JOIN rules r ON {SCOPED} AND r.alert_type = 'run_failure' AND streak >= threshold
   WHERE last_status = 'failed' AND x.source_id % 5 <> 0"""
 R9 = f"""SELECT 'competitor_cheaper' AS alert_type, rule_id, CAST(x.source_id AS VARCHAR) AS source_id, CAST(NULL AS VARCHAR) AS run_id,
   CAST(product_id AS VARCHAR) AS product_id, CAST(store_id AS VARCHAR) AS store_id,
-  CASE WHEN gap >= threshold * 2 THEN 'critical' ELSE 'warning' END AS severity, floor(gap * 10000 + 0.5) / 10000 AS value, threshold
+  CASE WHEN gap >= threshold * 2 THEN 'critical' ELSE 'warning' END AS severity, floor(gap * 10000 + 0.5) / 10000 AS value, threshold, CAST(NULL AS BIGINT) AS previous_price_minor, price_minor AS current_price_minor
   FROM (SELECT *, store_id % 8 AS source_id, CAST(own_price_minor - price_minor AS DOUBLE) / own_price_minor * 100 AS gap FROM own WHERE own_price_minor > 0) x
   JOIN rules r ON {SCOPED} AND r.alert_type = 'competitor_cheaper' AND gap >= threshold"""
 
