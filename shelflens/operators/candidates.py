@@ -5,29 +5,31 @@ Scores depend on a text only through its tokens and size, so both sides are firs
 contains or is contained in an item token, a transliteration-equal token, or the same size. Links between tokens are
 found once, between the two vocabularies, by equality joins. Signatures meet on these *link keys*.
 
-What a key can add to a score is bounded per item, so a product that an item does not meet on some of its keys scores at
-most what the others add. An item's keys are ordered by how many product signatures hold them, the rarest first, and the
-sum of the bounds from each key on is its *reach*: no product whose first common key is that one scores more.
+What a key can add to a score is bounded per item, and a score is at most the sum of the bounds of the keys that item and product
+share. So sums of bounds, added up posting by posting, tell which pairs are worth scoring:
 
-1. Seeds: every item meets products on its rarest keys, until ``SEED_POSTINGS`` of them are listed. The scores found give each
-   item a *floor* that its k-th best product cannot be below.
-2. Every item meets products on the keys whose reach is not below its floor. A pair is scored where its first common key
-   brings it together, so pairs are never materialised or deduplicated, and only pairs at the floor or above go on.
+1. Seeds: the products with the greatest sums, in some of the product ranges, are scored. The k-th best of these scores is the
+   item's *floor*: its k-th best product cannot be below.
+2. Every pair whose sum reaches the floor is scored, and only these.
 
-A key on very many products is joined only for items whose floor is within reach of it. Such a key is split by adaptive
-execution; what is kept of it is at most k rows per item and task. Bounds, floors and keys stay in tables: nothing is collected.
+The sums of a block of items over a range of products are added up in one task from the postings of the keys the block holds there, so
+a key's postings travel once per block and not once per item, and a key on very many products is split by range. Only pairs
+that pass become rows. Bounds, floors and keys stay in tables: nothing is collected but the number of ranges.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelflens.functions import fixed_values as fv
 from shelflens.functions import text as tx
 from shelflens.session import materialize
 
-SEED_POSTINGS = 300
-SEED_BUCKETS = 4  # of buckets per wanted product, for the floor
+ITEM_BITS, PRODUCT_BITS = 9, 16  # numbers of one block of items and of one range of products
+SEED_RANGES = 16
+SEEDS = 2  # seeds per wanted product
 
 # Classes of link keys; a key's number ends in its class, so shared keys can be counted by class.
 _PLAIN, _WEAK, _STRONG, _VARIANT, _PACKAGING, _SIZE = range(6)
@@ -98,10 +100,10 @@ def _key_class(key: Column) -> Column:
 
 
 def _numbered_keys(product_sigs: DataFrame) -> DataFrame:
-    """Every product key with a number of its own (written down, so the numbers stay) and the number of signatures that hold it."""
-    keys = product_sigs.select(F.explode("p_keys").alias("key")).groupBy("key").agg(F.count("*").alias("postings"))
+    """Every product key with a number of its own (written down, so the numbers stay)."""
+    keys = product_sigs.select(F.explode("p_keys").alias("key")).distinct()
     number = F.monotonically_increasing_id() * _CLASSES + _key_class(F.col("key"))
-    return materialize(keys.select("key", number.alias("key_no"), "postings"), "keys")
+    return materialize(keys.select("key", number.alias("key_no")), "keys")
 
 
 def _position(words: list[str], word: Column) -> Column:
@@ -124,14 +126,14 @@ def _numbers(df: DataFrame, key: str, array: str, keys: DataFrame, name: str) ->
 
 
 def _coded_items(item_sigs: DataFrame, links: DataFrame, keys: DataFrame) -> DataFrame:
-    """Item signatures as numbers: own keys, linked keys, token weight total, flags, and their keys with reach (:func:`_reach`)."""
+    """Item signatures as numbers: own keys, linked keys, token weight total, flags, and the most that each key adds to a score."""
     n = F.size("i_tokens")
     weak = F.size(F.array_intersect("i_tokens", _lit_array(fv.WEAK_WORDS)))
     strong = F.size(F.array_intersect("i_tokens", _lit_array(fv.FAMILIES + _brands())))
     total = (n - weak - strong) * fv.WEIGHT_PLAIN + weak * fv.WEIGHT_WEAK + strong * fv.WEIGHT_STRONG
     sigs = item_sigs.withColumn("i_total", total)
     own = sigs.select("i_sig", "i_brand", "i_total", F.explode(F.concat("i_tokens", _size_key(F.col("i_size")))).alias("key")).join(keys, "key")
-    numbered_links = (links.join(keys.select(F.col("key").alias("pt"), F.col("key_no").alias("to_no"), "postings"), "pt")
+    numbered_links = (links.join(keys.select(F.col("key").alias("pt"), F.col("key_no").alias("to_no")), "pt")
                       .join(keys.select(F.col("key").alias("rt"), F.col("key_no").alias("from_no")), "rt", "left"))
     pair = F.struct(F.coalesce("from_no", F.lit(-1).cast("bigint")).alias("rt"), F.col("to_no").alias("pt"))
     counts = F.col("i_brand").isNull() | (F.col("rt") != F.col("i_brand"))
@@ -139,15 +141,15 @@ def _coded_items(item_sigs: DataFrame, links: DataFrame, keys: DataFrame) -> Dat
               .where((F.col("kind") == "x") | counts))
     by_link = linked.groupBy("i_sig").agg(F.collect_list(F.when(F.col("kind") == "s", pair)).alias("i_sub"),
                                           F.collect_list(F.when(F.col("kind") == "x", F.col("to_no"))).alias("i_fold"))
-    bounds = own.select("i_sig", "key_no", "postings", _own_bound().alias("most")).unionByName(linked.select(
-        "i_sig", F.col("to_no").alias("key_no"), "postings",
+    bounds = own.select("i_sig", "key_no", _own_bound().alias("most")).unionByName(linked.select(
+        "i_sig", F.col("to_no").alias("key_no"),
         F.when(F.col("kind") == "s", F.lit(float(fv.POINTS_SUBSTRING))).otherwise(F.lit(float(fv.POINTS_TRANSLIT))).alias("most")))
     none = F.array().cast("array<bigint>")
     own_keys = own.groupBy("i_sig").agg(F.collect_list("key_no").alias("i_own"))
-    return sigs.join(own_keys, "i_sig", "left").join(by_link, "i_sig", "left").join(_reach(bounds), "i_sig").select(
+    return sigs.join(own_keys, "i_sig", "left").join(by_link, "i_sig", "left").join(_bounds(bounds), "i_sig").select(
         "i_sig", F.monotonically_increasing_id().alias("i_no"), n.alias("i_n"), "i_total", *_scalars("i"),
         F.coalesce("i_own", none).alias("i_own"), F.coalesce("i_sub", F.array().cast("array<struct<rt:bigint,pt:bigint>>")).alias("i_sub"),
-        F.coalesce("i_fold", none).alias("i_fold"), "i_reach")
+        F.coalesce("i_fold", none).alias("i_fold"), "i_bounds")
 
 
 def _own_bound() -> Column:
@@ -159,17 +161,10 @@ def _own_bound() -> Column:
     return F.when(kind == _SIZE, F.lit(float(fv.POINTS_SIZE_EQUAL))).otherwise(F.lit(float(fv.POINTS_TOKENS)) * weight / F.col("i_total") + extra)
 
 
-def _reach(bounds: DataFrame) -> DataFrame:
-    """i_sig and its keys, the rarest first, as (postings, key_no, before, reach).
-
-    ``before`` counts the postings of rarer keys; ``reach`` bounds the score of a product whose first common key is this one.
-    """
-    per_key = bounds.groupBy("i_sig", "key_no").agg(F.first("postings").alias("postings"), F.sum("most").alias("most"))
-    upwards = Window.partitionBy("i_sig").orderBy("postings", "key_no")
-    before = F.sum("postings").over(upwards.rowsBetween(Window.unboundedPreceding, -1))
-    reach = F.sum("most").over(upwards.rowsBetween(0, Window.unboundedFollowing))
-    rows = per_key.select("i_sig", F.struct("postings", "key_no", F.coalesce(before, F.lit(0)).alias("before"), reach.alias("reach")).alias("x"))
-    return rows.groupBy("i_sig").agg(F.sort_array(F.collect_list("x")).alias("i_reach"))  # the keys of one text
+def _bounds(rows: DataFrame) -> DataFrame:
+    """i_sig and its keys with the most that each adds to a score."""
+    per_key = rows.groupBy("i_sig", "key_no").agg(F.sum("most").alias("most"))
+    return per_key.groupBy("i_sig").agg(F.collect_list(F.struct("key_no", "most")).alias("i_bounds"))  # the keys of one text
 
 
 def _coded_products(groups: DataFrame, keys: DataFrame) -> DataFrame:
@@ -251,40 +246,79 @@ def _first_ids(products: DataFrame, group: str, k: int) -> DataFrame:
     return first.groupBy(group).agg(F.array_sort(F.collect_list("product_id")).alias("ids"))
 
 
-def _scored(items: DataFrame, groups: DataFrame, wanted: Column) -> DataFrame:
-    """Pairs (i_no, p_no) that meet on the keys of ``i_reach`` that are ``wanted``, with their points and what these follow from.
-
-    Rows of the join are narrow: key numbers and flags. Every pair is scored once, where its first common key brings it together.
-    """
-    # A few signatures fan out to many pairs, so their number, not their bytes, has to set the parallelism.
-    width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = items.withColumn("i_keys", F.transform("i_reach", lambda x: x["key_no"]))
-    left = keyed.withColumn("_key", F.explode(F.transform(wanted, lambda x: x["key_no"]))).drop("i_sig", "i_reach").repartition(width, "i_no", "_key")
-    right = groups.drop("ids").withColumn("_key", F.explode("p_keys"))
-    first = F.get(F.array_intersect("i_keys", "p_keys"), F.lit(0))
-    pairs = left.join(right, "_key").where(first == F.col("_key")).withColumn("_x", F.array_intersect("i_own", "p_keys"))
-    return _unpacked(_compared(pairs)).withColumn("points", _score())
-
-
-def _floors(items: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """(i_no, i_floor): points that the k-th best product group of an item cannot be below, from the groups on its rarest keys.
-
-    Groups are dealt into buckets; the best of each bucket are different groups, so the k-th of these bounds the k-th of all.
-    """
-    seeds = _scored(items.withColumn("i_floor", F.lit(0)), groups, F.filter("i_reach", lambda x: x["before"] < SEED_POSTINGS))
-    best = seeds.groupBy("i_no", F.pmod(F.xxhash64("p_no"), F.lit(SEED_BUCKETS * k)).alias("bucket")).agg(F.max("points").alias("points"))
-    ordered = F.sort_array(F.collect_list("points"), asc=False)  # at most SEED_BUCKETS * k of them
-    return best.groupBy("i_no").agg(F.coalesce(F.get(ordered, F.lit(k - 1)), F.lit(0)).alias("i_floor"))
+def _postings(groups: DataFrame) -> DataFrame:
+    """(key_no, range, places): the products of a range that hold a key, by their place in the range."""
+    flat = groups.select("p_no", F.explode("p_keys").alias("key_no"))
+    places = F.sort_array(F.collect_list(F.col("p_no").bitwiseAND((1 << PRODUCT_BITS) - 1).cast("int")))
+    return flat.groupBy("key_no", F.shiftright("p_no", PRODUCT_BITS).alias("range")).agg(places.alias("places"))
+
+
+def _worth(keys: list[int], most: list[float], places: dict[int, np.ndarray], floor: float, seeds: int | None) -> np.ndarray:
+    """Places of the products whose bounds add up to ``floor`` or more; only the ``seeds`` greatest sums if given."""
+    met = [(places[k], w) for k, w in zip(keys, most) if k in places]
+    if not met:
+        return np.zeros(0, np.int64)
+    at = np.concatenate([p for p, _ in met])
+    weight = np.repeat([w for _, w in met], [len(p) for p, _ in met])
+    if len(at) * 16 < 1 << PRODUCT_BITS:
+        found, back = np.unique(at, return_inverse=True)
+        total = np.bincount(back, weight)
+    else:
+        total = np.bincount(at, weight)
+        found = np.flatnonzero(total)
+        total = total[found]
+    # sums of doubles: half a point rounds up, and a little more lets no rounding decide
+    keep = total + 0.501 >= floor
+    found, total = found[keep], total[keep]
+    if seeds is not None and len(found) > seeds:
+        found = found[np.argpartition(-total, seeds)[:seeds]]
+    return found
+
+
+def _pairs(items: DataFrame, postings: DataFrame, seeds: int | None = None, some: Column | None = None) -> DataFrame:
+    """(i_no, p_no) worth scoring: blocks of items meet ranges of products, in the ranges for which ``some`` holds."""
+    block = F.shiftright("i_no", ITEM_BITS).alias("block")
+    wanted = items.select(block, F.explode("i_bounds").alias("x")).select("block", "x.key_no").distinct()
+    lists = wanted.join(postings, "key_no")
+    if some is not None:
+        lists = lists.where(some)
+    lists = materialize(lists, "lists")
+    units = lists.select(F.col("block").alias("block"), F.col("range").alias("range")).distinct()
+    held = items.select(block, "i_no", "i_floor", F.transform("i_bounds", lambda x: x["key_no"]).alias("keys"),
+                        F.transform("i_bounds", lambda x: x["most"]).alias("most")).join(units, "block")
+
+    def meet(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
+        first = key[1].as_py() << PRODUCT_BITS
+        places = {k: np.asarray(p.values) for k, p in zip(found["key_no"].to_pylist(), found["places"])}
+        i_no, p_no = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, floor, keys, most in zip(*[texts[c].to_pylist() for c in ("i_no", "i_floor", "keys", "most")]):
+            at = _worth(keys, most, places, floor, seeds)
+            i_no.append(np.full(len(at), i))
+            p_no.append(at.astype(np.int64) + first)
+        return pa.table({"i_no": np.concatenate(i_no), "p_no": np.concatenate(p_no)})
+
+    return held.groupBy("block", "range").cogroup(lists.groupBy("block", "range")).applyInArrow(meet, "i_no long, p_no long")
+
+
+def _scored(pairs: DataFrame, items: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs with their points and what these follow from."""
+    sides = pairs.join(items.drop("i_sig", "i_bounds"), "i_no").join(groups.drop("ids"), "p_no")
+    return _unpacked(_compared(sides.withColumn("_x", F.array_intersect("i_own", "p_keys")))).withColumn("points", _score())
 
 
 def _best_groups(items: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """The k best product groups per item signature, with their product ids."""
-    floors = materialize(_floors(items, groups, k), "floors")
-    known = materialize(items.join(floors, "i_no", "left").withColumn("i_floor", F.greatest(F.coalesce("i_floor", F.lit(0)), F.lit(1))), "floored")
-    # bounds are sums of doubles: half a point rounds up, and a little more lets no rounding decide
-    within = F.filter("i_reach", lambda x: x["reach"] + 0.501 >= F.col("i_floor"))
-    pairs = _scored(known, groups, within).where(F.col("points") >= F.col("i_floor"))
+    postings = materialize(_postings(groups), "postings")
+    ranges = postings.select("range").distinct().count()
+    used = min(ranges, SEED_RANGES) or 1
+    some = F.pmod(F.xxhash64("block", "range"), F.lit(max(1, ranges))) < used
+    unset = items.withColumn("i_floor", F.lit(1.0))
+    seeds = materialize(_pairs(unset, postings, -(-SEEDS * k // used), some), "seeds")
     best = Window.partitionBy("i_no").orderBy(F.col("points").desc(), F.col("p_no"))
+    ranked = _scored(seeds, unset, groups).select("i_no", "p_no", "points").withColumn("_g", F.row_number().over(best))
+    floors = ranked.where(F.col("_g") == k).select("i_no", F.col("points").cast("double").alias("i_floor"))
+    known = materialize(items.join(floors, "i_no", "left").withColumn("i_floor", F.greatest(F.coalesce("i_floor", F.lit(1.0)), F.lit(1.0))), "floored")
+    pairs = _scored(materialize(_pairs(known, postings), "pairs"), known, groups).where(F.col("points") >= F.col("i_floor"))
     top = pairs.withColumn("_g", F.row_number().over(best)).where(F.col("_g") <= k)
     kept = top.select("i_no", "p_no", (F.col("points") / F.lit(10000.0)).alias("score"), _reasons().alias("reasons"))
     named = kept.join(groups.select("p_no", "ids"), "p_no").join(items.select("i_no", "i_sig"), "i_no")

@@ -139,6 +139,25 @@ def plain_score(item, product):
     return int(max(0, min(points, 9900)) + 0.5) / 10000
 
 
+def test_only_pairs_that_can_reach_the_floor_are_scored(spark, monkeypatch):
+    scored = []
+    plain = candidates._scored
+    monkeypatch.setattr(candidates, "_scored", lambda pairs, *rest: scored.append(pairs) or plain(pairs, *rest))
+    word = lambda kind, n: kind + "".join(chr(97 + n // 26 ** i % 26) * 2 for i in range(3))  # noqa: E731 - no word holds another
+    text = lambda n: f"{word('q', n % 20)} {word('w', n % 2)} {word('z', n)}"
+    catalog = [(f"p{n:04d}", text(n), None, None) for n in range(1500)]
+    names = [text(n) for n in range(0, 1500, 10)]
+    got = ranked(catalog_candidates(items(spark, names), products(spark, catalog), k=1))
+    assert all(got[i][0][0] == f"p{i * 10:04d}" for i in range(len(names)))
+    assert sum(p.count() for p in scored) < len(names) * 200  # of 1500 products each, 750 of which share a word
+
+
+def test_words_of_a_thousand_letters(spark):
+    junk = "x" * 600 + "шоколад" + "y" * 400
+    got = ranked(catalog_candidates(items(spark, [junk, "шоколад"]), products(spark, [("a", "шоколад", None, None), ("b", junk, None, None)]), k=2))
+    assert [p for p, *_ in got[0]] == ["b", "a"] and [p for p, *_ in got[1]] == ["a", "b"]
+
+
 def test_long_texts_keep_their_score(spark):
     """Shared tokens are counted apart by class, however many there are."""
     long = " ".join(f"слово{n}" for n in range(2000))
@@ -146,10 +165,12 @@ def test_long_texts_keep_their_score(spark):
     assert [(p, s) for p, s, _ in got[0]] == [("p", plain_score(long, long))]
 
 
-@pytest.mark.parametrize("seeds", [1, 40, 10_000])
-def test_join_equals_pair_by_pair_scoring(spark, monkeypatch, seeds):
-    """However few seeds set the floors, the top candidates are those of scoring every pair."""
-    monkeypatch.setattr(candidates, "SEED_POSTINGS", seeds)
+@pytest.mark.parametrize(("seeds", "product_bits", "item_bits"), [(2, 16, 9), (1, 3, 2), (0, 5, 1)])
+def test_join_equals_pair_by_pair_scoring(spark, monkeypatch, seeds, product_bits, item_bits):
+    """However few seeds set the floors and however small the blocks, the top candidates are those of scoring every pair."""
+    monkeypatch.setattr(candidates, "SEEDS", seeds)
+    monkeypatch.setattr(candidates, "PRODUCT_BITS", product_bits)
+    monkeypatch.setattr(candidates, "ITEM_BITS", item_bits)
     rng = random.Random(7)
     words = ["nivea", "сплат", "splat", "колгейт", "крем", "гель", "паста", "кокос", "алоэ", "пакет", "туба", "соленый",
              "молоко", "молок", "шоколадка", "шоколад", "color", "душ", "zhuk", "жук", "олива"]
