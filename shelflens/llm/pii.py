@@ -9,7 +9,9 @@ kept; a context word within ``REACH`` characters before a span, and after the sp
 Patterns give the same leftmost, non-overlapping matches as their plain forms and stay linear on long runs: a run is entered
 at its first character or where the last match ended, and is never given back.
 
-Defined results: a null text is an empty text without spans; offsets are code points, the end exclusive; extra columns stay.
+Defined results: a null text is an empty text without spans; offsets are code points, the end exclusive; spans of one place come in
+the order of the kinds; texts of any length are read whole; repeated rows are read each; an empty table gives an empty one; extra columns
+stay, but for one named like the output, which is replaced.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ plus half of the second strongest and so on; a line fitted to the training docum
 
 Defined results: null, empty and wordless texts have evidence 0 and the score of that; labels of documents that occur twice are
 toxic if one of them is; null labels teach nothing; without toxic training documents every score is 0; repeated rows and rows
-without an id are scored each; extra columns stay.
+without an id are scored each; texts of any length are read whole; clauses of equal weight count alike; an empty table gives an empty one;
+extra columns stay, but for those named like the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ from shelflens.session import materialize
 TRAINING_ROWS = 40_000
 LEAST_DOCS, LEAST_SHARE = 4, 0.01  # toxic training documents that must hold a term
 LEAST_WEIGHT = 2.5
-MOST_TERMS = 20_000
 PREFIXES = (4, 5)
 NEGATED, NEGATION, REPORTED, TARGETED, THREATENED = 3, 0.3, 0.5, 1.3, 1.2
 
@@ -136,7 +136,7 @@ def evidence(text: str | None, insults: dict[str, float]) -> float:
         else:
             clause.append(t)
     weights.sort(reverse=True)
-    return sum(w * 0.5 ** i for i, w in enumerate(weights[:60]))
+    return sum(math.ldexp(w, -i) for i, w in enumerate(weights))
 
 
 _THREATS = frozenset(THREATS)
@@ -159,8 +159,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text:
 def learn(training: DataFrame) -> tuple[dict[str, float], float, float]:
     """Insult terms with their weights, and slope and middle of the line from evidence to score.
 
-    Documents per term and label are counted in each task, then added up; what the driver gets is at most MOST_TERMS terms and
-    one number per training row.
+    Documents per term and label are counted in each task, then added up; what the driver gets is one number per training row and the
+    terms that ``LEAST_SHARE`` of the toxic rows hold: at most 1 / ``LEAST_SHARE`` times what such a row holds on average.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -187,7 +187,7 @@ def learn(training: DataFrame) -> tuple[dict[str, float], float, float]:
                .agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0")))
     weight = F.log((F.col("n1") + 0.5) / (toxic + 1.0)) - F.log((F.col("n0") + 0.5) / (clean + 1.0))
     kept = (by_term.withColumn("w", weight).where((F.col("n1") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (F.col("w") >= LEAST_WEIGHT))
-            .orderBy(F.desc(F.col("n1") * F.col("w")), "term").limit(MOST_TERMS).select("term", "w").toArrow())
+            .orderBy(F.desc(F.col("n1") * F.col("w")), "term").select("term", "w").toArrow())
     insults = dict(zip(kept["term"].to_pylist(), kept["w"].to_pylist()))
     scored = scored_evidence(training, insults, "t").select("evidence", "y").toArrow()
     x, y = scored["evidence"].to_numpy(), scored["y"].to_numpy() > 0

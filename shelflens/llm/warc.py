@@ -13,7 +13,8 @@ greater id counts. ETags are compared weakly (without W/), Last-Modified only wh
 must agree where both have one.
 
 Defined results: a null or malformed record parses to nulls and joins nothing; a revisit without URL or date is missing; header
-names are matched without case, the first of repeated ones counts; repeated rows are resolved each; extra columns are ignored.
+names are matched without case, the first of repeated ones counts; records of any length are read whole; repeated rows are resolved
+each; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def canonical_url(url: Column) -> Column:
 
 def _headers(block: Column) -> Column:
     """array<struct<name, value>> of the lines after the first; names in lower case."""
-    lines = F.filter(F.slice(F.split(block, "\r\n"), 2, 10_000_000), lambda line: F.instr(line, ":") > 1)
+    lines = F.filter(F.split(F.regexp_replace(block, r"^[^\r\n]*(?:\r\n|$)", ""), "\r\n"), lambda line: F.instr(line, ":") > 1)
     return F.transform(lines, lambda line: F.struct(
         F.lower(F.trim(F.substring_index(line, ":", 1))).alias("name"),
         F.trim(F.regexp_replace(line, r"^[^:]*:", "")).alias("value")))
