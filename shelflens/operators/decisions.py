@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shelflens.functions import fixed_values as fv
 from shelflens.functions import text as tx
 from shelflens.functions.money import round_half_up
+from shelflens.operators.candidates import catalog_candidates
 
 
 def best_and_margin(candidates: DataFrame) -> DataFrame:
@@ -137,18 +140,39 @@ def apply_decisions(items: DataFrame, candidates: DataFrame, choices: DataFrame)
         F.when(F.col("product_id").isNotNull(), "auto").otherwise("needs_review").alias("status"))
 
 
-def online_cascade(observations: DataFrame, history: DataFrame, catalog: DataFrame, decided: DataFrame) -> DataFrame:
-    """History, then barcode, then the outside or rule decision; the first that answers wins.
+Decider = Callable[[DataFrame], DataFrame]
+
+
+def table_decider(decided: DataFrame) -> Decider:
+    """Decisions made outside: source_product_id, product_id, confidence, reason."""
+    return lambda open_rows: decided.withColumn("method", F.lit("llm"))
+
+
+def rule_decider(products: DataFrame, aliases: DataFrame) -> Decider:
+    """Decisions by rule: a learned alias (J4), else the best catalogue candidate (J3) if the evidence rule (R2) selects it.
 
-    ``decided`` holds source_product_id, product_id, confidence, reason for whatever decider is in use.
+    ``products`` as for ``catalog_candidates``; open rows need source_product_id and text.
     """
+    def decide(open_rows: DataFrame) -> DataFrame:
+        none = F.lit(None).cast("string")
+        items = open_rows.select(F.col("source_product_id").alias("item_id"), "text")
+        keyed = items.select("item_id", tx.match_key(F.col("text"), none, none, none, none).alias("match_key"))
+        offered = prefer_aliases(learned_aliases(keyed, aliases), catalog_candidates(items, products), products)
+        best = evidence_decision(best_and_margin(offered))
+        return best.select(F.col("item_id").alias("source_product_id"), F.col("selected_product_id").alias("product_id"),
+                           F.col("match_confidence").alias("confidence"), F.col("match_reason").alias("reason"), F.lit("fuzzy").alias("method"))
+    return decide
+
+
+def online_cascade(observations: DataFrame, history: DataFrame, catalog: DataFrame, decide: Decider) -> DataFrame:
+    """History, then barcode, then what ``decide`` says about the rows still open; the first that answers wins."""
     columns = ["source_product_id", "product_id", "confidence", "method", "status", "reason"]
     reused, open_rows = split_known(observations, history)
     by_code = barcode_matches(open_rows, catalog)
-    rest = open_rows.select("source_product_id").join(by_code.select("source_product_id"), "source_product_id", "left_anti")
-    tail = rest.join(decided, "source_product_id", "left").select(
+    rest = open_rows.join(by_code.select("source_product_id"), "source_product_id", "left_anti")
+    tail = rest.select("source_product_id").join(decide(rest), "source_product_id", "left").select(
         "source_product_id", "product_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        F.when(F.col("reason").isNull(), "fuzzy").otherwise("llm").alias("method"),
+        F.when(F.col("reason").isNull(), "fuzzy").otherwise(F.col("method")).alias("method"),
         F.when(F.col("product_id").isNotNull(), "auto").otherwise("needs_review").alias("status"),
         F.coalesce("reason", F.lit("No candidates found")).alias("reason"))
     return reused.select(*columns).unionByName(by_code.select(*columns)).unionByName(tail.select(*columns))

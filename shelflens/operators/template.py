@@ -149,6 +149,14 @@ def low_confidence(shelf_items: DataFrame, samples: int = 3) -> DataFrame:
     return counts.join(named, "store_id", "left")
 
 
+def low_confidence_samples(shelf_items: DataFrame, samples: int = 10) -> DataFrame:
+    """A10 overall: the first ``samples`` matched rows without or with low confidence; each task keeps that many at most."""
+    low = shelf_items.where(F.col("product_id").isNotNull() & (
+        F.col("match_confidence").isNull() | (F.col("match_confidence") < fv.LOW_CONFIDENCE)))
+    return low.orderBy("obs_id").limit(samples).select(
+        "store_id", F.coalesce("raw_name", F.lit("(без названия)")).alias("raw_name"), "match_confidence")
+
+
 def _pct(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, round_half_up(part / whole * 100)).otherwise(F.lit(0).cast("bigint"))
 

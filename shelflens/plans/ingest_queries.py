@@ -425,6 +425,13 @@ def a10_low_confidence(t):
     return rows.select("store_id", "low_confidence_rows", F.array_join(F.transform("samples", lambda s: s["raw_name"]), "|").alias("names"))
 
 
+@query("a10_samples_overall", """SELECT l_suppkey AS store_id, coalesce(CASE WHEN l_linenumber <> 3 THEN 'item ' || l_partkey END, '(без названия)') AS raw_name,
+  CASE WHEN l_linenumber <> 2 THEN l_discount * 10 END AS match_confidence FROM lineitem WHERE l_partkey % 5 <> 0 AND (l_linenumber = 2 OR l_discount * 10 < 0.7::DOUBLE)
+  ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate LIMIT 10""")
+def a10_samples_overall(t):
+    return tp.low_confidence_samples(_shelf(t))
+
+
 COVERAGE = f"""{TEMPLATE}, {LOW}, tot AS (SELECT template_id, department, count(DISTINCT product_id) AS n FROM rprod WHERE product_id IS NOT NULL GROUP BY 1, 2),
 fil AS (SELECT template_id, col_key, count(DISTINCT product_id) AS n FROM lng GROUP BY 1, 2),
 cov AS (SELECT c.template_id, c.department, c.col, c.store_label, c.store_id, c.store_id IS NOT NULL AS resolved, coalesce(f.n, 0) AS filled, coalesce(t.n, 0) AS total_rows,
@@ -456,6 +463,20 @@ def a9_coverage_report(t):
                        F.size("warnings").alias("warning_count"))
 
 
+@query("s14_snapshot_header", f"""{COVERAGE}, un AS (SELECT template_id, count(*) FILTER (WHERE product_id IS NULL) AS unmapped_rows FROM rprod GROUP BY 1),
+agg AS (SELECT template_id, count(*) FILTER (WHERE resolved) AS resolved_stores, count(*) FILTER (WHERE NOT resolved) AS unresolved_columns,
+  string_agg(CASE WHEN NOT resolved THEN store_label END, ', ' ORDER BY department, col, store_label) AS labels, CAST(sum(low_confidence_rows) AS BIGINT) AS low,
+  CAST(sum(CASE WHEN resolved THEN filled ELSE 0 END) AS BIGINT) AS filled_cells, CAST(sum(CASE WHEN resolved THEN total_rows ELSE 0 END) AS BIGINT) AS total_cells FROM cov GROUP BY 1),
+pct AS (SELECT *, CAST(floor(filled_cells / CAST(total_cells AS DOUBLE) * 100 + 0.5) AS BIGINT) AS coverage_pct FROM agg JOIN un USING (template_id))
+SELECT 'export-20240305-060708' AS snapshot_id, template_id, total_cells, filled_cells, coverage_pct, resolved_stores, unresolved_columns, concat_ws('|', CASE WHEN resolved_stores = 0 THEN 'no_store_resolved' END,
+  CASE WHEN resolved_stores > 0 AND coverage_pct < 50 THEN 'low_coverage: ' || coverage_pct || ' %' END, CASE WHEN unresolved_columns > 0 THEN 'unresolved_columns: ' || unresolved_columns || ' — ' || labels END,
+  CASE WHEN unmapped_rows > 0 THEN 'unknown_barcodes: ' || unmapped_rows END, CASE WHEN low > 0 THEN 'low_confidence: ' || low || ' (< 0.7)' END) AS warnings FROM pct""")
+def s14_snapshot_header(t):
+    header = tp.snapshot_header(tp.coverage_report(*_coverage(t)), F.lit("2024-03-05 06:07:08").cast("timestamp"))
+    return header.select("snapshot_id", "template_id", "total_cells", "filled_cells", "coverage_pct", "resolved_stores",
+                         F.col("unresolved_columns").cast("bigint").alias("unresolved_columns"), F.array_join("warnings", "|").alias("warnings"))
+
+
 @query("t3_worst_coverage", f"{COVERAGE} SELECT template_id, department, col, coverage_pct FROM cov ORDER BY coverage_pct, template_id, department, col")
 def t3_worst_coverage(t):
     return tp.coverage_by_problem(_coverage(t)[0]).select("template_id", "department", "col", "coverage_pct")

@@ -399,20 +399,49 @@ def r3_online_cascade(t):
         c("p_partkey").alias("source_product_id"), F.when(c("p_size") % 2 == 0, c("p_partkey")).alias("product_id"),
         (c("p_size") / 100.0).alias("confidence"), F.lit("choice").alias("reason"))
     history = _history(t).withColumn("match_id", F.struct("match_id", "product_id", "confidence"))
-    return dc.online_cascade(_seen(t), history, t.domain.catalog, chosen).select(
+    return dc.online_cascade(_seen(t), history, t.domain.catalog, dc.table_decider(chosen)).select(
         "source_product_id", "product_id", "confidence", "method", "status")
 
 
+ALIASES = f"""keyed AS (SELECT item_id, {key_sql('text')} AS match_key FROM src), al AS (SELECT CASE WHEN item_id % 2 = 0 THEN match_key ELSE 'other ' || match_key END AS match_key, item_id AS product_id, item_id % 5 AS confirmations
+  FROM keyed WHERE match_key <> ''), alias AS (SELECT item_id, product_id FROM keyed JOIN (SELECT match_key, product_id FROM al QUALIFY row_number() OVER (PARTITION BY match_key
+  ORDER BY confirmations DESC, product_id) = 1) USING (match_key) JOIN cat USING (product_id) WHERE is_active)"""
+
+
+@query("r3_rule_cascade", f"""{CAND}, {BEST}, {EVIDENCE}, {SEEN}, {HISTORY}, {SKUS}, {ALIASES}
+SELECT s.source_product_id, CASE WHEN a.source_product_id IS NOT NULL THEN a.product_id WHEN k.product_id IS NOT NULL THEN k.product_id WHEN l.product_id IS NOT NULL THEN l.product_id
+    WHEN score >= 0.82::DOUBLE AND rr IS NULL THEN d.product_id END AS product_id,
+  CASE WHEN a.source_product_id IS NOT NULL THEN a.confidence WHEN k.product_id IS NOT NULL THEN 1.0::DOUBLE WHEN l.product_id IS NOT NULL THEN 0.99::DOUBLE ELSE coalesce(score, 0) END AS confidence,
+  CASE WHEN a.source_product_id IS NOT NULL THEN a.method WHEN k.product_id IS NOT NULL THEN 'barcode' ELSE 'fuzzy' END AS method,
+  CASE WHEN a.source_product_id IS NOT NULL THEN a.status WHEN k.product_id IS NOT NULL OR l.product_id IS NOT NULL OR (score >= 0.82::DOUBLE AND rr IS NULL) THEN 'auto' ELSE 'needs_review' END AS status,
+  CASE WHEN a.source_product_id IS NOT NULL THEN 'Existing match (cached)' WHEN k.product_id IS NOT NULL THEN 'Barcode match' WHEN l.product_id IS NOT NULL THEN 'learned_alias'
+    WHEN d.item_id IS NULL THEN 'No candidates found' ELSE concat_ws('|', rr, reasons) END AS reason
+FROM seen s LEFT JOIN accepted a USING (source_product_id) LEFT JOIN skus k ON s.barcode = k.external_sku LEFT JOIN alias l ON l.item_id = s.source_product_id LEFT JOIN decided d ON d.item_id = s.source_product_id""")
+def r3_rule_cascade(t):
+    history = _history(t).withColumn("match_id", F.struct("match_id", "product_id", "confidence"))
+    texts = t.domain.source_products.select(F.col("item_id").alias("source_product_id"), "text")
+    decide = dc.rule_decider(t.domain.match_products, _aliases(t))
+    return dc.online_cascade(_seen(t).join(texts, "source_product_id"), history, t.domain.catalog, decide).select(
+        "source_product_id", "product_id", "confidence", "method", "status", "reason")
+
+
 @query("j4_aliases", f"""{with_tables('cat', 'src')}, keyed AS (SELECT item_id, {key_sql('text')} AS match_key FROM src),
 al AS (SELECT CASE WHEN item_id % 2 = 0 THEN match_key ELSE 'other ' || match_key END AS match_key, item_id AS product_id, item_id % 5 AS confirmations FROM keyed WHERE match_key <> '')
 SELECT item_id, product_id, 0.99::DOUBLE AS score FROM keyed JOIN (SELECT match_key, product_id FROM al QUALIFY row_number() OVER (PARTITION BY match_key
   ORDER BY confirmations DESC, product_id) = 1) USING (match_key)""")
 def j4_aliases(t):
+    return dc.learned_aliases(_match_keys(t), _aliases(t)).select("item_id", "product_id", "score")
+
+
+def _match_keys(t):
     none = F.lit(None).cast("string")
-    keyed = t.domain.source_products.select("item_id", tx.match_key(F.col("text"), none, none, none, none).alias("match_key"))
-    aliases = keyed.where("match_key <> ''").select(
-        F.when(F.col("item_id") % 2 == 0, F.col("match_key")).otherwise(F.concat(F.lit("other "), "match_key")).alias("normalized_key"), F.col("item_id").alias("product_id"), (F.col("item_id") % 5).alias("confirmations"))
-    return dc.learned_aliases(keyed, aliases).select("item_id", "product_id", "score")
+    return t.domain.source_products.select("item_id", tx.match_key(F.col("text"), none, none, none, none).alias("match_key"))
+
+
+def _aliases(t):
+    return _match_keys(t).where("match_key <> ''").select(
+        F.when(F.col("item_id") % 2 == 0, F.col("match_key")).otherwise(F.concat(F.lit("other "), "match_key")).alias("normalized_key"),
+        F.col("item_id").alias("product_id"), (F.col("item_id") % 5).alias("confirmations"))
 
 
 @query("a16_learn_aliases", f"""{with_tables('items', 'matches', 'cat')}, keyed AS (SELECT product_id, {key_sql('name')} AS k FROM cat)

@@ -190,7 +190,7 @@ def test_cascade_prefers_history_then_barcode(spark):
                                     "source_product_id bigint, product_id bigint, confidence double, method string, status string, matched_at string, match_id bigint")
     catalog = spark.createDataFrame([(5, "111", True), (6, "222", True)], "product_id bigint, external_sku string, is_active boolean")
     none = spark.createDataFrame([], "source_product_id bigint, product_id bigint, confidence double, reason string")
-    rows = {r["source_product_id"]: (r["product_id"], r["method"], r["status"]) for r in dc.online_cascade(seen, history, catalog, none).collect()}
+    rows = {r["source_product_id"]: (r["product_id"], r["method"], r["status"]) for r in dc.online_cascade(seen, history, catalog, dc.table_decider(none)).collect()}
     assert rows == {1: (9, "fuzzy", "confirmed"), 2: (6, "barcode", "auto"), 3: (None, "fuzzy", "needs_review")}
 
 
