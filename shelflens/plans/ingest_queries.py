@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from shelflens.functions.money import round_half_up
 from shelflens.operators import price_history as ph, shelf_text as st, template as tp
 from shelflens.plans.domain import with_tables
 from shelflens.plans.registry import query
