@@ -212,3 +212,14 @@ def test_alias_replaces_candidates_of_active_products(spark):
     catalog = spark.createDataFrame([("b", True), ("x", True)], "product_id string, is_active boolean")
     rows = {r["item_id"]: r["product_id"] for r in dc.prefer_aliases(hits, found, catalog).collect()}
     assert rows == {1: "b", 2: "y"}
+
+
+def test_manual_search_sends_no_catalogue_through_the_driver(spark, tmp_path):
+    rows = [(f"p{i}", f"S{i}", f"Nivea крем {i % 50} мл", True) for i in range(200)] + [("one", "X1", "Ariel порошок 3 кг", True)]
+    spark.createDataFrame(rows, "product_id string, external_sku string, name string, is_active boolean").write.parquet(str(tmp_path / "catalog"))
+    catalog = spark.read.parquet(str(tmp_path / "catalog"))
+    asked = spark.createDataFrame([(1, "S7"), (2, "nivea КРЕМ 7 мл"), (3, "порош"), (4, "zzz"), (5, " X1 "), (6, "3")], "item_id bigint, query string")
+    found = dc.manual_search(asked, catalog)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["item_id"]: (r["product_id"], r["found_by"]) for r in found.collect()}
+    assert got == {1: ("p7", "sku"), 2: (None, "ambiguous"), 3: ("one", "name"), 4: (None, "not_found"), 5: ("one", "sku"), 6: (None, "ambiguous")}
