@@ -223,3 +223,15 @@ def test_manual_search_sends_no_catalogue_through_the_driver(spark, tmp_path):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     got = {r["item_id"]: (r["product_id"], r["found_by"]) for r in found.collect()}
     assert got == {1: ("p7", "sku"), 2: (None, "ambiguous"), 3: ("one", "name"), 4: (None, "not_found"), 5: ("one", "sku"), 6: (None, "ambiguous")}
+
+
+def test_tasks_put_out_only_the_best_of_a_range(spark, monkeypatch):
+    """Very many equal products: scored pairs do not become rows, an item leaves a range as ``k`` rows at most."""
+    seen = []
+    plain = candidates._scored
+    monkeypatch.setattr(candidates, "_scored", lambda pairs, *rest: seen.append(pairs) or plain(pairs, *rest))
+    word = lambda n: "z" + "".join(chr(97 + n // 26 ** i % 26) * 2 for i in range(3))
+    catalog = [(f"p{n:04d}", f"qqww {word(n)}", None, None) for n in range(900)]
+    got = ranked(catalog_candidates(items(spark, ["qqww", "qqww yyhh"]), products(spark, catalog), k=30))
+    assert [p for p, *_ in got[0]] == [f"p{n:04d}" for n in range(30)]
+    assert sum(p.count() for p in seen) <= 2 * 30 * len(seen)
