@@ -56,8 +56,8 @@ def _write_shop_files(t, folder):
         F.concat(c("p_size").cast("string"), F.lit(" г")), F.concat(F.floor("p_retailprice").cast("string"), F.lit(",5")))
     for shop, (delimiter, header, line_end) in enumerate(SHOP_FILES):
         own = rows.toDF("p_partkey", "shop", "chunk", *header).where(c("shop") == shop)
-        # a file is one task's, so that its rows have an order; files are bounded
-        own = own.repartition("chunk").sortWithinPartitions("chunk", "p_partkey").drop("p_partkey")
+        # a file is one task's, so that its rows have an order; files are bounded. The order starts with the folders: else rows are sorted by them again, and lose it
+        own = own.repartition("chunk").sortWithinPartitions("shop", "chunk", "p_partkey").drop("p_partkey")
         own.write.mode("append").partitionBy("shop", "chunk").options(header=True, sep=delimiter, lineSep=line_end, escape='"').csv(folder)
 
 

@@ -151,3 +151,14 @@ def test_files_without_rows(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     (tmp_path / "head.csv").write_text("sku;name\n")
     assert cs.read_catalog(spark, str(tmp_path)).count() == 0
+
+
+def test_catalogue_files_keep_their_order_however_the_table_is_cut(spark, small, tmp_path):
+    import shelflens.plans.catalog  # noqa: F401 - registers the query
+    from shelflens.plans.registry import QUERIES
+    spark.read.parquet(f"{small}/part.parquet").repartition(5, "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    rows = {r["external_sku"]: (r["chunk"], r["row_number"]) for r in QUERIES["s1_catalog_files"](spark, str(tmp_path)).collect()}
+    keys = sorted(r[0] for r in spark.read.parquet(f"{small}/part.parquet").select("p_partkey").collect())
+    for shop in range(4):
+        for n, key in enumerate(k for k in keys if k % 4 == shop):
+            assert key % 13 == 0 or rows[f"S{key}"] == (0, n + 2)
