@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelflens.functions.money import round_half_up
 from shelflens.plans.domain import Domain, with_tables
-from shelflens.plans.registry import Tables, query
-from shelflens.session import STATE, job_folder
+from shelflens.plans.registry import query
+from shelflens.session import job_folder
 from shelflens.streaming import jobs, state
 
 
@@ -28,17 +28,6 @@ def _stream(t) -> Domain:
     return Domain(StreamedTables(t))
 
 
-def _with_state(t) -> Tables:
-    """The tables in a session of their own that keeps state in RocksDB, so that other queries' settings stay as they are."""
-    session = t.spark.newSession()
-    for key in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.shelflens.job"):
-        if t.spark.conf.get(key, None):
-            session.conf.set(key, t.spark.conf.get(key))
-    for key, value in STATE.items():
-        session.conf.set(key, value)
-    return Tables(session, t.folder)
-
-
 def _run_folder(t, name: str) -> str:
     return f"{job_folder(t.spark)}/{uuid.uuid4().hex}/{name}"
 
@@ -99,10 +88,10 @@ def x4_failure_state(t):
 r AS (SELECT run_id, started_at, age FROM (SELECT run_id, started_at, date_diff('microsecond', started_at, mark) / 60e6 AS age FROM runs, ends WHERE status = 'running'))
 SELECT run_id, 'requeue' AS action FROM r WHERE age >= 2880 UNION ALL SELECT run_id, 'fail' FROM r WHERE age >= 5760""")
 def x5_stale_state(t):
-    job_folder(t.spark)
-    t = _with_state(t)
+    folder = _run_folder(t, "stale")
     rows = _stream(t).runs.select("run_id", "status", F.col("started_at").alias("event_at"))
-    return _finished(t, state.stale_run_stream(rows, timeout_minutes=2880), "stale").select("run_id", "action")
+    state.stale_state(rows, folder, f"{folder}/checkpoint", buckets=8, timeout_minutes=2880).awaitTermination()
+    return state.read_changes(t.spark, folder).select("run_id", "action")
 
 
 @query("x6_price_rollup", f"""{with_tables('obs')} SELECT product_id, store_id, strftime(date_trunc('day', observed_at), '%Y-%m-%d') AS day, count(*) AS observations, min(price_minor) AS min_price_minor, max(price_minor) AS max_price_minor

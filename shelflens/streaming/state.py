@@ -1,6 +1,6 @@
 """State over streams: price and stock changes (X3), failure streaks (X4), stale runs.
 
-X3 and X4 keep the newest row of every key in a versioned table. A batch is united with the rows of the keys it may touch and goes
+X3 and X4 keep the newest row of every key in a versioned table, X5 the open runs. A batch is united with the rows of the keys it may touch and goes
 through the batch operators, which cut a busy key into even ranges; so a key may hold most of a batch. Rows not newer than
 the state are dropped, which is the only difference from the batch operators when data comes late. A batch that is run again reads
 the versions before it and writes its own once more.
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from shelflens.operators.price_history import PAIR, in_ranges, join_same, newest_per_key, price_changes, stock_transitions
 from shelflens.operators.runs import streaks_per_run
 from shelflens.session import materialize
-from shelflens.streaming.tables import BucketTable
+from shelflens.streaming.tables import BucketTable, _numbers
 
 STALE = "run_id long, started_at timestamp, action string"
 
@@ -89,6 +89,50 @@ def failure_state(stream: DataFrame, base: str, checkpoint: str, buckets: int, t
     return _started(stream, merge, checkpoint)
 
 
+def stale_state(stream: DataFrame, base: str, checkpoint: str, buckets: int, timeout_minutes: int = 30, delay_minutes: int = 1) -> StreamingQuery:
+    """X5 by whole batches under ``base``: what ``stale_run_stream`` does per run, for batches of millions of runs.
+
+    The state holds the open runs, with a row without a run per bucket so that none is ever empty. Limits are judged by the newest
+    event time so far less the delay; rows older than this mark of the batches before come too late and are dropped.
+    """
+    table = BucketTable(f"{base}/state", ["run_id"], buckets)
+    limit = timeout_minutes * 60_000_000
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = [n for n in _numbers(spark, f"{base}/marks", "batch") if n < batch_id]
+        before = spark.read.parquet(f"{base}/marks/batch={earlier[-1]}").first()["mark"] if earlier else None
+        rows = materialize(table.bucketed(batch.select("run_id", "status", "event_at")), "batch")
+        if before is not None:
+            rows = rows.where(F.unix_micros("event_at") > before)
+        newest = rows.agg(F.max(F.unix_micros("event_at"))).first()[0]
+        if newest is None and before is None:
+            return
+        mark = max(x for x in (before, newest and newest - delay_minutes * 60_000_000) if x is not None)
+
+        running = F.col("status").eqNullSafe("running")
+        fresh = rows.select("bucket", "run_id", F.when(running, F.col("event_at")).alias("started_at"), F.lit(False).alias("requeued"),
+                            F.lit(False).alias("held"), (~running).alias("ended"))
+        schema = rows.select("bucket", "run_id", F.col("event_at").alias("started_at"), F.lit(False).alias("requeued")).schema
+        state = table.before(spark, batch_id, list(range(buckets)), schema).where("started_at is not null")
+        united = fresh.unionByName(state.withColumn("held", F.lit(True)).withColumn("ended", F.lit(False)))
+        runs = united.groupBy("bucket", "run_id").agg(
+            F.bool_or("ended").alias("ended"), F.bool_or("requeued").alias("requeued"),
+            F.coalesce(F.min(F.when(F.col("held"), F.col("started_at"))), F.min("started_at")).alias("started_at"))
+        age = F.lit(mark) - F.unix_micros("started_at")
+        runs = runs.where("not ended and started_at is not null").withColumn("late", age >= limit).withColumn("over", age >= 2 * limit)
+        runs = materialize(runs.drop("ended"), "open")
+        actions = F.array_compact(F.array(F.when(F.col("late") & ~F.col("requeued"), "requeue"), F.when(F.col("over"), "fail")))
+        runs.select("run_id", "started_at", F.explode(actions).alias("action")).write.mode("overwrite").parquet(f"{base}/changes/batch={batch_id}")
+        none = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), *[
+            F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != "bucket"])
+        kept = runs.where("not over").select("bucket", "run_id", "started_at", (F.col("requeued") | F.col("late")).alias("requeued"))
+        table.write(batch_id, kept.unionByName(none), list(range(buckets)))
+        spark.range(1).select(F.lit(mark).alias("mark")).write.mode("overwrite").parquet(f"{base}/marks/batch={batch_id}")
+
+    return _started(stream, merge, checkpoint)
+
+
 def read_changes(spark: SparkSession, base: str) -> DataFrame:
     """What the batches of a state under ``base`` have put out."""
     return spark.read.option("basePath", f"{base}/changes").parquet(f"{base}/changes/batch=*").drop("batch")

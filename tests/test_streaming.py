@@ -147,3 +147,19 @@ def test_streaks_of_random_cuts_agree(spark, tmp_path):
     newest = joined.withColumn("streak", F.col("tail") + F.when(F.col("all_failed"), F.col("carried")).otherwise(0)).groupBy("source_id").agg(
         F.max_by("streak", "part").alias("streak"))
     assert {r.source_id: r.streak for r in newest.collect()} == last
+
+
+def test_stale_runs_by_batches_without_python_per_run(spark, tmp_path):
+    schema = "run_id bigint, status string, at string"
+    batches = [[(1, "running", "2024-01-01 00:00:00"), (2, "running", "2024-01-01 00:00:00"), (3, "running", "2024-01-01 00:05:00"), (9, "queued", "2024-01-01 00:40:00")],
+               [(2, "succeeded", "2024-01-01 00:50:00"), (3, "running", "2024-01-01 00:45:00"), (5, "running", "2024-01-01 00:01:00")],
+               [(9, "queued", "2024-01-01 05:00:00")], [(9, "queued", "2024-01-01 06:00:00")]]
+    seen = []
+    for rows in batches:
+        df = spark.createDataFrame(rows, schema).select("run_id", "status", F.col("at").cast("timestamp").alias("event_at"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_observations(spark, str(tmp_path / "in"), df.schema)
+        state.stale_state(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), buckets=2, timeout_minutes=30).awaitTermination()
+        seen.append(sorted((r["run_id"], r["action"]) for r in state.read_changes(spark, str(tmp_path / "out")).collect()))
+    first = [(1, "requeue"), (2, "requeue"), (3, "requeue")]  # late limit at 00:39; run 5 of the second batch comes behind it
+    assert seen == [first, first, sorted([*first, (1, "fail"), (3, "fail")]), sorted([*first, (1, "fail"), (3, "fail")])]
