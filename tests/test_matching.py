@@ -235,3 +235,11 @@ def test_tasks_put_out_only_the_best_of_a_range(spark, monkeypatch):
     got = ranked(catalog_candidates(items(spark, ["qqww", "qqww yyhh"]), products(spark, catalog), k=30))
     assert [p for p, *_ in got[0]] == [f"p{n:04d}" for n in range(30)]
     assert sum(p.count() for p in seen) <= 2 * 30 * len(seen)
+
+
+def test_match_keys_are_made_once(spark, small):
+    """Filters and joins read the written keys; none of them makes a key from the text again."""
+    import shelflens.plans.catalog  # noqa: F401 - registers the query
+    from shelflens.plans.registry import QUERIES
+    files = QUERIES["j4_aliases"](spark, small).inputFiles()
+    assert files and all("/match_keys/" in f for f in files)
