@@ -243,3 +243,31 @@ def test_match_keys_are_made_once(spark, small):
     from shelflens.plans.registry import QUERIES
     files = QUERIES["j4_aliases"](spark, small).inputFiles()
     assert files and all("/match_keys/" in f for f in files)
+
+
+def test_blocks_are_dealt_to_more_tasks_than_their_bytes_ask_for(spark, monkeypatch):
+    """Scoring is work per pair and not per byte: with 4 shuffle partitions and a few kilobytes, blocks still go to many tasks."""
+    seen = []
+    plain = candidates._scored
+    monkeypatch.setattr(candidates, "_scored", lambda pairs, *rest: seen.append(pairs) or plain(pairs, *rest))
+    monkeypatch.setattr(candidates, "ITEM_BITS", 1)
+    names = [name for _, name, *_ in CATALOG]
+    assert ranked(catalog_candidates(items(spark, names), products(spark, CATALOG), k=1))[0][0][0] == "nivea-cream-250"
+    assert len(seen[-1].inputFiles()) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_texts_are_made_after_rows_are_dealt_out(spark, small):
+    from shelflens.plans.registry import Tables
+    domain = Tables(spark, small).domain
+    for texts in (domain.source_products, domain.match_products):
+        plan = texts._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan and plan.index(" AS text") < plan.index("RepartitionByExpression")
+
+
+def test_signatures_are_made_after_texts_are_dealt_out(spark, monkeypatch):
+    """A filter on a signature would move below the exchange and make signatures in the few tasks that read the texts."""
+    plans = {}
+    plain = candidates.materialize
+    monkeypatch.setattr(candidates, "materialize", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and plain(df, name))
+    assert ranked(catalog_candidates(items(spark, ["Ariel", "-"]), products(spark, CATALOG[:4]), k=1))[0][0][0] == "ariel-powder-3kg"
+    assert "RepartitionByExpression" in plans["item_map"] and "Filter" not in plans["item_map"]
