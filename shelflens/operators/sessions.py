@@ -45,16 +45,21 @@ def inherit_department(items: DataFrame, photos: DataFrame) -> DataFrame:
 
 def enrich_items(items: DataFrame, matches: DataFrame, catalog: DataFrame, evidence: DataFrame,
                  sessions: DataFrame, photos: DataFrame | None = None) -> DataFrame:
-    """Item with its active match, product, first evidence, photo and session."""
+    """Item with its active match, product, first evidence, photo and session.
+
+    Items are the widest rows, so they move once for their id: products go to the matches, and sessions come first, where items
+    that were joined by session lie already.
+    """
     active = matches.where("is_active").select(
         "item_id", "product_id", F.col("score").alias("match_score"), F.col("decision").alias("match_decision"))
     product = catalog.select("product_id", F.col("external_sku").alias("product_sku"), F.col("name").alias("product_name"),
                              F.col("brand").alias("product_brand"), F.col("size_text").alias("product_size"),
                              "own_price_minor", F.lit(True).alias("_found"))
-    proof = evidence.groupBy("item_id").agg(
-        F.min("evidence_id").alias("evidence_id"), F.min_by("storage_path", "evidence_id").alias("evidence_path"))
-    out = (items.join(active, "item_id", "left").join(product, "product_id", "left")
-           .join(proof, "item_id", "left").join(sessions, "session_id", "left"))
+    first = F.min(F.when(F.col("evidence_id").isNotNull(), F.struct("evidence_id", "storage_path"))).alias("_first")  # each text once
+    proof = evidence.groupBy("item_id").agg(first).select(
+        "item_id", F.col("_first.evidence_id").alias("evidence_id"), F.col("_first.storage_path").alias("evidence_path"))
+    matched = active.join(product, "product_id", "left")
+    out = items.join(sessions, "session_id", "left").join(matched, "item_id", "left").join(proof, "item_id", "left")
     if photos is not None:
         out = out.join(photos.select("photo_id", F.col("storage_path").alias("photo_path")), "photo_id", "left")
     return out.withColumn("has_product", F.col("_found").isNotNull()).drop("_found")
