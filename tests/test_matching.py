@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +154,25 @@ def test_only_pairs_that_can_reach_the_floor_are_scored(spark, monkeypatch):
     assert sum(p.count() for p in scored) < len(names) * 200  # of 1500 products each, 750 of which share a word
 
 
+def test_lists_that_cannot_reach_the_floor_are_not_walked(monkeypatch):
+    """A frequent key alone is below the floor that the products of rarer keys give; the best products are those of scoring all."""
+    monkeypatch.setattr(candidates, "PRODUCT_BITS", 16)
+    rng, n = random.Random(3), 60_000
+    places = {0: sorted(rng.sample(range(n), 400)), 8: sorted(rng.sample(range(n), 900)), 16: sorted(rng.sample(range(n), 50_000))}
+    found = {**places, candidates._PLACES: list(range(n)), candidates._CODES: [0] * n}
+    postings = candidates._Postings(pa.table({"key_no": list(found), "places": pa.array(list(found.values()), pa.list_(pa.int32()))}))
+    item = {"i_own": list(places), "i_sub": [], "i_fold": [], "i_brand_no": 0, "i_base_no": 0, "i_has_size": False, "i_has_var": False,
+            "i_has_pack": False, "i_n": 3, "i_total": 300, "i_floor": 1.0, "i_bounds": [{"key_no": no, "most": 7000 / 3} for no in places]}
+    walked, plain = [], candidates._sums
+    monkeypatch.setattr(candidates, "_sums", lambda lists, *rest: walked.append(sum(len(x[1]) for x in lists)) or plain(lists, *rest))
+    at, points, _ = candidates._best(item, postings, 5, None)
+    every, _ = candidates._score(item, postings, np.arange(n))
+    expected = sorted(range(n), key=lambda x: (-every[x], x))[:5]
+    assert list(at) == expected and list(points) == [every[x] for x in expected]
+    assert max(walked) < 2000  # of 51 300 places
+    assert not postings.total.any()
+
+
 def test_words_of_a_thousand_letters(spark):
     junk = "x" * 600 + "шоколад" + "y" * 400
     got = ranked(catalog_candidates(items(spark, [junk, "шоколад"]), products(spark, [("a", "шоколад", None, None), ("b", junk, None, None)]), k=2))
