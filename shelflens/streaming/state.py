@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from shelflens.operators.price_history import PAIR, in_ranges, join_same, newest_per_key, price_changes, stock_transitions
+from shelflens.operators.price_history import PAIR, join_same, newest_per_key, price_changes, stock_transitions
 from shelflens.operators.runs import streaks_per_run
 from shelflens.session import materialize
 from shelflens.streaming.tables import BucketTable, _numbers
@@ -46,9 +46,10 @@ def price_state(stream: DataFrame, base: str, checkpoint: str, buckets: int) ->
         state = table.before(batch.sparkSession, batch_id, touched, rows.schema)
         fresh = _newer(rows, state, ["bucket", *PAIR], order)
         united = fresh.withColumn("fresh", F.lit(True)).unionByName(state.withColumn("fresh", F.lit(False)))
-        united = in_ranges(united, PAIR, order, "slot")
-        seen = stock_transitions(united, PAIR, order, F.col("slot")).drop("previous_availability", "has_previous")
-        priced = price_changes(seen, PAIR, order, F.col("slot")).drop("has_previous")
+        if not state.isEmpty():  # without a state the batch is all there is, and it is written already
+            united = materialize(united, "united")
+        seen = stock_transitions(united, PAIR, order).drop("previous_availability", "has_previous")
+        priced = price_changes(seen, PAIR, order).drop("has_previous")
         bare = seen.where("price_minor is null").withColumn("previous_price_minor", F.lit(None).cast("long")).withColumn(
             "change_pct", F.lit(None).cast("double"))
         columns = [*PAIR, *order, "price_minor", "previous_price_minor", "change_pct", "went_out_of_stock"]

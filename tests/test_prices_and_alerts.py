@@ -53,6 +53,23 @@ def test_a_busy_day_of_one_key_stays_linear(spark):
     assert len(parts) == 4 and max(r["count"] for r in parts) < 120_000  # spread over all tasks
 
 
+def test_rows_of_usual_keys_move_once_and_busy_keys_are_split(spark, monkeypatch):
+    """Without a busy key one window over the key does; rows of a busy key go through ranges, and both give the same."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") < 2000, "busy").otherwise(F.concat(F.lit("p"), F.col("id") % 300)).alias("product_id"), F.lit(None).cast("string").alias("store_id"),
+        F.when(F.col("id") % 7 != 0, F.col("id")).alias("price_minor"), F.timestamp_seconds(F.col("id") % 50).alias("observed_at"), F.col("id").alias("obs_id"))
+    get = lambda: ph.with_previous(rows, ph.PAIR, ["observed_at", "obs_id"], ["price_minor"])
+    plan = get()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "parquet" not in plan
+    expected = sorted(get().collect(), key=lambda r: r["obs_id"])
+    split, ranged = [], ph.in_ranges
+    monkeypatch.setattr(ph, "BUSY_ROWS", 1000)
+    monkeypatch.setattr(ph, "in_ranges", lambda df, *rest: split.append(df) or ranged(df, *rest))
+    assert sorted(get().collect(), key=lambda r: r["obs_id"]) == expected
+    assert [df.where("product_id = 'busy'").count() for df in split] == [2000] and split[0].count() < 2100
+    assert sum(not r["has_previous"] for r in expected) == 301
+
+
 def test_rules_meet_rows_by_equality_and_threshold(spark):
     changes = spark.createDataFrame([(n, n % 3, float(n), "p", "s") for n in range(30)], "obs_id int, source_id int, change_pct double, product_id string, store_id string")
     rules = spark.createDataFrame([("a", None, "price_change", 20.0, True), ("b", 1, "price_change", 5.0, True), ("c", 1, "price_change", 5.0, False)],
