@@ -76,7 +76,7 @@ def maintain_latest(stream: DataFrame, base: str, checkpoint: str, keys: list[st
         touched = table.touched(fresh)
         if touched:
             old = table.before(batch.sparkSession, batch_id, touched, fresh.schema)
-            table.write(batch_id, newest_per_key(fresh.unionByName(old), ["bucket", *keys], order), touched)
+            table.write(batch_id, newest_per_key(fresh.unionByName(old), ["bucket", *keys], order), touched, (fresh, old))
 
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

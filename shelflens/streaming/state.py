@@ -60,7 +60,7 @@ def price_state(stream: DataFrame, base: str, checkpoint: str, buckets: int) ->
             F.max_by(F.struct(*order, "availability"), place).alias("last"),
             F.max_by("price_minor", F.when(F.col("price_minor").isNotNull(), place)).alias("price_minor"))
         if touched:
-            table.write(batch_id, last.select("bucket", *PAIR, "last.*", "price_minor"), touched)
+            table.write(batch_id, last.select("bucket", *PAIR, "last.*", "price_minor"), touched, (rows, state))
 
     return _started(stream, merge, checkpoint)
 
@@ -85,7 +85,7 @@ def failure_state(stream: DataFrame, base: str, checkpoint: str, buckets: int, t
             f"{base}/changes/batch={batch_id}")
         newest = newest_per_key(counted.select(*schema.names).unionByName(state), ["bucket", "source_id"], order)
         if touched:
-            table.write(batch_id, newest, touched)
+            table.write(batch_id, newest, touched, (counted, state))
 
     return _started(stream, merge, checkpoint)
 
@@ -128,7 +128,7 @@ def stale_state(stream: DataFrame, base: str, checkpoint: str, buckets: int, tim
         none = spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), *[
             F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != "bucket"])
         kept = runs.where("not over").select("bucket", "run_id", "started_at", (F.col("requeued") | F.col("late")).alias("requeued"))
-        table.write(batch_id, kept.unionByName(none), list(range(buckets)))
+        table.write(batch_id, kept.unionByName(none), list(range(buckets)), (runs,))
         spark.range(1).select(F.lit(mark).alias("mark")).write.mode("overwrite").parquet(f"{base}/marks/batch={batch_id}")
 
     return _started(stream, merge, checkpoint)

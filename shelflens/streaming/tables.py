@@ -47,12 +47,15 @@ def _drop_versions(spark: SparkSession, base: str, batch_id: int, keep: int) ->
                     files.delete(folder(f"version={version}/bucket={bucket}"), True)
 
 
+ROWS_PER_FILE = 500_000
+
+
 @dataclass(frozen=True)
 class BucketTable:
     """One row per key in ``buckets`` folders.
 
     ``buckets`` comes from the expected size of the table (a bucket should fit a few tasks); ``files_per_bucket`` splits the
-    writing of each. A batch rewrites only the buckets it touches, into its own version folder, and then writes a manifest:
+    writing of each, into more files when more than about ``ROWS_PER_FILE`` rows may come to one. A batch rewrites only the buckets it touches, into its own version folder, and then writes a manifest:
     the version each bucket is at. Readers open the newest manifest and just the folders it names. A batch that is run again
     writes the same folder and manifest once more. Bucket folders that none of the last ``keep_versions`` manifests names are
     deleted.
@@ -77,11 +80,13 @@ class BucketTable:
         rows = _bucket_rows(spark, self.base, {b: versions[b] for b in touched if b in versions}, schema)
         return rows.select(*schema.names) if rows is not None else spark.createDataFrame([], schema)
 
-    def write(self, batch_id: int, rows: DataFrame, touched: list[int]) -> None:
-        """Bucketed ``rows`` as the new content of the touched buckets."""
+    def write(self, batch_id: int, rows: DataFrame, touched: list[int], sources: tuple[DataFrame, ...] = ()) -> None:
+        """Bucketed ``rows`` as the new content of the touched buckets; there are no more of them than in the written ``sources``."""
         spark = rows.sparkSession
-        spread = F.pmod(F.xxhash64(*self.keys, F.lit("file")), F.lit(self.files_per_bucket))
-        (rows.repartition(max(1, len(touched) * self.files_per_bucket), "bucket", spread).write.mode("overwrite")
+        most = sum(source.count() for source in sources)
+        files = max(self.files_per_bucket, -(-most // (ROWS_PER_FILE * max(1, len(touched)))))
+        spread = F.pmod(F.xxhash64(*self.keys, F.lit("file")), F.lit(files))
+        (rows.repartition(max(1, len(touched) * files), "bucket", spread).write.mode("overwrite")
          .partitionBy("bucket").parquet(f"{self.base}/version={batch_id}"))
         now = {**_manifest(spark, self.base, batch_id - 1), **{b: batch_id for b in touched}}
         spark.createDataFrame(sorted(now.items()), "bucket int, version bigint").coalesce(1).write.mode("overwrite").parquet(

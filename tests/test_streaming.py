@@ -163,3 +163,17 @@ def test_stale_runs_by_batches_without_python_per_run(spark, tmp_path):
         seen.append(sorted((r["run_id"], r["action"]) for r in state.read_changes(spark, str(tmp_path / "out")).collect()))
     first = [(1, "requeue"), (2, "requeue"), (3, "requeue")]  # late limit at 00:39; run 5 of the second batch comes behind it
     assert seen == [first, first, sorted([*first, (1, "fail"), (3, "fail")]), sorted([*first, (1, "fail"), (3, "fail")])]
+
+
+def test_a_large_table_is_written_in_more_tasks(spark, tmp_path, monkeypatch):
+    """No task writes a bucket whole when it holds very many rows, and small tables keep one file per bucket."""
+    written = {}
+    for limit in (100, 1_000_000):
+        monkeypatch.setattr(tables, "ROWS_PER_FILE", limit)
+        table = tables.BucketTable(str(tmp_path / f"table{limit}"), ["id"], 2)
+        rows = table.bucketed(spark.range(2000))
+        table.write(0, rows, [0, 1], (rows,))
+        stored = table.read(spark)
+        assert sorted(r["id"] for r in stored.collect()) == list(range(2000))
+        written[limit] = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert len(written[1_000_000]) == 2 and max(written[100]) < 600
