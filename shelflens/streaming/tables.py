@@ -78,7 +78,7 @@ class BucketTable:
         """The rows of some buckets as they were before a batch."""
         versions = _manifest(spark, self.base, batch_id - 1)
         rows = _bucket_rows(spark, self.base, {b: versions[b] for b in touched if b in versions}, schema)
-        return rows.select(*schema.names) if rows is not None else spark.createDataFrame([], schema)
+        return rows.select(*schema.names) if rows is not None else spark.createDataFrame([], schema).limit(0)  # known to be empty: nothing moves for joins
 
     def write(self, batch_id: int, rows: DataFrame, touched: list[int], sources: tuple[DataFrame, ...] = ()) -> None:
         """Bucketed ``rows`` as the new content of the touched buckets; there are no more of them than in the written ``sources``."""

@@ -177,3 +177,11 @@ def test_a_large_table_is_written_in_more_tasks(spark, tmp_path, monkeypatch):
         assert sorted(r["id"] for r in stored.collect()) == list(range(2000))
         written[limit] = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
     assert len(written[1_000_000]) == 2 and max(written[100]) < 600
+
+
+def test_a_table_without_versions_moves_nothing(spark, tmp_path):
+    table = tables.BucketTable(str(tmp_path / "table"), ["id"], 2)
+    rows = table.bucketed(spark.range(10).withColumn("at", F.col("id")))
+    fresh = state._newer(rows, table.before(spark, 0, [0, 1], rows.schema), ["bucket", "id"], ["at"])
+    assert fresh.count() == 10
+    assert "Exchange" not in fresh._jdf.queryExecution().executedPlan().toString()
