@@ -21,7 +21,7 @@ rows1 AS (SELECT *, competitor_minor - own_price_minor AS diff_minor, CASE WHEN
 
 def _enriched(t):
     d = t.domain
-    return ss.enrich_items(d.session_items(), d.matches, d.catalog, d.evidence, d.sessions)
+    return ss.enrich_items(d.session_items(), d.matches_of(d.lines), d.catalog, d.evidence_of(d.lines), d.sessions)
 
 
 def _rows(t, detailed=False):
