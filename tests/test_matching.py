@@ -292,3 +292,19 @@ def test_signatures_are_made_after_texts_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(candidates, "materialize", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and plain(df, name))
     assert ranked(catalog_candidates(items(spark, ["Ariel", "-"]), products(spark, CATALOG[:4]), k=1))[0][0][0] == "ariel-powder-3kg"
     assert "RepartitionByExpression" in plans["item_map"] and "Filter" not in plans["item_map"]
+
+
+def test_a_repeated_text_is_read_once(spark, monkeypatch):
+    """Texts are tokenized once each, however many items and products have them."""
+    written, plain = {}, candidates.materialize
+
+    def noted(df, name):
+        out = plain(df, name)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(candidates, "materialize", noted)
+    many = ["Nivea крем 250 мл"] * 40 + ["Fa гель"] * 20
+    found = catalog_candidates(items(spark, many), products(spark, CATALOG), k=1).collect()
+    assert written["read"][0] == 2 and written["item_map"] == [60]
+    assert len({(r.product_id, r.score) for r in found}) <= 2
