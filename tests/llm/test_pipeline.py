@@ -92,3 +92,16 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_are_dropped_by_key_without_moving_texts(spark, tmp_path, monkeypatch):
+    """With a bitmap so small that most kept rows share a bit with one that goes, exactly the wanted rows go; with the usual one no text meets them."""
+    docs = corpus_pipeline._keyed(spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(300)], DOCS))
+    gone = docs.where("doc_id % 5 = 0").select(corpus_pipeline.KEY)
+    moved, plain = [], corpus_pipeline._marked
+    monkeypatch.setattr(corpus_pipeline, "_marked", lambda docs, *filters: moved.append((len(filters), plain(docs, *filters))) or moved[-1][1])
+    for bits in (7, 26):
+        monkeypatch.setattr(corpus_pipeline, "FILTER_BITS", bits)
+        left = corpus_pipeline._without(docs, gone)
+        assert sorted(r.doc_id for r in left.collect()) == [i for i in range(300) if i % 5]
+    assert moved[-1][0] == 2 and moved[-1][1].count() == 0  # the rows that a join decides
