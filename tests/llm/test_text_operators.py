@@ -210,6 +210,24 @@ def test_pieces_round_trip(spark):
     assert pieces.sample(frame(spark, [])).count() == 0
 
 
+def test_op2_gives_the_pieces_and_the_text_they_decode_to(spark, tmp_path):
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = {1: "the ab and  more", 2: None, 3: "", 4: "жук \U0001f600 é", 5: "a"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.QUERIES["op2_sentencepiece"](spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in rows) == {1: 2, 2: 1, 3: 1, 4: 2, 5: 2}
+    for r in rows:
+        if texts[r.doc_id]:
+            assert r.decoded == library.decode(r.pieces) == texts[r.doc_id] and r.round_trip and r.n_pieces == len(r.pieces)
+        else:
+            assert [v for k, v in r.asDict().items() if k != "doc_id"] == [None] * (len(r) - 1)
+    docs = spark.createDataFrame([(1, "the ab", "x")], "doc_id long, text string, decoded string")
+    got = pieces.sample(docs)
+    assert "decoded" in got.columns and {r.decoded for r in got.collect()} == {"x"}
+    assert {r.decoded for r in pieces.decode(pieces.sample(docs.drop("decoded")), text="decoded").collect()} == {"the ab"}
+
+
 def test_clause_grammar():
     insults = {"fool": 4.0, "lowe*": 3.0}
     e = lambda t: toxicity.evidence(t, insults)
