@@ -53,6 +53,14 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert 204 in texts and "<EMAIL>" in texts[204] and "<PHONE>" in texts[204] and 200 not in texts
 
 
+def test_pieces_are_decoded_and_no_document_is_lost(spark, tmp_path):
+    texts = {1: "the cat  on the mat", 2: None, 3: "", 4: "katze \U0001f600"}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], DOCS)
+    got = {r.doc_id: r for r in corpus_pipeline.encode_pieces(spark, docs, str(tmp_path)).collect()}
+    assert {i: r.decoded for i, r in got.items()} == {1: texts[1], 2: None, 3: None, 4: texts[4]}
+    assert all(r.lang == "en" and (r.n_pieces or 0) == len(r.pieces or []) for r in got.values()) and got[2].pieces is None
+
+
 def test_rows_of_one_id_are_judged_each_on_its_text(spark, tmp_path):
     rng = random.Random(5)
     text = lambda n: " ".join(rng.choice("alpha beta gamma delta river stone cloud house".split()) + str(rng.randrange(90)) for _ in range(n))

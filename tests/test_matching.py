@@ -294,6 +294,21 @@ def test_signatures_are_made_after_texts_are_dealt_out(spark, monkeypatch):
     assert "RepartitionByExpression" in plans["item_map"] and "Filter" not in plans["item_map"]
 
 
+def test_no_row_of_postings_is_long(spark, monkeypatch):
+    """Rows are read thousands at a time: a key on very many products is several rows, and no copy for each block is written."""
+    written, plain = {}, candidates.materialize
+    monkeypatch.setattr(candidates, "materialize", lambda df, name: written.update({name: plain(df, name)}) or written[name])
+    monkeypatch.setattr(candidates, "STRETCH", 7, raising=False)
+    word = lambda n: "z" + "".join(chr(97 + n // 26 ** i % 26) * 2 for i in range(3))
+    catalog = [(f"p{n:04d}", f"qqww {word(n)}", None, "250 мл" if n % 3 else None) for n in range(100)]
+    find = lambda: ranked(catalog_candidates(items(spark, ["qqww", f"qqww {word(77)} 250 мл"]), products(spark, catalog), k=30))
+    got = find()
+    assert max(len(r.places) for r in written["postings"].collect()) <= 7 and "lists" not in written
+    assert got[1][0][0] == "p0077" and len(got[0]) == len(got[1]) == 30
+    monkeypatch.setattr(candidates, "STRETCH", 1 << 10, raising=False)
+    assert find() == got
+
+
 def test_a_repeated_text_is_read_once(spark, monkeypatch):
     """Texts are tokenized once each, however many items and products have them."""
     written, plain = {}, candidates.materialize
