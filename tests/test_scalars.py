@@ -107,3 +107,14 @@ def test_product_names_from_text(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, text string")
     rows = st.product_names_from_text(st.prices_from_text(df)).orderBy("i").collect()
     assert [(r["raw_name"], r["normalized"], r["removed_line_count"]) for r in rows] == [c[1:] for c in cases]
+
+
+def test_a_text_is_searched_for_prices_once(spark):
+    """Matches, their groups and what stands around them come from one search; labels are only looked for beside their words."""
+    from shelflens.operators.shelf_text import prices_from_text
+    texts = ["Кофе 250 г\nСтарая цена 1200,50\nНовая цена 99,90", "Цена\t\t12 50\u0000 руб", "", None, "без цен", "1 2 3 4 5 6 7 8 9 Цена 10—50"]
+    found = prices_from_text(spark.createDataFrame(list(enumerate(texts)), "n int, text string"))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.n: (r.price_minor, r.old_price_minor, r.kind, r.selected_text) for r in found.collect()}
+    assert rows[0] == (9990, 120050, "promo", "99,90") and rows[1] == (1250, None, "regular", "12 50")
+    assert rows[2] == rows[3] == rows[4] == (None, None, None, None) and rows[5][0] == 1050
